@@ -137,7 +137,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: in
         for batch in batches:
             for doc_id, own in zip(batch.doc_id, encoder.encode([t if isinstance(t, str) else "" for t in batch.text]), strict=True):
                 if writer is None:
-                    stream = fs.open_output_stream(f"{place}/{name}")
+                    stream = fs.open_output_stream(f"{place}/{name}", compression=None)  # else the name's ending adds a second compression
                     writer = Writer(stream)
                 own += end
                 writer.add(None if pd.isna(doc_id) else int(doc_id), own)
