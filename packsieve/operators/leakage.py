@@ -20,8 +20,10 @@ BROADCAST_RUNS = 500_000
 
 def grams(rows: DataFrame, key: str, column: str, n: int = SHARED_WORDS) -> DataFrame:
     """(key, gram, gram2): each n-gram of a row once, as two 64-bit hashes: what is shuffled is 16 bytes, not the words."""
-    hashed = F.transform(text.ngrams(text.ascii_words(F.col(column)), n), lambda g: F.struct(F.xxhash64(g).alias("gram"), F.xxhash64(g, F.lit(1)).alias("gram2")))
-    return rows.select(key, F.inline(hashed))
+    # the words are a column of their own: inside the lambda they would be found anew for every run
+    words = rows.select(key, text.ascii_words(F.col(column)).alias("_w"))
+    runs = words.select(key, F.explode(text.ngrams(F.col("_w"), n)).alias("_g"))
+    return runs.select(key, F.xxhash64("_g").alias("gram"), F.xxhash64("_g", F.lit(1)).alias("gram2"))
 
 
 def overlaps(a: DataFrame, b: DataFrame, a_key: str, b_key: str, a_text: str = "text", b_text: str = "text", n: int = SHARED_WORDS) -> DataFrame:

@@ -25,7 +25,8 @@ def state(status: Column, retryable: Column, attempts: Column, most: int) -> Col
 
 def charge(cost_usd: Column, prompt: Column, completion: Column, most_in: float, most_out: float, ceiling: Column) -> Column:
     """micro-USD charged: the reported cost, or tokens at the highest prices, or the ceiling; rounded up."""
-    return F.ceil(F.coalesce(cost_usd * 1e6, prompt * most_in + completion * most_out, ceiling)).cast("long")
+    exact = "decimal(24,6)"  # a double's noise would be rounded up to a whole unit
+    return F.ceil(F.coalesce((cost_usd.cast("decimal(24,12)") * 1_000_000).cast(exact), (prompt * most_in + completion * most_out).cast(exact), ceiling.cast(exact))).cast("long")
 
 
 def provider_key(name: Column) -> Column:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packsieve.plans import predicates
+from packsieve.plans import logs, predicates, rates, search
 
-MODULES = (predicates,)
+MODULES = (predicates, rates, search, logs)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
