@@ -56,13 +56,14 @@ def text(tree: Tree, catalog: Mapping[str, Field]) -> str:
 
 def exactly(facts: Mapping[str, object], shown: Mapping[str, Field]) -> Column:
     """A frame with just these facts: each has the value in every occurrence, every other shown field is absent."""
+    is_value = lambda v: lambda o: o == F.lit(v)
     out = F.lit(True)
     for name, field in shown.items():
         col = F.col(f"`{field.column or name}`")
         if name not in facts:
             test = col.isNull()
         elif field.many:
-            test = F.coalesce((F.size(col) > 0) & F.forall(col, lambda o, v=facts[name]: o == F.lit(v)), F.lit(False))
+            test = F.coalesce((F.size(col) > 0) & F.forall(col, is_value(facts[name])), F.lit(False))
         else:
             test = F.coalesce(col == F.lit(facts[name]), F.lit(False))
         out = out & test

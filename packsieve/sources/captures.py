@@ -114,7 +114,7 @@ def decode(captures: DataFrame) -> DataFrame:
                     rows = [{"probe_id": probe, "frame": i, **packet(p)} for i, p in enumerate(frames_of(bytes(content)), 1)]
                 except Unreadable as e:
                     rows = [{"probe_id": probe, "error": str(e)}]
-                out = pd.DataFrame(rows, columns=NAMES)
+                out = pd.DataFrame(rows, columns=NAMES).astype({"probe_id": object, "error": object})
                 for c in ("ip_src", "ip_dst", "tcp_seq", "tcp_ack"):
                     out[c] = out[c].astype("Int64")
                 for c in ("frame", "ip_ttl", "ip_dsfield_ecn", "tcp_srcport", "tcp_dstport", "tcp_flags", "tcp_len", "udp_srcport", "udp_dstport", "dns_flags_rcode", "dns_qry_type"):
@@ -158,7 +158,7 @@ def relative(frames: DataFrame, probe: str = "probe_id", frame: str = "frame") -
     The first frame of a direction sets its base; an acknowledgment seen before the
     other direction's first frame sets that one's base, less one.
     """
-    a, b = F.struct("ip_src", "tcp_srcport"), F.struct("ip_dst", "tcp_dstport")
+    a, b = (F.struct(F.col(ip).alias("ip"), F.col(port).alias("port")) for ip, port in (("ip_src", "tcp_srcport"), ("ip_dst", "tcp_dstport")))
     other = Window.partitionBy(probe, F.least(a, b), F.greatest(a, b)).orderBy(frame)
     acks = F.getbit(F.coalesce("tcp_flags", F.lit(0)).cast("long"), F.lit(4)) == 1
     forward = F.first(F.when(a < b, F.col("tcp_seq")).when(acks, F.col("tcp_ack") - 1), ignorenulls=True).over(other)
