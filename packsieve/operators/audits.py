@@ -65,9 +65,9 @@ def zipped(a: DataFrame, b: DataFrame, keys: Sequence[str], left: str, right: st
 
 def same_members(rows: DataFrame, row: str, member: str) -> DataFrame:
     """Members that not every row (group) has, with how many have them."""
-    total = rows.agg(F.count_distinct(row).alias("_total"))
+    total = rows.agg(F.count_distinct(row)).first()[0]
     have = rows.groupBy(member).agg(F.count_distinct(row).alias("groups"))
-    return have.crossJoin(F.broadcast(total)).where(F.col("groups") < F.col("_total")).drop("_total")  # one row beside each
+    return have.where(F.col("groups") < total)
 
 
 def not_exact_gold(metrics: DataFrame, case: Sequence[str]) -> DataFrame:
