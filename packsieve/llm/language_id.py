@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS, CHARS, LANGUAGES = 48, 800, 500
-BLOCK, CHUNK = 512, 2_000_000
+BLOCK, CHUNK = 512, 1_000_000
 ALPHABET = 250
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 _MODELS: dict[int, Model] = {}
@@ -187,32 +187,35 @@ def held_out_fifth() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 5 == 0
 
 
-def predict(docs: DataFrame, samples: dict[str, list[str]], columns: list[str] | None = None) -> DataFrame:
-    """``columns`` (doc_id alone by default), lang_pred and score of every row's whole text."""
-    columns = columns or ["doc_id"]
+def told(samples: dict[str, list[str]]):
+    """A column function: text -> (lang_pred, score). Only the text goes to Python and only the answer comes back."""
     key = hash(tuple((k, tuple(v)) for k, v in sorted(samples.items())))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def tell(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         if key not in _MODELS:
             _MODELS.clear()
             _MODELS[key] = Model(samples)
-        for batch in batches:
-            texts = [t if isinstance(t, str) else None for t in batch["_text"]]
-            pred, score = _MODELS[key].predict(texts)
-            yield batch[columns].assign(lang_pred=pred, score=score)
+        for texts in batches:
+            pred, score = _MODELS[key].predict([t if isinstance(t, str) else None for t in texts])
+            yield pd.DataFrame({"lang_pred": pred, "score": score})
 
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
-    return docs.select(*columns, F.col("text").cast("string").alias("_text")).mapInPandas(run, f"{fields}, lang_pred string, score double")
+    return tell
+
+
+def predict(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
+    """``docs`` with lang_pred and score of every row's whole text."""
+    return docs.withColumn("_told", told(samples)(F.col("text").cast("string"))).select(*docs.columns, "_told.lang_pred", "_told.score")
 
 
 def identify(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score; learns from the labelled rows that are not held out."""
     samples = sample(docs, held_out_fifth())
     ready = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out_fifth().alias("held_out"), "text")
-    return predict(ready, samples, ["doc_id", "held_out"])
+    return predict(ready, samples).drop("text")
 
 
 def keep(docs: DataFrame, minimum: float = 0.0) -> DataFrame:
     """``docs`` without the rows whose language can't be told (``und``, or a score below ``minimum``)."""
-    told = predict(docs, sample(docs, held_out_fifth()), docs.columns)
-    return told.where((F.col("lang_pred") != "und") & (F.col("score") >= minimum)).select(*docs.columns)
+    marked = docs.withColumn("_told", told(sample(docs, held_out_fifth()))(F.col("text").cast("string")))
+    return marked.where((F.col("_told.lang_pred") != "und") & (F.col("_told.score") >= minimum)).select(*docs.columns)
