@@ -123,9 +123,16 @@ class Builder(HTMLParser):
         self.open[-1].children.append(data)
 
 
+def finished(html: str) -> str:
+    """The page without a tag that its end cuts off."""
+    at = html.rfind("<")
+    cut = at >= 0 and ">" not in html[at:] and re.match(r"<[A-Za-z/!?]", html[at : at + 2])
+    return html[:at] if cut else html
+
+
 def parse(html: str | None) -> Node:
     builder = Builder()
-    builder.feed(html or "")
+    builder.feed(finished(html or ""))
     builder.close()
     return builder.root
 
