@@ -38,17 +38,22 @@ def pieces(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY,
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = tokens.encoder(tokens.vocabulary(vocabulary))
         for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch.doc_id, encoder.encode([t or "" for t in batch.text]), strict=True):
-                ids += end
-                total = len(ids) // 4
-                for at in range(0, total, window):
-                    part = ids[4 * at : 4 * (at + window)]
-                    rows.append((doc_id, at, len(part) // 4, zlib.crc32(part), total))
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-            yield out.astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, PIECE)
+            texts, doc_ids = [t if isinstance(t, str) else "" for t in batch.text], batch.doc_id.tolist()
+            del batch
+            for a, b in tokens.slices(texts):
+                rows = []
+                for doc_id, ids in zip(doc_ids[a:b], encoder.encode(texts[a:b]), strict=True):
+                    ids += end
+                    total = len(ids) // 4
+                    for at in range(0, total, window):
+                        part = ids[4 * at : 4 * (at + window)]
+                        rows.append((None if doc_id is None else int(doc_id), at, len(part) // 4, zlib.crc32(part), total))
+                out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                yield out.astype({"doc_id": "Int64"})
+        encoder.forget()
+
+    # doc_id as Arrow sends it must stay exact next to nulls, hence text
+    return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(cut, PIECE)
 
 
 def combinations(lengths: np.ndarray, window: int, depth: int = 3) -> np.ndarray:

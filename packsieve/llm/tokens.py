@@ -4,23 +4,42 @@ Both vocabularies split a text into pre-tokens before merging, and a pre-token
 never reaches over a space that a non-space follows. So a text's ids are those
 of its space-separated chunks in order, and each worker keeps the ids of short
 chunks that it has met: the library encodes a chunk once, not at every
-occurrence. A text with a space before other white space goes to the library
-whole, since a run of white space is split by what follows it.
+occurrence. New chunks go to the library many at a time, with a mark of one id
+between them, since a call costs more than a chunk. A text with a space before
+other white space goes to the library whole, since a run of white space is split
+by what follows it.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+
+import numpy as np
 
 #: Chunks longer than this are encoded each time; at this many the cache starts anew.
-CHUNK_CHARS, CACHE_CHUNKS = 48, 1_000_000
+CHUNK_CHARS, CACHE_CHUNKS = 48, 600_000
+#: Characters of text encoded at a time, and new chunks in one call.
+SLICE_CHARS, CALL_CHUNKS = 2_000_000, 20_000
+MARK = "|"
 
 _RUN = re.compile(r" (?=\s)")
 _ENCODERS: dict[str, Encoder] = {}
 
 
+def slices(texts: Sequence[str], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
+    """(from, to) of runs of texts of about so many characters, one text at least."""
+    start = size = 0
+    for i, text in enumerate(texts):
+        if size and size + len(text) > chars:
+            yield start, i
+            start, size = i, 0
+        size += len(text)
+    if start < len(texts):
+        yield start, len(texts)
+
+
 class Encoder:
     """Ids as unsigned 32-bit bytes in this machine's order, little-endian on all that Spark supports."""
 
@@ -30,37 +49,47 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
+        mark = self._encode([f" {MARK}"])[0]
+        self.mark = int.from_bytes(mark, "little") if len(mark) == 4 else None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, chunks: list[str]) -> None:
+        """Fills the cache with the ids of chunks as they stand behind a space."""
+        together = [c for c in chunks if MARK not in c] if self.mark is not None else []
+        alone = [c for c in chunks if MARK in c] if together else chunks
+        self.cache.update(zip(alone, self._encode([" " + c for c in alone]), strict=True))
+        for at in range(0, len(together), CALL_CHUNKS):
+            part = together[at : at + CALL_CHUNKS]
+            ids = np.frombuffer(self._encode([" " + f" {MARK} ".join(part)])[0], dtype=np.uint32)
+            ends = (4 * np.append(np.flatnonzero(ids == self.mark), len(ids))).tolist()
+            raw, begin = ids.tobytes(), 0
+            for chunk, end in zip(part, ends, strict=True):
+                self.cache[chunk] = raw[begin:end]
+                begin = end + 4
+
+    def forget(self) -> None:
+        """Called at a task's end: workers live on, and other stages need the memory."""
+        self.cache = {}
+
     def encode(self, texts: Sequence[str]) -> list[bytes]:
+        """The ids of each text; callers bound the characters given at once by ``slices``."""
         if len(self.cache) > CACHE_CHUNKS:
             self.cache.clear()
-        cache, split, whole = self.cache, [], []
-        missing: set[str] = set()
-        for i, text in enumerate(texts):
-            # the first chunk has no space before it, so it is marked
-            if _RUN.search(text):
-                split.append(None)
-                whole.append(i)
-            else:
-                head, *rest = text.split(" ")
-                split.append((head, rest))
-                missing.update(set(rest).difference(cache))
-        news = [w for w in missing if len(w) <= CHUNK_CHARS]
-        cache.update(zip(news, self._encode([" " + w for w in news]), strict=True))
-        out: list[bytes] = []
+        cache = self.cache
+        # the first chunk has no space before it, so it is encoded by itself
+        split = [[t] if _RUN.search(t) else t.split(" ") for t in texts]
+        chunks: set[str] = set()
+        for parts in split:
+            chunks.update(parts[1:])
+        self._learn([w for w in chunks.difference(cache) if len(w) <= CHUNK_CHARS])
+        out = self._encode([parts[0] for parts in split])
         for i, parts in enumerate(split):
-            if parts is None:
-                out.append(self._encode([texts[i]])[0])
-                continue
-            head, rest = parts
-            first = self._encode([head])[0] if head else b""
             try:
-                out.append(first + b"".join(map(cache.__getitem__, rest)))
+                out[i] += b"".join(map(cache.__getitem__, parts[1:]))
             except KeyError:  # a long chunk
-                out.append(first + b"".join(cache[w] if w in cache else self._encode([" " + w])[0] for w in rest))
+                out[i] += b"".join(cache[w] if w in cache else self._encode([" " + w])[0] for w in parts[1:])
         return out
 
 
