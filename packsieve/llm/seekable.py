@@ -135,14 +135,18 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: in
         name = f"{part:06d}-{uuid.uuid4().hex}.zst"
         writer, ids, documents = None, 0, 0
         for batch in batches:
-            for doc_id, own in zip(batch.doc_id, encoder.encode([t if isinstance(t, str) else "" for t in batch.text]), strict=True):
-                if writer is None:
-                    stream = fs.open_output_stream(f"{place}/{name}", compression=None)  # else the name's ending adds a second compression
-                    writer = Writer(stream)
-                own += end
-                writer.add(None if pd.isna(doc_id) else int(doc_id), own)
-                ids += len(own) // 4
-                documents += 1
+            texts, doc_ids = [t if isinstance(t, str) else "" for t in batch.text], batch.doc_id.tolist()
+            del batch
+            for a, b in tokens.slices(texts):
+                for doc_id, own in zip(doc_ids[a:b], encoder.encode(texts[a:b]), strict=True):
+                    if writer is None:
+                        stream = fs.open_output_stream(f"{place}/{name}", compression=None)  # else the name's ending adds a second compression
+                        writer = Writer(stream)
+                    own += end
+                    writer.add(None if pd.isna(doc_id) else int(doc_id), own)
+                    ids += len(own) // 4
+                    documents += 1
+        encoder.forget()
         if writer is not None:
             writer.close()
             stream.close()
