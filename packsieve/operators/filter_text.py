@@ -71,7 +71,7 @@ def exactly(facts: Mapping[str, object], shown: Mapping[str, Field]) -> Column:
 
 
 # What a filter's text mentions (B9), as columns over a text column. Text in quotes
-# counts for literals only.
+# counts for literals only. The spellings of the filter language.
 QUOTED = r"""r?"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'"""
 IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}(?:/\d{1,2})?"
 MAC = r"[0-9A-Fa-f]{1,2}([:.-])[0-9A-Fa-f]{1,2}(?:\1[0-9A-Fa-f]{1,2}){4}|[0-9A-Fa-f]{4}([:.-])[0-9A-Fa-f]{4}\2[0-9A-Fa-f]{4}"
