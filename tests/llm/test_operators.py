@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 from packsieve.llm import components, exact_dedup, html_text, language_id, mixing, nearest, packing, scratch, seekable, shards, simhash, tokens, url_lists
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, _salt int, kept string"
+#: Extra columns with the names of operators' own.
+EXTRA = ["_salt", "kept", "row", "size", "start", "_text_key", "_id", "_len", "lang_pred", "_told", "fp", "_words", "block", "at"]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in EXTRA)
 ODD = [None, "", " ", "a", "  two  spaces ", "tab\there\nline\n\nmore", "日本語 のテキスト", "<|endoftext|> as text", "x" * 300, "word | mark || pipes |", "İstanbul ſtraße", "é composed", "0 1 2 3.5 -7", "​ \x0b\x0c odd"]
 
 
@@ -29,8 +31,8 @@ def texts(n=60, seed=3):
 
 def documents(spark, n=60):
     t = texts(n)
-    rows = [(i, x, ["en", "fr", None][i % 3], [f"s{i % 4}", None][i % 9 == 8], len(x or ""), i, "k") for i, x in enumerate(t)]
-    rows += [rows[20], rows[20], (None, "no id", "en", "s0", 5, 0, None), (None, t[15], "en", None, 5, 0, None)]
+    rows = [(i, x, ["en", "fr", None][i % 3], [f"s{i % 4}", None][i % 9 == 8], len(x or ""), *[i] * len(EXTRA)) for i, x in enumerate(t)]
+    rows += [rows[20], rows[20], (None, "no id", "en", "s0", 5, *[None] * len(EXTRA)), (None, t[15], "en", None, 5, *[0] * len(EXTRA))]
     return spark.createDataFrame(rows, SCHEMA)
 
 
