@@ -9,7 +9,8 @@ nearest neighbours are held in memory (bounded, so broadcast). A vector goes to
 its nearest centroid's posting list, and a boundary vector also to each list
 whose centroid is at most ``CLOSURE`` times as far (``COPIES`` at most). A query
 reads the lists found by the same graph search whose distance is at most
-``REACH`` times the nearest (``LISTS`` at most), so easy queries read few.
+``REACH`` times the nearest (at most ``LISTS``, or ``SHARE`` of all where that is
+more), so easy queries read few.
 
 A list is dealt over as many cells as its size asks for, so a list swollen by
 copies of one vector is no hot task; each cell keeps its best per query, ties to
@@ -41,7 +42,7 @@ from packsieve.llm import scratch
 SAMPLE, CENTROIDS, POSTING = 20_000, 4096, 200
 DEGREE, BEAM = 24, 64
 CLOSURE, COPIES = 1.08, 4
-REACH, LISTS = 1.6, 48
+REACH, LISTS, SHARE = 1.3, 64, 3 / 16
 CELL, K = 2000, 20
 
 
@@ -213,7 +214,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     postings = scratch.table(assigned(base, index, CLOSURE, COPIES, "vec_id", False), "postings")
-    probes = assigned(usable(queries), index, REACH, LISTS, "query_id", True)
+    most = max(LISTS, int(SHARE * len(index.centroids)))
+    probes = assigned(usable(queries), index, REACH, most, "query_id", True)
     sizes = postings.groupBy("list").count().select("list", F.ceil(F.col("count") / CELL).cast("long").alias("cells"))  # a row per centroid
     sizes = {r.list: r.cells for r in sizes.collect()}
     cells = F.broadcast(spark.createDataFrame(list(sizes.items()), "list long, cells long"))
