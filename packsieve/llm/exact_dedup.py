@@ -81,18 +81,23 @@ def find(docs: DataFrame, payload: dict[str, Column] | None = None) -> DataFrame
     return alone.unionByName(met)
 
 
+def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` but those of ``gone``, a written table of numbers: sent to every executor while it is small, so that texts stay where they are."""
+    return rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, keys, "left_anti")
+
+
 def drop(docs: DataFrame) -> DataFrame:
     """``docs`` without exact copies: its columns, one row of each group."""
+    keys, key = ["_id", "_text_key"], F.xxhash64(normalised(F.col("text"))).alias("_text_key")
     verdicts = scratch.table(
-        find(docs, {"_text_sha": text_sha256(F.col("text"))}).where("group_size > 1")
-        .groupBy(F.struct("doc_id").alias("_id"), "_text_sha").agg(F.count("*").alias("_times"), F.first("kept").alias("_kept")),
+        find(docs, {"_text_key": key}).where("group_size > 1")
+        .groupBy(F.struct("doc_id").alias("_id"), "_text_key").agg(F.count("*").alias("_times"), F.first("kept").alias("_kept")),
         "verdicts",
     )
-    keyed = docs.withColumn("_id", F.struct("doc_id")).withColumn("_text_sha", text_sha256(F.col("text")))
-    gone = verdicts.where("not _kept").select("_id", "_text_sha")
-    left = keyed.join(gone, ["_id", "_text_sha"], "left_anti")
-    told_twice = verdicts.where("_kept and _times > 1").select("_id", "_text_sha")
+    keyed = docs.select(scratch.whole(docs), F.struct("doc_id").alias("_id"), key)
+    left = without(keyed, verdicts.where("not _kept").select(*keys), keys)
+    told_twice = verdicts.where("_kept and _times > 1").select(*keys)
     if told_twice.limit(1).count():
-        once = left.join(told_twice, ["_id", "_text_sha"], "left_semi").dropDuplicates(["_id", "_text_sha"])
-        left = left.join(told_twice, ["_id", "_text_sha"], "left_anti").unionByName(once)
-    return left.select(*docs.columns)
+        once = left.join(told_twice, keys, "left_semi").dropDuplicates(keys)
+        left = without(left, told_twice, keys).unionByName(once)
+    return left.select("_doc.*")

@@ -33,6 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from packsieve.llm import scratch
+
 ROWS, CHARS, LANGUAGES = 48, 800, 500
 BLOCK, CHUNK = 512, 1_000_000
 ALPHABET = 250
@@ -217,5 +219,5 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, minimum: float = 0.0) -> DataFrame:
     """``docs`` without the rows whose language can't be told (``und``, or a score below ``minimum``)."""
-    marked = docs.withColumn("_told", told(sample(docs, held_out_fifth()))(F.col("text").cast("string")))
-    return marked.where((F.col("_told.lang_pred") != "und") & (F.col("_told.score") >= minimum)).select(*docs.columns)
+    marked = docs.select(scratch.whole(docs), told(sample(docs, held_out_fifth()))(F.col("text").cast("string")).alias("_told"))
+    return marked.where((F.col("_told.lang_pred") != "und") & (F.col("_told.score") >= minimum)).select("_doc.*")

@@ -94,14 +94,16 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     return out.astype(np.int64)
 
 
-def placed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, source, size, start (words of its source before it) and the carried columns, for every row."""
-    thin = scratch.table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *(carry or [])), "sizes")
-    return scratch.table(
-        offsets.with_offsets(thin, ["source"], ["doc_id", "size"], F.col("size"), offsets.bucket_count(thin.count()), "start")
-        .withColumn("row", F.monotonically_increasing_id()),
-        "placed",
-    )
+def numbered(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """row, doc_id, source, size, and ``_doc`` with all columns if asked for, of every row; written once, so rows keep their numbers."""
+    own = [F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")]
+    return scratch.table(docs.select(*own, *([scratch.whole(docs)] if carry else [])), "sizes")
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """row, doc_id, source, size and start (words of its source before it) of every row of ``numbered``; texts are not moved."""
+    thin = rows.select("row", "doc_id", "source", "size")
+    return scratch.table(offsets.with_offsets(thin, ["source"], ["doc_id", "size"], F.col("size"), offsets.bucket_count(thin.count()), "start"), "placed")
 
 
 def mix(rows: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -148,7 +150,7 @@ def mix(rows: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[DataFram
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken: for every row, the words that the mix takes of it."""
-    rows = placed(docs)
+    rows = placed(numbered(docs))
     sources, pieces = mix(rows)
     taken = pieces.groupBy("row").agg(F.sum("words").alias("taken"))
     return (
@@ -164,15 +166,14 @@ def apply(docs: DataFrame) -> DataFrame:
     A row taken whole keeps its text as it is; of one taken in part, the words
     taken are joined by single spaces. ``n_chars``, where there, is counted anew.
     """
-    others = [c for c in docs.columns if c not in ("doc_id", "source")]
-    rows = placed(docs, others)
-    _, pieces = mix(rows.select("doc_id", "source", "size", "start", "row"))
+    rows = numbered(docs, carry=True)
+    _, pieces = mix(placed(rows))
     # at most size / BLOCK + 2 pieces of a row in a pass
     spots = pieces.groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("_spots"))
-    word = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
+    text = F.col("_doc.text")
+    word = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
     part = F.array_join(F.flatten(F.transform("_spots", lambda p: F.slice("_words", (p["at"] + 1).cast("int"), p["words"].cast("int")))), " ")
     whole = F.aggregate("_spots", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("size")
-    out = rows.join(spots, "row").withColumn("_words", F.when(~whole, word)).withColumn("text", F.when(whole, F.col("text")).otherwise(part))
-    if "n_chars" in others:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(c).cast(docs.schema[c].dataType) for c in docs.columns])
+    out = rows.join(spots, "row").withColumn("_words", F.when(~whole, word)).withColumn("_text", F.when(whole, text).otherwise(part))
+    new = {"text": F.col("_text"), "n_chars": F.length("_text")}
+    return out.select(*[new.get(c, F.col(f"_doc.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])

@@ -10,7 +10,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +40,11 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return written
 
 
+def whole(df: DataFrame) -> Column:
+    """All columns as one struct ``_doc``: extra columns can't clash with an operator's own; ``_doc.*`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc")
+
+
 def drop(df: DataFrame) -> None:
     """Deletes a table made by ``table`` that nothing reads any more."""
     remove(df.sparkSession, df.scratch_path)

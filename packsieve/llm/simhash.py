@@ -41,6 +41,7 @@ from pyspark.sql import functions as F
 
 from packsieve.llm import scratch
 from packsieve.llm.components import components
+from packsieve.llm.exact_dedup import without
 
 WORDS, SEED, DISTANCE, SALTS = 4, 42, 4, 8
 WIDTHS = (22, 21, 21)
@@ -69,14 +70,20 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) for every row."""
+    """doc_id, text_key (a hash of the text) and fp (the fingerprint as a signed long) for every row. Only the text goes to Python."""
+
+    @F.pandas_udf("long")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series(np.array([fingerprint(t if isinstance(t, str) else None, words) for t in texts], dtype=np.uint64).view(np.int64))
+
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("text_key"), of(text).alias("fp"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fp = np.array([fingerprint(t, words) for t in batch.text], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "fp": fp})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, fp long")
+def text_key(text: Column) -> Column:
+    """What tells rows with one doc_id and different texts apart."""
+    return F.xxhash64(text.cast("string"))
 
 
 def _remainder(x: np.ndarray) -> np.ndarray:
@@ -204,7 +211,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def cluster(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, fp long and component_id (smallest doc_id reachable, itself included) for every row."""
+    """doc_id, text_key, fp long and component_id (smallest doc_id reachable, itself included) for every row."""
     rows = scratch.table(fingerprints(docs, words), "fingerprints")
     distinct = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     of = components(links(distinct)).withColumnRenamed("node", "fp")
@@ -215,14 +222,17 @@ def cluster(docs: DataFrame, words: int = WORDS) -> DataFrame:
     left = rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
     right = by_fp.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return left.join(right, ["fp", "_salt"], "left").select(
-        "doc_id", "fp", F.when(F.col("_met"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "text_key", "fp", F.when(F.col("_met"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
 def drop(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """``docs`` with the smallest doc_id of each group alone; a row whose doc_id repeats it stays with it."""
-    gone = cluster(docs, words).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct("doc_id").alias("_id"))
-    return docs.withColumn("_id", F.struct("doc_id")).join(gone, "_id", "left_anti").select(*docs.columns)
+    keys = ["_id", "_text_key"]
+    others = cluster(docs, words).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = scratch.table(others.select(F.struct("doc_id").alias("_id"), F.col("text_key").alias("_text_key")), "gone")
+    keyed = docs.select(scratch.whole(docs), F.struct(F.col("doc_id").cast("long").alias("doc_id")).alias("_id"), text_key(F.col("text")).alias("_text_key"))
+    return without(keyed, gone, keys).select("_doc.*")
 
 
 def as_hex(fp: Column) -> Column:
