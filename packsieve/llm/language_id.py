@@ -207,6 +207,7 @@ def told(samples: dict[str, list[str]]):
 
 def predict(docs: DataFrame, samples: dict[str, list[str]]) -> DataFrame:
     """``docs`` with lang_pred and score of every row's whole text."""
+    scratch.small_batches(docs.sparkSession)
     return docs.withColumn("_told", told(samples)(F.col("text").cast("string"))).select(*docs.columns, "_told.lang_pred", "_told.score")
 
 
@@ -219,5 +220,6 @@ def identify(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, minimum: float = 0.0) -> DataFrame:
     """``docs`` without the rows whose language can't be told (``und``, or a score below ``minimum``)."""
+    scratch.small_batches(docs.sparkSession)
     marked = docs.select(scratch.whole(docs), told(sample(docs, held_out_fifth()))(F.col("text").cast("string")).alias("_told"))
     return marked.where((F.col("_told.lang_pred") != "und") & (F.col("_told.score") >= minimum)).select("_doc.*")

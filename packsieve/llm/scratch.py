@@ -40,6 +40,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return written
 
 
+#: Rows that go to a Python worker at a time, where rows hold whole texts: workers and the JVM keep the memory of the largest batch.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches for this session; a smaller setting of the user's stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def whole(df: DataFrame) -> Column:
     """All columns as one struct ``_doc``: extra columns can't clash with an operator's own; ``_doc.*`` gives them back."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc")

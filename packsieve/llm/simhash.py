@@ -77,6 +77,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
         for texts in batches:
             yield pd.Series(np.array([fingerprint(t if isinstance(t, str) else None, words) for t in texts], dtype=np.uint64).view(np.int64))
 
+    scratch.small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("text_key"), of(text).alias("fp"))
 
