@@ -1,8 +1,11 @@
 """Operator 9: mixing sources to target weights in fixed-length blocks.
 
 Each source's words, in a fixed pseudorandom order of its documents, form one
-stream that is cut into blocks of ``BLOCK`` words. A source's target in words
-gives its number of slots. Output shards draw their source counts one after
+stream that is cut into blocks of ``BLOCK`` words, or of a ``PARTS``-th of the
+source where that is less. A source's target, rounded to whole words, gives its
+number of slots in the real words of its blocks: whole passes, then blocks until
+the words left over are met, of which the last slot takes only what is missing.
+So each source's taken words are its target. Output shards draw their source counts one after
 another from a multinomial over what the sources have left, so that the draws
 add up to the slots exactly. Slot n of a source takes the block at place
 n modulo its number of blocks of a pseudorandom permutation, one permutation for
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from packsieve.llm import offsets, scratch
 
-BLOCK, SHARDS, SOURCES, SEED = 128, 1024, 100_000, 17
+BLOCK, PARTS, SHARDS, SOURCES, SEED = 128, 16, 1024, 100_000, 17
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -75,8 +78,8 @@ def draw(slots: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
     return out
 
 
-def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """A keyed permutation of range(size) at ``index``: four Feistel rounds, repeated until the value is in range."""
+def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray, back: bool = False) -> np.ndarray:
+    """A keyed permutation of range(size) at ``index``: four Feistel rounds, repeated until the value is in range; its inverse if ``back``."""
     bits = np.maximum(1, (np.ceil(np.log2(np.maximum(size, 2))).astype(np.int64) + 1) // 2).astype(np.uint64)
     mask = (np.uint64(1) << bits) - np.uint64(1)
     out = index.astype(np.uint64)
@@ -85,15 +88,39 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
     while len(todo):
         b, m, k = bits[todo], mask[todo], key[todo]
         left, right = out[todo] >> b, out[todo] & m
-        for r in range(4):
+        if back:
+            left, right = right, left
+        for r in range(3, -1, -1) if back else range(4):
             x = (right + k + np.uint64(r)) * np.uint64(0x9E3779B97F4A7C15)
             x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
             left, right = right, left ^ ((x ^ (x >> np.uint64(32))) & m)
+        if back:
+            left, right = right, left
         out[todo] = (left << b) | right
         todo = todo[out[todo] >= size[todo].astype(np.uint64)]
     return out.astype(np.int64)
 
 
+def pass_key(source_no: int, turn: np.ndarray, seed: int) -> np.ndarray:
+    return source_no * 1_000_003 + turn * 7919 + seed
+
+
+def schedule(source_no: int, size: int, want: int, block: int, seed: int) -> tuple[int, int]:
+    """(slots, words of the last one) that take ``want`` of a source's ``size`` words in blocks of ``block``, the last block maybe shorter."""
+    if not size or not want:
+        return 0, 0
+    blocks, turn, rest = -(-size // block), want // size, want % size
+    end = size - (blocks - 1) * block  # words of the stream's last block
+    at = lambda n, t, back=False: int(permuted(np.array([n]), np.array([blocks]), pass_key(source_no, np.array([t]), seed), back)[0])
+    if not rest:
+        return turn * blocks, end if at(blocks - 1, turn - 1) == blocks - 1 else block
+    place = at(blocks - 1, turn, True)
+    words = lambda m: m * block - (block - end if place < m else 0)
+    m = -(-rest // block)
+    m += words(m) < rest
+    return turn * blocks + m, rest - words(m - 1)
+
+
 def numbered(docs: DataFrame, carry: bool = False) -> DataFrame:
     """row, doc_id, source, size, and ``_doc`` with all columns if asked for, of every row; written once, so rows keep their numbers."""
     own = [F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")]
@@ -120,32 +147,36 @@ def mix(rows: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[DataFram
     want = targets(sizes)
     order = sorted(want, key=lambda s: (s is None, s or ""))
     of = dict(sizes)
-    blocks = np.array([-(-of[s] // block) for s in order], dtype=np.int64)
-    slots = np.minimum(np.array([round(want[s] / block) for s in order], dtype=np.int64), int(MOST) * blocks)
+    length = [max(1, min(block, of[s] // PARTS)) for s in order]
+    ends = [schedule(k, of[s], min(round(want[s]), int(MOST * of[s])), length[k], seed) for k, s in enumerate(order)]
+    slots = np.array([n for n, _ in ends], dtype=np.int64)
     shards = max(1, min(SHARDS, int(slots.sum()) // 1000))
     counts = draw(slots, shards, seed)
     before = np.cumsum(counts, axis=0) - counts
-    cells = [(int(s), k, int(counts[s, k]), int(before[s, k]), int(blocks[k])) for s in range(shards) for k in range(len(order)) if counts[s, k]]
+    cells = [(int(s), k, int(counts[s, k]), int(before[s, k]), -(-of[order[k]] // length[k]), length[k], *ends[k]) for s in range(shards) for k in range(len(order)) if counts[s, k]]
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for c in batch.itertuples():
                 n = np.arange(c.first, c.first + c.n)
                 turn = n // c.blocks
-                at = permuted(n % c.blocks, np.full(len(n), c.blocks), c.source_no * 1_000_003 + turn * 7919 + seed)
-                yield pd.DataFrame({"shard": c.shard, "slot": n, "source_no": c.source_no, "block": at, "pass": turn})
+                at = permuted(n % c.blocks, np.full(len(n), c.blocks), pass_key(c.source_no, turn, seed))
+                take = np.where(n == c.slots - 1, c.last, c.length)
+                yield pd.DataFrame({"shard": c.shard, "slot": n, "source_no": c.source_no, "block": at, "pass": turn, "_take": take})
 
-    plan = spark.createDataFrame(cells, "shard long, source_no long, n long, first long, blocks long").repartition(min(len(cells) or 1, 64), "shard", "source_no")
-    drawn = plan.mapInPandas(deal, "shard long, slot long, source_no long, block long, pass long")
+    plan = spark.createDataFrame(cells, "shard long, source_no long, n long, first long, blocks long, length long, slots long, last long").repartition(min(len(cells) or 1, 64), "shard", "source_no")
+    drawn = plan.mapInPandas(deal, "shard long, slot long, source_no long, block long, pass long, _take long")
     names = spark.createDataFrame(
-        [(k, s, of[s], float(want[s])) for k, s in enumerate(order)], "source_no long, source string, source_size long, target double"
+        [(k, s, of[s], float(want[s]), length[k]) for k, s in enumerate(order)], "source_no long, source string, source_size long, target double, _length long"
     )
-    named = rows.where("size > 0").join(F.broadcast(names.select("source_no", F.col("source").alias("_s"))), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    spans = named.withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
-    first = F.greatest(F.col("block") * block, F.col("start"))
-    last = F.least((F.col("block") + 1) * block, F.col("start") + F.col("size"))
-    spans = spans.select("source_no", "source", "block", "row", "doc_id", "size", (first - F.col("start")).alias("at"), (last - first).alias("words"))
-    return names.drop("source_no"), drawn.join(spans, ["source_no", "block"]).drop("source_no")
+    named = rows.where("size > 0").join(F.broadcast(names.select("source_no", "_length", F.col("source").alias("_s"))), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    spans = named.withColumn("block", F.explode(F.sequence(F.expr("start div _length"), F.expr("(start + size - 1) div _length"))))
+    begin = F.col("block") * F.col("_length")
+    first = F.greatest(begin, F.col("start"))
+    last = F.least(begin + F.col("_length"), F.col("start") + F.col("size"))
+    spans = spans.select("source_no", "source", "block", "row", "doc_id", "size", (first - F.col("start")).alias("at"), (last - first).alias("words"), (first - begin).alias("_in_block"))
+    pieces = drawn.join(spans, ["source_no", "block"]).withColumn("words", F.least("words", F.col("_take") - F.col("_in_block"))).where("words > 0")
+    return names.drop("source_no", "_length"), pieces.drop("source_no", "_take", "_in_block")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -168,7 +199,7 @@ def apply(docs: DataFrame) -> DataFrame:
     """
     rows = numbered(docs, carry=True)
     _, pieces = mix(placed(rows))
-    # at most size / BLOCK + 2 pieces of a row in a pass
+    # at most size / BLOCK + 2 pieces, or two for each block of a small source, of a row in a pass
     spots = pieces.groupBy("row", "pass").agg(F.array_sort(F.collect_list(F.struct("at", "words"))).alias("_spots"))
     text = F.col("_doc.text")
     word = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))

@@ -321,6 +321,29 @@ def test_mix_as_documents_holds_the_words_told(spark, docs):
     assert out.where("n_chars <> length(text)").count() == 0
 
 
+def test_small_sources_meet_their_targets_to_the_word(spark):
+    sizes = {"a": [1], "b": [20], "c": [100, 29], "d": [7, 193], "e": [3000, 1, 2000, 17]}
+    rows = [(i, " ".join(f"{s}{i}x{k}" for k in range(n)), s) for s, ns in sizes.items() for i, n in enumerate(ns, 10 * ord(s))]
+    small = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {s: round(t) for s, t in mixing.targets([(s, sum(ns)) for s, ns in sizes.items()]).items()}
+    got = mixing.report(small).join(small, "doc_id").groupBy("source").agg(F.sum("taken").alias("n"), F.max(F.col("taken") > 2 * F.col("size")).alias("over")).collect()
+    assert {r.source: r.n for r in got} == want and not any(r.over for r in got)
+    words = defaultdict(Counter)
+    for r in mixing.apply(small).collect():
+        words[r.source].update(r.text.split())
+    assert {s: c.total() for s, c in words.items()} == want
+    for s, c in words.items():  # whole passes first: no word is taken two times more often than another
+        times = [c[f"{s}{i}x{k}"] for i, n in enumerate(sizes[s], 10 * ord(s)) for k in range(n)]
+        assert max(times) - min(times) <= 1
+    for size, wanted, block in [(129, 258, 8), (129, 200, 128), (129, 130, 128), (1, 2, 1), (20, 3, 1), (200, 399, 128), (5000, 7001, 128)]:
+        n, last = mixing.schedule(3, size, wanted, block, 17)
+        blocks = -(-size // block)
+        turn = np.arange(n) // blocks
+        at = mixing.permuted(np.arange(n) % blocks, np.full(n, blocks), mixing.pass_key(3, turn, 17))
+        real = np.minimum(block, size - at * block)
+        assert real[:-1].sum() + last == wanted and 0 < last <= real[-1]
+
+
 def test_targets_stop_at_twice_the_size():
     got = mixing.targets([("b", 100), ("a", 10), (None, 100)])
     assert got["a"] == 20 and got["b"] + got[None] == pytest.approx(295) and got[None] == pytest.approx(2 * got["b"])
