@@ -2,12 +2,12 @@
 
 List entries are events: on a day a list adds or removes a pattern. A pattern is
 a host, which also covers its subdomains, or a host with the beginning of a
-path. The events of (list, pattern) become validity intervals [from, to); of
+path, of any depth; case makes no difference, in hosts and in paths. The events of (list, pattern) become validity intervals [from, to); of
 several events on a day, a removal wins. A capture is matched by the entries
 that are active on its day.
 
 Captures are reduced to distinct (host, first path segments, day) before the
-join, each explodes to the patterns that could match it (one for every parent
+join, as many segments as the deepest entry has; each explodes to the patterns that could match it (one for every parent
 domain and leading path segment: bounded by the url's depth), and those are
 joined on the pattern alone, salted by capture so that a host with a third of
 all captures is no hot key. Intervals of one pattern are bounded by the days of
@@ -24,7 +24,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS, DEPTH = 16, 2
+from packsieve.llm import scratch
+
+SALTS = 16
 
 
 def host(url: Column) -> Column:
@@ -50,18 +52,26 @@ def intervals(events: DataFrame) -> DataFrame:
     return turns.withColumn("to_day", F.lead("day").over(w)).where("active").select("list", "pattern", F.col("day").alias("from_day"), "to_day")
 
 
-def patterns(h: Column, p: Column, depth: int = DEPTH) -> Column:
-    """Every pattern that covers this host and path: each parent domain, and the host with up to ``depth`` path segments."""
+def segments(p: Column) -> Column:
+    return F.filter(F.split(p, "/"), lambda s: s != "")
+
+
+def deepest(active: DataFrame) -> int:
+    """Path segments of the deepest entry."""
+    return active.agg(F.max(F.size(segments(F.col("pattern"))) - 1).alias("n")).first().n or 0
+
+
+def patterns(h: Column, p: Column) -> Column:
+    """Every pattern that covers this host and path: each parent domain, and the host with each number of leading path segments."""
     labels = F.split(h, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    segments = F.filter(F.split(p, "/"), lambda s: s != "")
-    paths = F.transform(F.sequence(F.lit(1), F.lit(depth)), lambda i: F.when(F.size(segments) >= i, F.concat(h, F.lit("/"), F.array_join(F.slice(segments, 1, i), "/"))))
-    return F.when(h != "", F.array_distinct(F.filter(F.concat(domains, paths), lambda x: x.isNotNull()))).otherwise(F.array().cast("array<string>"))
+    paths = F.transform(segments(p), lambda _, i: F.concat(h, F.lit("/"), F.array_join(F.slice(segments(p), 1, i + 1), "/")))
+    return F.when(h != "", F.array_distinct(F.concat(domains, paths))).otherwise(F.array().cast("array<string>"))
 
 
-def head(p: Column, depth: int = DEPTH) -> Column:
-    """The first ``depth`` segments of a path: all that a pattern can ask of it."""
-    return F.array_join(F.slice(F.filter(F.split(p, "/"), lambda s: s != ""), 1, depth), "/")
+def head(p: Column, depth: int) -> Column:
+    """The first ``depth`` segments of a path, in lower case: all that a pattern can ask of it."""
+    return F.lower(F.array_join(F.slice(segments(p), 1, depth), "/"))
 
 
 def evaluate(captures: DataFrame, events: DataFrame, salts: int = SALTS) -> DataFrame:
@@ -70,12 +80,13 @@ def evaluate(captures: DataFrame, events: DataFrame, salts: int = SALTS) -> Data
     Adds matches long (active entries), blocked boolean and pattern string: the
     longest that matched, ties to the first in order.
     """
-    added = {"_host": host(F.col("url")), "_head": head(path(F.col("url")))}
+    active = scratch.table(intervals(events), "intervals")
+    added = {"_host": host(F.col("url")), "_head": head(path(F.col("url")), deepest(active))}
     rows = captures.withColumns(added)
     asked = rows.where((F.col("_host") != "") & F.col("day").isNotNull()).select("_host", "_head", "day").distinct()
     salt = F.pmod(F.xxhash64("_host", "_head", "day"), F.lit(salts)).cast("int")
     exploded = asked.withColumn("_salt", salt).withColumn("pattern", F.explode(patterns(F.col("_host"), F.col("_head"))))
-    active = intervals(events).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    active = active.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     met = exploded.join(active, ["pattern", "_salt"]).where((F.col("day") >= F.col("from_day")) & (F.col("to_day").isNull() | (F.col("day") < F.col("to_day"))))
     best = F.min(F.struct((-F.length("pattern")).alias("n"), F.col("pattern").alias("pattern")))["pattern"]
     verdict = met.groupBy("_host", "_head", "day").agg(F.count("*").alias("matches"), best.alias("pattern"))

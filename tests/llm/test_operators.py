@@ -300,6 +300,17 @@ def test_url_lists_as_of_the_day(spark):
     assert url_lists.evaluate(captures, ev.limit(0)).where("blocked").count() == 0 and url_lists.evaluate(captures.limit(0), ev).count() == 0
 
 
+def test_url_entries_of_any_depth_and_case(spark):
+    day = pd.Timestamp("2024-01-01").date()
+    ev = spark.createDataFrame([("a", x, day, "add") for x in ("deep.example/a/b/c", "deep.example/a/b/c/d/e", "Case.example/Private", "Case.example/Mixed/Up/Case")], "list string, pattern string, day date, action string")
+    want = {"http://deep.example/a/b/c/x?q": 1, "http://deep.example//a/b/c": 1, "http://deep.example/a/b/c/d/e/f/g": 2, "http://deep.example/a/b": 0, "http://deep.example/a/b/cc": 0, "http://www.deep.example/a/b/c": 0,
+            "http://case.example/Private/x": 1, "http://CASE.example/private": 1, "http://case.example/Mixed/Up/Case/y": 1, "http://case.example/Mixed/Up": 0, "http://case.example": 0}
+    captures = spark.createDataFrame([(u, day) for u in want], "url string, day date")
+    rows = url_lists.evaluate(captures, ev).collect()
+    assert {r.url: r.matches for r in rows} == want and len(rows) == len(want)
+    assert {r.pattern for r in rows if r.matches == 2} == {"deep.example/a/b/c/d/e"}
+
+
 def test_mix_comes_near_its_targets(spark, docs, empty):
     real = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = mixing.report(real).join(real.select("doc_id", "source"), "doc_id").toPandas()
