@@ -10,7 +10,10 @@ its nearest centroid's posting list, and a boundary vector also to each list
 whose centroid is at most ``CLOSURE`` times as far (``COPIES`` at most). A query
 reads the lists found by the same graph search whose distance is at most
 ``REACH`` times the nearest (at most ``LISTS``, or ``SHARE`` of all where that is
-more), so easy queries read few.
+more), so easy queries read few. The ratio prunes only after the nearest ``LEAST``
+lists, and after lists that own at least ``SPARE`` times the vectors asked for (each
+vector is owned by its nearest list alone). A query that found fewer than asked for
+all the same (of repeated rows, say) is run again over all lists.
 
 A list is dealt over as many cells as its size asks for, so a list swollen by
 copies of one vector is no hot task; each cell keeps its best per query, ties to
@@ -43,6 +46,7 @@ SAMPLE, CENTROIDS, POSTING = 20_000, 4096, 200
 DEGREE, BEAM = 24, 64
 CLOSURE, COPIES = 1.08, 4
 REACH, LISTS, SHARE = 1.3, 64, 3 / 16
+LEAST, SPARE = 8, 4
 CELL, K = 2000, 20
 
 
@@ -169,9 +173,12 @@ def fit(vectors: DataFrame) -> Index | None:
     return build(sample, facts.n, facts.norm2) if len(sample) else None
 
 
-def assigned(rows: DataFrame, index: Index, ratio: float, most: int, id_name: str, query: bool) -> DataFrame:
-    """``rows`` with the lists chosen for each: (list, id_name, embedding)."""
-    held = rows.sparkSession.sparkContext.broadcast(index)
+def assigned(rows: DataFrame, index: Index, ratio: float, most: int, id_name: str, owned: np.ndarray | None = None, need: int = 0) -> DataFrame:
+    """``rows`` with the lists chosen for each: (list, id_name, embedding, own: whether it is the nearest).
+
+    With ``owned``, the vectors that each list owns, rows are queries, and the lists chosen own at least ``need`` where so many are in reach.
+    """
+    held, query = rows.sparkSession.sparkContext.broadcast(index), owned is not None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -185,10 +192,13 @@ def assigned(rows: DataFrame, index: Index, ratio: float, most: int, id_name: st
                 ids, dist = ids[:, :most], dist[:, :most]
                 chosen = np.isfinite(dist) & (dist <= ratio * dist[:, :1] + 1e-12)
                 chosen[:, 0] = True
+                if query:
+                    before = np.cumsum(owned[ids], axis=1) - owned[ids]
+                    chosen |= np.isfinite(dist) & ((np.arange(ids.shape[1]) < LEAST) | (before < need))
                 row, col = np.nonzero(chosen)
-                yield pd.DataFrame({"list": ids[row, col].astype(np.int64), id_name: batch.vec_id.to_numpy()[row], "embedding": batch.embedding.to_numpy()[row]})
+                yield pd.DataFrame({"list": ids[row, col].astype(np.int64), id_name: batch.vec_id.to_numpy()[row], "embedding": batch.embedding.to_numpy()[row], "own": col == 0})
 
-    return rows.mapInPandas(run, f"list long, {id_name} long, embedding array<double>")
+    return rows.mapInPandas(run, f"list long, {id_name} long, embedding array<double>, own boolean")
 
 
 def best_of(query_id: np.ndarray, q: np.ndarray, vec_id: np.ndarray, v: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
@@ -213,25 +223,36 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     index = fit(base)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    postings = scratch.table(assigned(base, index, CLOSURE, COPIES, "vec_id", False), "postings")
+    postings = scratch.table(assigned(base, index, CLOSURE, COPIES, "vec_id"), "postings")
     most = max(LISTS, int(SHARE * len(index.centroids)))
-    probes = assigned(usable(queries), index, REACH, most, "query_id", True)
-    sizes = postings.groupBy("list").count().select("list", F.ceil(F.col("count") / CELL).cast("long").alias("cells"))  # a row per centroid
-    sizes = {r.list: r.cells for r in sizes.collect()}
+    lists = postings.groupBy("list").agg(F.count("*").alias("n"), F.count_if("own").alias("own")).collect()  # a row per centroid
+    owned = np.zeros(len(index.centroids), dtype=np.int64)
+    owned[[r.list for r in lists]] = [r.own for r in lists]
+    asking = usable(queries)
+    probes = assigned(asking, index, REACH, most, "query_id", owned, SPARE * (k + 1)).drop("own")
+    sizes = {r.list: -(-r.n // CELL) for r in lists}
     cells = F.broadcast(spark.createDataFrame(list(sizes.items()), "list long, cells long"))
     cells_again = F.broadcast(spark.createDataFrame(list(sizes.items()), "list long, cells long"))
     held = postings.join(cells, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("cells")).alias("cell"), "vec_id", "embedding")
-    asked = probes.join(cells_again, "list").select("list", F.explode(F.expr("sequence(0L, cells - 1)")).alias("cell"), "query_id", "embedding")
 
-    def cell(asking: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
+    def cell(asks: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
-        if not len(asking) or not len(there):
+        if not len(asks) or not len(there):
             return none
         v = np.stack(there.embedding.to_numpy())
-        return pd.concat([none, *best_of(asking.query_id.to_numpy(), np.stack(asking.embedding.to_numpy()), there.vec_id.to_numpy(), v, k)])
+        return pd.concat([none, *best_of(asks.query_id.to_numpy(), np.stack(asks.embedding.to_numpy()), there.vec_id.to_numpy(), v, k)])
+
+    def met(probes: DataFrame) -> DataFrame:
+        asked = probes.join(cells_again, "list").select("list", F.explode(F.expr("sequence(0L, cells - 1)")).alias("cell"), "query_id", "embedding")
+        found = asked.groupBy("list", "cell").cogroup(held.groupBy("list", "cell")).applyInPandas(cell, "query_id long, vec_id long, score double")
+        # a boundary vector is found in several lists, with one and the same score
+        return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
-    found = asked.groupBy("list", "cell").cogroup(held.groupBy("list", "cell")).applyInPandas(cell, "query_id long, vec_id long, score double")
-    # a boundary vector is found in several lists, with one and the same score
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    once = scratch.table(met(probes), "found")
+    full = once.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
+    short = scratch.table(asking.withColumnRenamed("vec_id", "query_id").join(full, "query_id", "left_anti"), "short")
+    if short.limit(1).count():
+        again = met(short.crossJoin(F.broadcast(spark.createDataFrame([(n,) for n in sizes], "list long"))))
+        once = once.join(full, "query_id", "left_semi").unionByName(again)
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

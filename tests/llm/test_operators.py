@@ -287,6 +287,27 @@ def test_nearest_leaves_out_odd_vectors(spark):
     assert nearest.nearest(vectors.limit(0), vectors).count() == 0
 
 
+def test_nearest_fills_every_query_from_tight_outliers_and_repeated_rows(spark):
+    rng = np.random.default_rng(4)
+    wide = rng.normal(size=(4000, 8))
+    v = wide / np.linalg.norm(wide, axis=1, keepdims=True)
+    for i in range(6):  # groups of ten, far from the rest and from each other
+        v[10 * i : 10 * i + 10] = 5 * np.eye(8)[i] + 1e-7 * rng.normal(size=(10, 8))
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(5000, (5 * np.eye(8)[7]).tolist())] * 300
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = [*range(0, 60, 3), *range(100, 4000, 200), 5000]
+    got = nearest.nearest(vectors, vectors.where(F.col("vec_id").isin(asked))).toPandas()
+    at = dict(rows)
+    ids, all_ = np.array(sorted(at)), np.array([at[i] for i in sorted(at)])
+    assert set(got.query_id) == set(asked)
+    hits = 0
+    for q, part in got.groupby("query_id"):
+        assert sorted(part["rank"]) == list(range(1, 21)) and part.vec_id.nunique() == 20
+        score = np.where(ids == q, -np.inf, all_ @ np.array(at[q]))
+        hits += len(set(part.vec_id) & set(ids[np.lexsort((ids, -score))[:20]]))
+    assert hits / (20 * len(asked)) >= 0.9
+
+
 def test_url_lists_as_of_the_day(spark):
     day = lambda d: pd.Timestamp(d).date()
     events = [("a", "bad.example", day("2024-01-02"), "add"), ("a", "bad.example", day("2024-01-05"), "remove"), ("a", "bad.example", day("2024-01-08"), "add"), ("b", "Good.example/X", day("2024-01-01"), "add"),
