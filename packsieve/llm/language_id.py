@@ -12,7 +12,11 @@ The automata are fitted on a bounded sample: ``ROWS`` rows of each language
 taken from a place that the hash picks. Languages are few; at most ``LANGUAGES``
 are learned (the most frequent; more raise an error rather than being dropped).
 The samples are sent to the executors as text and every Python worker builds
-the automata once, as dense transition tables over the sample's alphabet.
+the automata once: all letters of the samples are told apart, with dense
+transition tables for the ``DENSE`` most frequent and a sorted list of transitions
+for the rarer ones. A letter that a language's sample lacks has no transition
+there; it ends a phrase and costs as much more as naming a letter does (log2 of
+their number), so a small sample doesn't win by what it does not know.
 
 Prediction reads every character of every text. Texts are cut into blocks that
 numpy steps through side by side, one character of all blocks and languages at
@@ -37,7 +41,7 @@ from packsieve.llm import scratch
 
 ROWS, CHARS, LANGUAGES = 48, 800, 500
 BLOCK, CHUNK = 512, 1_000_000
-ALPHABET = 250
+DENSE = 250
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 _MODELS: dict[int, Model] = {}
 
@@ -47,8 +51,8 @@ def fold(text: str) -> str:
     return "".join(c.lower()[0] if c.isalpha() else " " for c in text)
 
 
-def automaton(text: np.ndarray, letters: int) -> np.ndarray:
-    """Transitions of the suffix automaton of ``text`` (letter numbers): state x letter -> state, or -1."""
+def transitions(text: np.ndarray) -> list[dict[int, int]]:
+    """The suffix automaton of ``text`` (letter numbers): for each state, letter -> state."""
     last, link, length = 0, [-1], [0]
     step: list[dict[int, int]] = [{}]
     for c in text.tolist():
@@ -74,10 +78,25 @@ def automaton(text: np.ndarray, letters: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    table = np.full((len(link), letters), -1, dtype=np.int32)
+    return step
+
+
+def split(step: list[dict[int, int]], letters: int) -> tuple[np.ndarray, np.ndarray]:
+    """(state x letter -> state, or -1, of letters below ``letters``; rows of state, letter, state of the others)."""
+    table = np.full((len(step), letters), -1, dtype=np.int32)
+    rare: list[tuple[int, int, int]] = []
     for s, out in enumerate(step):
-        table[s, list(out)] = list(out.values())
-    return table
+        for c, to in out.items():
+            if c < letters:
+                table[s, c] = to
+            else:
+                rare.append((s, c, to))
+    return table, np.array(rare, dtype=np.int64).reshape(-1, 3)
+
+
+def automaton(text: np.ndarray, letters: int) -> np.ndarray:
+    """Transitions of the suffix automaton of ``text``, all of whose letters are below ``letters``: state x letter -> state, or -1."""
+    return split(transitions(text), letters)[0]
 
 
 class Model:
@@ -88,20 +107,22 @@ class Model:
         texts = {k: " ".join(" ".join(fold(t).split()) for t in samples[k]) + " " for k in self.languages}
         seen = np.frombuffer("".join(texts.values()).encode("utf-32-le"), dtype="<u4")
         chars, counts = np.unique(seen, return_counts=True)
-        chars = np.sort(chars[np.argsort(-counts, kind="stable")][:ALPHABET])
-        # 0 is the space; 1 any letter outside the alphabet, which no transition takes; 2.. the alphabet's letters
+        chars = chars[np.argsort(-counts, kind="stable")]
+        # 0 is the space; 1 any letter that no sample holds, which no transition takes; 2.. the samples' letters, frequent ones first
         letter = [c for c in chars.tolist() if c != 32]
         number = {c: i + 2 for i, c in enumerate(letter)}
-        self.letters = len(letter) + 2
-        self.of = np.zeros(0x110000, dtype=np.uint8)
+        self.literal = math.log2(max(2, len(letter)))
+        self.letters = min(len(letter), DENSE) + 2
+        self.of = np.zeros(0x110000, dtype=np.int32)
         for c in range(0x110000):
             x = chr(c)
             if x.isalpha():
                 self.of[c] = number.get(ord(x.lower()[0]), 1)
-        steps, cost, base = [], [], 0
+        steps, rare, cost, base = [], [], [], 0
         for k in self.languages:
             own = self.of[np.frombuffer(texts[k].encode("utf-32-le"), dtype="<u4")]
-            table = automaton(own, self.letters)
+            table, others = split(transitions(own), self.letters)
+            rare.append(others + [base, 0, base])
             start = np.maximum(table[0], 0)
             # a missing transition starts the next phrase with this letter: told by the sign
             steps.append(np.where(table >= 0, table + base, -(start[None, :] + base) - 1).ravel())
@@ -110,9 +131,32 @@ class Model:
         roots = np.cumsum([0, *[len(s) // self.letters for s in steps]])[:-1]
         self.step = (np.concatenate(steps) if steps else np.zeros(0)).astype(np.int32)
         self.roots, self.cost = roots.astype(np.int32), np.array(cost)
-
-    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """For each text: phrases by language, and letters and single spaces parsed."""
+        rows = np.concatenate(rare) if rare else np.zeros((0, 3), dtype=np.int64)
+        key = rows[:, 0] << 21 | rows[:, 1]  # fewer letters than code points
+        order = np.argsort(key, kind="stable")
+        # a last key that no search is beyond
+        self.rare, self.rare_to = np.append(key[order], np.iinfo(np.int64).max), np.append(rows[order, 2], 0).astype(np.int32)
+
+    def lookup(self, state: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Next states of rare letters, and whether there is a transition."""
+        key = state.astype(np.int64) << 21 | c
+        at = np.searchsorted(self.rare, key)
+        return self.rare_to[at], self.rare[at] == key
+
+    def follow(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Next states by language and block; negative, as in ``step``, where a phrase ends."""
+        far = np.flatnonzero(c >= self.letters)
+        if not len(far):
+            return self.step[state * self.letters + c]
+        next_ = self.step[state * self.letters + np.minimum(c, self.letters - 1)]
+        to, there = self.lookup(state[:, far], c[far])
+        roots = np.broadcast_to(self.roots[:, None], to.shape)
+        first, known = self.lookup(roots, c[far])
+        next_[:, far] = np.where(there, to, -np.where(known, first, roots) - 1)
+        return next_
+
+    def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text: phrases and unknown letters by language, and letters and single spaces parsed."""
         size = np.array([len(t) for t in texts])
         all_chars = self.of[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4")]
         owner = np.repeat(np.arange(len(texts)), size)
@@ -132,18 +176,21 @@ class Model:
         of_block, start, length = of_block[order], start[order], length[order]
         state = np.repeat(self.roots[:, None], len(start), axis=1)
         count = np.ones((len(self.languages), len(start)), dtype=np.int32)
+        unknown = np.zeros_like(count)
         running = np.searchsorted(-length, -np.arange(1, BLOCK + 1), side="right")
         for i in range(int(length.max()) if len(length) else 0):
             n = running[i]
             c = chars[start[:n] + i]
-            next_ = self.step[state[:, :n] * self.letters + c]
+            next_ = self.follow(state[:, :n], c)
             miss = next_ < 0
             count[:, :n] += miss
             state[:, :n] = np.where(miss, -next_ - 1, next_)
-        out = np.zeros((len(texts), len(self.languages)))
+            unknown[:, :n] += state[:, :n] == self.roots[:, None]  # no letter that is known leads to the root
+        out, lost = np.zeros((2, len(texts), len(self.languages)))
         for j in range(len(self.languages)):
             out[:, j] = np.bincount(of_block, weights=count[j], minlength=len(texts))
-        return out, parsed
+            lost[:, j] = np.bincount(of_block, weights=unknown[j], minlength=len(texts))
+        return out, lost, parsed
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         if not self.languages:
@@ -156,8 +203,8 @@ class Model:
                 part.append(texts[at] or "")
                 chars += len(part[-1])
                 at += 1
-            n, parsed = self.phrases(part)
-            rate = n * self.cost / np.maximum(parsed, 1)[:, None]
+            n, lost, parsed = self.phrases(part)
+            rate = (n * self.cost + lost * self.literal) / np.maximum(parsed, 1)[:, None]
             best = np.argmin(rate, axis=1)
             weight = 1 / np.maximum(rate, 1e-9)
             sure = weight.max(axis=1) / weight.sum(axis=1)

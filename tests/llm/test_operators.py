@@ -195,6 +195,30 @@ def test_automaton_accepts_exactly_the_substrings():
         assert (s >= 0) == (q in subs)
 
 
+def test_rare_scripts_beside_a_large_one_are_told_apart():
+    rng = random.Random(5)
+    word = lambda letters: "".join(rng.choice(letters) for _ in range(4))
+    text = lambda letters, n: " ".join(word(letters) for _ in range(n))
+    han, georgian, armenian = ([chr(c) for c in range(a, b)] for a, b in ((0x4E00, 0x4E00 + 600), (0x10D0, 0x10F1), (0x561, 0x587)))
+    m = language_id.Model({"zh": [text(han, 8000)], "hy": [text(armenian, 100)], "ka": [text(georgian, 100)]})
+    asked = [(k, text(letters, 20)) for _ in range(20) for k, letters in (("zh", han), ("ka", georgian), ("hy", armenian))]
+    pred, _ = m.predict([t for _, t in asked])
+    assert pred == [k for k, _ in asked]
+    # letters that nobody sampled are no language's
+    n, lost, parsed = m.phrases(["\u03b1\u03b2\u03b3\u03b1"])
+    assert parsed[0] == 4 and (n == 5).all() and (lost == 4).all()
+
+
+def test_rare_letters_are_parsed_as_frequent_ones(monkeypatch):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(400)) + x for x in ("xyz", "\u03b1")]
+    samples = {"a": texts[:1], "b": texts[1:]}
+    want = language_id.Model(samples).phrases([*texts[::-1], "hgfe dcba xyzq \u03b1"])
+    monkeypatch.setattr(language_id, "DENSE", 3)
+    got = language_id.Model(samples).phrases([*texts[::-1], "hgfe dcba xyzq \u03b1"])
+    assert all((g == w).all() for g, w in zip(got, want, strict=True))
+
+
 def slow_fingerprint(text, words=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     s = [" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []
