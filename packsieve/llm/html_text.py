@@ -6,15 +6,20 @@ comments and the like) go. Of what is left, every block-level subtree is hashed,
 Spark counts on how many pages of its host each hash occurs, and subtrees that
 recur on many pages of a host go too. What remains is cut into blocks.
 
-Rules for recurring subtrees: at least ``PAGES`` pages and half of the host's.
+What is read is decided after the counts: a page's articles, or its main elements,
+only where they hold at least ``MOST`` of the prose that counts leave, else all of it.
+
+Rules for recurring subtrees: at least ``PAGES`` pages and half of the host's, or,
+from ``TINY`` characters on, ``SECTION_PAGES`` pages and ``SECTION_SHARE`` of the
+host's (templates of a section of a large host).
 Prose inside an article is the page's own even if copied widely (hosts mirror
 articles, authors quote): there only subtrees of under ``SHORT`` characters go,
 and only from nine tenths of the host's pages on.
 
 Counting keys are (host, hash); partial counts come before the shuffle, so a
 host with a third of all pages is no hot key. A host's templates are few (each
-covers half of its pages, so their number is at most twice the subtrees of a
-page). They are broadcast while there are at most ``BROADCAST_ROWS`` of them, else
+covers a fixed share of its pages, so their number is at most 1 / ``SECTION_SHARE``
+times the subtrees of a page). They are broadcast while there are at most ``BROADCAST_ROWS`` of them, else
 joined by host with every host's pages dealt over ``SALTS`` partitions.
 
 Edge cases: null html counts as empty and has the empty text; null or odd urls
@@ -37,6 +42,7 @@ from pyspark.sql import functions as F
 from packsieve.llm import scratch
 
 PAGES, SHARE, SHORT, SHORT_PAGES, SHORT_SHARE = 10, 0.5, 200, 20, 0.9
+SECTION_PAGES, SECTION_SHARE, TINY, MOST = 100, 0.02, 40, 0.5
 BROADCAST_ROWS, SALTS = 200_000, 16
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -72,11 +78,12 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "words", "children", "hidden")
+    __slots__ = ("tag", "words", "children", "hidden", "digest")
 
     def __init__(self, tag: str, words: frozenset = frozenset(), hidden: bool = False):
         self.tag, self.words, self.hidden = tag, words, hidden
         self.children: list[Node | str] = []
+        self.digest: int | None = None
 
 
 class Builder(HTMLParser):
@@ -145,12 +152,12 @@ def boilerplate(node: Node, in_article: bool) -> bool:
     return node.tag not in HEADINGS and bool(node.words & NOT_TEXT)
 
 
-def roots(page: Node) -> list[Node]:
-    """The page's articles; without one its main element, or else all of it."""
+def regions(page: Node) -> tuple[list[Node], list[Node]]:
+    """The page's articles and its main elements; of nested ones the outermost."""
     articles: list[Node] = []
     mains: list[Node] = []
 
-    def walk(node: Node) -> None:
+    def walk(node: Node, in_main: bool) -> None:
         for child in node.children:
             if isinstance(child, str):
                 continue
@@ -159,15 +166,49 @@ def roots(page: Node) -> list[Node]:
             if child.tag == "article":
                 articles.append(child)
                 continue
-            if child.tag == "main" or "main" in child.words and child.tag in ("div", "section"):
+            main = child.tag == "main" or "main" in child.words and child.tag in ("div", "section")
+            if main and not in_main:
                 mains.append(child)
-            walk(child)
+            walk(child, in_main or main)
+
+    walk(page, False)
+    return articles, mains
+
+
+def roots(page: Node, templates: set[tuple[int, bool]] = frozenset()) -> list[Node]:
+    """What of the page is read: its articles if they hold ``MOST`` of the prose that is the page's own, else its main
+    elements if they and the articles do, else all of it; in the page's order."""
+    articles, mains = regions(page)
+    if not articles and not mains:
+        return [page]
+    whole = own_length(page, page.tag == "article", templates)
+    held = lambda nodes: sum(own_length(n, n.tag == "article", templates) for n in nodes)
+    if articles and held(articles) >= MOST * whole:
+        return articles
+    if mains and held(mains) >= MOST * whole:
+        return mains
+    return [page]
 
-    walk(page)
-    return articles or mains[:1] or [page]
+
+def own_length(root: Node, in_article: bool, templates: set[tuple[int, bool]]) -> int:
+    """Characters that ``extract`` would read below ``root``, white space apart."""
+    n = 0
+    for child in root.children:
+        if isinstance(child, str):
+            n += len("".join(child.split()))
+        elif not boilerplate(child, in_article) and not recurs(child, in_article, templates):
+            n += own_length(child, in_article or child.tag == "article", templates)
+    return n
+
+
+def recurs(node: Node, in_article: bool, templates: set[tuple[int, bool]]) -> bool:
+    """Whether the counts of the host remove this element."""
+    return bool(templates) and node.tag in BLOCKS and (not in_article or text_length(node) < SHORT) and (subtree_hash(node), in_article) in templates
 
 
 def subtree_hash(node: Node) -> int:
+    if node.digest is not None:
+        return node.digest
     import xxhash
 
     digest = xxhash.xxh64()
@@ -182,31 +223,31 @@ def subtree_hash(node: Node) -> int:
         digest.update(b"</>")
 
     feed(node)
-    return digest.intdigest() - (1 << 63)
+    node.digest = digest.intdigest() - (1 << 63)
+    return node.digest
 
 
 def text_length(node: Node) -> int:
     return sum(len(c) if isinstance(c, str) else text_length(c) for c in node.children)
 
 
-def subtrees(page: Node) -> Iterator[tuple[Node, bool, bool]]:
-    """(block-level element, whether it is in an article, whether it is short) that structure alone does not remove."""
+def subtrees(page: Node) -> Iterator[tuple[Node, bool, int]]:
+    """(block-level element, whether it is in an article, its characters) that structure alone does not remove."""
 
-    def walk(node: Node, in_article: bool) -> Iterator[tuple[Node, bool, bool]]:
+    def walk(node: Node, in_article: bool) -> Iterator[tuple[Node, bool, int]]:
         for child in node.children:
             if isinstance(child, str) or boilerplate(child, in_article):
                 continue
             if child.tag in BLOCKS and (n := text_length(child)):
-                yield child, in_article, n < SHORT
-            yield from walk(child, in_article)
+                yield child, in_article, n
+            yield from walk(child, in_article or child.tag == "article")
 
-    for root in roots(page):
-        yield from walk(root, root.tag == "article")
+    yield from walk(page, False)
 
 
-def hashes(html: str | None) -> list[tuple[int, bool]]:
-    """(hash, whether only the rule for articles may remove it) of the page's subtrees that counts could remove."""
-    return list({(subtree_hash(n), in_article) for n, in_article, short in subtrees(parse(html)) if short or not in_article})
+def hashes(html: str | None) -> list[tuple[int, bool, bool]]:
+    """(hash, whether only the rule for articles may remove it, whether it is tiny) of the page's subtrees that counts could remove."""
+    return list({(subtree_hash(n), in_article, size < TINY) for n, in_article, size in subtrees(parse(html)) if size < SHORT or not in_article})
 
 
 def extract(html: str | None, templates: set[tuple[int, bool]]) -> str:
@@ -236,13 +277,13 @@ def extract(html: str | None, templates: set[tuple[int, bool]]) -> str:
             block = child.tag in BLOCKS
             if block:
                 end()
-                if templates and ((short := text_length(child) < SHORT) or not in_article) and (subtree_hash(child), in_article) in templates:
+                if recurs(child, in_article, templates):
                     continue
-            walk(child, in_article, child.tag not in HEADINGS and (headings_only or child.tag == "header"))
+            walk(child, in_article or child.tag == "article", child.tag not in HEADINGS and (headings_only or child.tag == "header"))
             if block:
                 end()
 
-    for root in roots(page):
+    for root in roots(page, templates):
         walk(root, root.tag == "article", False)
         end()
     return "\n\n".join(blocks)
@@ -259,21 +300,23 @@ def templates(pages: DataFrame) -> DataFrame:
         for batch in batches:
             count: Counter = Counter()  # pages of a batch are counted here already
             for h, html in zip(batch.host, batch.html, strict=True):
-                count[h, 0, False, True] += 1
-                for x, in_article in hashes(html):
-                    count[h, x, in_article, False] += 1
+                count[h, 0, False, False, True] += 1
+                for x, in_article, tiny in hashes(html):
+                    count[h, x, in_article, tiny, False] += 1
             rows = [(*k, n) for k, n in count.items()]
-            yield pd.DataFrame(rows, columns=["host", "subtree", "in_article", "is_page", "n"])
+            yield pd.DataFrame(rows, columns=["host", "subtree", "in_article", "tiny", "is_page", "n"])
 
     counted = (
         pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-        .mapInPandas(run, "host string, subtree long, in_article boolean, is_page boolean, n long")
-        .groupBy("host", "subtree", "in_article", "is_page").agg(F.sum("n").alias("n"))
+        .mapInPandas(run, "host string, subtree long, in_article boolean, tiny boolean, is_page boolean, n long")
+        .groupBy("host", "subtree", "in_article", "tiny", "is_page").agg(F.sum("n").alias("n"))
     )
     counted = scratch.table(counted.where(f"n >= {PAGES}"), "subtrees")
     totals = counted.where("is_page").select("host", F.col("n").alias("pages"))
-    many = F.when(F.col("in_article"), (F.col("n") >= SHORT_PAGES) & (F.col("n") >= SHORT_SHARE * F.col("pages"))).otherwise(F.col("n") >= SHARE * F.col("pages"))
-    # at most 2 x the subtrees of a page for a host, as each lies on half of its pages
+    many = F.when(F.col("in_article"), (F.col("n") >= SHORT_PAGES) & (F.col("n") >= SHORT_SHARE * F.col("pages"))).otherwise(
+        (F.col("n") >= SHARE * F.col("pages")) | ~F.col("tiny") & (F.col("n") >= SECTION_PAGES) & (F.col("n") >= SECTION_SHARE * F.col("pages"))
+    )
+    # at most 1 / SECTION_SHARE times the subtrees of a page for a host, as each lies on that share of its pages
     return counted.where("not is_page").join(totals, "host").where(many).groupBy("host").agg(F.collect_set(F.struct("subtree", "in_article")).alias("subtrees"))
 
 

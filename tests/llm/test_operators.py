@@ -116,6 +116,23 @@ def test_main_text_is_left_alone(spark):
     assert html_text.main_text(pages.limit(0)).count() == 0
 
 
+def test_text_beside_article_cards_and_section_templates(spark):
+    story = lambda i: f"<p>The story number {i} is told here at some length, in words of its own.<p>It goes on for a second paragraph {i}."
+    told = lambda i: f"The story number {i} is told here at some length, in words of its own.\n\nIt goes on for a second paragraph {i}."
+    rows = [
+        (0, "http://a.example/", f"<main>{story(0)}</main><div><article>Card one</article><article>Card two</article></div>"),
+        (1, "http://a.example/", f"<main>{story(1)}</main><p>x</p><main>{story(2)}</main>"),
+        (2, "http://a.example/", f"<div id=content>{story(3)}</div><article>Card</article>"),
+        (3, "http://a.example/", f"<article>{story(4)}</article><div>Short line</div>"),
+    ]
+    section = "<div><p>All about the gardens of this section and its many readers</p></div>"
+    rows += [(100 + i, "http://hot.example/", f"<div>{story(i)}</div>{section if i % 5 < 2 else ''}") for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.main_text(pages).collect()}
+    assert (got[0], got[1], got[3]) == (told(0), told(1) + "\n\n" + told(2), told(4)) and got[2].startswith(told(3))
+    assert all(got[100 + i] == told(i) for i in range(300))
+
+
 def test_salted_templates_equal_broadcast_ones(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     plain = {(r.page_id, r.text) for r in html_text.main_text(pages).collect()}
