@@ -1,10 +1,13 @@
 """Operator 2: main text of web pages by removing site templates.
 
-A page is parsed into elements. Subtrees that are never article text by their
-tag, role, class or id (menus, footers, sidebars, adverts, forms, scripts, reader
-comments and the like) go. Of what is left, every block-level subtree is hashed,
-Spark counts on how many pages of its host each hash occurs, and subtrees that
-recur on many pages of a host go too. What remains is cut into blocks.
+A page is parsed into elements. Subtrees whose tag is never article text (menus,
+footers, asides, forms, scripts and the like) go. Of what is left, every block-level
+subtree is hashed, Spark counts on how many pages of its host each hash occurs, and
+subtrees that recur on many pages of a host go too. Of what the counts leave, elements
+go whose class, id or role names them as a sidebar, notice, advert, reader comments and
+the like; never the page's longest article or main element, nor what encloses it. What
+remains is cut into blocks. Pages are lists of events, not trees, so nesting of any
+depth and pages of any length take time in proportion to their length.
 
 What is read is decided after the counts: a page's articles, or its main elements,
 only where they hold at least ``MOST`` of the prose that counts leave, else all of it.
@@ -23,19 +26,22 @@ times the subtrees of a page). They are broadcast while there are at most ``BROA
 joined by host with every host's pages dealt over ``SALTS`` partitions.
 
 Edge cases: null html counts as empty and has the empty text; null or odd urls
-have the host ''; pages cut off in the middle are closed where they end; rows
+have the host ''; pages cut off in the middle are closed where they end; elements may
+be nested to any depth; rows
 that repeat a page_id are extracted each by itself; an empty table gives no rows;
-extra columns are dropped.
+extra columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,69 +71,105 @@ CLOSES = {
     **{t: ({"tr", "td", "th", "p", "tbody", "thead", "tfoot"}, {"table"}) for t in ("tbody", "thead", "tfoot")},
     "option": ({"option"}, {"select"}),
 }
-#: Words of class, id and role that mark what is not article text.
+#: Names of class, id and role that mark what is not article text; of a name with hyphens, each word must be here or in ``BESIDE``.
 NOT_TEXT = frozenset(
     """ad ads adv advert adverts advertisement advertisements adsense banner banners sponsor sponsored sponsors promo promos promotion promoted
     nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar sidebars aside footer masthead
     cookie cookies consent gdpr notice notices popup modal overlay disclaimer alert
     comment comments commentlist respond replies disqus discussion
     share sharing social related recommended recommendations newsletter subscribe subscription signup login search searchbox toolbar widget widgets
-    complementary contentinfo skip hidden screen-reader-text""".split()
+    complementary contentinfo skip hidden""".split()
+)
+BESIDE = frozenset(
+    "area articles bar block box button buttons container content form global group header inner item items left link links list main page panel posts primary right screen reader text secondary section site slot stories thread top bottom unit wrap wrapper".split()
 )
 SPACE = re.compile(r"\s+")
 
 
+def marks(name: str) -> bool:
+    """Whether a class, id or role is one of ``NOT_TEXT``, or made of such words and words of place only."""
+    words = [w for w in name.split("-") if w and not w[0].isdigit()]
+    return any(w in NOT_TEXT for w in words) and all(w in NOT_TEXT or w in BESIDE for w in words)
+
+
 class Node:
-    __slots__ = ("tag", "words", "children", "hidden", "digest")
+    """An element: the places of its start and end among the page's events, the length and the hash of what is in between."""
 
-    def __init__(self, tag: str, words: frozenset = frozenset(), hidden: bool = False):
-        self.tag, self.words, self.hidden = tag, words, hidden
-        self.children: list[Node | str] = []
-        self.digest: int | None = None
+    __slots__ = ("tag", "named", "marked", "hidden", "first", "last", "size", "parts", "digest", "kept")
+
+    def __init__(self, tag: str, first: int, named: bool = False, marked: bool = False, hidden: bool = False):
+        self.tag, self.first, self.named, self.marked, self.hidden = tag, first, named, marked, hidden
+        self.last = self.size = self.digest = 0
+        self.kept = False
+        self.parts: list[str] | None = [f"<{tag}>"]
 
 
 class Builder(HTMLParser):
-    """Elements and text of a page; unclosed elements end where the enclosing one does."""
+    """A page as a flat list of events: text, ``Node`` where an element starts, its first place again where it ends.
+
+    Unclosed elements end where the enclosing one does. Lengths and hashes are made from the inside out, once,
+    and places of open tags are kept by name, so depth costs nothing.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.root = Node("html")
-        self.open = [self.root]
+        self.events: list[str | Node | int] = []
+        self.open: list[Node] = []
+        self.at: dict[str, list[int]] = {}
+        self.start(Node("html", 0))
+
+    def start(self, node: Node) -> None:
+        self.events.append(node)
+        self.at.setdefault(node.tag, []).append(len(self.open))
+        self.open.append(node)
+
+    def end(self, depth: int) -> None:
+        """Ends all elements that are open from this depth on."""
+        while len(self.open) > depth:
+            node = self.open.pop()
+            self.at[node.tag].pop()
+            node.last = len(self.events)
+            self.events.append(node.first)
+            node.digest = xxhash.xxh64_intdigest("".join(node.parts).encode("utf-8", "surrogatepass")) - (1 << 63)
+            node.parts = None
+            if self.open:
+                self.open[-1].size += node.size
+                self.open[-1].parts.append(f"{node.digest}>")
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("html", "body"):
             return
         if tag in CLOSES:
             closed, walls = CLOSES[tag]
-            for i in range(len(self.open) - 1, 0, -1):
-                if self.open[i].tag in walls:
-                    break
-                if self.open[i].tag in closed:
-                    del self.open[i:]
+            wall = max((self.at[t][-1] for t in walls if self.at.get(t)), default=0)
+            ends = [at[i] for t in closed if (at := self.at.get(t)) and (i := bisect(at, wall)) < len(at)]
+            if ends:
+                self.end(min(ends))
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
-            self.open.pop()
-        marks: list[str] = []
+            self.end(len(self.open) - 1)
+        names: list[str] = []
         hidden = False
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
-                marks += re.split(r"[\s_]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
+                names += re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().replace("_", "-").split()
             hidden |= name == "hidden" or name == "aria-hidden" and value == "true"
-        node = Node(tag, frozenset(x for m in marks for x in (m, *m.split("-"))), hidden)
-        self.open[-1].children.append(node)
-        if tag not in VOID:
-            self.open.append(node)
+        main = tag == "main" or tag in ("div", "section") and "main" in names
+        self.start(Node(tag, len(self.events), main, any(map(marks, names)), hidden))
+        if tag in VOID:
+            self.end(len(self.open) - 1)
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # in HTML the slash means nothing
 
     def handle_endtag(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i].tag == tag:
-                del self.open[i:]
-                return
+        if (at := self.at.get(tag)) and at[-1]:
+            self.end(at[-1])
 
     def handle_data(self, data: str) -> None:
-        self.open[-1].children.append(data)
+        self.events.append(data)
+        node = self.open[-1]
+        node.size += len(data)
+        node.parts.append(SPACE.sub(" ", data))
 
 
 def finished(html: str) -> str:
@@ -137,122 +179,112 @@ def finished(html: str) -> str:
     return html[:at] if cut else html
 
 
-def parse(html: str | None) -> Node:
+Events = list[str | Node | int]
+Templates = set[tuple[int, bool]] | frozenset
+
+
+def parse(html: str | None) -> Events:
+    """The events of a page; its longest article or main element and what encloses it are ``kept`` whatever they are called."""
     builder = Builder()
     builder.feed(finished(html or ""))
     builder.close()
-    return builder.root
+    builder.end(0)
+    events = builder.events
+    stories = [e for e in events if type(e) is Node and (e.tag == "article" or e.named)]
+    if stories:
+        story = max(stories, key=lambda n: n.size)
+        for e in events[: story.first + 1]:
+            if type(e) is Node and e.last >= story.last:
+                e.kept = True
+    return events
 
 
 def boilerplate(node: Node, in_article: bool) -> bool:
-    if node.tag in DROPPED or node.hidden:
-        return True
-    if node.tag == "header" and not in_article:
-        return True
-    return node.tag not in HEADINGS and bool(node.words & NOT_TEXT)
-
-
-def regions(page: Node) -> tuple[list[Node], list[Node]]:
-    """The page's articles and its main elements; of nested ones the outermost."""
-    articles: list[Node] = []
-    mains: list[Node] = []
-
-    def walk(node: Node, in_main: bool) -> None:
-        for child in node.children:
-            if isinstance(child, str):
-                continue
-            if child.tag in DROPPED and child.tag != "form" or child.words & NOT_TEXT and child.tag not in ("main", "div", "section", "form"):
-                continue
-            if child.tag == "article":
-                articles.append(child)
-                continue
-            main = child.tag == "main" or "main" in child.words and child.tag in ("div", "section")
-            if main and not in_main:
-                mains.append(child)
-            walk(child, in_main or main)
-
-    walk(page, False)
-    return articles, mains
-
-
-def roots(page: Node, templates: set[tuple[int, bool]] = frozenset()) -> list[Node]:
-    """What of the page is read: its articles if they hold ``MOST`` of the prose that is the page's own, else its main
-    elements if they and the articles do, else all of it; in the page's order."""
-    articles, mains = regions(page)
-    if not articles and not mains:
-        return [page]
-    whole = own_length(page, page.tag == "article", templates)
-    held = lambda nodes: sum(own_length(n, n.tag == "article", templates) for n in nodes)
-    if articles and held(articles) >= MOST * whole:
-        return articles
-    if mains and held(mains) >= MOST * whole:
-        return mains
-    return [page]
+    """Whether structure alone tells that the element is not article text."""
+    if node.kept:
+        return False
+    return node.tag in DROPPED or node.hidden or node.tag == "header" and not in_article
 
 
-def own_length(root: Node, in_article: bool, templates: set[tuple[int, bool]]) -> int:
-    """Characters that ``extract`` would read below ``root``, white space apart."""
-    n = 0
-    for child in root.children:
-        if isinstance(child, str):
-            n += len("".join(child.split()))
-        elif not boilerplate(child, in_article) and not recurs(child, in_article, templates):
-            n += own_length(child, in_article or child.tag == "article", templates)
-    return n
+def named_so(node: Node) -> bool:
+    """Whether its names tell so."""
+    return node.marked and not node.kept and node.tag not in HEADINGS
 
 
-def recurs(node: Node, in_article: bool, templates: set[tuple[int, bool]]) -> bool:
+def recurs(node: Node, in_article: bool, templates: Templates) -> bool:
     """Whether the counts of the host remove this element."""
-    return bool(templates) and node.tag in BLOCKS and (not in_article or text_length(node) < SHORT) and (subtree_hash(node), in_article) in templates
-
-
-def subtree_hash(node: Node) -> int:
-    if node.digest is not None:
-        return node.digest
-    import xxhash
-
-    digest = xxhash.xxh64()
+    return node.tag in BLOCKS and (not in_article or node.size < SHORT) and (node.digest, in_article) in templates
 
-    def feed(n: Node) -> None:
-        digest.update(f"<{n.tag}>".encode())
-        for child in n.children:
-            if isinstance(child, str):
-                digest.update(SPACE.sub(" ", child).encode("utf-8", "surrogatepass"))
-            else:
-                feed(child)
-        digest.update(b"</>")
-
-    feed(node)
-    node.digest = digest.intdigest() - (1 << 63)
-    return node.digest
 
+def gone(node: Node, in_article: bool, templates: Templates) -> bool:
+    return boilerplate(node, in_article) or recurs(node, in_article, templates) or named_so(node)
 
-def text_length(node: Node) -> int:
-    return sum(len(c) if isinstance(c, str) else text_length(c) for c in node.children)
 
+def left(events: Events, root: Node, templates: Templates) -> Iterator[tuple[int, bool]]:
+    """(place, whether in an article) of the events inside ``root`` that are not in an element that goes; where one goes, its end."""
+    article = root.last if root.tag == "article" else 0
+    i = root.first + 1
+    while i < root.last:
+        e = events[i]
+        if type(e) is Node:
+            if gone(e, i < article, templates):
+                i = e.last
+            elif e.tag == "article":
+                article = max(article, e.last)
+        yield i, i < article
+        i += 1
 
-def subtrees(page: Node) -> Iterator[tuple[Node, bool, int]]:
-    """(block-level element, whether it is in an article, its characters) that structure alone does not remove."""
 
-    def walk(node: Node, in_article: bool) -> Iterator[tuple[Node, bool, int]]:
-        for child in node.children:
-            if isinstance(child, str) or boilerplate(child, in_article):
-                continue
-            if child.tag in BLOCKS and (n := text_length(child)):
-                yield child, in_article, n
-            yield from walk(child, in_article or child.tag == "article")
-
-    yield from walk(page, False)
+def roots(events: Events, templates: Templates = frozenset()) -> list[Node]:
+    """What of the page is read: its articles if they hold ``MOST`` of the prose that is the page's own, else its main
+    elements if they and the articles do, else all of it; in the page's order. Of nested ones, the outermost."""
+    page = events[0]
+    articles: list[Node] = []
+    mains: list[Node] = []
+    whole = held = within = 0
+    read_to = main_to = 0
+    for i, _ in left(events, page, templates):
+        e = events[i]
+        if type(e) is str:
+            n = len("".join(e.split()))
+            whole += n
+            held += n if i < read_to else 0
+            within += n if i < main_to else 0
+        elif type(e) is Node and i >= read_to and e.tag == "article":
+            articles.append(e)
+            read_to = e.last
+        elif type(e) is Node and i >= max(read_to, main_to) and e.named:
+            mains.append(e)
+            main_to = e.last
+    if articles and held >= MOST * whole:
+        return articles
+    if mains and within >= MOST * whole:
+        return mains
+    return [page]
 
 
 def hashes(html: str | None) -> list[tuple[int, bool, bool]]:
     """(hash, whether only the rule for articles may remove it, whether it is tiny) of the page's subtrees that counts could remove."""
-    return list({(subtree_hash(n), in_article, size < TINY) for n, in_article, size in subtrees(parse(html)) if size < SHORT or not in_article})
+    events = parse(html)
+    out: set[tuple[int, bool, bool]] = set()
+    i, article = 1, 0
+    while i < events[0].last:
+        e = events[i]
+        if type(e) is Node:
+            if boilerplate(e, i < article):
+                i = e.last
+            else:
+                if e.tag in BLOCKS and e.size and (e.size < SHORT or i >= article):
+                    out.add((e.digest, i < article, e.size < TINY))
+                if e.tag == "article":
+                    article = max(article, e.last)
+        i += 1
+    return list(out)
 
 
-def extract(html: str | None, templates: set[tuple[int, bool]]) -> str:
+def extract(html: str | None, templates: Templates) -> str:
     """The blocks that are left, joined by a blank line."""
-    page = parse(html)
+    events = parse(html)
     blocks: list[str] = []
     line: list[str] = []
 
@@ -261,30 +293,24 @@ def extract(html: str | None, templates: set[tuple[int, bool]]) -> str:
             blocks.append(text)
         line.clear()
 
-    def walk(node: Node, in_article: bool, headings_only: bool) -> None:
-        for child in node.children:
-            if isinstance(child, str):
-                if not headings_only:
-                    line.append(child)
-                continue
-            if child.tag == "br":
-                line.append(" ")
-                continue
-            if boilerplate(child, in_article):
-                if child.tag in BLOCKS:
-                    end()
+    for root in roots(events, templates):
+        header = heading = 0  # of a header only the headings are read
+        for i, _ in left(events, root, templates):
+            e = events[i]
+            if type(e) is str:
+                if i >= header or i < heading:
+                    line.append(e)
                 continue
-            block = child.tag in BLOCKS
-            if block:
+            starts = type(e) is Node
+            node = e if starts else events[e]
+            if node.tag == "br":
+                line.append(" " if starts else "")
+            elif node.tag in BLOCKS:
                 end()
-                if recurs(child, in_article, templates):
-                    continue
-            walk(child, in_article or child.tag == "article", child.tag not in HEADINGS and (headings_only or child.tag == "header"))
-            if block:
-                end()
-
-    for root in roots(page, templates):
-        walk(root, root.tag == "article", False)
+            if starts and node.tag == "header":
+                header = max(header, node.last)
+            elif starts and node.tag in HEADINGS:
+                heading = max(heading, node.last)
         end()
     return "\n\n".join(blocks)
 
