@@ -7,17 +7,22 @@ one size tier, they are read once and written as one run of files of about
 version of the manifest, the list of live shards.
 
 A commit is one rename that fails if the version exists, so two writers can't
-both make it: the loser reads the winner's manifest and tries again. A merge
-whose inputs are gone by then gives up. Readers take the newest version and see
+both make it: the loser reads the winner's manifest and tries again. That holds
+where the file system's rename is atomic and doesn't replace (HDFS); on local disks
+and object stores Hadoop looks first and renames then, so one writer at a time must
+be seen to from outside. A merge whose inputs are gone by then gives up. Readers take the newest version and see
 either all of a commit or nothing of it; shards that no manifest names are swept
 by ``vacuum``.
 
+A merge's task writes a file of ``TARGET`` compressed bytes at most, and reads as much
+(text takes some two to four times that as rows); that bound is the files', not the table's.
+
 Only file names, sizes and counts pass through the driver. Work lost with an
 executor is Spark's to repeat: files count once the write has been committed.
 
 Edge cases: an empty arrival commits a version without shards; rows are kept as
 they are (nulls, repeats, any columns); arrivals must have the store's columns, in
-any order; reading an empty store needs a schema.
+any order, whatever their names; reading an empty store needs a schema.
 """
 
 from __future__ import annotations
@@ -25,13 +30,14 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-TARGET, SMALLEST, FANOUT, RETRIES = 128 << 20, 1 << 20, 4, 20
+TARGET, SMALLEST, FANOUT, RETRIES = 64 << 20, 1 << 20, 4, 20
 
 
 @dataclass(frozen=True)
@@ -62,6 +68,10 @@ class Conflict(Exception):
     """The runs that a merge has read are no longer live."""
 
 
+class Busy(Exception):
+    """Other writers committed first, time after time."""
+
+
 def tier(size: int, smallest: int = SMALLEST, fanout: int = FANOUT) -> int:
     """0 up to ``smallest`` bytes, then one more for every factor ``fanout``."""
     return 0 if size <= smallest else 1 + int(math.log(size / smallest, fanout))
@@ -116,19 +126,40 @@ class Store:
                 self._fs.delete(staged, False)
                 if "FileAlreadyExists" not in str(e):
                     raise
-        raise Conflict(f"no commit in {RETRIES} tries")
+        raise Busy(f"no commit in {RETRIES} tries")
 
     def _write(self, df: DataFrame, level: int) -> Run:
         name = uuid.uuid4().hex
         df.write.parquet(f"{self.path}/data/{name}")
+        return self._run(name, level)
+
+    def _run(self, name: str, level: int) -> Run:
+        """The run of the shards that were written to this folder."""
         shards = [Shard(f"data/{name}/{s.getPath().getName()}", s.getLen()) for s in self._list(f"data/{name}") if s.getPath().getName().startswith("part-")]
         return Run(name, level, tuple(sorted(shards, key=lambda s: s.path)))
 
     def append(self, df: DataFrame) -> Manifest:
         """Adds the rows of ``df`` as new shards."""
-        run = self._write(df, 0)
-        schema = df.schema.json()
-
+        return self._add(self._write(df, 0), df.schema.json())
+
+    def append_parts(self, df: DataFrame, part: Column) -> Iterator[Manifest]:
+        """Adds the rows of ``df`` as one run for each value of ``part`` (numbers), in order, or a version without shards; ``df`` is read once."""
+        name, staged = "_part", f"staged/{uuid.uuid4().hex}"
+        while name.lower() in {c.lower() for c in df.columns}:
+            name += "_"
+        df.withColumn(name, part).write.partitionBy(name).parquet(f"{self.path}/{staged}")
+        folders = [s.getPath().getName() for s in self._list(staged) if s.getPath().getName().startswith(f"{name}=")]
+        self._fs.mkdirs(self._path("data"))
+        if not folders:
+            yield self._add(Run(uuid.uuid4().hex, 0, ()), df.schema.json())
+        for folder in sorted(folders, key=lambda f: int(f.partition("=")[2])):
+            run = uuid.uuid4().hex
+            if not self._fs.rename(self._path(f"{staged}/{folder}"), self._path(f"data/{run}")):
+                raise OSError(f"{staged}/{folder} can't be moved")
+            yield self._add(self._run(run, 0), df.schema.json())
+        self._fs.delete(self._path(staged), True)
+
+    def _add(self, run: Run, schema: str) -> Manifest:
         def change(m: Manifest) -> Manifest:
             if m.schema and {(f["name"], str(f["type"])) for f in json.loads(m.schema)["fields"]} != {(f["name"], str(f["type"])) for f in json.loads(schema)["fields"]}:
                 raise ValueError("the arrival's columns are not the store's")
@@ -145,9 +176,10 @@ class Store:
         return full[0] if full else []
 
     def compact(self) -> Manifest:
-        """Merges until no tier is full."""
+        """Merges until no tier is full; gives up after ``RETRIES`` merges that other writers forestalled."""
+        lost = 0
         while runs := self.due(m := self.manifest()):
-            files = max(1, round(sum(r.bytes for r in runs) / self.target))
+            files = max(1, -(-sum(r.bytes for r in runs) // self.target))
             merged = self._write(self._frame(m, runs).repartition(files), 1 + max(r.level for r in runs))
             gone = {r.name for r in runs}
 
@@ -160,6 +192,9 @@ class Store:
                 self._commit(change)
             except Conflict:
                 self._fs.delete(self._path(f"data/{merged.name}"), True)
+                lost += 1
+                if lost >= RETRIES:
+                    raise Busy(f"{lost} merges were forestalled") from None
         return m
 
     def vacuum(self, keep_versions: int = 1) -> None:
@@ -189,10 +224,8 @@ class Store:
 
 
 def arrive(df: DataFrame, store: Store, batches: int = 8) -> Manifest:
-    """Appends ``df`` in ``batches`` arrivals (by a hash of doc_id), compacting after each."""
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(batches))
-    for k in range(batches):
-        store.append(df.where(part == k))
+    """Appends ``df`` in ``batches`` arrivals (by a hash of doc_id), compacting after each; one scan writes them all."""
+    for _ in store.append_parts(df, F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")):
         store.compact()
         store.vacuum()
     return store.manifest()
