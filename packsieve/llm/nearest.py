@@ -15,19 +15,23 @@ lists, and after lists that own at least ``SPARE`` times the vectors asked for (
 vector is owned by its nearest list alone). A query that found fewer than asked for
 all the same (of repeated rows, say) is run again over all lists.
 
-A list is dealt over as many cells as its size asks for, so a list swollen by
-copies of one vector is no hot task; each cell keeps its best per query, ties to
+A list is dealt over as many cells as its size asks for, and the queries that read it
+over blocks, so a list swollen by copies of one vector is no hot task; each cell keeps
+its best different ids per query, ties to
 the smaller id included, and cells are merged by query. Scores are computed on the
 original vectors in double precision.
 
-The index is fitted on a sample; all vectors are indexed. Recall is measured
+The index is fitted on a sample of at most ``SAMPLE`` vectors and ``NUMBERS`` components
+(64 MB); all vectors are indexed. Up to ``CENTROIDS`` times ``POSTING`` vectors (3.3 million)
+lists keep their length; beyond, they grow with the table. Vectors without any clusters need
+the share ``SHARE`` of all lists for a recall of 0.9; of clustered ones the ratio reads few lists. Recall is measured
 against brute force in the tests and stated in the README.
 
 Edge cases: vectors that are null, zero, or hold null or non-finite components
 take no part; rows that repeat a vec_id count once, with the best score (a
-query's own id is left out); fewer candidates than asked for give shorter lists; vectors must
-have one length (others than the most frequent raise an error); an empty table
-gives no rows.
+query's own id is left out); fewer candidates than asked for give shorter lists; vectors and
+queries of another length than the vectors' most frequent one (ties: the smaller) take no
+part; extra columns are dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,12 +46,12 @@ from pyspark.sql import functions as F
 
 from packsieve.llm import scratch
 
-SAMPLE, CENTROIDS, POSTING = 20_000, 4096, 200
-DEGREE, BEAM = 24, 64
+SAMPLE, NUMBERS, CENTROIDS, POSTING = 65_536, 8_000_000, 16_384, 200
+DEGREE, FAR, BEAM, NARROW = 24, 8, 64, 24
 CLOSURE, COPIES = 1.08, 4
-REACH, LISTS, SHARE = 1.3, 64, 3 / 16
+REACH, LISTS, SHARE = 1.14, 64, 5 / 32
 LEAST, SPARE = 8, 4
-CELL, K = 2000, 20
+CELL, ASKS, K = 2000, 4096, 20
 
 
 @dataclass
@@ -104,8 +108,14 @@ def build(sample: np.ndarray, total: int, norm2: float) -> Index:
             c[k] = points[own == k].mean(axis=0)
     near = np.argsort((c**2).sum(1)[:, None] - 2 * c @ c.T + (c**2).sum(1), axis=1, kind="stable")[:, 1 : DEGREE + 1]
     rng = np.random.default_rng(0)
-    # some far links make the graph one piece
-    graph = np.hstack([near, rng.integers(0, len(c), (len(c), 8))]) if len(c) > 1 else np.zeros((1, 1), int)
+    graph = np.zeros((1, 1), int)
+    if len(c) > 1:
+        # some far links make the graph one piece; one that is there already points to its own centroid, which adds nothing
+        far, own = rng.integers(0, len(c), (len(c), FAR)), np.arange(len(c))[:, None]
+        for j in range(FAR):
+            there = (np.hstack([near, far[:, :j]]) == far[:, j : j + 1]).any(axis=1)
+            far[there, j] = own[there, 0]
+        graph = np.hstack([near, far])
     return Index(c, graph, rng.choice(len(c), min(len(c), 8), replace=False), norm2)
 
 
@@ -131,14 +141,6 @@ def search(index: Index, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarr
         cand = index.graph[ids[rows, pick]]
         fresh = ~seen[rows[:, None], cand]
         seen[rows[:, None], cand] = True
-        # a neighbour listed twice counts once
-        order = np.sort(cand, axis=1)
-        if (order[:, 1:] == order[:, :-1]).any():
-            for i, row in enumerate(cand):
-                _, first = np.unique(row, return_index=True)
-                twice = np.ones(len(row), bool)
-                twice[first] = False
-                fresh[i] &= ~twice
         d = np.where(fresh, measure(rows, cand), np.inf)
         width = max(beam, ids.shape[1])
         all_ids, all_d = np.hstack([ids[rows], cand]), np.hstack([dist[rows], d])
@@ -157,19 +159,21 @@ def search(index: Index, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarr
     return np.take_along_axis(ids, order, 1), np.take_along_axis(dist, order, 1)
 
 
-def fit(vectors: DataFrame) -> Index | None:
-    """The index of a bounded sample: rows whose hash is below a threshold that gives about ``SAMPLE``."""
-    facts = vectors.agg(
-        F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("norm2"),
-        F.min(F.size("embedding")).alias("least"), F.max(F.size("embedding")).alias("most"),
-    ).first()
+def dimension(vectors: DataFrame) -> int:
+    """The most frequent length of the vectors, ties to the smaller; 0 where there are none."""
+    first = vectors.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    return first.d if first else 0
+
+
+def fit(vectors: DataFrame, dim: int) -> Index | None:
+    """The index of a bounded sample: rows whose hash is below a threshold that gives about ``SAMPLE`` of them, or ``NUMBERS`` components."""
+    facts = vectors.agg(F.count("*").alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("norm2")).first()
     if not facts.n:
         return None
-    if facts.least != facts.most:
-        raise ValueError(f"vectors of {facts.least} and of {facts.most} components")
-    share = min(1.0, SAMPLE / facts.n)
-    picked = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("embedding")
-    sample = np.array([r.embedding for r in picked.limit(2 * SAMPLE).collect()])
+    most = max(1, min(SAMPLE, NUMBERS // dim))
+    share = min(1.0, most / facts.n)
+    picked = vectors.where(F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("embedding")
+    sample = np.stack(picked.limit(2 * most).toPandas().embedding.to_numpy())
     return build(sample, facts.n, facts.norm2) if len(sample) else None
 
 
@@ -188,7 +192,7 @@ def assigned(rows: DataFrame, index: Index, ratio: float, most: int, id_name: st
                 # a query's own length does not change the order of its products: it is scaled to the largest
                 scale = np.sqrt(held.value.norm2) / np.linalg.norm(x, axis=1, keepdims=True)
                 q = np.hstack([x * scale, np.zeros((len(x), 1))]) if query else lifted(x, held.value.norm2)
-                ids, dist = search(held.value, q, max(BEAM, most))
+                ids, dist = search(held.value, q, max(BEAM, most) if query else max(NARROW, 4 * most))
                 ids, dist = ids[:, :most], dist[:, :most]
                 chosen = np.isfinite(dist) & (dist <= ratio * dist[:, :1] + 1e-12)
                 chosen[:, 0] = True
@@ -202,38 +206,57 @@ def assigned(rows: DataFrame, index: Index, ratio: float, most: int, id_name: st
 
 
 def best_of(query_id: np.ndarray, q: np.ndarray, vec_id: np.ndarray, v: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    """The k best of v for each query; ties to the smaller id. Products of candidates are summed row by row, in one order."""
+    """The k best different vec_ids of v for each query, its own left out; ties to the smaller id.
+
+    A matrix product finds candidates; their products are summed again row by row, in one order.
+    """
+    once, spare = len(np.unique(vec_id)) == len(vec_id), 2 * k + 8
     for at in range(0, len(q), 256):
-        rough = q[at : at + 256] @ v.T
-        for i, r in enumerate(rough):
-            floor = np.partition(r, -k)[-k] if len(r) > k else -np.inf
-            spot = np.flatnonzero(r >= floor - 1e-9 * max(1.0, abs(floor)) if np.isfinite(floor) else np.ones(len(r), bool))
-            spot = spot[vec_id[spot] != query_id[at + i]]
-            if len(spot) < k < len(r):  # the query itself was among the best
-                spot = np.flatnonzero(vec_id != query_id[at + i])
-            score = (v[spot] * q[at + i]).sum(axis=1)
-            top = np.lexsort((vec_id[spot], -score))[:k]
-            yield pd.DataFrame({"query_id": query_id[at + i], "vec_id": vec_id[spot][top], "score": score[top]})
+        part, own = q[at : at + 256], query_id[at : at + 256]
+        rough = part @ v.T
+        if len(v) > spare and once:
+            spot = np.argpartition(-rough, spare, axis=1)[:, : spare + 1]
+            near = np.take_along_axis(rough, spot, 1)
+            # the last candidate is worse than k others for certain: what was left out is no better
+            floor = np.sort(near, axis=1)
+            clear = floor[:, -(k + 1)] - floor[:, 0] > 1e-9 * np.maximum(1.0, np.abs(floor[:, 0]))
+        else:
+            spot, clear = np.tile(np.arange(len(v)), (len(part), 1)), np.zeros(len(part), bool)
+        rows = np.flatnonzero(clear)
+        if len(rows):
+            ids = vec_id[spot[rows]]
+            score = (v[spot[rows]] * part[rows, None, :]).sum(axis=2)
+            score[ids == own[rows, None]] = -np.inf
+            order = np.lexsort((ids, -score), axis=1)[:, :k]
+            take = np.take_along_axis
+            yield pd.DataFrame({"query_id": np.repeat(own[rows], k), "vec_id": take(ids, order, 1).ravel(), "score": take(score, order, 1).ravel()})
+        for i in np.flatnonzero(~clear):
+            score = (v * part[i]).sum(axis=1)
+            order = np.lexsort((vec_id, -score))
+            order = order[vec_id[order] != own[i]]
+            if not once:  # of a repeated id, its best row
+                _, first = np.unique(vec_id[order], return_index=True)
+                order = order[np.sort(first)]
+            yield pd.DataFrame({"query_id": own[i], "vec_id": vec_id[order[:k]], "score": score[order[:k]]})
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id long, rank int from 1, vec_id long, score double. Both tables: vec_id, embedding."""
     spark = vectors.sparkSession
     base = scratch.table(usable(vectors), "vectors")
-    index = fit(base)
+    dim = dimension(base)
+    base = base.where(F.size("embedding") == dim)
+    index = fit(base, dim)
     if index is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    postings = scratch.table(assigned(base, index, CLOSURE, COPIES, "vec_id"), "postings")
-    most = max(LISTS, int(SHARE * len(index.centroids)))
+    row = F.monotonically_increasing_id().alias("row")
+    postings = scratch.table(assigned(base, index, CLOSURE, COPIES, "vec_id").select("*", row), "postings")
     lists = postings.groupBy("list").agg(F.count("*").alias("n"), F.count_if("own").alias("own")).collect()  # a row per centroid
     owned = np.zeros(len(index.centroids), dtype=np.int64)
     owned[[r.list for r in lists]] = [r.own for r in lists]
-    asking = usable(queries)
-    probes = assigned(asking, index, REACH, most, "query_id", owned, SPARE * (k + 1)).drop("own")
-    sizes = {r.list: -(-r.n // CELL) for r in lists}
-    cells = F.broadcast(spark.createDataFrame(list(sizes.items()), "list long, cells long"))
-    cells_again = F.broadcast(spark.createDataFrame(list(sizes.items()), "list long, cells long"))
-    held = postings.join(cells, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("cells")).alias("cell"), "vec_id", "embedding")
+    cells = spark.createDataFrame([(r.list, -(-r.n // CELL)) for r in lists], "list long, cells long")
+    asking = usable(queries).where(F.size("embedding") == dim).dropDuplicates()
+    probes = assigned(asking, index, REACH, max(LISTS, int(SHARE * len(index.centroids))), "query_id", owned, SPARE * (k + 1)).drop("own")
 
     def cell(asks: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
@@ -243,8 +266,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
         return pd.concat([none, *best_of(asks.query_id.to_numpy(), np.stack(asks.embedding.to_numpy()), there.vec_id.to_numpy(), v, k)])
 
     def met(probes: DataFrame) -> DataFrame:
-        asked = probes.join(cells_again, "list").select("list", F.explode(F.expr("sequence(0L, cells - 1)")).alias("cell"), "query_id", "embedding")
-        found = asked.groupBy("list", "cell").cogroup(held.groupBy("list", "cell")).applyInPandas(cell, "query_id long, vec_id long, score double")
+        probes = scratch.table(probes.select("*", row), "probes")
+        asks = probes.groupBy("list").agg(F.ceil(F.count("*") / ASKS).alias("blocks"))  # a row per centroid
+        facts = F.broadcast(cells.join(F.broadcast(asks), "list"))
+        every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        block = F.pmod(F.xxhash64("query_id", "row"), F.col("blocks")).alias("block")
+        asked = probes.join(facts, "list").select("list", block, every("cells").alias("cell"), "query_id", "embedding")
+        # by row too: a vec_id that is repeated very often fills more than one cell
+        held = postings.join(facts, "list").select("list", F.pmod(F.xxhash64("vec_id", "row"), F.col("cells")).alias("cell"), every("blocks").alias("block"), "vec_id", "embedding")
+        keys = ["list", "cell", "block"]
+        found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(cell, "query_id long, vec_id long, score double")
         # a boundary vector is found in several lists, with one and the same score
         return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
 
@@ -253,6 +284,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     full = once.groupBy("query_id").count().where(F.col("count") >= k).select("query_id")
     short = scratch.table(asking.withColumnRenamed("vec_id", "query_id").join(full, "query_id", "left_anti"), "short")
     if short.limit(1).count():
-        again = met(short.crossJoin(F.broadcast(spark.createDataFrame([(n,) for n in sizes], "list long"))))
+        everywhere = F.explode(F.array(*[F.lit(r.list).cast("long") for r in lists]))
+        again = met(short.select(everywhere.alias("list"), "query_id", "embedding"))
         once = once.join(full, "query_id", "left_semi").unionByName(again)
     return once.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
