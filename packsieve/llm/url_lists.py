@@ -16,7 +16,8 @@ the list's history.
 Edge cases: a null or odd url has no host and is allowed; a capture without a
 day is allowed; events with a null pattern, list or day are ignored; repeated
 events and captures change nothing but the captures' own row count; empty
-tables give no matches, or no rows.
+tables give no matches, or no rows; further columns of the captures stay as they
+are, but for those named matches, blocked or pattern, which the results replace.
 """
 
 from __future__ import annotations
@@ -82,16 +83,18 @@ def evaluate(captures: DataFrame, events: DataFrame, salts: int = SALTS) -> Data
     """
     active = scratch.table(intervals(events), "intervals")
     added = {"_host": host(F.col("url")), "_head": head(path(F.col("url")), deepest(active))}
-    rows = captures.withColumns(added)
-    asked = rows.where((F.col("_host") != "") & F.col("day").isNotNull()).select("_host", "_head", "day").distinct()
+    rows = captures.select(scratch.whole(captures), F.col("day").alias("_day"), *[c.alias(n) for n, c in added.items()])
+    asked = rows.where((F.col("_host") != "") & F.col("_day").isNotNull()).select("_host", "_head", F.col("_day").alias("day")).distinct()
     salt = F.pmod(F.xxhash64("_host", "_head", "day"), F.lit(salts)).cast("int")
     exploded = asked.withColumn("_salt", salt).withColumn("pattern", F.explode(patterns(F.col("_host"), F.col("_head"))))
     active = active.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     met = exploded.join(active, ["pattern", "_salt"]).where((F.col("day") >= F.col("from_day")) & (F.col("to_day").isNull() | (F.col("day") < F.col("to_day"))))
     best = F.min(F.struct((-F.length("pattern")).alias("n"), F.col("pattern").alias("pattern")))["pattern"]
-    verdict = met.groupBy("_host", "_head", "day").agg(F.count("*").alias("matches"), best.alias("pattern"))
-    # one verdict for each (host, head, day); captures of a host and day are dealt by salt
+    verdict = met.groupBy("_host", "_head", F.col("day").alias("_day")).agg(F.count("*").alias("matches"), best.alias("pattern"))
+    # one verdict for each (host, head, day); captures of a host and day, and of one url, are dealt by salt
     verdict = verdict.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("url"), F.lit(salts)).cast("int"))
-    out = rows.join(verdict, ["_host", "_head", "day", "_salt"], "left")
-    return out.select(*captures.columns, F.coalesce("matches", F.lit(0)).cast("long").alias("matches"), F.col("matches").isNotNull().alias("blocked"), "pattern")
+    rows = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int"))
+    out = rows.join(verdict, ["_host", "_head", "_day", "_salt"], "left")
+    added = {"matches": F.coalesce("matches", F.lit(0)).cast("long"), "blocked": F.col("matches").isNotNull(), "pattern": F.col("pattern")}
+    # what is added takes the place of a column of that name
+    return out.select(*[F.col(f"_doc.`{c}`").alias(c) for c in captures.columns if c.lower() not in added], *[c.alias(n) for n, c in added.items()])
