@@ -7,7 +7,9 @@ number of slots in the real words of its blocks: whole passes, then blocks until
 the words left over are met, of which the last slot takes only what is missing.
 So each source's taken words are its target. Output shards draw their source counts one after
 another from a multinomial over what the sources have left, so that the draws
-add up to the slots exactly. Slot n of a source takes the block at place
+add up to the slots exactly. Shards have about ``SHARD_SLOTS`` slots, so their number
+grows with the corpus: the driver draws for groups of shards, and Spark tasks draw
+for the shards of a group in the same way, then deal ranges of at most ``RANGE`` slots. Slot n of a source takes the block at place
 n modulo its number of blocks of a pseudorandom permutation, one permutation for
 every pass, so no block is taken more often than a pass begins. Slots and blocks
 meet in a join on (source, block).
@@ -16,7 +18,7 @@ Permutations are keyed Feistel networks on the block index with cycle walking:
 an index is computed, not looked up, so no permutation is ever stored.
 
 What the driver holds is one row per source (at most ``SOURCES``; more raise an
-error) and the count matrix of at most ``SHARDS`` shards.
+error) and the counts of at most ``GROUPS`` groups of shards, ``COUNTS`` numbers at most.
 
 Edge cases: null or wordless text has size 0, is never taken and belongs to no
 block; a null source is a source of its own, last in order; a source without
@@ -26,7 +28,7 @@ reported each by itself; an empty table gives no rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,9 @@ from pyspark.sql import functions as F
 
 from packsieve.llm import offsets, scratch
 
-BLOCK, PARTS, SHARDS, SOURCES, SEED = 128, 16, 1024, 100_000, 17
+BLOCK, PARTS, SOURCES, SEED = 128, 16, 100_000, 17
+#: Slots of an output shard; the driver draws for at most so many groups of shards and counts; slots of a range and of a task.
+SHARD_SLOTS, GROUPS, COUNTS, RANGE, TASK_SLOTS = 1000, 1024, 1_000_000, 4096, 65536
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -63,19 +67,19 @@ def targets(sizes: list[tuple[str | None, int]], weights: tuple[int, ...] = WEIG
     return out
 
 
-def draw(slots: np.ndarray, shards: int, seed: int = SEED) -> np.ndarray:
-    """shards x sources: multinomial counts that add up to ``slots``, each shard near an equal part of all."""
+def draw(slots: np.ndarray, parts: Sequence[int], seed: int | list[int] = SEED) -> Iterator[np.ndarray]:
+    """For each part, multinomial counts by source; all add up to ``slots``, and a part's sum is its share by ``parts`` of all."""
     rng = np.random.default_rng(seed)
-    left, out = slots.astype(np.int64).copy(), np.zeros((shards, len(slots)), dtype=np.int64)
-    for s in range(shards):
-        size = int(left.sum()) // (shards - s)
+    left, open_ = slots.astype(np.int64).copy(), sum(parts)
+    for part in parts:
+        size = int(left.sum()) * part // open_
+        open_ -= part
         take = np.zeros(len(slots), dtype=np.int64)
         while (short := size - int(take.sum())) > 0:
             rest = left - take
             take = np.minimum(left, take + rng.multinomial(short, rest / rest.sum()))
-        out[s] = take
         left -= take
-    return out
+        yield take
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray, back: bool = False) -> np.ndarray:
@@ -122,15 +126,15 @@ def schedule(source_no: int, size: int, want: int, block: int, seed: int) -> tup
 
 
 def numbered(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """row, doc_id, source, size, and ``_doc`` with all columns if asked for, of every row; written once, so rows keep their numbers."""
-    own = [F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")]
+    """row, doc_id, source, size, text_key (tells rows of one doc_id apart) and ``_doc`` with all columns if asked for, of every row; written once, so rows keep their numbers."""
+    own = [F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("text_key")]
     return scratch.table(docs.select(*own, *([scratch.whole(docs)] if carry else [])), "sizes")
 
 
 def placed(rows: DataFrame) -> DataFrame:
     """row, doc_id, source, size and start (words of its source before it) of every row of ``numbered``; texts are not moved."""
-    thin = rows.select("row", "doc_id", "source", "size")
-    return scratch.table(offsets.with_offsets(thin, ["source"], ["doc_id", "size"], F.col("size"), offsets.bucket_count(thin.count()), "start"), "placed")
+    thin = rows.select("row", "doc_id", "source", "size", "text_key")
+    return scratch.table(offsets.with_offsets(thin, ["source"], ["doc_id", "size", "text_key"], F.col("size"), offsets.bucket_count(thin.count()), "start"), "placed")
 
 
 def mix(rows: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
@@ -150,10 +154,22 @@ def mix(rows: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[DataFram
     length = [max(1, min(block, of[s] // PARTS)) for s in order]
     ends = [schedule(k, of[s], min(round(want[s]), int(MOST * of[s])), length[k], seed) for k, s in enumerate(order)]
     slots = np.array([n for n, _ in ends], dtype=np.int64)
-    shards = max(1, min(SHARDS, int(slots.sum()) // 1000))
-    counts = draw(slots, shards, seed)
-    before = np.cumsum(counts, axis=0) - counts
-    cells = [(int(s), k, int(counts[s, k]), int(before[s, k]), -(-of[order[k]] // length[k]), length[k], *ends[k]) for s in range(shards) for k in range(len(order)) if counts[s, k]]
+    shards = max(1, int(slots.sum()) // SHARD_SLOTS)
+    groups = max(1, min(GROUPS, COUNTS // max(1, len(order)), shards))
+    of_group = [shards // groups + (g < shards % groups) for g in range(groups)]
+    plan, shard, first = [], 0, np.zeros(len(order), dtype=np.int64)
+    for g, counts in enumerate(draw(slots, of_group, seed)):
+        plan.append((g, shard, of_group[g], first.tolist(), counts.tolist()))
+        shard, first = shard + of_group[g], first + counts
+
+    def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for c in batch.itertuples():
+                start = np.array(c.first, dtype=np.int64)
+                for s, counts in enumerate(draw(np.array(c.counts, dtype=np.int64), [1] * c.shards, [seed, c.group])):
+                    k = np.flatnonzero(counts)
+                    yield pd.DataFrame({"shard": c.shard + s, "source_no": k, "n": counts[k], "first": start[k]})
+                    start += counts
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -164,11 +180,15 @@ def mix(rows: DataFrame, block: int = BLOCK, seed: int = SEED) -> tuple[DataFram
                 take = np.where(n == c.slots - 1, c.last, c.length)
                 yield pd.DataFrame({"shard": c.shard, "slot": n, "source_no": c.source_no, "block": at, "pass": turn, "_take": take})
 
-    plan = spark.createDataFrame(cells, "shard long, source_no long, n long, first long, blocks long, length long, slots long, last long").repartition(min(len(cells) or 1, 64), "shard", "source_no")
-    drawn = plan.mapInPandas(deal, "shard long, slot long, source_no long, block long, pass long, _take long")
     names = spark.createDataFrame(
         [(k, s, of[s], float(want[s]), length[k]) for k, s in enumerate(order)], "source_no long, source string, source_size long, target double, _length long"
     )
+    tasks = max(1, int(slots.sum()) // TASK_SLOTS)
+    facts = F.broadcast(spark.createDataFrame([(k, -(-of[s] // length[k]), length[k], *ends[k]) for k, s in enumerate(order)], "source_no long, blocks long, length long, slots long, last long"))
+    dealt = spark.createDataFrame(plan, "group long, shard long, shards long, first array<long>, counts array<long>").repartition(min(groups, tasks), "group")
+    cells = dealt.mapInPandas(divide, "shard long, source_no long, n long, first long").withColumn("_from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RANGE).cast("long"))))
+    ranges = cells.select("shard", "source_no", F.least(F.lit(RANGE), F.col("n") - F.col("_from")).alias("n"), (F.col("first") + F.col("_from")).alias("first"))
+    drawn = ranges.repartition(tasks, "shard", "source_no", "first").join(facts, "source_no").mapInPandas(deal, "shard long, slot long, source_no long, block long, pass long, _take long")
     named = rows.where("size > 0").join(F.broadcast(names.select("source_no", "_length", F.col("source").alias("_s"))), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     spans = named.withColumn("block", F.explode(F.sequence(F.expr("start div _length"), F.expr("(start + size - 1) div _length"))))
     begin = F.col("block") * F.col("_length")
