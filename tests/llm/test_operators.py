@@ -96,6 +96,18 @@ def test_plan_uses_the_histogram_exactly():
     used = sum(p.repeats for p in packing.plan(dict(h)))
     assert used <= 1.02 * sum(k * n for k, n in h.items()) / 1024 + 1
     assert packing.plan({}) == []
+    # the solution itself places most remainders, in small and large corpora, and the plan's size doesn't follow the corpus
+    for n in (1000, 200_000):
+        lengths = np.exp(np.random.default_rng(1).normal(6, 1, n)).astype(int) % 1024
+        h = np.bincount(lengths[lengths > 0], minlength=1025)
+        patterns, rest = packing.plan({a: int(k) for a, k in enumerate(h) if k}), []
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(packing, "greedy", lambda left, window: rest.append(int(left.sum())) or [])
+            packing.plan({a: int(k) for a, k in enumerate(h) if k})
+        m = packing.SOLVED.index(0.8)
+        assert max(rest[: m + 1]) <= 0.2 * h.sum()
+        assert sum(p.repeats for p in patterns) <= 1.005 * (h * np.arange(1025)).sum() / 1024 + 1
+        assert len(packing.places(patterns)[0]) <= packing.PLAN_ROWS
     combos = packing.combinations(np.array([2, 3, 5, 8, 10]), 10)
     assert {tuple(sorted(c[c > 0])) for c in combos} == {(10,), (2, 8), (5, 5), (2, 3, 5)}
 
@@ -133,6 +145,46 @@ def test_text_beside_article_cards_and_section_templates(spark):
     assert all(got[100 + i] == told(i) for i in range(300))
 
 
+def test_names_and_depth_of_elements():
+    told = lambda html: html_text.extract(html, frozenset())
+    assert told('<article class="post category-social"><p>kept') == told('<article class="has-sidebar"><p>kept') == "kept"
+    page = '<article><p>a</p><section class="share-price"><p>b</p></section><div class="sidebar-left">no</div><ol class="comment-list"><li>no</ol><div class="ad-300x250">no</div><div id="siteFooter">no</div></article>'
+    assert told(page) == "a\n\nb"
+    assert told('<form><div class="sidebar"><article><p>kept</article></div></form><div class="sidebar"><article>card</article></div>') == "kept"
+    assert told("<div>" * 100_000 + "x") == told("<div><p>" * 50_000 + "x") == told("<p><b>" * 50_000 + "x</i>") == "x"
+    assert len(html_text.hashes("<ul><li>" * 50_000 + "x")) == 100_000
+    long = "<p>ten chars!</p>" * 100_000
+    assert told(long) == "\n\n".join(["ten chars!"] * 100_000)
+
+
+def test_templates_are_those_of_a_plain_count(spark):
+    """A slow counter on nested trees: for each host, on how many pages does an element of the same tags and text occur?"""
+    rng = random.Random(2)
+    parts = ["<p>Welcome to our site, dear reader</p>", "<div><p>Terms of use apply</p><ul><li>one</li><li>two</li></ul></div>", "<div>All about gardens of this section and their readers</div>", "<p>ok</p>"]
+    rows = []
+    for i in range(400):
+        host = "big.example" if i < 300 else f"h{i % 4}.example"
+        rows.append((i, f"http://{host}/{i}", "".join(p for k, p in enumerate(parts) if rng.random() < (0.9, 0.6, 0.4, 0.3)[k]) + f"<div><p>Own text {i}</p></div>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    count, total = defaultdict(Counter), Counter()
+    for _, url, html in rows:
+        host = url.split("/")[2]
+        total[host] += 1
+        found = {m for p in parts if p in html for m in {p, *(x for pattern in ("<p>[^<]*</p>", "<ul>.*</ul>", "<li>[^<]*</li>") for x in re.findall(pattern, p))}}
+        count[host].update(found)
+    want = set()
+    for host, c in count.items():
+        for html, n in c.items():
+            text = re.sub("<[^>]*>", "", html)
+            if n >= 10 and (n >= 0.5 * total[host] or len(text) >= 40 and n >= 100 and n >= 0.02 * total[host]):
+                want.add((host, html_text.parse(html)[1].digest, False))
+    got = {(r.host, s["subtree"], s["in_article"]) for r in html_text.templates(pages).collect() for s in r.subtrees}
+    assert got == want and len(want) > 5
+    for r in html_text.main_text(pages).collect():
+        if all((r.url.split("/")[2], html_text.parse(p)[1].digest, False) in want for p in parts if p in rows[r.page_id][2]):
+            assert r.text == f"Own text {r.page_id}"
+
+
 def test_salted_templates_equal_broadcast_ones(spark, monkeypatch):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     plain = {(r.page_id, r.text) for r in html_text.main_text(pages).collect()}
@@ -152,6 +204,13 @@ def test_store_compacts_and_keeps_all(spark, docs, empty):
     assert store.manifest().version == before + 1 and store.read().count() == docs.count()
     with pytest.raises(ValueError, match="columns"):
         store.append(spark.range(3))
+    clashing = docs.withColumn("_part", F.lit("mine")).withColumn("_PART_", F.lit(1))
+    named = shards.Store(spark, scratch.new_path(spark, "store"))
+    shards.arrive(clashing, named, 3)
+    assert sort(named.read()) == sort(clashing)
+    nothing = shards.Store(spark, scratch.new_path(spark, "store"))
+    shards.arrive(empty, nothing)
+    assert nothing.read().columns == empty.columns and nothing.read().count() == 0
     # two writers: the one whose inputs are gone gives up, and nothing is lost
     other = shards.Store(spark, store.path, target=200_000, smallest=10**9, fanout=2)
     store.append(docs.limit(1))
@@ -236,6 +295,48 @@ def test_rare_letters_are_parsed_as_frequent_ones(monkeypatch):
     assert all((g == w).all() for g, w in zip(got, want, strict=True))
 
 
+def test_phrases_are_those_of_a_plain_parser():
+    """Longest matches by substring search in the labelled text; blocks end phrases at the same places."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 5))) for _ in range(60)]
+    said = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    samples = {"x": [said(80), said(60)], "y": [said(100)]}
+    model = language_id.Model(samples)
+    asked = [said(300), "zz " + said(5), "a", "Éa, bé! 3 cd", said(2)]
+    n, lost, parsed = model.phrases(asked)
+    for j, k in enumerate(model.languages):
+        known = " ".join(language_id.fold(" ".join(samples[k])).split()) + " "
+        for i, t in enumerate(asked):
+            kept = language_id.fold(t)
+            kept = re.sub(r"(?<=\S) +", " ", kept).lstrip(" ")
+            assert len(kept) == parsed[i]
+            count = unknown = 0
+            for at in range(0, len(kept), language_id.BLOCK):
+                block, own = kept[at : at + language_id.BLOCK], ""
+                count += 1
+                for c in block:
+                    if own + c in known:
+                        own += c
+                    else:  # the letter begins the next phrase
+                        count += 1
+                        own = c if c in known else ""
+                    unknown += c not in known
+            assert (n[i, j], lost[i, j]) == (count, unknown)
+
+
+def test_languages_that_share_thousands_of_letters_are_told_apart():
+    rng = random.Random(9)
+    han = [chr(c) for c in range(0x4E00, 0x4E00 + 3000)]
+    latin = [["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 7))) for _ in range(300)] for _ in range(4)]
+    shared = [["".join(rng.choice(han) for _ in range(2)) for _ in range(2000)] for _ in range(2)]
+    said = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    vocabulary = {f"l{i}": w for i, w in enumerate([*latin, *shared])}
+    model = language_id.Model({k: [said(w, 270) for _ in range(48)] for k, w in vocabulary.items()})
+    for k, w in vocabulary.items():
+        pred, _ = model.predict([said(w, 60) for _ in range(50)])
+        assert sum(p == k for p in pred) >= 49
+
+
 def slow_fingerprint(text, words=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     s = [" ".join(w[i : i + words]) for i in range(max(1, len(w) - words + 1))] if w else []
@@ -349,6 +450,43 @@ def test_nearest_fills_every_query_from_tight_outliers_and_repeated_rows(spark):
     assert hits / (20 * len(asked)) >= 0.9
 
 
+def test_pruning_reads_few_lists_of_clustered_vectors(spark):
+    """Recall of all queries against brute force, and the share of postings that they are held against."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(60, 24))
+    x = centres[rng.integers(0, 60, 12_000)] + 0.35 * rng.normal(size=(12_000, 24))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    queries = vectors.where("vec_id % 20 = 0")
+    got = nearest.nearest(vectors, queries).toPandas()
+    score = x[::20] @ x.T
+    score[np.arange(600), 20 * np.arange(600)] = -9
+    best = np.argsort(-score, axis=1)[:, :20]
+    found = got.groupby("query_id").vec_id.apply(set)
+    assert len(got) == 12_000 and np.mean([len(found[20 * i] & set(b)) / 20 for i, b in enumerate(best)]) >= 0.95
+    base = nearest.usable(vectors)
+    index = nearest.fit(base, 24)
+    postings = nearest.assigned(base, index, nearest.CLOSURE, nearest.COPIES, "vec_id").toPandas()
+    size = postings.groupby("list").size()
+    owned = postings[postings.own].groupby("list").size().reindex(range(len(index.centroids)), fill_value=0).to_numpy()
+    probes = nearest.assigned(nearest.usable(queries), index, nearest.REACH, nearest.LISTS, "query_id", owned, nearest.SPARE * 21).toPandas()
+    read = probes.groupby("query_id").size()
+    assert len(index.centroids) >= 60 and read.mean() < 0.8 * nearest.LISTS and read.max() <= nearest.LISTS
+    assert size.reindex(probes.list, fill_value=0).sum() / 600 < 0.3 * size.sum()
+
+
+def test_nearest_takes_vectors_of_one_length_and_counts_repeats_once(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(301, x[0].tolist())] * 60 + [(302, (2 * x[0]).tolist()), (302, x[0].tolist()), (303, [1.0, 2.0]), (320, [1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = nearest.nearest(vectors, vectors.where("vec_id % 20 = 0 or vec_id = 301")).toPandas()
+    assert set(got.query_id) == {*range(0, 300, 20), 301} and (got.groupby("query_id").vec_id.nunique() == 20).all()
+    mine = got[got.query_id == 0].sort_values("rank")
+    assert mine.vec_id.tolist()[:2] == [302, 301] and mine.score.tolist()[:2] == pytest.approx([2, 1])
+
+
 def test_url_lists_as_of_the_day(spark):
     day = lambda d: pd.Timestamp(d).date()
     events = [("a", "bad.example", day("2024-01-02"), "add"), ("a", "bad.example", day("2024-01-05"), "remove"), ("a", "bad.example", day("2024-01-08"), "add"), ("b", "Good.example/X", day("2024-01-01"), "add"),
@@ -362,6 +500,16 @@ def test_url_lists_as_of_the_day(spark):
     assert url_lists.evaluate(captures, ev.limit(0)).where("blocked").count() == 0 and url_lists.evaluate(captures.limit(0), ev).count() == 0
 
 
+def test_columns_of_captures_are_kept_whatever_their_names(spark):
+    day = pd.Timestamp("2024-01-01").date()
+    ev = spark.createDataFrame([("a", "bad.example", day, "add")], "list string, pattern string, day date, action string")
+    rows = [("http://bad.example/x", day, "mine", 5, "h", "p", 7, "l", day)] * 40 + [("http://good.example/", day, "mine", 6, "h", "p", 8, "l", None)]
+    captures = spark.createDataFrame(rows, "url string, day date, _host string, _salt int, _head string, pattern string, n int, list string, from_day date")
+    got = url_lists.evaluate(captures, ev)
+    assert got.columns == ["url", "day", "_host", "_salt", "_head", "n", "list", "from_day", "matches", "blocked", "pattern"]
+    assert Counter((r._host, r._salt, r.n, r.matches, r.pattern) for r in got.collect()) == {("mine", 5, 7, 1, "bad.example"): 40, ("mine", 6, 8, 0, None): 1}
+
+
 def test_url_entries_of_any_depth_and_case(spark):
     day = pd.Timestamp("2024-01-01").date()
     ev = spark.createDataFrame([("a", x, day, "add") for x in ("deep.example/a/b/c", "deep.example/a/b/c/d/e", "Case.example/Private", "Case.example/Mixed/Up/Case")], "list string, pattern string, day date, action string")
@@ -417,14 +565,30 @@ def test_small_sources_meet_their_targets_to_the_word(spark):
         assert real[:-1].sum() + last == wanted and 0 < last <= real[-1]
 
 
+def test_shards_grow_with_the_corpus_and_ranges_stay_short(spark, docs, monkeypatch):
+    rows = mixing.placed(mixing.numbered(docs))
+    whole = {(r.row, r.block, r["pass"], r.at, r.words) for r in mixing.mix(rows, 4)[1].collect()}
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 10)
+    monkeypatch.setattr(mixing, "GROUPS", 3)
+    monkeypatch.setattr(mixing, "RANGE", 2)
+    monkeypatch.setattr(mixing, "TASK_SLOTS", 50)
+    cut = mixing.mix(rows, 4)[1].collect()
+    # the same words are taken, whatever shard a slot belongs to
+    assert {(r.row, r.block, r["pass"], r.at, r.words) for r in cut} == whole
+    slots = Counter(s for s, _, _ in {(r.shard, r.source, r.slot) for r in cut})
+    assert len(slots) > 20 and max(slots.values()) <= 12
+
+
 def test_targets_stop_at_twice_the_size():
     got = mixing.targets([("b", 100), ("a", 10), (None, 100)])
     assert got["a"] == 20 and got["b"] + got[None] == pytest.approx(295) and got[None] == pytest.approx(2 * got["b"])
     assert mixing.targets([]) == {} and mixing.targets([("a", 0)])["a"] == 0
     size = np.full(1000, 1000)
     assert sorted(mixing.permuted(np.arange(1000), size, np.full(1000, 5))) == list(range(1000))
-    counts = mixing.draw(np.array([50, 0, 7]), 4)
+    counts = np.array(list(mixing.draw(np.array([50, 0, 7]), [1] * 4)))
     assert counts.sum(axis=0).tolist() == [50, 0, 7] and counts.min() >= 0
+    uneven = np.array(list(mixing.draw(np.array([600, 0, 300]), [2, 1])))
+    assert uneven.sum(axis=0).tolist() == [600, 0, 300] and uneven.sum(axis=1).tolist() == [600, 300]
 
 
 def test_token_files_give_every_document_back(spark, docs, empty, tmp_path):
@@ -439,6 +603,12 @@ def test_token_files_give_every_document_back(spark, docs, empty, tmp_path):
     for r in sorted(got, key=lambda r: r.start):
         assert r.start == at
         at += r.n_tokens
+    many = spark.createDataFrame([(i, "some words " * 50) for i in range(400)], "doc_id long, text string").repartitionByRange(8, "doc_id")
+    manifest = seekable.write(many, scratch.new_path(spark, "tokens"))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(seekable, "READ_BYTES", 1)
+        back = seekable.read(manifest)
+        assert back.rdd.getNumPartitions() == manifest.count() and back.count() == 400
     order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
     assert order == sorted(order, key=lambda i: (i is not None, i or 0))
     assert seekable.round_trip(empty).count() == 0
