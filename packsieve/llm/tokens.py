@@ -4,7 +4,9 @@ Both vocabularies split a text into pre-tokens before merging, and a pre-token
 never reaches over a space that a non-space follows. So a text's ids are those
 of its space-separated chunks in order, and each worker keeps the ids of short
 chunks that it has met: the library encodes a chunk once, not at every
-occurrence. New chunks go to the library many at a time, with a mark of one id
+occurrence. Arrow splits the texts and numbers their different chunks, so Python
+looks up each of these once a call, and numpy puts the ids of all occurrences
+together. New chunks go to the library many at a time, with a mark of one id
 between them, since a call costs more than a chunk. A text with a space before
 other white space goes to the library whole, since a run of white space is split
 by what follows it.
@@ -17,11 +19,15 @@ from array import array
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks longer than this are encoded each time; at this many the cache starts anew.
 CHUNK_CHARS, CACHE_CHUNKS = 48, 600_000
 #: Characters of text encoded at a time, and new chunks in one call.
-SLICE_CHARS, CALL_CHUNKS = 2_000_000, 20_000
+SLICE_CHARS, CALL_CHUNKS = 4_000_000, 20_000
+#: Chunks whose ids are put together at a time.
+GATHER = 400_000
 MARK = "|"
 
 _RUN = re.compile(r" (?=\s)")
@@ -48,49 +54,85 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        self.forget()
         mark = self._encode([f" {MARK}"])[0]
         self.mark = int.from_bytes(mark, "little") if len(mark) == 4 else None
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _keep(self, ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
+        """Appends to the pool of ids, and the place of each new entry in it."""
+        self.start.append(start + self.size)
+        self.length.append(length)
+        self.pool.append(ids)
+        self.size += len(ids)
+
+    def _alone(self, texts: list[str]) -> None:
+        """New entries for these texts, each encoded by itself."""
+        for at in range(0, len(texts), CALL_CHUNKS):
+            ids = self._encode(texts[at : at + CALL_CHUNKS])
+            length = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+            self._keep(np.frombuffer(b"".join(ids), dtype=np.uint32), np.cumsum(length) - length, length)
+
     def _learn(self, chunks: list[str]) -> None:
-        """Fills the cache with the ids of chunks as they stand behind a space."""
+        """New entries for chunks as they stand behind a space."""
         together = [c for c in chunks if MARK not in c] if self.mark is not None else []
         alone = [c for c in chunks if MARK in c] if together else chunks
-        self.cache.update(zip(alone, self._encode([" " + c for c in alone]), strict=True))
+        for c in (*alone, *together):
+            self.cache[c] = len(self.cache)
+        self._alone([" " + c for c in alone])
         for at in range(0, len(together), CALL_CHUNKS):
-            part = together[at : at + CALL_CHUNKS]
-            ids = np.frombuffer(self._encode([" " + f" {MARK} ".join(part)])[0], dtype=np.uint32)
-            ends = (4 * np.append(np.flatnonzero(ids == self.mark), len(ids))).tolist()
-            raw, begin = ids.tobytes(), 0
-            for chunk, end in zip(part, ends, strict=True):
-                self.cache[chunk] = raw[begin:end]
-                begin = end + 4
+            ids = np.frombuffer(self._encode([" " + f" {MARK} ".join(together[at : at + CALL_CHUNKS])])[0], dtype=np.uint32)
+            end = np.append(np.flatnonzero(ids == self.mark), len(ids))
+            start = np.append(0, end[:-1] + 1)
+            self._keep(ids, start, end - start)
 
     def forget(self) -> None:
         """Called at a task's end: workers live on, and other stages need the memory."""
-        self.cache = {}
+        self.cache: dict[str, int] = {}
+        none = np.zeros(0, dtype=np.int64)
+        self.start, self.length, self.pool, self.size = [none], [none], [none.astype(np.uint32)], 0
+
+    def _whole(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and lengths of all entries, and the ids."""
+        for parts in (self.start, self.length, self.pool):
+            parts[:] = [np.concatenate(parts)]
+        return self.start[0], self.length[0], self.pool[0]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """The ids of each text; callers bound the characters given at once by ``slices``."""
+        if not len(texts):
+            return []
         if len(self.cache) > CACHE_CHUNKS:
-            self.cache.clear()
-        cache = self.cache
-        # the first chunk has no space before it, so it is encoded by itself
-        split = [[t] if _RUN.search(t) else t.split(" ") for t in texts]
-        chunks: set[str] = set()
-        for parts in split:
-            chunks.update(parts[1:])
-        self._learn([w for w in chunks.difference(cache) if len(w) <= CHUNK_CHARS])
-        out = self._encode([parts[0] for parts in split])
-        for i, parts in enumerate(split):
-            try:
-                out[i] += b"".join(map(cache.__getitem__, parts[1:]))
-            except KeyError:  # a long chunk
-                out[i] += b"".join(cache[w] if w in cache else self._encode([" " + w])[0] for w in parts[1:])
-        return out
+            self.forget()
+        # a text that can't be cut at its spaces is its own first chunk
+        whole = {i for i, t in enumerate(texts) if _RUN.search(t)}
+        split = pc.split_pattern(pa.array(["" if i in whole else t for i, t in enumerate(texts)], pa.large_string()), " ")
+        coded, ends = split.values.dictionary_encode(), split.offsets.to_numpy()
+        chunks, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        firsts = [texts[i] if i in whole else chunks[codes[k]] for i, k in enumerate(ends[:-1].tolist())]
+        rest = np.bincount(np.delete(codes, ends[:-1]), minlength=len(chunks)) > 0  # those that stand behind a space somewhere
+        asked = [c for c, r in zip(chunks, rest.tolist(), strict=True) if r]
+        self._learn([c for c in asked if len(c) <= CHUNK_CHARS and c not in self.cache])
+        _, _, ids = self._whole()
+        held = len(self.cache), len(ids)
+        long = [c for c in asked if len(c) > CHUNK_CHARS]
+        self._alone([" " + c for c in long] + firsts)  # for this call alone
+        start, length, ids = self._whole()
+        own = {c: held[0] + i for i, c in enumerate(long)}
+        of = np.array([(own if len(c) > CHUNK_CHARS else self.cache)[c] if r else 0 for c, r in zip(chunks, rest.tolist(), strict=True)], dtype=np.int64)
+        entry = of[codes]
+        entry[ends[:-1]] = held[0] + len(long) + np.arange(len(texts))
+        size = np.concatenate([[0], np.cumsum(length[entry])])
+        out = np.empty(size[-1], dtype=np.uint32)
+        for a in range(0, len(entry), GATHER):
+            e = entry[a : a + GATHER]
+            lo, hi = size[a], size[a + len(e)]
+            out[lo:hi] = ids[np.repeat(start[e] - size[a : a + len(e)], length[e]) + np.arange(lo, hi)]
+        self.start, self.length, self.pool, self.size = [start[: held[0]]], [length[: held[0]]], [ids[: held[1]]], held[1]
+        at = size[ends].tolist()
+        return [out[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
 def encoder(path: str) -> Encoder:
