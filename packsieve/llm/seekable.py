@@ -10,7 +10,8 @@ index, and decompresses only the frames that hold the documents it wants.
 Writing: rows are range-partitioned by doc_id on numbers and texts, sorted
 inside the partition, and every task writes one file under a name of its own
 into the shared folder. The manifest, a written table, names the files of the
-tasks that succeeded, so files of lost or repeated tasks are never read.
+tasks that succeeded, so files of lost or repeated tasks are never read. Reading
+deals the files over tasks of about ``READ_BYTES``.
 
 Edge cases: a null text counts as empty; an empty text is the end id alone; null
 doc_ids come first; rows that repeat a doc_id follow each other; an empty table
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from packsieve.llm import scratch, tokens
 
 END_ID, VOCABULARY, FRAME_IDS = 2, "word_bpe_49k.json", 64 * 1024
+#: Bytes of files that a reading task takes on average.
+READ_BYTES = 8 << 20
 SKIPPABLE, SEEK_MAGIC, INDEX_MAGIC = 0x184D2A5E, 0x8F92EAB1, 0x184D2A5D
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("frame", "<u4"), ("first", "<u8"), ("n", "<u8")])
 SEEK = np.dtype([("compressed", "<u4"), ("plain", "<u4"), ("checksum", "<u4")])
@@ -173,10 +176,12 @@ def read(manifest: DataFrame) -> DataFrame:
                         at += len(ids) // 4
                 yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    # one row per file, so this window holds the file list alone
+    # one row per file, so this window, a single task, holds the file list alone
     before = F.coalesce(F.sum("ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     files = manifest.withColumn("before", before)
-    dealt = files.repartition(F.col("path"))
+    facts = manifest.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    # a number that is asked for is not coalesced by the manifest's own few bytes
+    dealt = files.repartition(max(1, min(facts.files, -(-facts.bytes // READ_BYTES))), "part")
     out = dealt.mapInPandas(task, "doc_id string, start long, n_tokens long, ids_crc32 long")
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "start", "n_tokens", "ids_crc32")
 
