@@ -164,8 +164,27 @@ def test_references_are_scanned_by_kind(spark):
 
 
 def test_samples_depend_on_seed_and_number_alone(spark):
-    atoms = [sampling.Atom(Leaf(f, "ge", 3), (f"have {f} of 3 or more", f"are {f} three up")) for f in "abcd"]
-    rows = sampling.candidates(spark, 5, 40, atoms).orderBy("candidate").collect()
-    assert [(r.request, r.ir) for r in rows] == [(s[1], predicates.to_json(s[0])) for s in (sampling.sample(5, i, atoms) for i in range(40))]
-    assert len({r.key for r in rows}) > 10
-    assert sampling.worded(Neither(Leaf("a", "ge", 3)), {Leaf("a", "ge", 3): "are big"}) == "are not big"
+    atoms = [sampling.Atom(Leaf(f, "ge", 3), (f"have {f} of 3 or more", f"are {f} three up"), f"slot_{f}", f"have some {f}") for f in "abcd"] + [sampling.Atom(Leaf("e", "eq", False), ("lack e",))]
+    some, plain = sampling.Open(), sampling.Open(plain=True)
+    grammar = sampling.Grammar(
+        [(some, 1), (Both((some, some)), 3), (Neither(Either((plain, plain))), 2), (Both((some, Either((plain, plain)))), 2)], ("List what {}.", "Which {}?"), {f"slot_{f}": f"How much {f}?" for f in "abcd"}, 0.3, 0.3
+    )
+    rows = sampling.candidates(spark, 5, 300, atoms, grammar).orderBy("candidate").collect()
+    for r in rows[::20]:
+        c = sampling.sample(5, r.candidate, atoms, grammar)
+        assert (r.request, r.key, r.missing) == (c.request, predicates.key(c.tree), c.missing)
+    assert len({r.key for r in rows}) > 50 and {r.status for r in rows} == {"ready", "needs_clarification"}
+    for r in rows:
+        leaves = [x for _, x in predicates.leaves(sampling.sample(5, r.candidate, atoms, grammar).tree)]
+        assert len({x.field for x in leaves}) == len(leaves) <= 3 and r.depth <= 3
+        assert (r.ir is None) == (r.missing is not None) == (r.question == f"How much {str(r.missing)[-1]}?") and ("have some" in r.request) == (r.ir is None)
+    # shares and weights come out, and a negation encloses no leaf that denies
+    shapes = [sampling.sample(5, i, atoms, grammar).tree for i in range(2000)]
+    assert 0.33 < sum(isinstance(t, Both) and len(t.parts) == 2 and not any(isinstance(p, Either) for p in t.parts) for t in shapes) / 2000 < 0.42  # 3 of 8
+    assert not any(isinstance(t, Neither) and isinstance(t.part, Either) and any(x.value is False for x in t.part.parts) for t in shapes)
+    says = {Leaf(f, "ge", 3): f"have {f}" for f in "abc"}
+    a, b, c = says
+    assert sampling.phrase(Both((a, Either((b, c)), Neither(a))), says) == "have a and also - have b or else have c - and also are none of those that have a"
+    with pytest.raises(ValueError, match="shape"):
+        sampling.sample(5, 0, atoms[:1], sampling.Grammar([(Both((some, some)), 1)], ("{}",)))
+    assert sampling.seeded_choice(["c", "a", "b"], 2) == __import__("random").Random(17).sample(["a", "b", "c"], 2)
