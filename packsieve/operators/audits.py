@@ -65,9 +65,26 @@ def zipped(a: DataFrame, b: DataFrame, keys: Sequence[str], left: str, right: st
 
 def same_members(rows: DataFrame, row: str, member: str) -> DataFrame:
     """Members that not every row (group) has, with how many have them."""
-    total = rows.agg(F.count_distinct(row)).first()[0]
     have = rows.groupBy(member).agg(F.count_distinct(row).alias("groups"))
-    return have.where(F.col("groups") < total)
+    total = F.broadcast(rows.agg(F.count_distinct(row).alias("_total")))  # one row
+    return have.join(total, F.col("groups") < F.col("_total")).drop("_total")
+
+
+def settings_differ(rows: DataFrame, registered: dict[str, object], keys: Sequence[str]) -> DataFrame:
+    """Per row and setting whose value isn't the registered one: (keys, setting, registered, found), values as text."""
+    cells = [F.struct(F.lit(n).alias("setting"), F.lit(v).cast("string").alias("registered"), F.col(n).cast("string").alias("found")) for n, v in registered.items()]
+    return rows.select(*keys, F.inline(F.array(*cells))).where(~F.col("registered").eqNullSafe(F.col("found")))
+
+
+def exactly_once(rows: DataFrame, anchor: str) -> DataFrame:
+    """Anchors that don't have exactly one row, with how many they have."""
+    return rows.groupBy(anchor).agg(F.count("*").alias("n")).where("n <> 1")
+
+
+def suite(kills: DataFrame, case: str, killed: Column, first: Column) -> DataFrame:
+    """Cases, those that any probe kills and those that the first probe alone kills: one row."""
+    per = kills.groupBy(case).agg(F.bool_or(killed).alias("_any"), F.coalesce(F.bool_or(F.when(first, killed)), F.lit(False)).alias("_first"))
+    return per.agg(F.count("*").alias("cases"), F.count_if("_any").alias("killed"), F.count_if("_first").alias("killed_by_first"))
 
 
 def not_exact_gold(metrics: DataFrame, case: Sequence[str]) -> DataFrame:

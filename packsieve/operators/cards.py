@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Frames and bytes of a card, and the ports that count as one when repeats are told.
 FRAMES, BYTES, EPHEMERAL = 3, 1024, (41000, 51254)
+#: Groups' sides up to which their first frames (about 100 bytes each) are sent to every executor.
+BROADCAST_GROUPS = 200_000
 
 
 def same_port(port: Column) -> Column:
@@ -20,16 +22,25 @@ def chosen(wrong: DataFrame, group: Sequence[str], facts: Sequence[str], frame:
     """Of a group's disagreeing frames (column ``side``: 'missed' or 'wrong'), those its card shows, with ``position`` from 1.
 
     Sides alternate in frame order, starting with missed; frames with the facts
-    of an earlier one are skipped; the first ``most`` stay.
+    of an earlier one are skipped; the first ``most`` stay. No task sorts a whole
+    group: first frames are minima, and the turns of the few that are left are counts.
     """
-    told = F.struct(F.col("side"), *[(same_port(F.col(f)) if f in ports else F.col(f)).alias(f"_{f}") for f in facts])
-    turn = Window.partitionBy(*group, "side").orderBy(frame)
-    rows = wrong.withColumn("_turn", F.row_number().over(turn)).withColumn("_told", told)
-    order = [F.col("_turn"), F.col("side")]
-    repeat = Window.partitionBy(*group, "_told").orderBy(*order)
-    first = rows.withColumn("_repeat", F.row_number().over(repeat)).where("_repeat = 1")
-    place = Window.partitionBy(*group).orderBy(*order)
-    return first.withColumn("position", F.row_number().over(place)).where(F.col("position") <= most).drop("_turn", "_told", "_repeat")
+    key = F.struct(*group, "side").alias("_key")  # never null, so null groups meet like any other
+    told = F.struct(*[(same_port(F.col(f)) if f in ports else F.col(f)).alias(f"_{f}") for f in facts]).alias("_told")
+    rows = wrong.select("*", key, told)
+    # of frames that tell the same the first, by partial minima; of those the first few of a side
+    first = rows.groupBy("_key", "_told").agg(F.min_by(F.struct(*wrong.columns), F.col(frame)).alias("_row"), F.min(frame).alias("_at"))
+    few = first.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_at"))).where(F.col("_nth") <= most)
+    # their turns: how many frames of the side, repeats included, come up to each
+    at = few.groupBy("_key").agg(F.sort_array(F.collect_list("_at")).alias("_upto"))
+    if at.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        at = F.broadcast(at)
+    turns = rows.select("_key", F.col(frame).alias("_f")).join(at, "_key").groupBy("_key").agg(
+        F.array(*[F.count_if(F.col("_f") <= F.get("_upto", F.lit(i))) for i in range(most)]).alias("_turns")
+    )
+    placed = few.join(turns, "_key").select("_row.*", F.element_at("_turns", F.col("_nth")).alias("_turn"))
+    place = Window.partitionBy(*group).orderBy("_turn", "side")
+    return placed.withColumn("position", F.row_number().over(place)).where(F.col("position") <= most).drop("_turn")
 
 
 def fitting(rows: DataFrame, group: Sequence[str], card_json: Column, most: int = BYTES) -> DataFrame:

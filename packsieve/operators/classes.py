@@ -29,13 +29,24 @@ def symmetric_difference(a: Column, b: Column) -> Column:
 def nearest(answers: DataFrame, targets: DataFrame, answer: str, target: str, items: str) -> DataFrame:
     """Per answer the target with most shared items, then the smallest symmetric difference, then the smallest name.
 
-    Meets on items, so targets that share none are never paired; such answers have none.
+    Equal sets are compared once. Sets meet on items, and answers that share none
+    with any target all have the same one: that of the fewest items. No targets at
+    all are refused.
     """
-    a = answers.select(answer, F.explode(F.array_distinct(items)).alias("_i"), F.size(F.array_distinct(items)).alias("_na"))
-    t = targets.select(target, F.explode(F.array_distinct(items)).alias("_i"), F.size(F.array_distinct(items)).alias("_nt"))
-    pairs = a.join(t, "_i").groupBy(answer, target).agg(F.count("*").alias("shared"), (F.first("_na") + F.first("_nt") - 2 * F.count("*")).alias("apart"))
-    best = F.min(F.struct((-F.col("shared")).alias("s"), F.col("apart").alias("apart"), F.col(target).alias("t"))).alias("m")
-    return pairs.groupBy(answer).agg(best).select(answer, F.col("m.t").alias(target), (-F.col("m.s")).alias("shared"), F.col("m.apart").alias("apart"))
+    sets = lambda df, name: df.select(name, F.array_sort(F.array_distinct(items)).alias("_set"))
+    a, t = sets(answers, answer), sets(targets, target).groupBy("_set").agg(F.min(target).alias(target))
+    default = t.agg(F.min(F.struct(F.size("_set").alias("n"), F.col(target).alias("t"))).alias("m")).first().m
+    if default is None:
+        raise ValueError("there are no targets")
+    alike = a.select("_set").distinct()
+    each = lambda df, *names: df.select(*names, F.explode("_set").alias("_i"), F.size("_set").alias(f"_n{names[0]}"))
+    pairs = each(alike, "_set").join(each(t, target), "_i").groupBy("_set", target).agg(
+        F.count("*").alias("shared"), (F.first("_n_set") + F.first(f"_n{target}") - 2 * F.count("*")).alias("apart")
+    )
+    best = pairs.groupBy("_set").agg(F.min(F.struct((-F.col("shared")).alias("s"), F.col("apart").alias("apart"), F.col(target).alias("t"))).alias("m"))
+    return a.join(best, "_set", "left").select(
+        answer, F.coalesce("m.t", F.lit(default.t)).alias(target), F.coalesce(-F.col("m.s"), F.lit(0)).alias("shared"), F.coalesce("m.apart", F.size("_set") + default.n).alias("apart")
+    )
 
 
 def cross_tab(rows: DataFrame, group: Sequence[str], row: str, column: str, columns: Sequence[str]) -> DataFrame:
@@ -43,6 +54,11 @@ def cross_tab(rows: DataFrame, group: Sequence[str], row: str, column: str, colu
     return rows.groupingSets([[*map(F.col, group), F.col(row)], [*map(F.col, group)]], *group, row).agg(*[F.count_if(F.col(column) == c).alias(c) for c in columns])
 
 
+def judge_cuts(rows: DataFrame, judge: str, judged: str) -> DataFrame:
+    """Each rating once in the cut 'run', and once in 'self' or 'others' by whose answer was judged: adds ``cut``."""
+    return rows.withColumn("cut", F.explode(F.array(F.lit("run"), F.when(F.col(judge) == F.col(judged), "self").otherwise("others"))))
+
+
 def reused(shown: DataFrame, answered: DataFrame, item: str = "item_id") -> DataFrame:
     """Items whose answer has a (field, value) that their card shows. Both: item, field, value as text."""
     return answered.join(shown, [item, "field", "value"], "left_semi").select(item).distinct()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packsieve.functions import text
@@ -16,6 +16,7 @@ RULES = ("compile", "dev_test_key", "duplicate_key", "shortcut", "dev_test_text"
 
 #: Runs of the smaller table up to which it is sent to every executor (32 bytes each).
 BROADCAST_RUNS = 500_000
+SALTS = 32
 
 
 def grams(rows: DataFrame, key: str, column: str, n: int = SHARED_WORDS) -> DataFrame:
@@ -39,9 +40,19 @@ def overlaps(a: DataFrame, b: DataFrame, a_key: str, b_key: str, a_text: str = "
     return ga.join(gb, ["gram", "gram2"]).groupBy(a_key, b_key).agg(F.count("*").alias("shared_grams"))
 
 
-def first_seen(rows: DataFrame, key: Sequence[str | Column], order: Sequence[str]) -> DataFrame:
-    """Marks rows whose key an earlier row has (``duplicate``), whatever later becomes of that row."""
-    return rows.withColumn("duplicate", F.row_number().over(Window.partitionBy(*key).orderBy(*order)) > 1)
+def first_seen(rows: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Marks rows whose key an earlier row has (``duplicate``), whatever later becomes of that row.
+
+    ``key`` and ``order`` name columns; of rows equal in both, all are first or none. A key's
+    first place comes from partial minima, and a null key is one like any other; rows meet
+    it dealt over ``SALTS``, so a key with a third of all rows is no hot task.
+    """
+    place = F.struct(*order).alias("_order")
+    keyed = rows.select("*", F.struct(*key).alias("_k"), place)
+    first = keyed.groupBy("_k").agg(F.min("_order").alias("_first"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
+    dealt = first.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = keyed.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int")).join(dealt, ["_k", "_salt"], "left")
+    return met.withColumn("duplicate", F.coalesce(F.col("_order") != F.col("_first"), F.lit(False))).select(*rows.columns, "duplicate")
 
 
 def drop_rule(flags: dict[str, Column]) -> Column:

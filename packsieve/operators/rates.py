@@ -10,8 +10,10 @@ from __future__ import annotations
 
 import random
 from collections import Counter
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +24,15 @@ OUTCOMES = ("provider_failed", "malformed", "abstained", "false_ready", "invalid
 ARMS = ("resample", "bare", "counterexample")
 #: Draws come from one sequential generator, so the number of cases is bounded; beyond it a rate has no interval here.
 MOST_CASES = 20_000
+#: Draws that a task makes of its own.
+TASK_DRAWS = 500_000
+# Digits of reported rates and costs.
+RATE_DIGITS, COST_DIGITS = 6, 8
+
+
+def half_even(value: Column, digits: int = RATE_DIGITS) -> Column:
+    """rounded to so many digits, ties to the even one."""
+    return F.bround(value, digits)
 
 
 def resample_weights(cases: int, resamples: int = RESAMPLES, seed: int = SEED) -> list[tuple[int, int, int]]:
@@ -33,10 +44,24 @@ def resample_weights(cases: int, resamples: int = RESAMPLES, seed: int = SEED) -
 
 
 def weights_table(spark: SparkSession, cases: int, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
-    import pandas as pd
+    """``resample_weights`` as a table, drawn in tasks: each skips the draws of the resamples before its own."""
+    if cases > MOST_CASES:
+        raise ValueError(f"more than {MOST_CASES} cases")
+    each = max(1, TASK_DRAWS // max(1, cases))
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first in batch.id:
+                rng = random.Random(seed)
+                for _ in range(first * cases):
+                    rng.random()
+                for b in range(first, min(first + each, resamples)):
+                    drawn = np.array([int(rng.random() * cases) for _ in range(cases)], dtype=np.int64)
+                    no, weight = np.unique(drawn, return_counts=True)
+                    yield pd.DataFrame({"resample": b, "case_no": no, "weight": weight})
 
-    rows = resample_weights(cases, resamples, seed)
-    return spark.createDataFrame(pd.DataFrame(rows, columns=["resample", "case_no", "weight"]), "resample long, case_no long, weight long")
+    starts = spark.range(0, resamples, each, numPartitions=-(-resamples // each))
+    return starts.mapInPandas(draw, "resample long, case_no long, weight long")
 
 
 def case_means(items: DataFrame, value: Column, keys: Sequence[str], case: str = "case_id") -> DataFrame:
@@ -89,6 +114,49 @@ def comparison(diffs: DataFrame, keys: Sequence[str] = ("first", "second")) -> D
     )
 
 
+def comparison_interval(diffs: DataFrame, cases: DataFrame, weights: DataFrame, keys: Sequence[str] = ("first", "second"), case: str = "case_id") -> DataFrame:
+    """``comparison`` with the interval of the difference and the number of cases that differ.
+
+    ``cases``: case and case_no of every case of the run, whether or not both sides have it, as resamples count them.
+    """
+    drawn = interval(diffs.join(cases, case), weights, keys, "diff")
+    out = comparison(diffs, keys).join(drawn, list(keys), "left")
+    return out.withColumn("discordant", F.col("first_better") + F.col("second_better")).withColumns({c: half_even(F.col(c)) for c in ("difference", "low", "high")})
+
+
+def arm_comparison(items: DataFrame, cases: DataFrame, weights: DataFrame, first: Column, second: Column, triggered: Column, model: str = "model", case: str = "case_id") -> DataFrame:
+    """Two arms' repaired shares, paired on every case: one row.
+
+    The difference is the sum of the cases' share differences, over models too, by the sum of their
+    triggered shares, with its interval. A case differs when the arms repaired different numbers of its
+    items, all models together (integers, no shares), and counts for the arm that repaired more.
+    """
+    n = F.count("*").cast("double")
+    per_model = items.groupBy(model, case).agg(
+        ((F.count_if(triggered & first) - F.count_if(triggered & second)) / n).alias("_diff"), (F.count_if(triggered) / n).alias("_triggered"), (F.count_if(triggered & first) - F.count_if(triggered & second)).alias("_margin")
+    )
+    per_case = per_model.groupBy(case).agg(F.sum("_diff").alias("_diff"), F.sum("_triggered").alias("_triggered"), F.sum("_margin").alias("_margin"))
+    drawn = interval(per_case.join(cases, case), weights, [], "_diff", "_triggered")
+    ahead, behind = F.count_if(F.col("_margin") > 0), F.count_if(F.col("_margin") < 0)
+    below = F.sum("_triggered")
+    point = per_case.agg(
+        F.when(below > 0, F.sum("_diff") / below).alias("difference"), ahead.alias("first_better"), behind.alias("second_better"), (ahead + behind).alias("discordant"), (ahead + behind < DISCORDANT).alias("inconclusive")
+    )
+    both = point.withColumn("_one", F.lit(1)).join(drawn.withColumn("_one", F.lit(1)), "_one", "left").drop("_one")  # two single rows
+    return both.withColumns({c: half_even(F.col(c)) for c in ("difference", "low", "high")})
+
+
+def gold_recall(items: DataFrame, keys: Sequence[str], gold: str, hits: str, shown: str, case: str = "case_id") -> DataFrame:
+    """Of the items measured (``hits`` not null, ``gold`` above 0): mean recall and full coverage over cases; least and most fields shown over all items."""
+    measured = F.col(hits).isNotNull() & (F.col(gold) > 0)
+    per_case = items.groupBy(*keys, case).agg(
+        F.avg(F.when(measured, F.col(hits) / F.col(gold))).alias("_recall"), F.avg(F.when(measured, (F.col(hits) == F.col(gold)).cast("double"))).alias("_full"), F.min(shown).alias("_least"), F.max(shown).alias("_most")
+    )
+    return per_case.groupBy(*keys).agg(
+        F.min("_least").alias("k_min"), F.max("_most").alias("k_max"), half_even(F.avg("_recall")).alias("mean_recall"), half_even(F.avg("_full")).alias("full_coverage")
+    ).where("mean_recall is not null")
+
+
 def reading(low: Column, high: Column, discordant: Column) -> Column:
     """G24: 'gain', 'loss' or 'inconclusive': the interval leaves out 0 and enough cases differ."""
     return F.when(discordant < DISCORDANT, "inconclusive").when(low > 0, "gain").when(high < 0, "loss").otherwise("inconclusive")

@@ -18,8 +18,19 @@ from packsieve.functions import text
 EXACT, ABBREVIATED, PROTOCOL, REGISTRATIONS = 4, 2, 4, 64
 # Limits of one request.
 LIMITS = {"items": 128, "top_k": 32, "query_bytes": 4096, "query_tokens": 64, "item_id_bytes": 256, "context_bytes": 32 * 1024}
-# Words of the request frame that say nothing about the example.
+# Examples of a request, and words of the request frame, which say nothing about an example.
 FEW_SHOT = 8
+FRAME_WORDS = "all filter find for give i keep list me need only packets show that the which".split()
+#: Words of the queries (as rows) up to which they are sent to every executor, about 40 bytes each.
+BROADCAST_WORDS = 1_000_000
+
+
+def request_code(items: Column, top_k: Column, context_bytes: Column) -> Column:
+    """The code by which a request's own limits refuse it, or null."""
+    return (
+        F.when((items < 1) | (items > LIMITS["items"]), "too_many_items").when((top_k < 1) | (top_k > LIMITS["top_k"]), "top_k_out_of_range")
+        .when(context_bytes > LIMITS["context_bytes"], "context_too_large")
+    )
 
 
 def resolved(registrations: DataFrame) -> DataFrame:
@@ -45,11 +56,19 @@ def refused(queries: DataFrame, item: str = "item_id", intent: str = "intent") -
 
 
 def scored(queries: DataFrame, fields: DataFrame) -> DataFrame:
-    """(item_id, name, kind, protocol, display, score) of every pair that shares something.
+    """(item_id, name, score) of every pair that shares something.
 
     ``queries``: item_id, words array, protocols array, lexemes array.
-    ``fields``: name, kind, protocol, display.
+    ``fields``: name, kind, protocol, display. Queries of the same words are scored once.
     """
+    asked = queries.select("item_id", F.array_sort(F.array_distinct("words")).alias("words"), F.array_sort(F.array_distinct("protocols")).alias("protocols"), F.array_sort(F.array_distinct("lexemes")).alias("lexemes"))
+    alike = asked.groupBy("words", "protocols", "lexemes").agg(F.min("item_id").alias("_first"))
+    found = _scored(alike.withColumnRenamed("_first", "item_id"), fields).withColumnRenamed("item_id", "_first")
+    same = asked.join(alike, ["words", "protocols", "lexemes"]).select("item_id", "_first")
+    return found.join(same, "_first").select("item_id", "name", "score")
+
+
+def _scored(queries: DataFrame, fields: DataFrame) -> DataFrame:
     f = fields.select("name", "kind", "protocol", "display", F.array_distinct(text.unicode_words(F.col("name"))).alias("abbr"), F.array_distinct(text.unicode_words(F.col("display"))).alias("disp"))
     own = f.select("name", F.explode("abbr").alias("token"))
     shown = f.select("name", F.explode("disp").alias("word"))
@@ -73,9 +92,9 @@ def scored(queries: DataFrame, fields: DataFrame) -> DataFrame:
     lexemes = queries.select("item_id", "lexemes")
     name = F.lower("name")
     return (
-        pair.join(f.drop("disp"), "name").join(lexemes, "item_id")
+        pair.join(f.select("name", "abbr"), "name").join(lexemes, "item_id")
         .withColumn("score", text.lexical_score(F.col("raw"), F.size(F.array_except("abbr", "matched")), name.contains(".") & F.array_contains("lexemes", name)))
-        .select("item_id", "name", "kind", "protocol", "display", "score")
+        .select("item_id", "name", "score")
     )
 
 
@@ -86,8 +105,8 @@ def top(rows: DataFrame, group: Sequence[str], order: Sequence[Column], k: int)
 
 
 def top_fields(rows: DataFrame, k: int) -> DataFrame:
-    """Ties by name, protocol, display, kind."""
-    return top(rows, ["item_id"], [F.desc("score"), F.asc("name"), F.asc("protocol"), F.asc("display"), F.asc("kind")], k)
+    """The k best of each item, ties by name; a name stands for one field, whose columns are joined to the few that stay."""
+    return top(rows, ["item_id"], [F.desc("score"), F.asc("name")], k)
 
 
 def within_bytes(ranked: DataFrame, group: Sequence[str], bytes_: Column, most: int) -> DataFrame:
@@ -108,16 +127,34 @@ def recall(ranked: DataFrame, gold: DataFrame, ks: Sequence[int]) -> DataFrame:
     return wide.select("items", F.inline(F.array(*rows)))
 
 
+def content_words(c: Column) -> Column:
+    """The different words of a text without those of the request frame."""
+    return F.array_except(F.coalesce(text.ascii_words(c), F.array().cast("array<string>")), F.array(*map(F.lit, FRAME_WORDS)))
+
+
 def examples(queries: DataFrame, pool: DataFrame, k: int = FEW_SHOT) -> DataFrame:
     """Per query the k pool rows with most shared words, then fewest others, then smallest id; best last in ``shown``.
 
-    Both tables: id and words (an array without repeats). Rows meet on words, so
-    pairs that share none are never made; a query that fewer than k rows share a
-    word with gets fewer.
+    Both tables: id and words (``content_words``). Rows that share words meet on
+    them; the pool is dealt by row first, so a common word is no hot key, a pair is
+    counted where its row lies and only the best k of each task are shuffled. Where
+    fewer than k rows share a word with a query, those of the fewest words follow:
+    they are among the 2 k smallest rows of the pool, whatever the query. A pool of
+    fewer than k rows is refused.
     """
+    smallest = pool.select(F.col("id").alias("example_id"), "words", F.size("words").alias("_n")).orderBy("_n", "example_id").limit(2 * k).collect()
+    if len(smallest) < k:
+        raise ValueError(f"pool_too_small: the pool cannot supply {k} examples")
     q = queries.select(F.col("id").alias("query_id"), F.explode("words").alias("word"))
-    p = pool.select(F.col("id").alias("example_id"), F.explode("words").alias("word"), F.size("words").alias("_n"))
+    if q.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS:
+        q = F.broadcast(q)
+    p = pool.repartition("id").select(F.col("id").alias("example_id"), F.explode("words").alias("word"), F.size("words").alias("_n"))
     pairs = q.join(p, "word").groupBy("query_id", "example_id").agg(F.count("*").alias("shared"), (F.first("_n") - F.count("*")).alias("extra"))
-    best = top(pairs, ["query_id"], [F.desc("shared"), F.asc("extra"), F.asc("example_id")], k)
-    n = F.count("*").over(Window.partitionBy("query_id"))
-    return best.withColumn("shown", n - F.col("rank") + 1)
+    kinds = dict(pool.select(F.col("id").alias("example_id"), "words").dtypes)
+    rest = F.array(*[F.struct(F.lit(r.example_id).cast(kinds["example_id"]).alias("example_id"), F.array(*map(F.lit, r.words)).cast("array<string>").alias("_w"), F.lit(r._n).alias("extra")) for r in smallest])
+    nothing = (
+        queries.select(F.col("id").alias("query_id"), F.col("words").alias("_q"), F.inline(rest)).where(~F.arrays_overlap("_q", "_w"))
+        .select("query_id", "example_id", F.lit(0).cast("long").alias("shared"), F.col("extra").cast("long").alias("extra"))
+    )
+    best = top(pairs.unionByName(nothing), ["query_id"], [F.desc("shared"), F.asc("extra"), F.asc("example_id")], k)
+    return best.withColumn("shown", k - F.col("rank") + 1)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # Completed requests that a run needs, how near the best a winner may be, values listed of a set.
 COMPLETED_FLOOR, WINNER_MARGIN, LISTED = 152, 4, 8
+# Outcomes that a repair round takes up again, and the condition that it repairs.
+TRIGGER, REPAIRED = ("silent_wrong", "invalid"), "C4"
 
 
 def last_attempts(attempts: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -34,6 +36,18 @@ def provider_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.split_part(name, F.lit("/"), F.lit(1))), "[^0-9a-z]", "")
 
 
+def repair_plan(outcomes: DataFrame, trigger: Sequence[str] = TRIGGER, condition: str = REPAIRED) -> DataFrame:
+    """The items to be tried again, with the place that preparing gave them (``pos``); their order is that of ``pos``."""
+    return outcomes.where((F.col("condition") == condition) & F.col("outcome").isin(*trigger)).select("item_id", "outcome", "pos")
+
+
+def plan_differs(outcomes: DataFrame, plan: DataFrame) -> DataFrame:
+    """Items that the trigger picks and the plan lacks, or the other way round, or at another place: (item_id, status)."""
+    want, have = repair_plan(outcomes).select("item_id", F.col("pos").alias("_want"), F.lit(True).alias("_w")), plan.select("item_id", F.col("pos").alias("_have"), F.lit(True).alias("_h"))
+    status = F.when(F.col("_h").isNull(), "missing").when(F.col("_w").isNull(), "added").when(~F.col("_want").eqNullSafe(F.col("_have")), "moved")
+    return want.join(have, "item_id", "full").select("item_id", status.alias("status")).where("status is not null")
+
+
 def listed(value: Column, most: int = LISTED) -> list[Column]:
     """The first distinct values in order, and how many there are."""
     return [F.slice(F.array_sort(F.collect_set(value)), 1, most).alias("listed"), F.count_distinct(value).alias("distinct")]

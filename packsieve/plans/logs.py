@@ -177,34 +177,44 @@ def receipt_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.recomputed(stored, {"stored": F.lower("o_orderstatus")}).select("o_orderkey", "o_orderstatus")
 
 
-@query("round_audit", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus IN ('O', 'P') AND o_orderkey % 60 = 0")
+@query("round_audit", """WITH o AS (SELECT o_orderkey AS item_id, o_orderkey * 3 AS pos, o_orderkey % 4 = 3 AND o_orderstatus IN ('O', 'P') AS wanted, o_orderkey % 60 <> 0 AND (o_orderkey % 4 = 3 AND o_orderstatus IN ('O', 'P') AND o_orderkey % 35 <> 0 OR o_orderkey % 77 = 0) AS planned,
+        o_orderkey * 3 + CAST(o_orderkey % 26 = 0 AS INTEGER) + CAST(o_orderkey % 27 = 0 AS INTEGER) AS planned_pos FROM orders)
+    SELECT item_id, CASE WHEN NOT planned THEN 'missing' WHEN NOT wanted THEN 'added' ELSE 'moved' END AS status FROM o WHERE (wanted OR planned) AND NOT (wanted AND planned AND pos = planned_pos)""")
 def round_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items that the trigger picks and the plan lacks."""
-    o = table(spark, sf_dir, "orders")
-    triggered = o.where(F.col("o_orderstatus").isin("O", "P"))
-    return triggered.join(o.where("o_orderkey % 60 <> 0").select("o_orderkey"), "o_orderkey", "left_anti").select("o_orderkey", "o_orderstatus")
+    """A repair plan against what the trigger picks: items missing, added, or at another place."""
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    outcome = F.when(status == "O", "silent_wrong").when(status == "P", "invalid").otherwise("strong_exact")
+    o = table(spark, sf_dir, "orders").select(k.alias("item_id"), F.concat(F.lit("C"), (k % 4 + 1).cast("string")).alias("condition"), outcome.alias("outcome"), (k * 3).alias("pos"))
+    i = F.col("item_id")
+    kept = runs.repair_plan(o).where(i % 35 != 0).select("item_id", "pos").unionByName(o.where(i % 77 == 0).select("item_id", "pos")).where(i % 60 != 0).distinct()
+    moved = kept.withColumn("pos", F.col("pos") + (i % 26 == 0).cast("int") + (i % 27 == 0).cast("int"))
+    return runs.plan_differs(o, moved)
+
+
+@query("settings_guard", """WITH s AS (SELECT o_orderkey, unnest([{'setting': 'o_orderstatus', 'registered': 'F', 'found': CAST(o_orderstatus AS VARCHAR)}, {'setting': 'o_orderpriority', 'registered': '1-URGENT', 'found': o_orderpriority}]) AS x FROM orders)
+    SELECT o_orderkey, x.setting AS setting, x.registered AS registered, x.found AS found FROM s WHERE x.registered IS DISTINCT FROM x.found""")
+def settings_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12."""
+    return audits.settings_differ(table(spark, sf_dir, "orders"), {"o_orderstatus": "F", "o_orderpriority": "1-URGENT"}, ["o_orderkey"])
 
 
 @query("anchor_audit", "SELECT l_orderkey AS k, count(*) AS n FROM lineitem GROUP BY 1 HAVING count(*) <> 1")
 def anchor_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anchors that don't have exactly one row."""
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.count("*").alias("n")).where("n <> 1")
+    return audits.exactly_once(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")), "k")
 
 
 @query("suite_kills", """WITH k AS (SELECT o_custkey AS case_id, o_orderkey % 3 AS pos, bool_or(o_orderstatus <> 'F') AS killed FROM orders GROUP BY ALL)
     SELECT count(DISTINCT case_id) AS cases, count(DISTINCT case_id) FILTER (killed) AS killed, count(DISTINCT case_id) FILTER (killed AND pos = 0) AS killed_by_first FROM k""")
 def suite_kills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Any probe against the first alone."""
-    k = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("case_id")).agg(
-        F.bool_or(F.col("o_orderstatus") != "F").alias("killed"), F.coalesce(F.bool_or(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderstatus") != "F")), F.lit(False)).alias("first")
-    )
-    return k.agg(F.count("*").alias("cases"), F.count_if("killed").alias("killed"), F.count_if("first").alias("killed_by_first"))
+    return audits.suite(table(spark, sf_dir, "orders"), "o_custkey", F.col("o_orderstatus") != "F", F.col("o_orderkey") % 3 == 0)
 
 
-@query("rows_differ", """WITH m AS (SELECT o_custkey % 200 AS member, count(DISTINCT o_orderpriority) AS groups FROM orders WHERE o_orderkey % 9 < 4 GROUP BY 1) SELECT member, groups FROM m WHERE groups < (SELECT count(DISTINCT o_orderpriority) FROM orders WHERE o_orderkey % 9 < 4)""")
+@query("rows_differ", """WITH m AS (SELECT o_custkey AS member, count(DISTINCT o_orderpriority) AS groups FROM orders GROUP BY 1) SELECT member, groups FROM m WHERE groups < (SELECT count(DISTINCT o_orderpriority) FROM orders)""")
 def rows_differ(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A11, A12."""
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 9 < 4").select("o_orderpriority", (F.col("o_custkey") % 200).alias("member"))
+    """A11."""
+    o = table(spark, sf_dir, "orders").select("o_orderpriority", F.col("o_custkey").alias("member"))
     return audits.same_members(o, "o_orderpriority", "member")
 
 
@@ -282,12 +292,12 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.inventory(p.select(F.col("p_name").alias("name"), F.col("p_type").alias("raw"), F.lit("integer").alias("kind")), p.select(F.col("p_brand").alias("name")))
 
 
-@query("catalog_bind", """WITH u AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey < 50 UNION SELECT 'no such'), c AS (SELECT p_name AS name, count(DISTINCT p_type) AS kinds FROM part GROUP BY 1)
+@query("catalog_bind", """WITH u AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT 'no such'), c AS (SELECT p_name AS name, count(DISTINCT p_type) AS kinds FROM part GROUP BY 1)
     SELECT u.name, CASE WHEN kinds IS NULL THEN 'unknown_field' WHEN kinds > 1 THEN 'conflict' END AS code FROM u LEFT JOIN c ON u.name = c.name""")
 def catalog_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S9, S10."""
     from packsieve.sources import catalog
 
     p = table(spark, sf_dir, "part")
-    used = p.where("p_partkey < 50").select(F.col("p_name").alias("name")).union(spark.createDataFrame([("no such",)], "name string"))
+    used = p.select(F.col("p_name").alias("name")).union(spark.createDataFrame([("no such",)], "name string"))
     return catalog.bind(used, p.select(F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.col("p_type").alias("raw"), F.col("p_brand").alias("protocol"), F.col("p_name").alias("display"))).select("name", "code")

@@ -88,12 +88,14 @@ def ratio_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # A bootstrap over 25 cases (nations): integers as numerators, so that sums are exact.
-_weights25 = ",".join(f"{b}:{i}:{w}" for b, i, w in rates.resample_weights(25, 200))
+_WEIGHTS25 = "w AS (SELECT split_part(x, ':', 1)::BIGINT AS resample, split_part(x, ':', 2)::BIGINT AS case_no, split_part(x, ':', 3)::BIGINT AS weight FROM (SELECT unnest(string_split('{}', ',')) AS x))".format(
+    ",".join(f"{b}:{i}:{w}" for b, i, w in rates.resample_weights(25))
+)
 
 
 @query("bootstrap_ci", f"""WITH s AS (SELECT n_nationkey AS case_id, count(c_custkey) FILTER (c_acctbal > 4000) AS good, count(c_custkey) AS items FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1),
     c AS (SELECT *, row_number() OVER (ORDER BY case_id) - 1 AS case_no FROM s),
-    w AS (SELECT split_part(x, ':', 1)::BIGINT AS resample, split_part(x, ':', 2)::BIGINT AS case_no, split_part(x, ':', 3)::BIGINT AS weight FROM (SELECT unnest(string_split('{_weights25}', ',')) AS x)),
+    {_WEIGHTS25},
     r AS (SELECT resample, sum(weight * good) / sum(weight * items)::DOUBLE AS r FROM c JOIN w USING (case_no) GROUP BY 1 HAVING sum(weight * items) > 0)
     SELECT round(quantile_disc(r, 0.025), 6) AS low, round(quantile_disc(r, 0.975), 6) AS high, count(*) AS resamples_used FROM r""")
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,7 +104,7 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("case_id"))
     per = n.join(c.groupBy(F.col("c_nationkey").alias("case_id")).agg(F.count_if(F.col("c_acctbal") > 4000).alias("good"), F.count("*").alias("items")), "case_id", "left").fillna(0)
     cases = rates.numbered(per, "case_id")
-    out = rates.interval(cases, rates.weights_table(spark, 25, 200), [], "good", "items")
+    out = rates.interval(cases, rates.weights_table(spark, 25), [], "good", "items")
     return out.withColumns({k: F.round(k, 6) for k in ("low", "high")})
 
 
@@ -111,10 +113,56 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT first, second, round(avg(diff), 6) AS difference, count(*) FILTER (diff > 0) AS first_better, count(*) FILTER (diff < 0) AS second_better, count(*) AS cases,
         count(*) FILTER (diff <> 0) < 10 AS inconclusive FROM d GROUP BY ALL""")
 def paired_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G7, G14, J3."""
+    """G7, J3."""
     return rates.comparison(rates.paired(means(spark, sf_dir), "condition")).withColumn("difference", F.round("difference", 6))
 
 
+NATIONS = "k AS (SELECT n_nationkey AS case_id, row_number() OVER (ORDER BY n_nationkey) - 1 AS case_no FROM nation)"
+
+
+def nations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rates.numbered(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("case_id")), "case_id")
+
+
+@query("comparison_ci", f"""WITH {O}, m AS (SELECT condition, c_nationkey AS case_id, avg(CASE WHEN outcome = 'strong_exact' THEN 1.0 ELSE 0.0 END) AS mean FROM o JOIN customer ON c_custkey = o.case_id GROUP BY ALL), {NATIONS}, {_WEIGHTS25},
+    p AS (SELECT * FROM (VALUES ('C4', 'C2'), ('C2', 'C1'), ('C4', 'C3')) t(first, second)),
+    d AS (SELECT first, second, a.case_id, a.mean - b.mean AS diff FROM p JOIN m a ON a.condition = first JOIN m b ON b.condition = second AND a.case_id = b.case_id),
+    r AS (SELECT first, second, resample, sum(weight * diff) / sum(weight) AS r FROM d JOIN k USING (case_id) JOIN w USING (case_no) GROUP BY ALL HAVING sum(weight) > 0),
+    i AS (SELECT first, second, quantile_disc(r, 0.025) AS low, quantile_disc(r, 0.975) AS high, count(*) AS resamples_used FROM r GROUP BY ALL),
+    c AS (SELECT first, second, avg(diff) AS difference, count(*) FILTER (diff > 0) AS first_better, count(*) FILTER (diff < 0) AS second_better, count(*) AS cases, count(*) FILTER (diff <> 0) AS discordant FROM d GROUP BY ALL)
+    SELECT first, second, round_even(difference, 6) AS difference, round_even(low, 6) AS low, round_even(high, 6) AS high, resamples_used, first_better, second_better, cases, discordant, discordant < 10 AS inconclusive FROM c JOIN i USING (first, second)""")
+def comparison_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The customer's nation is the case."""
+    of = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("case_id"), F.col("c_nationkey").alias("nation"))
+    items = outcomes(spark, sf_dir).join(of, "case_id").drop("case_id").withColumnRenamed("nation", "case_id")
+    diffs = rates.paired(rates.case_means(items, F.col("outcome") == "strong_exact", ["condition"]), "condition")
+    return rates.comparison_interval(diffs, nations(spark, sf_dir), rates.weights_table(spark, 25))
+
+
+@query("arm_comparison", f"""WITH i AS (SELECT l_suppkey % 3 AS model, s_nationkey AS case_id, l_quantity > 30 AS triggered, l_quantity > 30 AND l_discount > 0.05 AS a, l_quantity > 30 AND l_tax > 0.04 AS b FROM lineitem JOIN supplier ON s_suppkey = l_suppkey), {NATIONS}, {_WEIGHTS25},
+    s AS (SELECT model, case_id, (count(*) FILTER (a) - count(*) FILTER (b)) / count(*)::DOUBLE AS diff, count(*) FILTER (triggered) / count(*)::DOUBLE AS tried, count(*) FILTER (a) - count(*) FILTER (b) AS margin FROM i GROUP BY ALL),
+    c AS (SELECT case_id, sum(diff) AS diff, sum(tried) AS tried, sum(margin) AS margin FROM s GROUP BY 1),
+    r AS (SELECT resample, sum(weight * diff) / sum(weight * tried) AS r FROM c JOIN k USING (case_id) JOIN w USING (case_no) GROUP BY 1 HAVING sum(weight * tried) > 0),
+    x AS (SELECT quantile_disc(r, 0.025) AS low, quantile_disc(r, 0.975) AS high, count(*) AS resamples_used FROM r)
+    SELECT round_even(sum(diff) / sum(tried), 6) AS difference, any_value(round_even(low, 6)) AS low, any_value(round_even(high, 6)) AS high, any_value(resamples_used) AS resamples_used,
+        count(*) FILTER (margin > 0) AS first_better, count(*) FILTER (margin < 0) AS second_better, count(*) FILTER (margin <> 0) AS discordant, count(*) FILTER (margin <> 0) < 10 AS inconclusive FROM c, x""")
+def arm_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The supplier's nation is the case."""
+    of = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("case_id"))
+    items = table(spark, sf_dir, "lineitem").join(of, "l_suppkey").withColumn("model", F.col("l_suppkey") % 3)
+    return rates.arm_comparison(items, nations(spark, sf_dir), rates.weights_table(spark, 25), F.col("l_discount") > 0.05, F.col("l_tax") > 0.04, F.col("l_quantity") > 30)
+
+
+@query("gold_recall", """WITH i AS (SELECT p_type AS condition, p_brand AS case_id, p_partkey % 5 AS gold, CASE WHEN p_partkey % 3 > 0 THEN p_size % (1 + p_partkey % 5) END AS hits, p_size AS shown FROM part),
+    c AS (SELECT condition, case_id, avg(hits / gold::DOUBLE) FILTER (hits IS NOT NULL AND gold > 0) AS recall, avg(CAST(hits = gold AS INTEGER)) FILTER (hits IS NOT NULL AND gold > 0) AS whole, min(shown) AS least, max(shown) AS most FROM i GROUP BY ALL)
+    SELECT condition, min(least) AS k_min, max(most) AS k_max, round_even(avg(recall), 6) AS mean_recall, round_even(avg(whole), 6) AS full_coverage FROM c GROUP BY 1 HAVING avg(recall) IS NOT NULL""")
+def gold_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G10."""
+    k = F.col("p_partkey")
+    items = table(spark, sf_dir, "part").select(F.col("p_type").alias("condition"), F.col("p_brand").alias("case_id"), (k % 5).alias("gold"), F.when(k % 3 > 0, F.col("p_size") % (1 + k % 5)).alias("hits"), F.col("p_size").alias("shown"))
+    return rates.gold_recall(items, ["condition"], "gold", "hits", "shown")
+
+
 @query("noise_reading", """WITH t AS (SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F' AND o_orderkey % 3 = 0) AS gained, count(*) FILTER (o_orderstatus = 'O' AND o_orderkey % 7 = 0) AS lost FROM orders GROUP BY 1)
     SELECT o_orderpriority, gained, lost, round(2 * sqrt((gained + lost) / 2), 6) AS bound, (gained - lost) * (gained - lost) <= 2 * (gained + lost) AS within FROM t""")
 def noise_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +191,7 @@ def shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("repair_rate", f"WITH {REPAIR} SELECT model, round(CASE WHEN sum(triggered) > 0 THEN sum(repaired) / sum(triggered) END, 6) AS value, count(*) AS cases FROM s GROUP BY model")
 def repair_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G17, G18."""
+    """G17."""
     return rates.ratio(shares(spark, sf_dir), ["model"], "repaired", "triggered").withColumn("value", F.round("value", 6))
 
 
@@ -254,3 +302,12 @@ def judge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G21."""
     rows = outcomes(spark, sf_dir).withColumn("rating", F.element_at(F.array(F.lit("correct"), F.lit("wrong"), F.lit("unsure")), (F.col("item_id") % 3 + 1).cast("int")))
     return classes.cross_tab(rows, ["condition"], "outcome", "rating", ["correct", "wrong", "unsure"])
+
+
+@query("judge_cuts", f"""WITH {O}, x AS (SELECT outcome, item_id % 3 AS rating, CASE WHEN condition = 'C' || (item_id % 5) THEN 'self' ELSE 'others' END AS cut FROM o), y AS (SELECT * FROM x UNION ALL SELECT outcome, rating, 'run' FROM x)
+    SELECT cut, outcome, count(*) FILTER (rating = 0) AS correct, count(*) FILTER (rating = 1) AS wrong, count(*) FILTER (rating = 2) AS unsure FROM y GROUP BY GROUPING SETS ((cut, outcome), (cut))""")
+def judge_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings of a run, of the judge's own answers and of others'."""
+    i = F.col("item_id")
+    rows = outcomes(spark, sf_dir).withColumn("rating", F.element_at(F.array(F.lit("correct"), F.lit("wrong"), F.lit("unsure")), (i % 3 + 1).cast("int"))).withColumn("judge", F.concat(F.lit("C"), (i % 5).cast("string")))
+    return classes.cross_tab(classes.judge_cuts(rows, "judge", "condition"), ["cut"], "outcome", "rating", ["correct", "wrong", "unsure"])

@@ -33,7 +33,7 @@ def fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "supplier").where("s_suppkey < 40")
+    s = table(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
     pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
     intent = F.concat_ws(" ", F.lit("Show"), pick(["small", "red", "blue", "large", "gree"], k), pick(["widget", "bolt", "ring", "gearing", "smaller"], k + F.floor(k / 5)), F.lit("brand"), (k % 25).cast("string"))
@@ -43,7 +43,7 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REQUESTS = """q AS (SELECT s_suppkey AS item_id, lower('Show ' || ['small', 'red', 'blue', 'large', 'gree'][s_suppkey % 5 + 1] || ' ' || ['widget', 'bolt', 'ring', 'gearing', 'smaller'][(s_suppkey + s_suppkey // 5) % 5 + 1] || ' brand ' || (s_suppkey % 25)) AS intent,
-        CASE WHEN s_suppkey % 3 = 0 THEN 'economy' END AS proto FROM supplier WHERE s_suppkey < 40),
+        CASE WHEN s_suppkey % 3 = 0 THEN 'economy' END AS proto FROM supplier),
     qw AS (SELECT DISTINCT item_id, w AS word FROM (SELECT item_id, unnest(string_split(intent, ' ')) AS w FROM q)),
     f AS (SELECT lower(p_type) || '.' || replace(p_name, ' ', '.') || '.' || p_partkey AS name, lower(p_type) AS protocol, p_name || ' ' || lower(p_brand) AS display FROM part),
     ab AS (SELECT DISTINCT name, unnest(string_split(name, '.')) AS token FROM f), ds AS (SELECT DISTINCT name, unnest(regexp_extract_all(display, '[a-z0-9]+')) AS word FROM f),
@@ -88,14 +88,17 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.recall(all_ranked.where("rank <= 16"), gold, [1, 4, 16]).withColumns({c: F.round(c, 6) for c in ("macro", "micro")})
 
 
-@query("few_shot_topk", """WITH q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS words FROM benchmark),
-    d AS (SELECT doc_id AS example_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS words FROM documents),
+_CONTENT = "list_filter(list_distinct(regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+')), lambda x: x NOT IN ('all', 'filter', 'find', 'for', 'give', 'i', 'keep', 'list', 'me', 'need', 'only', 'packets', 'show', 'that', 'the', 'which'))"
+
+
+@query("few_shot_topk", f"""WITH q AS (SELECT item_id AS query_id, {_CONTENT} AS words FROM benchmark),
+    d AS (SELECT doc_id AS example_id, {_CONTENT} AS words FROM documents),
     pr AS (SELECT query_id, example_id, CAST(len(list_intersect(q.words, d.words)) AS BIGINT) AS shared, CAST(len(d.words) AS BIGINT) AS n FROM q, d),
-    r AS (SELECT query_id, example_id, shared, n - shared AS extra, CAST(row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, n - shared, example_id) AS INTEGER) AS rank FROM pr WHERE shared > 0)
-    SELECT query_id, example_id, shared, extra, rank, 1 + count(*) OVER (PARTITION BY query_id) - rank AS shown FROM r WHERE rank <= 8""")
+    r AS (SELECT query_id, example_id, shared, n - shared AS extra, CAST(row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, n - shared, example_id) AS INTEGER) AS rank FROM pr)
+    SELECT query_id, example_id, shared, extra, rank, CAST(9 - rank AS INTEGER) AS shown FROM r WHERE rank <= 8""")
 def few_shot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W3, J7."""
-    words = F.array_distinct(text.ascii_words(F.col("text")))
+    words = retrieval.content_words(F.col("text"))
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), words.alias("words"))
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), words.alias("words"))
     return retrieval.examples(q, d)
@@ -179,14 +182,18 @@ def error_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = table(spark, sf_dir, "part").select("p_partkey", F.array(F.split_part("p_name", F.lit(" "), F.lit(1)), F.split_part("p_name", F.lit(" "), F.lit(2)), F.lower("p_brand"), F.lower("p_type"), (F.col("p_size") % 5).cast("string")).alias("items"))
-    return p.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("answer"), "items"), p.where("p_partkey < 60").select(F.col("p_partkey").alias("target"), "items")
+    words = table(spark, sf_dir, "part").groupBy("p_brand", "p_type").agg(F.min("p_partkey").alias("target"), F.min(F.split_part("p_name", F.lit(" "), F.lit(2))).alias("w"))
+    # answers without any word of a target: of those sizes alone
+    answers = p.select(F.col("p_partkey").alias("answer"), F.when(F.col("p_partkey") % 7 == 0, F.array(F.lit("nowhere"), F.col("p_partkey").cast("string"))).otherwise(F.col("items")).alias("items"))
+    return answers, words.select("target", F.array(F.lower("p_brand"), F.lower("p_type"), F.col("w")).alias("items"))
 
 
-_SETS = """p AS (SELECT p_partkey AS k, list_distinct([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), lower(p_brand), lower(p_type), CAST(p_size % 5 AS VARCHAR)]) AS items FROM part),
-    x AS (SELECT a.k AS answer, t.k AS target, len(list_intersect(a.items, t.items)) AS shared, len(a.items) + len(t.items) - 2 * len(list_intersect(a.items, t.items)) AS apart FROM p a, p t WHERE a.k % 3 = 0 AND t.k < 60)"""
+_SETS = """p AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 7 = 0 THEN ['nowhere', CAST(p_partkey AS VARCHAR)] ELSE list_distinct([split_part(p_name, ' ', 1), split_part(p_name, ' ', 2), lower(p_brand), lower(p_type), CAST(p_size % 5 AS VARCHAR)]) END AS items FROM part),
+    t AS (SELECT min(p_partkey) AS k, list_distinct([lower(p_brand), lower(p_type), min(split_part(p_name, ' ', 2))]) AS items FROM part GROUP BY p_brand, p_type),
+    x AS (SELECT a.k AS answer, t.k AS target, len(list_intersect(a.items, t.items)) AS shared, len(a.items) + len(t.items) - 2 * len(list_intersect(a.items, t.items)) AS apart FROM p a, t)"""
 
 
-@query("nearest_target", f"WITH {_SETS}, r AS (SELECT *, row_number() OVER (PARTITION BY answer ORDER BY shared DESC, apart, target) AS rn FROM x WHERE shared > 0) SELECT answer, target, CAST(shared AS BIGINT) AS shared, CAST(apart AS BIGINT) AS apart FROM r WHERE rn = 1")
+@query("nearest_target", f"WITH {_SETS}, r AS (SELECT *, row_number() OVER (PARTITION BY answer ORDER BY shared DESC, apart, target) AS rn FROM x) SELECT answer, target, CAST(shared AS BIGINT) AS shared, CAST(apart AS BIGINT) AS apart FROM r WHERE rn = 1")
 def nearest_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W9."""
     a, t = _sets(spark, sf_dir)
@@ -194,12 +201,12 @@ def nearest_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns({c: F.col(c).cast("long") for c in ("shared", "apart")})
 
 
-@query("proximity", """WITH p AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[a-z]+') AS a, regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]+') AS b FROM part)
-    SELECT p_partkey, CAST(len(list_distinct(b)) - len(list_distinct(a)) AS INTEGER) AS apart, TRUE AS inside, len(list_distinct(a)) < len(list_distinct(b)) AS proper FROM p""")
+@query("proximity", """WITH p AS (SELECT p_partkey, regexp_extract_all(lower(p_name), '[a-z]+') AS a, regexp_extract_all(lower(CASE WHEN p_partkey % 3 = 0 THEN p_type || ' ring' ELSE p_name || ' ' || p_type END), '[a-z]+') AS b FROM part)
+    SELECT p_partkey, CAST(len(list_distinct(list_concat(a, b))) - len(list_intersect(list_distinct(a), list_distinct(b))) AS INTEGER) AS apart, list_has_all(b, a) AS inside, list_has_all(b, a) AND NOT list_has_all(a, b) AS proper FROM p""")
 def proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J8, U5, U7."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
-    a, b = words(F.col("p_name")), words(F.concat_ws(" ", "p_name", "p_type"))
+    a, b = words(F.col("p_name")), words(F.when(F.col("p_partkey") % 3 == 0, F.concat_ws(" ", "p_type", F.lit("ring"))).otherwise(F.concat_ws(" ", "p_name", "p_type")))
     return table(spark, sf_dir, "part").select("p_partkey", classes.symmetric_difference(a, b).alias("apart"), classes.contained(a, b).alias("inside"), (classes.contained(a, b) & ~classes.contained(b, a)).alias("proper"))
 
 
@@ -212,12 +219,14 @@ def value_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.reused(d.select(F.col("doc_id").alias("item_id"), F.inline(cells)), d.select((F.col("doc_id") + 1).alias("item_id"), F.inline(cells)))
 
 
-@query("copy_share", """WITH d AS (SELECT doc_id, lang, md5(text) AS k, list_distinct(regexp_extract_all(text[1:60], '[a-z]+')) AS u FROM documents), known AS (SELECT DISTINCT k FROM d WHERE doc_id < 300)
+@query("copy_share", """WITH d AS (SELECT doc_id, lang, md5(text) AS k, list_distinct(regexp_extract_all(text, '[a-z]+')) AS u FROM documents), known AS (SELECT DISTINCT md5(text) AS k FROM benchmark UNION SELECT md5(text) FROM conversations UNION SELECT md5(text) FROM documents WHERE source = 'src0')
     SELECT lang, count(*) AS n, count(*) FILTER (known.k IS NOT NULL) AS copies, count(*) FILTER (len(list_filter(u, lambda x: x NOT IN ('the', 'and', 'of'))) > 0) AS unlisted FROM d LEFT JOIN known USING (k) GROUP BY lang""")
 def copy_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """G33."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.md5(F.col("text").cast("binary")).alias("k"), F.array_distinct(F.regexp_extract_all(F.substring("text", 1, 60), F.lit("[a-z]+"), F.lit(0))).alias("u"))
-    return classes.copy_shares(d, d.where("doc_id < 300"), "k", ["lang"], F.array(F.lit("the"), F.lit("and"), F.lit("of")), F.col("u"))
+    """The known texts are those of a benchmark, of conversations and of one source."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.md5(F.col("text").cast("binary")).alias("k"), F.array_distinct(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("u"))
+    known = [table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "conversations"), table(spark, sf_dir, "documents").where("source = 'src0'")]
+    keys = [t.select(F.md5(F.col("text").cast("binary")).alias("k")) for t in known]
+    return classes.copy_shares(d, keys[0].unionByName(keys[1]).unionByName(keys[2]), "k", ["lang"], F.array(F.lit("the"), F.lit("and"), F.lit("of")), F.col("u"))
 
 
 @query("status_slots", """SELECT d.doc_id, coalesce(l.quality = 1, FALSE) AS slot_match, coalesce(l.toxic = 0, l.toxic IS NULL AND d.lang IS NULL) AS status_match FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
@@ -232,19 +241,39 @@ def status_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("gold_coverage", f"""WITH p AS (SELECT p_partkey, {_WORDS} AS g, list_distinct(regexp_extract_all(lower(p_name || ' ' || p_type), '[a-z]+')[2:]) AS s FROM part)
     SELECT p_partkey, CAST(len(g) AS INTEGER) AS gold_fields, CAST(len(s) AS INTEGER) AS shown_fields, CAST(len(list_intersect(g, s)) AS INTEGER) AS shown_gold_fields FROM p""")
 def gold_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E10, G10."""
+    """E10."""
     from packsieve.operators import matching
 
     both = F.regexp_extract_all(F.lower(F.concat_ws(" ", "p_name", "p_type")), F.lit("[a-z]+"), F.lit(0))
     return table(spark, sf_dir, "part").select("p_partkey", *matching.field_coverage(text.ascii_words(F.col("p_name")), F.slice(both, 2, 9)))
 
 
+_HALVES = "p_partkey / 8.0"
+
+
+@query("half_even", f"SELECT p_partkey, round_even({_HALVES}, 2) AS rate, round_even(p_partkey / 2.0, 0) AS whole FROM part")
+def half_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """eighths and halves, which are exact, so every fourth or second one is a tie."""
+    from packsieve.operators import rates
+
+    k = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select("p_partkey", rates.half_even(k / 8, 2).alias("rate"), rates.half_even(k / 2, 0).alias("whole"))
+
+
+@query("request_limits", """SELECT o_orderkey, CASE WHEN o_orderkey % 140 = 0 OR o_orderkey % 140 > 128 THEN 'too_many_items' WHEN o_orderkey % 40 NOT BETWEEN 1 AND 32 THEN 'top_k_out_of_range' WHEN o_custkey * 64 > 32768 THEN 'context_too_large' END AS code FROM orders""")
+def request_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Limits of whole requests."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select("o_orderkey", retrieval.request_code(k % 140, k % 40, F.col("o_custkey") * 64).alias("code"))
+
+
 # Text functions, on parts, documents and numbers.
-@query("tokens", """SELECT doc_id, CAST(len(regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g')), '[a-z0-9]+')) AS INTEGER) AS words, CAST(len(regexp_extract_all(lower(regexp_replace(text, '[^\\x00-\\x7F]', ' ', 'g')), '[a-z0-9]+(?:[._-][a-z0-9]+)*')) AS INTEGER) AS lexemes FROM documents""")
+@query("tokens", """SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS INTEGER) AS unicode, CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS INTEGER) AS words,
+    CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+(?:[._-][a-z0-9]+)*')) AS INTEGER) AS lexemes FROM documents WHERE text IS NOT NULL""")
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1-F3, on what is ASCII of a text."""
-    ascii_ = F.regexp_replace("text", r"[^\x00-\x7F]", " ")
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(text.ascii_words(ascii_)).alias("words"), F.size(text.lexemes(ascii_)).alias("lexemes"))
+    """F1-F3, on whole texts of four languages."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    return d.select("doc_id", F.size(text.unicode_words(F.col("text"))).alias("unicode"), F.size(text.ascii_words(F.col("text"))).alias("words"), F.size(text.lexemes(F.col("text"))).alias("lexemes"))
 
 
 @query("acronyms", "SELECT p_partkey, p_name[1:1] || split_part(p_name, ' ', 2)[1:1] || lower(p_brand)[1:1] || regexp_extract(p_brand, '[0-9]+') AS acronym FROM part")
@@ -306,19 +335,23 @@ def score_int(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", text.lexical_score(F.col("p_size") % 7, F.col("p_partkey") % 5, F.col("p_partkey") % 10 == 0).alias("score"))
 
 
-@query("field_names", "SELECT p_partkey, p_partkey % 2 = 0 AS ok FROM part")
+@query("field_names", """WITH n AS (SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN replace(p_name, ' ', '.') WHEN 1 THEN replace(p_name, ' ', '..') WHEN 2 THEN p_name ELSE replace(p_name, ' ', '.') || repeat('x', 256) END AS name FROM part)
+    SELECT p_partkey, regexp_full_match(name, '[A-Za-z0-9_-]+(\\.[A-Za-z0-9_-]+)*') AND strlen(name) <= 256 AS ok FROM n""")
 def field_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F26."""
-    name = F.when(F.col("p_partkey") % 2 == 0, F.regexp_replace("p_name", " ", ".")).otherwise(F.concat(F.regexp_replace("p_name", " ", ".."), F.lit(" ")))
+    """names with a space, two dots in a row, too many bytes or none of these."""
+    k, dotted = F.col("p_partkey") % 4, F.regexp_replace("p_name", " ", ".")
+    name = F.when(k == 0, dotted).when(k == 1, F.regexp_replace("p_name", " ", "..")).when(k == 2, F.col("p_name")).otherwise(F.concat(dotted, F.repeat(F.lit("x"), 256)))
     return table(spark, sf_dir, "part").select("p_partkey", text.is_field_name(name).alias("ok"))
 
 
-@query("json_pointer", """SELECT event_id, json_extract_string(props, '$.k') AS k, sha256(props) AS digest, CAST(2 AS BIGINT) AS n, CAST(json_extract_string(props, '$.k') AS DOUBLE) + 1 AS total, FALSE AS repeats FROM events""")
+@query("json_pointer", """SELECT event_id, json_extract_string(props, '$.k') AS k, sha256(props) AS digest, CAST(json_array_length(list) AS BIGINT) AS n, list_sum(CAST(from_json(list, '["DOUBLE"]') AS DOUBLE[])) AS total, len(json_keys(twice)) > len(list_distinct(json_keys(twice))) AS repeats
+    FROM (SELECT event_id, props, '[1, ' || json_extract_string(props, '$.k') || CASE WHEN event_id % 2 = 0 THEN ', 2.5]' ELSE ']' END AS list, CASE WHEN event_id % 3 = 0 THEN replace(props, '}', ', "k": 1}') ELSE props END AS twice FROM events)""")
 def json_pointer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F14, F16-F18."""
-    doc = F.concat(F.lit('{"a/b": [1, '), F.get_json_object("props", "$.k"), F.lit("]}"))
+    doc = F.concat(F.lit('{"a/b": [1, '), F.get_json_object("props", "$.k"), F.when(F.col("event_id") % 2 == 0, ", 2.5]}").otherwise("]}"))
+    twice = F.when(F.col("event_id") % 3 == 0, F.replace("props", F.lit("}"), F.lit(', "k": 1}'))).otherwise(F.col("props"))
     return table(spark, sf_dir, "events").select(
-        "event_id", jsons.pointer(F.col("props"), "/k").alias("k"), jsons.digest(F.col("props")).alias("digest"), jsons.length(doc, "/a~1b").alias("n"), jsons.total(doc, "/a~1b").alias("total"), jsons.repeats_a_key(F.col("props")).alias("repeats")
+        "event_id", jsons.pointer(F.col("props"), "/k").alias("k"), jsons.digest(F.col("props")).alias("digest"), jsons.length(doc, "/a~1b").alias("n"), jsons.total(doc, "/a~1b").alias("total"), jsons.repeats_a_key(twice).alias("repeats")
     )
 
 
