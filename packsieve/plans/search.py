@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packsieve.functions import jsons, networks, text
 from packsieve.operators import classes, filter_text, leakage, retrieval, shortcuts
-from packsieve.plans.frames import table
+from packsieve.plans.frames import dealt, table
 
 QUERIES, SQL = {}, {}
 
@@ -100,7 +100,7 @@ def few_shot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """W3, J7."""
     words = retrieval.content_words(F.col("text"))
     q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), words.alias("words"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), words.alias("words"))
+    d = dealt(table(spark, sf_dir, "documents")).select(F.col("doc_id").alias("id"), words.alias("words"))
     return retrieval.examples(q, d)
 
 
@@ -112,7 +112,7 @@ _OVERLAP = "a AS (WITH {} SELECT * FROM g), b AS (WITH {} SELECT * FROM g)".form
 @query("ngram_overlap", f"WITH {_OVERLAP} SELECT doc_id, item_id, count(*) AS shared_grams FROM a JOIN b USING (gram) GROUP BY ALL")
 def ngram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """F4, A3."""
-    return leakage.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
+    return leakage.overlaps(dealt(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
 @query("decontam_gate", f"""WITH {_OVERLAP}, hit AS (SELECT DISTINCT doc_id FROM a JOIN b USING (gram)),
@@ -122,7 +122,7 @@ def ngram_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decontam_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A2, A3, W11."""
     d = table(spark, sf_dir, "documents")
-    hit = leakage.overlaps(d, table(spark, sf_dir, "benchmark"), "doc_id", "item_id").select("doc_id").distinct().withColumn("overlaps", F.lit(True))
+    hit = leakage.overlaps(dealt(d), table(spark, sf_dir, "benchmark"), "doc_id", "item_id").select("doc_id").distinct().withColumn("overlaps", F.lit(True))
     toxic = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     marked = leakage.first_seen(d.withColumn("_key", F.sha2(F.col("text").cast("binary"), 256)).drop("text"), ["_key"], ["doc_id"])
     rows = marked.join(hit, "doc_id", "left").join(toxic, "doc_id", "left")
@@ -146,7 +146,7 @@ def _filters(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 5 == 0, F.lit("ip.id == 0x1f")), F.concat(F.lit("tcp.port == "), (41000 + n % 200).cast("string")), F.when(n % 7 == 0, F.lit('dns.qry.name contains "probe-3-4.example"')), F.when(n % 11 == 0, F.lit("ip.src == 10.0.0.0/8")),
     ]
     request = F.concat(F.lit("Show traffic to "), F.when(n % 2 == 0, host).otherwise("198.51.100.0/24"), F.lit(" port "), (41000 + n % 400).cast("string"), F.lit("."))
-    return table(spark, sf_dir, "customer").select(n.alias("item_id"), F.array_join(F.array_compact(F.array(*parts)), " && ").alias("filter"), request.alias("request"))
+    return dealt(table(spark, sf_dir, "customer")).select(n.alias("item_id"), F.array_join(F.array_compact(F.array(*parts)), " && ").alias("filter"), request.alias("request"))
 
 
 @query("shortcut_scan", """WITH c AS (SELECT c_custkey AS n FROM customer),
