@@ -2,6 +2,11 @@
 
 Every stage reads what the one before it has written, works on all of it, and
 all but the last return the columns of ``documents``.
+
+Edge cases: rows without text, or without a letter in it, go in the first stage; rows
+that repeat a doc_id are rows of their own, and those that repeat the text too are told
+once from the second stage on; further columns, whatever their names, pass through all
+stages but the last; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -44,16 +44,23 @@ def spread(rows: DataFrame, groups: DataFrame, keys: list[str], how: str) -> Dat
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def find(docs: DataFrame, payload: dict[str, Column] | None = None) -> DataFrame:
+def numbers(text: Column) -> list[Column]:
+    """What is known of a text before it is hashed whole: its length and a hash of its beginning."""
+    norm = normalised(text)
+    return [F.length(norm).cast("long").alias("_len"), F.xxhash64(F.substring(norm, 1, PREFIX_CHARS)).alias("_pre")]
+
+
+def find(docs: DataFrame, payload: dict[str, Column] | None = None, copies_alone: bool = False) -> DataFrame:
     """doc_id, keep_id, group_size long, kept boolean and the payload: one row per row of ``docs``.
 
-    ``payload`` names columns computed from ``docs`` that travel with a row.
+    ``payload`` names columns computed from ``docs`` that travel with a row. With
+    ``copies_alone``, only rows that survive both refinements are returned (with _len
+    and _pre too), and nothing but their lengths and beginnings is read of the others.
     """
     payload = payload or {}
-    norm = normalised(F.col("text"))
-    numbers = [F.length(norm).cast("long").alias("_len"), F.xxhash64(F.substring(norm, 1, PREFIX_CHARS)).alias("_pre")]
+    own = numbers(F.col("text"))
     carried = [c.alias(n) for n, c in payload.items()]
-    thin = scratch.table(docs.select("doc_id", *numbers, *carried), "lengths")
+    thin = scratch.table(docs.select("doc_id", *own, *([] if copies_alone else carried)), "lengths")
 
     by_length = thin.groupBy("_len").count().where("count > 1").select("_len")
     by_prefix = scratch.table(
@@ -66,17 +73,20 @@ def find(docs: DataFrame, payload: dict[str, Column] | None = None) -> DataFrame
     def meet(rows: DataFrame, how: str) -> DataFrame:
         return rows.join(F.broadcast(by_prefix), keys, how) if few else spread(rows, by_prefix, keys, how)
 
-    alone = meet(thin, "left_anti").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *payload
-    )
+    told = ["_len", "_pre", *payload] if copies_alone else [*payload]
     survivors = scratch.table(
-        meet(docs.select("doc_id", "text", *numbers, *carried), "left_semi")
-        .select("doc_id", *payload, text_sha256(F.col("text")).alias("_sha")),
+        meet(docs.select("doc_id", "text", *own, *carried), "left_semi")
+        .select("doc_id", *told, text_sha256(F.col("text")).alias("_sha")),
         "survivors",
     )
     groups = survivors.groupBy("_sha").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     met = spread(survivors, groups, ["_sha"], "inner").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), *payload
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), *told
+    )
+    if copies_alone:
+        return met
+    alone = meet(thin, "left_anti").select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), *payload
     )
     return alone.unionByName(met)
 
@@ -87,14 +97,22 @@ def without(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def drop(docs: DataFrame) -> DataFrame:
-    """``docs`` without exact copies: its columns, one row of each group."""
-    keys, key = ["_id", "_text_key"], F.xxhash64(normalised(F.col("text"))).alias("_text_key")
+    """``docs`` without exact copies: its columns, one row of each group.
+
+    Rows are told apart by id, length and beginning; the whole text is hashed for those alone
+    that survived both refinements.
+    """
+    keys, key = ["_id", "_len", "_pre", "_text_key"], F.xxhash64(normalised(F.col("text")))
     verdicts = scratch.table(
-        find(docs, {"_text_key": key}).where("group_size > 1")
-        .groupBy(F.struct("doc_id").alias("_id"), "_text_key").agg(F.count("*").alias("_times"), F.first("kept").alias("_kept")),
+        find(docs, {"_text_key": key}, copies_alone=True).where("group_size > 1")
+        .groupBy(F.struct("doc_id").alias("_id"), "_len", "_pre", "_text_key").agg(F.count("*").alias("_times"), F.first("kept").alias("_kept")),
         "verdicts",
     )
-    keyed = docs.select(scratch.whole(docs), F.struct("doc_id").alias("_id"), key)
+    # a hash is asked for only where id, length and beginning are those of a copy
+    maybe = verdicts.select("_id", "_len", "_pre").distinct().withColumn("_maybe", F.lit(True))
+    maybe = F.broadcast(maybe) if verdicts.count() <= BROADCAST_KEYS else maybe
+    thin = docs.select(scratch.whole(docs), F.struct("doc_id").alias("_id"), *numbers(F.col("text")))
+    keyed = thin.join(maybe, keys[:3], "left").withColumn("_text_key", F.when(F.col("_maybe"), F.xxhash64(normalised(F.col("_doc.text")))))
     left = without(keyed, verdicts.where("not _kept").select(*keys), keys)
     told_twice = verdicts.where("_kept and _times > 1").select(*keys)
     if told_twice.limit(1).count():

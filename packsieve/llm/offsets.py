@@ -9,13 +9,15 @@ serves the callers, and this one is the same in every run.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def bucket_count(rows: int, rows_per_bucket: int = 1000) -> int:
-    """Buckets that keep a bucket of even the largest group near ``rows_per_bucket`` rows."""
-    return max(32, -(-rows // rows_per_bucket))
+    """Buckets that keep a bucket of even the largest group near ``rows_per_bucket`` rows, or near the root of all rows, so that neither buckets nor rows in one grow beyond it."""
+    return max(32, -(-rows // max(rows_per_bucket, math.isqrt(rows))))
 
 
 def with_offsets(df: DataFrame, group: list[str], order: list[str], value: Column, buckets: int, name: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 A written table cuts lineage: a lost executor costs the tasks that it ran, not
 the stages before the table. The folder is the one in ``spark.checkpoint.dir``;
-only where a session has none (tests on one machine) is a temporary one set.
+only where a session has none and runs in one process is a temporary one set. On a
+cluster, which could not share it, a session without the setting is refused.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster, without a trailing slash."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if folder is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="packsieve-")
         spark.sparkContext.setCheckpointDir(folder)
         folder = spark.sparkContext.getCheckpointDir()
@@ -51,6 +55,12 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """A scanned table dealt out anew if it has fewer partitions than there are cores: small files often come as one task. Large tables stay where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def whole(df: DataFrame) -> Column:
     """All columns as one struct ``_doc``: extra columns can't clash with an operator's own; ``_doc.*`` gives them back."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc")

@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
     scratch.small_batches(docs.sparkSession)
     text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("text_key"), of(text).alias("fp"))
+    return scratch.dealt(docs.select("doc_id", "text")).select(F.col("doc_id").cast("long").alias("doc_id"), text_key(text).alias("text_key"), of(text).alias("fp"))
 
 
 def text_key(text: Column) -> Column:
