@@ -22,7 +22,7 @@ the smaller id included, and cells are merged by query. Scores are computed on t
 original vectors in double precision.
 
 The index is fitted on a sample of at most ``SAMPLE`` vectors and ``NUMBERS`` components
-(64 MB); all vectors are indexed. Up to ``CENTROIDS`` times ``POSTING`` vectors (3.3 million)
+(18 MB); all vectors are indexed. Up to ``CENTROIDS`` times ``POSTING`` vectors (1.6 million)
 lists keep their length; beyond, they grow with the table. Vectors without any clusters need
 the share ``SHARE`` of all lists for a recall of 0.9; of clustered ones the ratio reads few lists. Recall is measured
 against brute force in the tests and stated in the README.
@@ -46,10 +46,10 @@ from pyspark.sql import functions as F
 
 from packsieve.llm import scratch
 
-SAMPLE, NUMBERS, CENTROIDS, POSTING = 65_536, 8_000_000, 16_384, 200
+SAMPLE, NUMBERS, CENTROIDS, POSTING = 32_768, 2_200_000, 8192, 200
 DEGREE, FAR, BEAM, NARROW = 24, 8, 64, 24
 CLOSURE, COPIES = 1.08, 4
-REACH, LISTS, SHARE = 1.14, 64, 5 / 32
+REACH, LISTS, SHARE = 1.15, 64, 5 / 32
 LEAST, SPARE = 8, 4
 CELL, ASKS, K = 2000, 4096, 20
 
@@ -98,15 +98,24 @@ def halve(points: np.ndarray, leaves: int) -> list[np.ndarray]:
     return parts
 
 
+def closest(points: np.ndarray, c: np.ndarray, n: int) -> np.ndarray:
+    """The n nearest of c for each point, nearest first, some points at a time."""
+    square, out = (c**2).sum(axis=1), []
+    for at in range(0, len(points), 1024):
+        far = square - 2 * points[at : at + 1024] @ c.T
+        out.append(far.argmin(axis=1)[:, None] if n == 1 else np.argsort(far, axis=1, kind="stable")[:, :n])
+    return np.concatenate(out)
+
+
 def build(sample: np.ndarray, total: int, norm2: float) -> Index:
     points = np.unique(lifted(sample, norm2), axis=0)
     leaves = 1 << max(0, int(np.ceil(np.log2(max(1, min(CENTROIDS, total / POSTING, len(points) / 4))))))
     c = np.stack([p.mean(axis=0) for p in halve(points, leaves)])
     for _ in range(5):  # Lloyd steps move the means, which starts them from equal sizes
-        own = ((points**2).sum(1)[:, None] - 2 * points @ c.T + (c**2).sum(1)).argmin(axis=1)
+        own = closest(points, c, 1)[:, 0]
         for k in np.unique(own):
             c[k] = points[own == k].mean(axis=0)
-    near = np.argsort((c**2).sum(1)[:, None] - 2 * c @ c.T + (c**2).sum(1), axis=1, kind="stable")[:, 1 : DEGREE + 1]
+    near = closest(c, c, DEGREE + 1)[:, 1:]
     rng = np.random.default_rng(0)
     graph = np.zeros((1, 1), int)
     if len(c) > 1:
