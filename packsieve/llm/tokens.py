@@ -14,6 +14,7 @@ by what follows it.
 
 from __future__ import annotations
 
+import ctypes
 import re
 from array import array
 from collections.abc import Iterator, Sequence
@@ -25,9 +26,9 @@ import pyarrow.compute as pc
 #: Chunks longer than this are encoded each time; at this many the cache starts anew.
 CHUNK_CHARS, CACHE_CHUNKS = 48, 600_000
 #: Characters of text encoded at a time, and new chunks in one call.
-SLICE_CHARS, CALL_CHUNKS = 4_000_000, 20_000
+SLICE_CHARS, CALL_CHUNKS = 2_000_000, 20_000
 #: Chunks whose ids are put together at a time.
-GATHER = 400_000
+GATHER = 100_000
 MARK = "|"
 
 _RUN = re.compile(r" (?=\s)")
@@ -93,6 +94,9 @@ class Encoder:
         self.cache: dict[str, int] = {}
         none = np.zeros(0, dtype=np.int64)
         self.start, self.length, self.pool, self.size = [none], [none], [none.astype(np.uint32)], 0
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # where the C library can, what is free goes back to the system
+            trim(0)
 
     def _whole(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and lengths of all entries, and the ids."""
