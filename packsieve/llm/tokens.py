@@ -26,9 +26,9 @@ import pyarrow.compute as pc
 #: Chunks longer than this are encoded each time; at this many the cache starts anew.
 CHUNK_CHARS, CACHE_CHUNKS = 48, 600_000
 #: Characters of text encoded at a time, and new chunks in one call.
-SLICE_CHARS, CALL_CHUNKS = 2_000_000, 20_000
+SLICE_CHARS, CALL_CHUNKS = 4_000_000, 20_000
 #: Chunks whose ids are put together at a time.
-GATHER = 100_000
+GATHER = 400_000
 MARK = "|"
 
 _RUN = re.compile(r" (?=\s)")
