@@ -27,7 +27,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 6: of near-duplicates the smallest doc_id stays."""
+    """Operator 6: of texts that share 0.8 of their five-word shingles, or whose fingerprints are 4 bits apart, the smallest doc_id stays."""
     return simhash.drop(docs)
 
 

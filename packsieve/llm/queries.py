@@ -42,7 +42,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.cluster(_documents(spark, sf_dir)).select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
+    return simhash.cluster(_documents(spark, sf_dir), similarity=None).select("doc_id", simhash.as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
