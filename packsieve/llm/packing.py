@@ -8,7 +8,8 @@ is repeated, the repeats are rounded to what the histogram holds (down first, th
 up by ones, so that the solution places 90 % of the remainders, or less where that makes fewer sequences), and what
 is left is packed greedily on the histogram. The plan, a table with at most three
 rows for each combination, is then dealt out in Spark: each remainder's rank
-among those of its length says which sequence and place it takes. Its size depends
+among those of its length says which sequence and place it takes; rows of the plan are
+looked up by length and range of ranks, about two for each remainder. Its size depends
 on the window and not on the corpus (about 210,000 rows, 13 MB, from some 2 million
 remainders on); beyond ``PLAN_ROWS`` (far longer windows) it is joined and not broadcast.
 
@@ -20,6 +21,7 @@ an empty table gives no rows. Extra columns are dropped.
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,7 +35,7 @@ from packsieve.llm import offsets, scratch, tokens
 WINDOW, END_ID, VOCABULARY = 1024, 0, "byte_bpe_50k.json"
 #: Shares of the remainders that whole repeats of the solution place, where they can; the greedy end needs some small ones, so the share that gives fewest sequences is taken.
 SOLVED = (0.9, 0.8, 0.6, 0.4)
-#: Rows of a plan (about 60 bytes each) up to which it is broadcast; the default window's 88,000 combinations stay below.
+#: Rows of a plan (about 60 bytes each, told twice at most, once for each range of ranks) up to which it is broadcast; the default window's 88,000 combinations stay below.
 PLAN_ROWS = 500_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -213,6 +215,12 @@ def places(patterns: list[Pattern], first_sequence: int = 0) -> tuple[list[tuple
     return rows, sequence
 
 
+def widths(rows: list[tuple]) -> dict[int, int]:
+    """For each length a range of ranks so wide that about one row of the plan begins in it."""
+    n, top = Counter(r[0] for r in rows), {r[0]: r[2] for r in rows}
+    return {a: -(-top[a] // k) for a, k in n.items()}
+
+
 def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
     """One row per piece: ``PIECE`` and sequence_id, offset long.
 
@@ -224,14 +232,15 @@ def pack(docs: DataFrame, window: int = WINDOW, vocabulary: str = VOCABULARY, en
     histogram = {r.length: r["count"] for r in cut.groupBy("length").count().collect()}  # at most `window` rows
     full = histogram.pop(window, 0)
     rows, _ = places([Pattern((window,), full)] * (full > 0) + plan(histogram, window))
-    where = spark.createDataFrame(rows, "length long, _from long, _to long, _first long, _spots array<int>")
+    wide = F.broadcast(spark.createDataFrame(list(widths(rows).items()), "length long, _width long"))  # at most `window` rows
+    where = spark.createDataFrame(rows, "length long, _from long, _to long, _first long, _spots array<int>").join(wide, "length")
+    where = where.withColumn("_part", F.explode(F.sequence(F.expr("_from div _width"), F.expr("(_to - 1) div _width")))).drop("_width")
     ranked = offsets.with_offsets(
         cut, ["length"], ["doc_id", "start", "ids_crc32"], F.lit(1), offsets.bucket_count(sum(histogram.values()) + full), "_rank"
     )
     nth, each = F.col("_rank") - F.col("_from"), F.size("_spots")
-    placed = ranked.join(
-        F.broadcast(where) if len(rows) <= PLAN_ROWS else where, (ranked["length"] == where["length"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    ).drop(where["length"])
+    ranked = ranked.join(wide, "length").withColumn("_part", F.expr("_rank div _width"))
+    placed = ranked.join(F.broadcast(where) if len(rows) <= PLAN_ROWS else where, ["length", "_part"]).where("_rank >= _from and _rank < _to")
     return placed.select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens",
         (F.col("_first") + F.expr("(_rank - _from) div size(_spots)")).alias("sequence_id"),

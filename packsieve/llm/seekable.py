@@ -7,8 +7,8 @@ the seek table of the public zstd seekable format, with a checksum (low half of
 XXH64) for each frame. A reader takes the last nine bytes, the seek table, the
 index, and decompresses only the frames that hold the documents it wants.
 
-Writing: rows are range-partitioned by doc_id on numbers and texts, sorted
-inside the partition, and every task writes one file under a name of its own
+Writing: rows are range-partitioned by doc_id and, for rows that repeat one, by a hash
+of the row, sorted inside the partition, and every task writes one file under a name of its own
 into the shared folder. The manifest, a written table, names the files of the
 tasks that succeeded, so files of lost or repeated tasks are never read. Reading
 deals the files over tasks of about ``READ_BYTES``.
@@ -157,8 +157,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY, end_id: in
             yield pd.DataFrame({"path": [f"{folder}/{name}"], "bytes": [size], "part": [part], "documents": [documents], "ids": [ids]})
 
     # doc_id as Arrow sends it must stay exact next to nulls, hence text
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ready = ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    row = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("_row")).repartitionByRange("doc_id", "_row")
+    ready = ordered.sortWithinPartitions("doc_id", "_row").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     return scratch.table(ready.mapInPandas(task, "path string, bytes long, part long, documents long, ids long"), "manifest")
 
 

@@ -11,8 +11,11 @@ both make it: the loser reads the winner's manifest and tries again. That holds
 where the file system's rename is atomic and doesn't replace (HDFS); on local disks
 and object stores Hadoop looks first and renames then, so one writer at a time must
 be seen to from outside. A merge whose inputs are gone by then gives up. Readers take the newest version and see
-either all of a commit or nothing of it; shards that no manifest names are swept
-by ``vacuum``.
+either all of a commit or nothing of it. ``vacuum`` deletes manifests that are no longer
+kept and the shards that only they name. Shards that no manifest names may be those
+of a writer about to commit: they are swept only once they are ``GRACE`` seconds old,
+so a writer must commit within that time of writing. A merge whose inputs are deleted
+while it reads them gives up like one that was forestalled.
 
 A merge's task writes a file of ``TARGET`` compressed bytes at most, and reads as much
 (text takes some two to four times that as rows); that bound is the files', not the table's.
@@ -29,6 +32,8 @@ from __future__ import annotations
 
 import json
 import math
+import re
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
@@ -38,6 +43,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TARGET, SMALLEST, FANOUT, RETRIES = 64 << 20, 1 << 20, 4, 20
+#: Age in seconds from which shards that no manifest names count as left behind.
+GRACE = 7 * 24 * 3600
 
 
 @dataclass(frozen=True)
@@ -96,10 +103,15 @@ class Store:
     def manifest(self, version: int | None = None) -> Manifest:
         """The newest version, or the one asked for."""
         versions = [int(s.getPath().getName()[:-5]) for s in self._list("manifests") if s.getPath().getName().endswith(".json") and s.getPath().getName()[0] != "_"]
-        version = max(versions, default=0) if version is None else version
+        newest, version = version is None, max(versions, default=0) if version is None else version
         if not version:
             return Manifest()
-        stream = self._fs.open(self._path(f"manifests/{version:012d}.json"))
+        try:
+            stream = self._fs.open(self._path(f"manifests/{version:012d}.json"))
+        except Exception as e:
+            if newest and "FileNotFound" in str(e):  # a newer one came and this one went meanwhile
+                return self.manifest()
+            raise
         try:
             raw = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
@@ -154,6 +166,7 @@ class Store:
             yield self._add(Run(uuid.uuid4().hex, 0, ()), df.schema.json())
         for folder in sorted(folders, key=lambda f: int(f.partition("=")[2])):
             run = uuid.uuid4().hex
+            self._fs.setTimes(self._path(f"{staged}/{folder}"), int(time.time() * 1000), -1)  # it may have waited long for its turn
             if not self._fs.rename(self._path(f"{staged}/{folder}"), self._path(f"data/{run}")):
                 raise OSError(f"{staged}/{folder} can't be moved")
             yield self._add(self._run(run, 0), df.schema.json())
@@ -180,8 +193,16 @@ class Store:
         lost = 0
         while runs := self.due(m := self.manifest()):
             files = max(1, -(-sum(r.bytes for r in runs) // self.target))
-            merged = self._write(self._frame(m, runs).repartition(files), 1 + max(r.level for r in runs))
             gone = {r.name for r in runs}
+            try:
+                merged = self._write(self._frame(m, runs).repartition(files), 1 + max(r.level for r in runs))
+            except Exception:
+                if gone <= {r.name for r in self.manifest().runs}:
+                    raise
+                lost += 1  # merged and deleted by another writer while they were read
+                if lost >= RETRIES:
+                    raise
+                continue
 
             def change(now: Manifest, gone=gone, merged=merged) -> Manifest:
                 if not gone <= {r.name for r in now.runs}:
@@ -197,18 +218,28 @@ class Store:
                     raise Busy(f"{lost} merges were forestalled") from None
         return m
 
-    def vacuum(self, keep_versions: int = 1) -> None:
-        """Deletes older manifests and the shards that only they name. Not while a writer may be about to commit."""
-        newest = self.manifest()
-        kept = [self.manifest(v) for v in range(max(1, newest.version - keep_versions + 1), newest.version + 1)]
+    def vacuum(self, keep_versions: int = 1, grace: float = GRACE) -> None:
+        """Deletes older manifests and the shards that only they name, and shards of no manifest that are ``grace`` seconds old; other writers may be at work."""
+        old = time.time() * 1000 - 1000 * grace
+        waiting = [s for kind in ("data", "staged") for s in self._list(kind) if s.getModificationTime() < old]  # before the manifests are read
+        versions = sorted(int(s.getPath().getName()[:-5]) for s in self._list("manifests") if re.fullmatch(r"\d+\.json", s.getPath().getName()))
+        split = max(0, len(versions) - keep_versions)
+        kept = [self.manifest(v) for v in versions[split:]]
         live = {r.name for m in kept for r in m.runs}
-        for s in self._list("data"):
+        for v in versions[:split]:
+            try:
+                ended = self.manifest(v)
+            except Exception as e:  # another vacuum was first
+                if "FileNotFound" in str(e):
+                    continue
+                raise
+            for r in ended.runs:
+                if r.name not in live:
+                    self._fs.delete(self._path(f"data/{r.name}"), True)
+            self._fs.delete(self._path(f"manifests/{v:012d}.json"), False)
+        for s in waiting:
             if s.getPath().getName() not in live:
                 self._fs.delete(s.getPath(), True)
-        for s in self._list("manifests"):
-            name = s.getPath().getName()
-            if name.endswith(".json") and int(name[:-5]) < kept[0].version if kept else False:
-                self._fs.delete(s.getPath(), False)
 
     def _frame(self, m: Manifest, runs) -> DataFrame:
         schema = T.StructType.fromJson(json.loads(m.schema))

@@ -9,7 +9,8 @@ looks up each of these once a call, and numpy puts the ids of all occurrences
 together. New chunks go to the library many at a time, with a mark of one id
 between them, since a call costs more than a chunk. A text with a space before
 other white space goes to the library whole, since a run of white space is split
-by what follows it.
+by what follows it; so does one that holds the spelling of an added token
+(``<|endoftext|>``), which the library maps to that token's one id.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ SLICE_CHARS, CALL_CHUNKS = 4_000_000, 20_000
 GATHER = 400_000
 MARK = "|"
 
-_RUN = re.compile(r" (?=\s)")
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -54,7 +54,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: Texts in which this is found can't be cut at their spaces.
+        self.uncut = re.compile("|".join([r" (?=\s)", *added]))
         self.forget()
         mark = self._encode([f" {MARK}"])[0]
         self.mark = int.from_bytes(mark, "little") if len(mark) == 4 else None
@@ -111,7 +113,7 @@ class Encoder:
         if len(self.cache) > CACHE_CHUNKS:
             self.forget()
         # a text that can't be cut at its spaces is its own first chunk
-        whole = {i for i, t in enumerate(texts) if _RUN.search(t)}
+        whole = {i for i, t in enumerate(texts) if self.uncut.search(t)}
         split = pc.split_pattern(pa.array(["" if i in whole else t for i, t in enumerate(texts)], pa.large_string()), " ")
         coded, ends = split.values.dictionary_encode(), split.offsets.to_numpy()
         chunks, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
