@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packsieve.llm import exact_dedup, html_text, language_id, mixing, nearest, packing, scratch, seekable, shards, simhash, url_lists
+from packsieve.llm import exact_dedup, html_text, language_id, mixing, nearest, packing, resampling, scratch, seekable, shards, simhash, url_lists
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/pages.parquet")
 
@@ -81,12 +85,39 @@ def op10_seekable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seekable.round_trip(_documents(spark, sf_dir))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_html, op3_sharding, op4_exact_dedup, op5_language_id, op6_simhash, op7_nearest, op8_url_lists, op9_mixing, op10_seekable)}
+    return {f.__name__: f for f in (op1_packing, op2_html, op3_sharding, op4_exact_dedup, op5_language_id, op6_simhash, op7_nearest, op8_url_lists, op9_mixing, op10_seekable, op11_resampling)}
+
+
+#: Features of texts, their CRC-32 from a table that the polynomial gives, and the draw, step by step.
+_RESAMPLING_SQL = """
+    WITH RECURSIVE fold(i, x, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL SELECT i, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, k + 1 FROM fold WHERE k < 8),
+    crc AS (SELECT list(x ORDER BY i) AS step FROM fold WHERE k = 8),
+    texts AS (SELECT 'd' AS side, doc_id AS id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents
+        UNION ALL SELECT 'b', row_number() OVER (), translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark),
+    said AS (SELECT side, id, coalesce(regexp_extract_all(t, '[0-9a-z\\x{80}-\\x{10FFFF}]+'), []) AS w FROM texts),
+    runs AS (SELECT side, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM said),
+    n AS (SELECT side, id, f, count(*) AS n FROM runs GROUP BY ALL),
+    bytes AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM n)),
+    bucket AS (SELECT f, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)),
+        lambda c, b: xor(c >> 8, step[xor(c & 255, b) + 1]::BIGINT)), 4294967295::BIGINT) % 10000 AS bucket FROM bytes, crc),
+    sums AS (SELECT b AS bucket, coalesce(sum(n) FILTER (side = 'd'), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (side = 'b'), 0)::DOUBLE AS t
+        FROM range(10000) r(b) LEFT JOIN (SELECT * FROM n JOIN bucket USING (f)) x ON x.bucket = b GROUP BY 1),
+    gain AS (SELECT bucket, floor(1000 * ln((t + 1) * ((SELECT sum(s) FROM sums) + 10000) / ((s + 1) * ((SELECT sum(t) FROM sums) + 10000))))::BIGINT AS g FROM sums),
+    weight AS (SELECT id, sum(n) AS n_features, sum(n * g) AS weight FROM n JOIN bucket USING (f) JOIN gain USING (bucket) WHERE side = 'd' GROUP BY 1),
+    scored AS (SELECT id AS doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+        coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || sha256('42:' || id)[1:8])::BIGINT + 0.5) / 4294967296)))::BIGINT AS score FROM said LEFT JOIN weight USING (id) WHERE side = 'd'),
+    ranks AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+    SELECT s.doc_id, n_features, weight, score, r AS rank FROM scored s LEFT JOIN (SELECT * FROM ranks WHERE r <= 5 * n // 100) k ON s.doc_id = k.doc_id"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op11_resampling": _RESAMPLING_SQL,
         "op3_sharding": "SELECT doc_id, lang, source, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM documents",
         "op4_exact_dedup": """
             WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
