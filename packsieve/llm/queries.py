@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packsieve.llm import exact_dedup, html_text, language_id, mixing, nearest, packing, resampling, scratch, seekable, shards, simhash, url_lists
+from packsieve.llm import exact_dedup, html_text, language_id, lexical, mixing, nearest, packing, resampling, scratch, seekable, shards, simhash, url_lists
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,8 +89,12 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
 
 
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_html, op3_sharding, op4_exact_dedup, op5_language_id, op6_simhash, op7_nearest, op8_url_lists, op9_mixing, op10_seekable, op11_resampling)}
+    return {f.__name__: f for f in (op1_packing, op2_html, op3_sharding, op4_exact_dedup, op5_language_id, op6_simhash, op7_nearest, op8_url_lists, op9_mixing, op10_seekable, op11_resampling, op12_lexical)}
 
 
 #: Features of texts, their CRC-32 from a table that the polynomial gives, and the draw, step by step.
@@ -118,6 +122,17 @@ _RESAMPLING_SQL = """
 def oracle_sql() -> dict[str, str]:
     return {
         "op11_resampling": _RESAMPLING_SQL,
+        "op12_lexical": """
+            WITH d AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM documents),
+            q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')) AS term FROM benchmark),
+            n AS (SELECT doc_id, count(*)::BIGINT AS n FROM d GROUP BY 1),
+            total AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM n),
+            p AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM d WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+            w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, total GROUP BY term, docs),
+            m AS (SELECT doc_id, 10 + (90 * n * docs) // terms AS m FROM n, total),
+            s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY ALL),
+            r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+            SELECT * FROM r WHERE rank <= 10""",
         "op3_sharding": "SELECT doc_id, lang, source, CAST(length(text) AS BIGINT) AS n_chars, md5(text) AS text_md5 FROM documents",
         "op4_exact_dedup": """
             WITH n AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g')) AS text_sha256 FROM documents),
