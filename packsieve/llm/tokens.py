@@ -32,6 +32,7 @@ SLICE_CHARS, CALL_CHUNKS = 4_000_000, 20_000
 GATHER = 400_000
 MARK = "|"
 
+_RUN = re.compile(r" (?=\s)")
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -54,9 +55,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: Texts in which this is found can't be cut at their spaces.
-        self.uncut = re.compile("|".join([r" (?=\s)", *added]))
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.forget()
         mark = self._encode([f" {MARK}"])[0]
         self.mark = int.from_bytes(mark, "little") if len(mark) == 4 else None
@@ -64,6 +63,10 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def uncut(self, text: str) -> bool:
+        """Whether a text can't be cut at its spaces."""
+        return bool(_RUN.search(text)) or any(a in text for a in self.added)
+
     def _keep(self, ids: np.ndarray, start: np.ndarray, length: np.ndarray) -> None:
         """Appends to the pool of ids, and the place of each new entry in it."""
         self.start.append(start + self.size)
@@ -113,7 +116,7 @@ class Encoder:
         if len(self.cache) > CACHE_CHUNKS:
             self.forget()
         # a text that can't be cut at its spaces is its own first chunk
-        whole = {i for i, t in enumerate(texts) if self.uncut.search(t)}
+        whole = {i for i, t in enumerate(texts) if self.uncut(t)}
         split = pc.split_pattern(pa.array(["" if i in whole else t for i, t in enumerate(texts)], pa.large_string()), " ")
         coded, ends = split.values.dictionary_encode(), split.offsets.to_numpy()
         chunks, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
