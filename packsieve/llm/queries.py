@@ -1,4 +1,4 @@
-"""The queries of the ten operators, each over its whole table, and their SQL where SQL can say it."""
+"""The queries of the operators, each over its whole table, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packsieve.llm import exact_dedup, html_text, language_id, lexical, mixing, nearest, packing, resampling, scratch, seekable, shards, simhash, url_lists
+from packsieve.llm import exact_dedup, html_text, language_id, lexical, mixing, nearest, packing, recurrent, resampling, scratch, seekable, shards, simhash, url_lists
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,8 +93,12 @@ def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(_documents(spark, sf_dir), _benchmark(spark, sf_dir))
 
 
+def op13_recurrent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent.score(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op2_html, op3_sharding, op4_exact_dedup, op5_language_id, op6_simhash, op7_nearest, op8_url_lists, op9_mixing, op10_seekable, op11_resampling, op12_lexical)}
+    return {f.__name__: f for f in (op1_packing, op2_html, op3_sharding, op4_exact_dedup, op5_language_id, op6_simhash, op7_nearest, op8_url_lists, op9_mixing, op10_seekable, op11_resampling, op12_lexical, op13_recurrent)}
 
 
 #: Features of texts, their CRC-32 from a table that the polynomial gives, and the draw, step by step.
