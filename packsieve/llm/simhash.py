@@ -26,13 +26,16 @@ the join then skips pairs that the stars already connect.
 
 Similar texts. Links of 4 bits are rare at a similarity of 0.8, so ``cluster`` also
 links texts that share this much of their five-word shingles, each counted once.
-A wider print of 184 bits is made of pairs of neighbouring shingle hashes. Its eight
-segments of 23 bits form four groups of two, and a print's keys are all pairs of an index
-near the one and an index near the other: a pair at 0.8 shares a key in 84 of 100 cases
-(0.85: 93, 0.9: 98, by the error rate that a similarity means). Candidates whose
-fingerprints differ in over 16 bits go (a pair at 0.8 differs in 9, unlike texts in 32), the
-rest are compared exactly, by whole texts. In a key, what 4 bits have already
-connected is one row.
+A wider print of 184 bits, eight segments of 23, is made of pairs of neighbouring shingle
+hashes; with each segment go the two least values of these under two other hashes. A
+print's keys are a Golay index near a segment, together with that segment's two least
+values: a pair at 0.8 shares an index near a given segment in 61 of 100 cases, both least
+values in 64, and so one of the eight kinds of key in 98. Keys have 64 bits, so texts that
+share none of this hardly meet in tables of any size. Texts that meet
+under a key are compared by samples of ``SAMPLE`` shingle hashes first, and those that come near
+by all their shingles. First each key's texts are compared with its smallest alone, so
+a crowd becomes one component in a number of comparisons that follows its size; then
+all that meet under a key and are still of different components are compared with one another.
 
 Edge cases: null or wordless text has fingerprint zero and is linked like any
 other; fewer words than a shingle are one shingle; null doc_ids are linked but
@@ -56,11 +59,13 @@ from packsieve.llm.exact_dedup import BROADCAST_KEYS, without
 WORDS, SEED, DISTANCE, SALTS = 4, 42, 4, 8
 WIDTHS = (22, 21, 21)
 SHIFTS = (42, 21, 0)
-#: Shared part of the five-word shingles of texts that ``cluster`` links, and the bits in which their fingerprints may differ.
-SIMILARITY, CANDIDATE = 0.8, 16
+#: Shared part of the five-word shingles of texts that ``cluster`` links; shingle hashes of a sample, and how far its share may lie below (four deviations).
+SIMILARITY, SAMPLE, SLACK = 0.8, 128, 0.15
 #: Odd multipliers that make three hashes of two neighbouring ones.
 PRINT_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
-PRINT, GROUPS = ("w0", "w1", "w2"), 4
+PRINT, LEAST = ("w0", "w1", "w2"), tuple(f"m{g}" for g in range(8))
+#: Odd multipliers of the hashes of which the least values are taken, two for each segment.
+ORDERS = np.array([(PRINT_MIX[0] * (2 * i + 1) ^ PRINT_MIX[2] << i) % (1 << 64) | 1 for i in range(2 * len(LEAST))], dtype=np.uint64)
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 
 
@@ -88,6 +93,21 @@ def longer(h: np.ndarray, mix: int = PRINT_MIX[0]) -> np.ndarray:
     return x ^ x >> np.uint64(31)
 
 
+def mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two numbers."""
+    x = (a ^ a >> np.uint64(29)) * np.uint64(PRINT_MIX[1]) ^ b * np.uint64(PRINT_MIX[0])
+    x = (x ^ x >> np.uint64(32)) * np.uint64(PRINT_MIX[2])
+    return x ^ x >> np.uint64(31)
+
+
+def least_values(h: np.ndarray) -> np.ndarray:
+    """For each segment a hash of the two least values of its two orders; of no hashes, that of zeros."""
+    if not len(h):
+        return np.zeros(len(LEAST), dtype=np.uint64)
+    least = np.array([(h * m).min() for m in ORDERS], dtype=np.uint64).reshape(-1, 2)
+    return mixed(mixed(least[:, 0], least[:, 1]), np.arange(len(LEAST), dtype=np.uint64))
+
+
 def majority(h: np.ndarray) -> np.ndarray:
     """Of each column of 64-bit hashes the number whose bits are those set in over half of its rows."""
     columns = h.shape[1]
@@ -99,17 +119,18 @@ def majority(h: np.ndarray) -> np.ndarray:
 
 
 def fingerprint(text: str | None, words: int = WORDS, wide: bool = False) -> list[int]:
-    """The unsigned 64-bit fingerprint of a whole text and, if ``wide``, the three numbers of its print."""
+    """The unsigned 64-bit fingerprint of a whole text and, if ``wide``, the three numbers of its print and its least values."""
     h = shingle_hashes(text, words)
     out = [int(x) for x in majority(h.reshape(-1, 1))]
     if wide:
-        out += [int(x) for m in PRINT_MIX for x in majority(longer(h, m).reshape(-1, 1))]
+        own = [longer(h, m) for m in PRINT_MIX]
+        out += [int(x) for o in own for x in majority(o.reshape(-1, 1))] + least_values(own[0]).tolist()
     return out
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, wide: bool = False) -> DataFrame:
     """doc_id, text_key (a hash of the text), fp (the fingerprint as a signed long) and, if ``wide``, the print for every row. Only the text goes to Python."""
-    names = ["fp", *(PRINT if wide else ())]
+    names = ["fp", *((*PRINT, *LEAST) if wide else ())]
 
     @F.pandas_udf(", ".join(f"{n} long" for n in names))
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -253,7 +274,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def _print_keys(rows: DataFrame) -> DataFrame:
-    """(key, at, fp) of each print's keys, one for those of a batch with the same key and ``at``."""
+    """(key, node, at) of each print's keys; a node is a text, by its hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flips = np.concatenate([[0], 1 << np.arange(23)])
@@ -262,62 +283,97 @@ def _print_keys(rows: DataFrame) -> DataFrame:
             # eight segments: two whole ones of each number, the other two of what is left above them
             left = [x >> np.uint64(46) for x in w]
             whole = [x >> np.uint64(s) for x in w for s in (0, 23)] + [left[0] | (left[1] & np.uint64(31)) << np.uint64(18), left[2] | (left[1] >> np.uint64(5) & np.uint64(31)) << np.uint64(18)]
-            around = []
-            for x in whole:
+            node, at = batch.node.to_numpy(np.int64), batch["at"].to_numpy(np.int64)
+            for name, x in zip(LEAST, whole, strict=True):
                 idx = np.sort(index_of((x & np.uint64((1 << 23) - 1)).astype(np.int64)[:, None] ^ flips), axis=1)
                 new = np.ones(idx.shape, bool)
                 new[:, 1:] = idx[:, 1:] != idx[:, :-1]
-                around.append(np.where(new, idx, -1))
-            fp, at, out = batch.fp.to_numpy(np.int64), batch["at"].to_numpy(np.int64), []
-            for g in range(GROUPS):
-                a, b = (-np.sort(-around[i], axis=1)[:, :7] for i in (2 * g, 2 * g + 1))  # at most seven differ
-                row, i, j = np.nonzero((a[:, :, None] >= 0) & (b[:, None, :] >= 0))
-                out.append(pd.DataFrame({"key": (g << 24 | a[row, i] << 12 | b[row, j]).astype(np.int32), "at": at[row], "fp": fp[row]}))
-            yield pd.concat(out).sort_values("fp").drop_duplicates(["key", "at"])
+                row, col = np.nonzero(new)
+                key = mixed(batch[name].to_numpy(np.int64).view(np.uint64)[row], idx[row, col].astype(np.uint64))
+                yield pd.DataFrame({"key": key.view(np.int64), "node": node[row], "at": at[row]})
 
-    return rows.select("fp", "at", *PRINT).mapInPandas(run, "key int, at long, fp long")
+    return rows.select("node", "at", *PRINT, *LEAST).mapInPandas(run, "key long, node long, at long")
 
 
-def candidates(rows: DataFrame, at: DataFrame) -> DataFrame:
-    """Pairs (a, b) of fingerprints whose prints share a key. ``rows``: fingerprints with prints; ``at``: fp and the component it is in already."""
-    prints = rows.select("fp", *PRINT).distinct().join(at, "fp").sortWithinPartitions("at")
-    keyed = _print_keys(prints).repartition("key").groupBy("key", "at").agg(F.min("fp").alias("fp"))
-    l, r = keyed.select("key", F.col("at").alias("l_at"), F.col("fp").alias("a")), keyed.select("key", F.col("at").alias("r_at"), F.col("fp").alias("b"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= CANDIDATE
-    return l.join(r, (l["key"] == r["key"]) & (F.col("l_at") < F.col("r_at")) & near).select("a", "b", "l_at", "r_at").distinct()
+def meeting(keyed: DataFrame) -> DataFrame:
+    """(key, node, at) of the keys under which texts of several components meet."""
+    several = keyed.groupBy("key").agg(F.min("at").alias("_low"), F.max("at").alias("_high")).where("_low != _high").select("key")
+    return keyed.join(several, "key", "left_semi")
 
 
-def similar(docs: DataFrame, rows: DataFrame, at: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Links (a, b) of components whose candidates have texts that share this part of their shingles, one word longer than those of the fingerprints."""
+def to_hubs(keyed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each key's smallest node and its others of other components."""
+    hub = keyed.groupBy("key").agg(F.min(F.struct("node", "at")).alias("hub"))
+    return keyed.join(hub, "key").where("at != hub.at").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+
+
+def among(keyed: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different components under one key."""
+    l, r = keyed.select("key", F.col("node").alias("a"), F.col("at").alias("l_at")), keyed.select("key", F.col("node").alias("b"), F.col("at").alias("r_at"))
+    return l.join(r, "key").where("a < b and l_at != r_at").select("a", "b").distinct()
+
+
+def shingle_sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
+    """(node, sample, set): the hashes of all shingles of each text asked for, one word longer than those of fingerprints, each once, and the smallest of them."""
 
     @F.pandas_udf("array<long>")
     def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([np.unique(longer(shingle_hashes(t, words))).view(np.int64) for t in texts], dtype=object)
+            yield pd.Series([np.sort(np.unique(longer(shingle_hashes(t, words))).view(np.int64)) for t in texts], dtype=object)
+
+    asked = scratch.table(asked, "asked")
+    few = F.broadcast(asked) if asked.count() <= BROADCAST_KEYS else asked
+    thin = docs.select(text_key(F.col("text")).alias("node"), F.col("text").cast("string").alias("text")).join(few, "node")
+    once = thin.groupBy("node").agg(F.first("text").alias("text"))
+    sets = scratch.table(once.select("node", shingles(F.coalesce("text", F.lit(""))).alias("set")), "sets")
+    return sets.select("node", F.slice("set", 1, SAMPLE).alias("sample"), "set")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets share this part: by their samples first, and those that come near it by the whole sets."""
+
+    def side(name: str, column: str) -> DataFrame:
+        return sets.select(F.col("node").alias(name), F.col(column).alias(f"_{name}"))
+
+    union = F.slice(F.array_sort(F.array_union("_a", "_b")), 1, SAMPLE)
+    part = F.size(F.array_intersect(F.array_intersect("_a", "_b"), union)) / F.size(union)
+    likely = pairs.join(side("a", "sample"), "a").join(side("b", "sample"), "b").where("size(_a) > 0 and size(_b) > 0").where(part >= similarity - SLACK).select("a", "b")
+    likely = scratch.table(likely, "likely")
+    shared = F.size(F.array_intersect("_a", "_b"))
+    return likely.join(side("a", "set"), "a").join(side("b", "set"), "b").where(shared >= similarity * (F.size("_a") + F.size("_b") - shared)).select("a", "b")
+
+
+def similar(docs: DataFrame, rows: DataFrame, at: DataFrame, words: int, similarity: float) -> DataFrame:
+    """at, component: how components whose candidates have similar texts are joined. ``rows``: fingerprints with prints; ``at``: fp and the component it is in already."""
+    prints = rows.select("fp", F.col("text_key").alias("node"), *PRINT, *LEAST).dropDuplicates(["node"]).join(at, "fp")
+    keyed = scratch.table(meeting(scratch.table(_print_keys(prints), "keys")), "meeting")
+    sets = shingle_sets(docs, keyed.select("node").distinct(), words)
+
+    def joined(links: DataFrame, of: DataFrame) -> DataFrame:
+        name = lambda n: of.select(F.col("node").alias(n), F.col("at").alias(f"_{n}"))
+        return links.join(name("a"), "a").join(name("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
 
-    pairs = scratch.table(candidates(rows, at), "candidates")
-    asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
-    texts = scratch.table(rows.groupBy("fp").agg(F.min("text_key").alias("_key")).join(asked, "fp"), "asked")  # one text for each fingerprint
-    few = F.broadcast(texts) if texts.count() <= BROADCAST_KEYS else texts
-    thin = docs.select(text_key(F.col("text")).alias("_key"), F.col("text").cast("string").alias("text")).join(few, "_key")
-    sets = scratch.table(thin.groupBy("fp").agg(F.first("text").alias("text")).select("fp", shingles(F.coalesce("text", F.lit(""))).alias("set")), "sets")
-    both = pairs.join(sets.select(F.col("fp").alias("a"), F.col("set").alias("_l")), "a").join(sets.select(F.col("fp").alias("b"), F.col("set").alias("_r")), "b")
-    shared = F.size(F.array_intersect("_l", "_r"))
-    return both.where(shared >= similarity * (F.size("_l") + F.size("_r") - shared)).where("size(_l) > 0").select(F.col("l_at").alias("a"), F.col("r_at").alias("b"))
+    # the first links are stars, so that a crowd under a key is one component before its pairs are looked at
+    own = scratch.table(keyed.select("node", "at").distinct(), "own")
+    stars = scratch.table(joined(confirmed(scratch.table(to_hubs(keyed), "to_hubs"), sets, similarity), own), "stars")
+    first = components(stars).withColumnsRenamed({"node": "at", "component": "_first"})
+    again = keyed.join(first, "at", "left").select("key", "node", F.coalesce("_first", "at").alias("at"))
+    rest = scratch.table(among(scratch.table(meeting(again), "again")), "among")
+    return components(scratch.table(joined(confirmed(rest, sets, similarity), own).unionByName(stars), "similar"))
 
 
 def cluster(docs: DataFrame, words: int = WORDS, similarity: float | None = SIMILARITY) -> DataFrame:
     """doc_id, text_key, fp long and component_id (smallest doc_id reachable, itself included) for every row.
 
     Rows are linked by fingerprints at most ``DISTANCE`` apart, and by texts that share ``similarity``
-    of their shingles of one word more, of which ``candidates`` finds nearly all; None: by fingerprints alone.
+    of their shingles of one word more, of which the keys of prints find nearly all; None: by fingerprints alone.
     """
     rows = scratch.table(fingerprints(docs, words, similarity is not None), "fingerprints")
     distinct = scratch.table(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     of = components(links(distinct)).withColumnRenamed("node", "fp")
     if similarity is not None:
         at = scratch.table(distinct.select("fp").join(of, "fp", "left").select("fp", F.coalesce("component", "fp").alias("at")), "at")
-        wider = components(scratch.table(similar(docs, rows, at, words, similarity), "similar")).withColumnsRenamed({"node": "at", "component": "_wider"})
+        wider = similar(docs, rows, at, words, similarity).withColumnsRenamed({"node": "at", "component": "_wider"})
         of = at.join(wider, "at", "left").join(of, "fp", "left").select("fp", F.coalesce("_wider", "component").alias("component")).where("component is not null")
     shared = distinct.join(of, "fp", "left").where("n > 1 or component is not null").select("fp", "least", F.coalesce("component", "fp").alias("_c"))
     named = shared.groupBy("_c").agg(F.min("least").alias("component_id"))
