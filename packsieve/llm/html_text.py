@@ -3,14 +3,18 @@
 A page is parsed into elements. Subtrees whose tag is never article text (menus,
 footers, asides, forms, scripts and the like) go. Of what is left, every block-level
 subtree is hashed, Spark counts on how many pages of its host each hash occurs, and
-subtrees that recur on many pages of a host go too. Of what the counts leave, elements
+subtrees that recur on many pages of a host go too. A form goes where fields fill it; one
+that holds the page's prose is a wrapper like any other. Of what the counts leave, elements
 go whose class, id or role names them as a sidebar, notice, advert, reader comments and
-the like; never the page's longest article or main element, nor what encloses it. What
-remains is cut into blocks. Pages are lists of events, not trees, so nesting of any
+the like; never the page's longest article or main element, nor what encloses it, other
+articles and headings only where they are named as comments, and paragraphs only by names
+that can't be a subject (``SURE``). What remains is cut into blocks. Pages are lists of events, not trees, so nesting of any
 depth and pages of any length take time in proportion to their length.
 
-What is read is decided after the counts: a page's articles, or its main elements,
-only where they hold at least ``MOST`` of the prose that counts leave, else all of it.
+What is read is decided after the counts: a page's main elements, or its articles with
+the headings and paragraphs that stand right before one, only where they hold at least
+``MOST`` of the prose that counts leave, else all of it. A main element that holds the articles is
+read whole.
 
 Rules for recurring subtrees: at least ``PAGES`` pages and half of the host's, or,
 from ``TINY`` characters on, ``SECTION_PAGES`` pages and ``SECTION_SHARE`` of the
@@ -49,6 +53,8 @@ from packsieve.llm import scratch
 
 PAGES, SHARE, SHORT, SHORT_PAGES, SHORT_SHARE = 10, 0.5, 200, 20, 0.9
 SECTION_PAGES, SECTION_SHARE, TINY, MOST = 100, 0.02, 40, 0.5
+#: Characters of prose for each field from which a form is no form; so many if it holds ``MOST`` of the page's prose.
+FORM_PROSE, FORM_MOST = 120, 40
 BROADCAST_ROWS, SALTS = 200_000, 16
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -59,6 +65,10 @@ BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What holds prose itself, and what of a form's text is its own furniture.
+PROSE = frozenset("p blockquote pre dd td figcaption".split())
+FIELDS = frozenset("input select textarea button".split())
+FURNITURE = DROPPED - {"form", "fieldset"}
 #: A start tag closes an open one of these, unless one of the second set lies between.
 CLOSES = {
     **{t: ({"p"}, {"button", "table", "td", "th", "object"}) for t in BLOCKS - {"body", "html", "li", "dd", "dt", "td", "th", "tr", "tbody", "thead", "tfoot", "caption"}},
@@ -75,31 +85,43 @@ CLOSES = {
 NOT_TEXT = frozenset(
     """ad ads adv advert adverts advertisement advertisements adsense banner banners sponsor sponsored sponsors promo promos promotion promoted
     nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar sidebars aside footer masthead
-    cookie cookies consent gdpr notice notices popup modal overlay disclaimer alert
+    cookie cookies consent gdpr notice notices popup modal overlay disclaimer alert dialog alertdialog
     comment comments commentlist respond replies disqus discussion
     share sharing social related recommended recommendations newsletter subscribe subscription signup login search searchbox toolbar widget widgets
     complementary contentinfo skip hidden""".split()
 )
 BESIDE = frozenset(
-    "area articles bar block box button buttons container content form global group header inner item items left link links list main page panel posts primary right screen reader text secondary section site slot stories thread top bottom unit wrap wrapper".split()
+    "area articles bar block body box button buttons container content form global group header inner item items left link links list main page panel posts primary right screen reader text secondary section site slot stories thread top bottom unit user wrap wrapper".split()
 )
+#: Of these, names that are never a text's subject or its layout: they remove paragraphs too.
+SURE = frozenset(
+    """ad ads adv advert adverts advertisement advertisements adsense sponsor sponsored sponsors promo promos promotion promoted cookie cookies consent gdpr
+    comment comments commentlist respond replies disqus newsletter subscribe breadcrumb breadcrumbs pagination pager popup skip""".split()
+)
+#: Names that mean an advert or comments whatever words stand beside them, unless one of these stands first.
+ALONE, SAID_OF = frozenset("advert adverts advertisement advertisements adsense sponsored gdpr commentlist disqus".split()), frozenset("has with no non without is not".split())
+COMMENTS = frozenset("comment comments commentlist respond replies disqus".split())
 SPACE = re.compile(r"\s+")
 
 
-def marks(name: str) -> bool:
-    """Whether a class, id or role is one of ``NOT_TEXT``, or made of such words and words of place only."""
+def marks(name: str) -> frozenset[str]:
+    """The words of ``NOT_TEXT`` in a class, id or role that consists of such words and words of place, or holds one of ``ALONE``."""
     words = [w for w in name.split("-") if w and not w[0].isdigit()]
-    return any(w in NOT_TEXT for w in words) and all(w in NOT_TEXT or w in BESIDE for w in words)
+    found = frozenset(w for w in words if w in NOT_TEXT)
+    if found and (all(w in NOT_TEXT or w in BESIDE for w in words) or found & ALONE and words[0] not in SAID_OF):
+        return found
+    return frozenset()
 
 
 class Node:
     """An element: the places of its start and end among the page's events, the length and the hash of what is in between."""
 
-    __slots__ = ("tag", "named", "marked", "hidden", "first", "last", "size", "parts", "digest", "kept")
+    __slots__ = ("tag", "named", "marked", "hidden", "first", "last", "size", "prose", "fields", "parts", "digest", "kept")
 
-    def __init__(self, tag: str, first: int, named: bool = False, marked: bool = False, hidden: bool = False):
+    def __init__(self, tag: str, first: int, named: bool = False, marked: frozenset[str] = frozenset(), hidden: bool = False, field: bool = False):
         self.tag, self.first, self.named, self.marked, self.hidden = tag, first, named, marked, hidden
-        self.last = self.size = self.digest = 0
+        self.last = self.size = self.prose = self.digest = 0
+        self.fields = int(field)
         self.kept = False
         self.parts: list[str] | None = [f"<{tag}>"]
 
@@ -133,8 +155,12 @@ class Builder(HTMLParser):
             node.digest = xxhash.xxh64_intdigest("".join(node.parts).encode("utf-8", "surrogatepass")) - (1 << 63)
             node.parts = None
             if self.open:
-                self.open[-1].size += node.size
-                self.open[-1].parts.append(f"{node.digest}>")
+                parent = self.open[-1]
+                parent.size += node.size
+                parent.fields += node.fields
+                if node.tag not in FURNITURE and not node.hidden:
+                    parent.prose += node.prose
+                parent.parts.append(f"{node.digest}>")
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in ("html", "body"):
@@ -148,13 +174,14 @@ class Builder(HTMLParser):
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
             self.end(len(self.open) - 1)
         names: list[str] = []
-        hidden = False
+        hidden, field = False, tag in FIELDS
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
                 names += re.sub(r"([a-z])([A-Z])", r"\1-\2", value).lower().replace("_", "-").split()
             hidden |= name == "hidden" or name == "aria-hidden" and value == "true"
+            field &= not (name == "type" and value and value.lower() == "hidden")
         main = tag == "main" or tag in ("div", "section") and "main" in names
-        self.start(Node(tag, len(self.events), main, any(map(marks, names)), hidden))
+        self.start(Node(tag, len(self.events), main, frozenset().union(*map(marks, names)), hidden, field))
         if tag in VOID:
             self.end(len(self.open) - 1)
 
@@ -169,6 +196,7 @@ class Builder(HTMLParser):
         self.events.append(data)
         node = self.open[-1]
         node.size += len(data)
+        node.prose += len("".join(data.split()))
         node.parts.append(SPACE.sub(" ", data))
 
 
@@ -199,16 +227,22 @@ def parse(html: str | None) -> Events:
     return events
 
 
-def boilerplate(node: Node, in_article: bool) -> bool:
+def boilerplate(node: Node, in_article: bool, page: Node) -> bool:
     """Whether structure alone tells that the element is not article text."""
     if node.kept:
         return False
+    if node.tag in ("form", "fieldset") and not node.hidden:
+        return node.prose < (FORM_MOST if node.prose >= MOST * page.prose else FORM_PROSE) * max(1, node.fields)
     return node.tag in DROPPED or node.hidden or node.tag == "header" and not in_article
 
 
 def named_so(node: Node) -> bool:
     """Whether its names tell so."""
-    return node.marked and not node.kept and node.tag not in HEADINGS
+    if node.kept or not node.marked:
+        return False
+    if node.tag == "article" or node.tag in HEADINGS:
+        return bool(node.marked & COMMENTS)
+    return node.tag not in PROSE or bool(node.marked & SURE)
 
 
 def recurs(node: Node, in_article: bool, templates: Templates) -> bool:
@@ -216,8 +250,8 @@ def recurs(node: Node, in_article: bool, templates: Templates) -> bool:
     return node.tag in BLOCKS and (not in_article or node.size < SHORT) and (node.digest, in_article) in templates
 
 
-def gone(node: Node, in_article: bool, templates: Templates) -> bool:
-    return boilerplate(node, in_article) or recurs(node, in_article, templates) or named_so(node)
+def gone(node: Node, in_article: bool, templates: Templates, page: Node) -> bool:
+    return boilerplate(node, in_article, page) or recurs(node, in_article, templates) or named_so(node)
 
 
 def left(events: Events, root: Node, templates: Templates) -> Iterator[tuple[int, bool]]:
@@ -227,7 +261,7 @@ def left(events: Events, root: Node, templates: Templates) -> Iterator[tuple[int
     while i < root.last:
         e = events[i]
         if type(e) is Node:
-            if gone(e, i < article, templates):
+            if gone(e, i < article, templates, events[0]):
                 i = e.last
             elif e.tag == "article":
                 article = max(article, e.last)
@@ -236,13 +270,17 @@ def left(events: Events, root: Node, templates: Templates) -> Iterator[tuple[int
 
 
 def roots(events: Events, templates: Templates = frozenset()) -> list[Node]:
-    """What of the page is read: its articles if they hold ``MOST`` of the prose that is the page's own, else its main
-    elements if they and the articles do, else all of it; in the page's order. Of nested ones, the outermost."""
+    """What of the page is read: its main elements if they hold ``MOST`` of the prose that is the page's own, else its articles
+    and what leads to them if these do, else all of it; in the page's order. Of nested ones, the outermost.
+
+    Main elements that hold less than the articles do are left for these.
+    """
     page = events[0]
     articles: list[Node] = []
     mains: list[Node] = []
+    lead: list[Node] = []  # headings and paragraphs since the last other block began or ended
     whole = held = within = 0
-    read_to = main_to = 0
+    read_to = main_to = lead_to = 0
     for i, _ in left(events, page, templates):
         e = events[i]
         if type(e) is str:
@@ -250,12 +288,24 @@ def roots(events: Events, templates: Templates = frozenset()) -> list[Node]:
             whole += n
             held += n if i < read_to else 0
             within += n if i < main_to else 0
-        elif type(e) is Node and i >= read_to and e.tag == "article":
-            articles.append(e)
-            read_to = e.last
-        elif type(e) is Node and i >= max(read_to, main_to) and e.named:
+            continue
+        if type(e) is Node and i >= main_to and e.named:
             mains.append(e)
             main_to = e.last
+        if i < max(read_to, lead_to):
+            continue
+        node = e if type(e) is Node else events[e]
+        if type(e) is Node and e.tag == "article":
+            articles += [*lead, e]
+            held += sum(x.prose for x in lead)
+            lead, read_to = [], e.last
+        elif type(e) is Node and (e.tag in HEADINGS or e.tag == "p") and not (mains and i < main_to):
+            lead.append(e)
+            lead_to = e.last
+        elif node.tag in BLOCKS and node.tag != "p" and node.tag not in HEADINGS:
+            lead = []
+    if mains and within >= MOST * whole and within >= held:
+        return mains
     if articles and held >= MOST * whole:
         return articles
     if mains and within >= MOST * whole:
@@ -271,7 +321,7 @@ def hashes(html: str | None) -> list[tuple[int, bool, bool]]:
     while i < events[0].last:
         e = events[i]
         if type(e) is Node:
-            if boilerplate(e, i < article):
+            if boilerplate(e, i < article, events[0]):
                 i = e.last
             else:
                 if e.tag in BLOCKS and e.size and (e.size < SHORT or i >= article):

@@ -171,6 +171,25 @@ def test_names_and_depth_of_elements():
     assert told(long) == "\n\n".join(["ten chars!"] * 100_000)
 
 
+def test_forms_minor_articles_and_named_paragraphs_keep_their_prose():
+    told = lambda html: html_text.extract(html, frozenset())
+    prose = "This is the story of the page, told at some length and in sentences of its own, as a reader would want it. " * 3
+    search = "<input type=hidden name=state><input name=q><button>Search</button>"
+    assert told(f"<body><form>{search}<div><h1>Title</h1><p>{prose}</p></div></form>") == f"Title\n\n{prose.strip()}"
+    assert told(f"<form><div><p>{prose[:100]}</p></div><input name=q></form>") == prose[:100].strip()
+    login = "<form><p>Please log in to read on</p><label>Name<input></label><label>Word<input type=password></label><button>Log in</button></form>"
+    assert told(f"<div><p>{prose}</p>{login}</div>") == prose.strip() and told(login) == ""
+    assert told(f"<article>{prose}</article><article class=search>A story about search</article>") == f"{prose.strip()}\n\nA story about search"
+    assert told("<main><p>One.</p><p class=social>He was social.</p><p class=advert>Buy!</p><div class=social>Follow us</div></main>") == "One.\n\nHe was social."
+    comments = "<ol><li><article class='comment-body'><p>I liked it</p></article></li></ol>"
+    assert told(f"<article>{prose}</article>{comments}") == prose.strip()
+    assert told(f"<div><p>{prose}</p><div class='advertisement-top-wide'>Buy</div><div role=dialog>Wait!</div></div>") == prose.strip()
+    assert told(f"<div class='has-advertisement'><p>{prose}</p></div>") == prose.strip()
+    # a title and a lead right before an article, and all that a main element holds beside it
+    assert told(f"<div><div>Menu of the day</div><h1>Title</h1><p>The lead.</p><article>{prose}</article><div>After</div></div>") == f"Title\n\nThe lead.\n\n{prose.strip()}"
+    assert told(f"<main><h1>Title</h1><p>The lead.</p><article>{prose}</article><p>A note.</p></main><div>After</div>") == f"Title\n\nThe lead.\n\n{prose.strip()}\n\nA note."
+
+
 def test_templates_are_those_of_a_plain_count(spark):
     """A slow counter on nested trees: for each host, on how many pages does an element of the same tags and text occur?"""
     rng = random.Random(2)
