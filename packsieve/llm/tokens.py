@@ -48,6 +48,13 @@ def slices(texts: Sequence[str], chars: int = SLICE_CHARS) -> Iterator[tuple[int
         yield start, len(texts)
 
 
+class _Entries(dict):
+    """A chunk's entry, -1 where there is none."""
+
+    def __missing__(self, chunk: str) -> int:
+        return -1
+
+
 class Encoder:
     """Ids as unsigned 32-bit bytes in this machine's order, little-endian on all that Spark supports."""
 
@@ -96,7 +103,7 @@ class Encoder:
 
     def forget(self) -> None:
         """Called at a task's end: workers live on, and other stages need the memory."""
-        self.cache: dict[str, int] = {}
+        self.cache = _Entries()
         none = np.zeros(0, dtype=np.int64)
         self.start, self.length, self.pool, self.size = [none], [none], [none.astype(np.uint32)], 0
         pa.default_memory_pool().release_unused()
@@ -122,15 +129,18 @@ class Encoder:
         chunks, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         firsts = [texts[i] if i in whole else chunks[codes[k]] for i, k in enumerate(ends[:-1].tolist())]
         rest = np.bincount(np.delete(codes, ends[:-1]), minlength=len(chunks)) > 0  # those that stand behind a space somewhere
-        asked = [c for c, r in zip(chunks, rest.tolist(), strict=True) if r]
-        self._learn([c for c in asked if len(c) <= CHUNK_CHARS and c not in self.cache])
+        of = np.fromiter(map(self.cache.__getitem__, chunks), dtype=np.int64, count=len(chunks))
+        new = np.flatnonzero((of < 0) & rest)
+        asked = [chunks[k] for k in new.tolist()]
+        is_long = np.fromiter(map(CHUNK_CHARS.__lt__, map(len, asked)), dtype=bool, count=len(asked))
+        short, long = ([asked[k] for k in np.flatnonzero(held).tolist()] for held in (~is_long, is_long))
+        self._learn(short)
+        of[new[~is_long]] = np.fromiter(map(self.cache.__getitem__, short), dtype=np.int64, count=len(short))
         _, _, ids = self._whole()
         held = len(self.cache), len(ids)
-        long = [c for c in asked if len(c) > CHUNK_CHARS]
         self._alone([" " + c for c in long] + firsts)  # for this call alone
         start, length, ids = self._whole()
-        own = {c: held[0] + i for i, c in enumerate(long)}
-        of = np.array([(own if len(c) > CHUNK_CHARS else self.cache)[c] if r else 0 for c, r in zip(chunks, rest.tolist(), strict=True)], dtype=np.int64)
+        of[new[is_long]] = held[0] + np.arange(len(long))
         entry = of[codes]
         entry[ends[:-1]] = held[0] + len(long) + np.arange(len(texts))
         size = np.concatenate([[0], np.cumsum(length[entry])])
