@@ -15,16 +15,19 @@ from packsieve.operators.predicates import NAME, NAME_BYTES
 
 # TCP flags by bit, lowest first; the ninth is the nonce sum.
 TCP_FLAGS = ("fin", "syn", "reset", "push", "ack", "urg", "ece", "cwr", "ns")
+# What a word, a lexeme and the bounds of a mention are.
+WORD, LEXEME = r"[\p{L}\p{N}]+", r"[a-z0-9]+(?:[._-][a-z0-9]+)*"
+MENTION_FROM, MENTION_TO = r"(?i)(?<![0-9A-Za-z_.:/-])", r"(?![0-9A-Za-z_:/-]|\.[0-9A-Za-z])"
 
 
 def unicode_words(x: Column) -> Column:
     """letters and digits of any script, lower case."""
-    return F.regexp_extract_all(F.lower(x), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(x), F.lit(WORD), F.lit(0))
 
 
 def lexemes(x: Column) -> Column:
     """F2: words with inner dots, underscores and hyphens kept: field names as people write them."""
-    return F.regexp_extract_all(F.lower(x), F.lit(r"[a-z0-9]+(?:[._-][a-z0-9]+)*"), F.lit(0))
+    return F.regexp_extract_all(F.lower(x), F.lit(LEXEME), F.lit(0))
 
 
 def ascii_words(x: Column, stop: Sequence[str] = ()) -> Column:
@@ -58,7 +61,7 @@ def abbreviates(token: Column, word: Column, least: int = 3, most: int = 32) ->
 def mentions(x: Column, token: Column) -> Column:
     """F8: the token stands in the text as a whole, whatever its case; a sentence's full stop may follow."""
     quoted = F.regexp_replace(token, r"([\\\[\](){}.*+?^$|])", r"\\$1")
-    return F.rlike(x, F.concat(F.lit(r"(?i)(?<![0-9A-Za-z_.:/-])"), quoted, F.lit(r"(?![0-9A-Za-z_:/-]|\.[0-9A-Za-z])")))
+    return F.rlike(x, F.concat(F.lit(MENTION_FROM), quoted, F.lit(MENTION_TO)))
 
 
 def integer_literal(x: Column) -> Column:

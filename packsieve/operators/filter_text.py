@@ -77,6 +77,9 @@ IPV4 = r"\d{1,3}(?:\.\d{1,3}){3}(?:/\d{1,2})?"
 MAC = r"[0-9A-Fa-f]{1,2}([:.-])[0-9A-Fa-f]{1,2}(?:\1[0-9A-Fa-f]{1,2}){4}|[0-9A-Fa-f]{4}([:.-])[0-9A-Fa-f]{4}\2[0-9A-Fa-f]{4}"
 INTEGER = r"0[xX][0-9A-Fa-f]+|0[bB][01]+|0[0-7]*|[1-9][0-9]*"
 FIELD = r"[A-Za-z0-9_][A-Za-z0-9_.-]*"
+WORD = r"[A-Za-z0-9_.:/-]+"
+# Names that the generated captures use; such a name is a string literal without quotes too.
+GENERATED_NAME = r"(?i)((?:probe|witness)-\d+-\d+)"
 
 
 def bare(filter_text: Column) -> Column:
@@ -86,7 +89,7 @@ def bare(filter_text: Column) -> Column:
 
 def words(filter_text: Column) -> Column:
     """Words outside quotes; a set range ``a..b`` gives two."""
-    found = F.regexp_extract_all(bare(filter_text), F.lit(r"[A-Za-z0-9_.:/-]+"), F.lit(0))
+    found = F.regexp_extract_all(bare(filter_text), F.lit(WORD), F.lit(0))
     return F.filter(F.flatten(F.transform(found, lambda w: F.split(w, r"\.\."))), lambda p: p != "")
 
 
@@ -103,17 +106,18 @@ def whole(x: Column, pattern: str) -> Column:
 
 
 def references(filter_text: Column) -> Column:
-    """A struct of arrays: fields (each once, in order), addresses, macs, numbers, strings, and disjunctions (a count)."""
+    """A struct of arrays: fields (each once, in order), addresses, macs, numbers, strings (in quotes, or generated names without), and disjunctions (a count)."""
     loose, quoted = words(filter_text), strings(filter_text)
     both = F.concat(quoted, loose)
     is_literal = lambda w: whole(w, IPV4) | whole(w, MAC) | whole(w, INTEGER)
-    named = F.filter(loose, lambda w: ~is_literal(w) & whole(w, FIELD) & w.rlike("[A-Za-z_]") & ~F.lower(w).isin(*KEYWORDS))
+    generated = F.filter(loose, lambda w: ~is_literal(w) & w.rlike(GENERATED_NAME))
+    named = F.filter(loose, lambda w: ~is_literal(w) & ~w.rlike(GENERATED_NAME) & whole(w, FIELD) & w.rlike("[A-Za-z_]") & ~F.lower(w).isin(*KEYWORDS))
     ors = F.size(F.filter(loose, lambda w: F.lower(w) == "or")) + F.regexp_count(bare(filter_text), F.lit(r"\|\|"))
     return F.struct(
         F.array_distinct(named).alias("fields"),
         F.filter(both, lambda w: whole(w, IPV4)).alias("addresses"),
         F.filter(both, lambda w: ~whole(w, IPV4) & whole(w, MAC)).alias("macs"),
         F.filter(both, lambda w: ~whole(w, IPV4) & ~whole(w, MAC) & whole(w, INTEGER)).alias("numbers"),
-        F.filter(quoted, lambda w: ~is_literal(w)).alias("strings"),
+        F.concat(F.filter(quoted, lambda w: ~is_literal(w)), generated).alias("strings"),
         ors.alias("disjunctions"),
     )

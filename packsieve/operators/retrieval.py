@@ -21,6 +21,8 @@ LIMITS = {"items": 128, "top_k": 32, "query_bytes": 4096, "query_tokens": 64, "i
 # Examples of a request, and words of the request frame, which say nothing about an example.
 FEW_SHOT = 8
 FRAME_WORDS = "all filter find for give i keep list me need only packets show that the which".split()
+# The shortest acronym, and what a capital letter is.
+SHORTEST, CAPITAL = 3, r"\p{IsUppercase}"
 #: Words of the queries (as rows) up to which they are sent to every executor, about 40 bytes each.
 BROADCAST_WORDS = 1_000_000
 
@@ -45,6 +47,27 @@ def resolved(registrations: DataFrame) -> DataFrame:
     )
 
 
+def protocol_words(intent: Column) -> Column:
+    """The words of a request that may name a protocol: those with two capitals, or all where the text has no capital."""
+    found = F.regexp_extract_all(intent, F.lit(text.WORD), F.lit(0))
+    cased = intent.rlike(CAPITAL)
+    return F.array_distinct(F.transform(F.filter(found, lambda w: ~cased | (F.regexp_count(w, F.lit(CAPITAL)) >= 2)), F.lower))
+
+
+def acronyms(protocols: DataFrame) -> DataFrame:
+    """(word, protocol): the inverted index from the initials of display names, of three characters or more. ``protocols``: name, display."""
+    rows = protocols.select(text.initials(text.unicode_words(F.col("display"))).alias("word"), F.lower("name").alias("protocol"))
+    return rows.where(F.length("word") >= SHORTEST).distinct()
+
+
+def selected_protocols(queries: DataFrame, protocols: DataFrame) -> DataFrame:
+    """Per query (item_id, intent) the array ``protocols``: the words that may name one, and the protocols whose acronym such a word is."""
+    words = queries.select("item_id", F.explode(protocol_words(F.col("intent"))).alias("word"))
+    by_acronym = words.join(acronyms(protocols), "word").groupBy("item_id").agg(F.collect_set("protocol").alias("_more"))
+    own = queries.select("item_id", protocol_words(F.col("intent")).alias("_own"))
+    return own.join(by_acronym, "item_id", "left").select("item_id", F.array_union("_own", F.coalesce("_more", F.array().cast("array<string>"))).alias("protocols"))
+
+
 def refused(queries: DataFrame, item: str = "item_id", intent: str = "intent") -> DataFrame:
     """Each query with the code by which its limits refuse it, or null."""
     tokens = F.size(text.unicode_words(F.col(intent)))

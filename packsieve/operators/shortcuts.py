@@ -10,17 +10,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from packsieve.functions import networks, text
-from packsieve.operators.filter_text import IPV4
+from packsieve.operators.filter_text import GENERATED_NAME, IPV4
 
 # Field types that count frames or time, fields of the frame that describe the packet, derived state.
 POSITION_TYPES = ("FT_FRAMENUM", "FT_ABSOLUTE_TIME", "FT_RELATIVE_TIME")
 PACKET_FRAME_FIELDS = ("frame.len", "frame.cap_len", "frame.protocols")
 STATE_FIELDS, STATE_PREFIXES = ("dns.unsolicited",), ("tcp.analysis", "tcp.completeness", "dns.retransmi")
 GENERATOR_FIELDS = ("ip.id", "dns.id", "tcp.seq_raw", "tcp.ack_raw")
-# The generated captures' servers, clients, ephemeral ports and names.
+# The generated captures' servers, clients and ephemeral ports.
 SERVERS, CLIENTS = ("198.51.100.0", 24), ("192.0.2.0", 24)
 EPHEMERAL = (41000, 51254)
-GENERATED_NAME = r"(?i)((?:probe|witness)-\d+-\d+)"
 NAMED_NETWORKS = (("test-net-1", "192.0.2.0", 24), ("test-net-2", "198.51.100.0", 24), ("test-net-3", "203.0.113.0", 24))
 RULES = ("capture-position", "generator-identifier", "capture-constant")
 

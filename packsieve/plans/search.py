@@ -36,21 +36,39 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier")
     k = F.col("s_suppkey")
     pick = lambda words, n: F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
-    intent = F.concat_ws(" ", F.lit("Show"), pick(["small", "red", "blue", "large", "gree"], k), pick(["widget", "bolt", "ring", "gearing", "smaller"], k + F.floor(k / 5)), F.lit("brand"), (k % 25).cast("string"))
-    return s.select(k.alias("item_id"), intent.alias("intent"), F.when(k % 3 == 0, F.array(F.lit("economy"))).otherwise(F.array().cast("array<string>")).alias("protocols")).select(
-        "item_id", F.transform(text.unicode_words(F.col("intent")), text.singular).alias("words"), "protocols", text.lexemes(F.col("intent")).alias("lexemes")
-    )
+    protocol = pick(["EPV7", "Promo", "ECONOMY", "epv7", ""], F.floor(k / 5))
+    intent = F.concat_ws(" ", F.lit("Show"), pick(["small", "red", "blue", "large", "gree"], k), pick(["widget", "bolt", "ring", "gearing", "smaller"], k + F.floor(k / 5)), F.lit("brand"), (k % 25).cast("string"), protocol)
+    return s.select(k.alias("item_id"), F.when(k % 3 == 0, F.lower(intent)).otherwise(intent).alias("intent"))
+
+
+def protocols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A protocol for each type of part; its display name has the type's first letter, a P, a V and the length of the type for initials."""
+    p = table(spark, sf_dir, "part").select(F.lower("p_type").alias("name")).distinct()
+    return p.select("name", F.concat(F.initcap("name"), F.lit(" Part Version "), F.length("name").cast("string")).alias("display"))
+
 
+def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests as retrieval takes them, with the protocols that they name."""
+    q = requests(spark, sf_dir)
+    words = q.select("item_id", F.transform(text.unicode_words(F.col("intent")), text.singular).alias("words"), text.lexemes(F.col("intent")).alias("lexemes"))
+    return words.join(retrieval.selected_protocols(q, protocols(spark, sf_dir)), "item_id")
 
-_REQUESTS = """q AS (SELECT s_suppkey AS item_id, lower('Show ' || ['small', 'red', 'blue', 'large', 'gree'][s_suppkey % 5 + 1] || ' ' || ['widget', 'bolt', 'ring', 'gearing', 'smaller'][(s_suppkey + s_suppkey // 5) % 5 + 1] || ' brand ' || (s_suppkey % 25)) AS intent,
-        CASE WHEN s_suppkey % 3 = 0 THEN 'economy' END AS proto FROM supplier),
+
+_INTENTS = """i AS (SELECT s_suppkey AS item_id, 'Show ' || ['small', 'red', 'blue', 'large', 'gree'][s_suppkey % 5 + 1] || ' ' || ['widget', 'bolt', 'ring', 'gearing', 'smaller'][(s_suppkey + s_suppkey // 5) % 5 + 1] || ' brand ' || (s_suppkey % 25)
+        || ' ' || ['EPV7', 'Promo', 'ECONOMY', 'epv7', ''][(s_suppkey // 5) % 5 + 1] AS told FROM supplier),
+    ic AS (SELECT item_id, trim(CASE WHEN item_id % 3 = 0 THEN lower(told) ELSE told END) AS intent FROM i),
+    it AS (SELECT item_id, intent, unnest(string_split(intent, ' ')) AS token FROM ic),
+    named AS (SELECT DISTINCT item_id, lower(token) AS word FROM it WHERE intent = lower(intent) OR length(regexp_replace(token, '[^A-Z]', '', 'g')) >= 2),
+    acronym AS (SELECT DISTINCT lower(p_type) AS protocol, lower(p_type)[1] || 'pv' || length(p_type) AS acronym FROM part),
+    qp AS (SELECT item_id, word AS proto FROM named UNION SELECT item_id, protocol FROM named JOIN acronym ON word = acronym)"""
+_REQUESTS = f"""{_INTENTS}, q AS (SELECT item_id, lower(intent) AS intent FROM ic),
     qw AS (SELECT DISTINCT item_id, w AS word FROM (SELECT item_id, unnest(string_split(intent, ' ')) AS w FROM q)),
     f AS (SELECT lower(p_type) || '.' || replace(p_name, ' ', '.') || '.' || p_partkey AS name, lower(p_type) AS protocol, p_name || ' ' || lower(p_brand) AS display FROM part),
     ab AS (SELECT DISTINCT name, unnest(string_split(name, '.')) AS token FROM f), ds AS (SELECT DISTINCT name, unnest(regexp_extract_all(display, '[a-z0-9]+')) AS word FROM f),
     hit AS (SELECT item_id, name, word, word AS covers, 4 AS weight FROM qw JOIN ab ON word = token
         UNION ALL SELECT item_id, name, qw.word, NULL, 4 FROM qw JOIN ds ON qw.word = ds.word
         UNION ALL SELECT item_id, name, word, token, 2 FROM qw JOIN ab ON length(token) >= 3 AND length(token) < length(word) AND length(word) <= 32 AND regexp_matches(word, '^' || array_to_string(string_split(token, ''), '.*'))
-        UNION ALL SELECT item_id, name, NULL, proto, 4 FROM q JOIN f ON protocol = proto),
+        UNION ALL SELECT item_id, name, NULL, proto, 4 FROM qp JOIN f ON protocol = proto),
     pw AS (SELECT item_id, name, word, max(weight) AS weight FROM hit GROUP BY ALL), raw AS (SELECT item_id, name, sum(weight) AS raw FROM pw GROUP BY ALL),
     cov AS (SELECT DISTINCT item_id, name, covers FROM hit JOIN ab USING (name) WHERE covers = token), nc AS (SELECT item_id, name, count(*) AS n FROM cov GROUP BY ALL),
     na AS (SELECT name, count(*) AS n FROM ab GROUP BY 1),
@@ -59,7 +77,13 @@ _REQUESTS = """q AS (SELECT s_suppkey AS item_id, lower('Show ' || ['small', 're
 
 
 def ranked(spark: SparkSession, sf_dir: str, k: int = 16) -> DataFrame:
-    return retrieval.top_fields(retrieval.scored(requests(spark, sf_dir), fields(spark, sf_dir)), k)
+    return retrieval.top_fields(retrieval.scored(prepared(spark, sf_dir), fields(spark, sf_dir)), k)
+
+
+@query("protocol_selection", f"WITH {_INTENTS} SELECT item_id, proto AS protocol FROM qp")
+def protocol_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The protocols that a request names by their own name or by the acronym of their display name."""
+    return retrieval.selected_protocols(requests(spark, sf_dir), protocols(spark, sf_dir)).select("item_id", F.explode("protocols").alias("protocol"))
 
 
 @query("field_retrieval_topk", f"WITH {_REQUESTS} SELECT item_id, name, score, rank FROM ranked WHERE rank <= 16")
@@ -144,6 +168,7 @@ def _filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = [
         F.concat(F.lit("ip.dst == "), host), F.when(n % 3 == 0, F.concat(F.lit("frame.number == "), (n % 9).cast("string"))), F.when(n % 4 == 0, F.lit("tcp.stream eq 1")),
         F.when(n % 5 == 0, F.lit("ip.id == 0x1f")), F.concat(F.lit("tcp.port == "), (41000 + n % 200).cast("string")), F.when(n % 7 == 0, F.lit('dns.qry.name contains "probe-3-4.example"')), F.when(n % 11 == 0, F.lit("ip.src == 10.0.0.0/8")),
+        F.when(n % 13 == 0, F.lit("dns.qry.name == Witness-5-6")),
     ]
     request = F.concat(F.lit("Show traffic to "), F.when(n % 2 == 0, host).otherwise("198.51.100.0/24"), F.lit(" port "), (41000 + n % 400).cast("string"), F.lit("."))
     return dealt(table(spark, sf_dir, "customer")).select(n.alias("item_id"), F.array_join(F.array_compact(F.array(*parts)), " && ").alias("filter"), request.alias("request"))
@@ -152,7 +177,8 @@ def _filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("shortcut_scan", """WITH c AS (SELECT c_custkey AS n FROM customer),
     h AS (SELECT n AS item_id, 'capture-position' AS rule, 'frame.number' AS token FROM c WHERE n % 3 = 0 UNION ALL SELECT n, 'capture-position', 'tcp.stream' FROM c WHERE n % 4 = 0
         UNION ALL SELECT n, 'generator-identifier', 'ip.id' FROM c WHERE n % 5 = 0 UNION ALL SELECT n, 'capture-constant', '198.51.100.' || (n % 250) FROM c WHERE n % 2 = 1 AND n % 250 NOT IN (0, 255)
-        UNION ALL SELECT n, 'capture-constant', CAST(41000 + n % 200 AS VARCHAR) FROM c WHERE n % 200 <> n % 400 UNION ALL SELECT n, 'capture-constant', 'probe-3-4' FROM c WHERE n % 7 = 0)
+        UNION ALL SELECT n, 'capture-constant', CAST(41000 + n % 200 AS VARCHAR) FROM c WHERE n % 200 <> n % 400 UNION ALL SELECT n, 'capture-constant', 'probe-3-4' FROM c WHERE n % 7 = 0
+        UNION ALL SELECT n, 'capture-constant', 'Witness-5-6' FROM c WHERE n % 13 = 0)
     SELECT item_id, rule, token FROM h""")
 def shortcut_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B9, E20, F8, F9, J10."""
@@ -162,8 +188,8 @@ def shortcut_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("filter_references", """WITH c AS (SELECT c_custkey AS n FROM customer) SELECT n AS item_id,
-    CAST(2 + (n % 3 = 0)::INT + (n % 4 = 0)::INT + (n % 5 = 0)::INT + (n % 7 = 0)::INT + (n % 11 = 0)::INT AS INTEGER) AS fields, CAST(1 + (n % 11 = 0)::INT AS INTEGER) AS addresses,
-    CAST(1 + (n % 3 = 0)::INT + (n % 4 = 0)::INT + (n % 5 = 0)::INT AS INTEGER) AS numbers, CAST((n % 7 = 0)::INT AS INTEGER) AS strings FROM c""")
+    CAST(2 + (n % 3 = 0)::INT + (n % 4 = 0)::INT + (n % 5 = 0)::INT + (n % 7 = 0 OR n % 13 = 0)::INT + (n % 11 = 0)::INT AS INTEGER) AS fields, CAST(1 + (n % 11 = 0)::INT AS INTEGER) AS addresses,
+    CAST(1 + (n % 3 = 0)::INT + (n % 4 = 0)::INT + (n % 5 = 0)::INT AS INTEGER) AS numbers, CAST((n % 7 = 0)::INT + (n % 13 = 0)::INT AS INTEGER) AS strings FROM c""")
 def filter_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B9."""
     r = filter_text.references(F.col("filter"))
@@ -269,10 +295,10 @@ def request_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Text functions, on parts, documents and numbers.
 @query("tokens", """SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS INTEGER) AS unicode, CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS INTEGER) AS words,
-    CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+(?:[._-][a-z0-9]+)*')) AS INTEGER) AS lexemes FROM documents WHERE text IS NOT NULL""")
+    CAST(len(regexp_extract_all(lower(text), '[a-z0-9]+(?:[._-][a-z0-9]+)*')) AS INTEGER) AS lexemes FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)""")
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F1-F3, on whole texts of four languages."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    """F1-F3, on whole texts of four languages; a null text has none."""
+    d = table(spark, sf_dir, "documents").withColumn("text", F.coalesce("text", F.lit("")))
     return d.select("doc_id", F.size(text.unicode_words(F.col("text"))).alias("unicode"), F.size(text.ascii_words(F.col("text"))).alias("words"), F.size(text.lexemes(F.col("text"))).alias("lexemes"))
 
 

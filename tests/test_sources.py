@@ -137,6 +137,27 @@ def test_retrieval_ranks_by_name_and_abbreviation(spark):
     assert [r.code for r in retrieval.refused(bad).collect()] == ["item_id_too_long", "query_too_long", "query_too_many_tokens", "query_empty", None]
 
 
+def test_protocols_are_named_by_acronym_shaped_words(spark):
+    known = spark.createDataFrame([("ip", "Internet Protocol Version 4"), ("IPV6", "Internet Protocol Version 6"), ("tcp", "Transmission Control Protocol"), ("find", "Find Protocol"), ("alt", "Interim Packet Volume 4"), ("no", "No")], "name string, display string")
+    asked = {"cased": "Find IPv4 destination traffic", "lower": "find ipv4 destination", "one": "Tcp or TCP, UdP?", "plain": "xyzzy", "none": None, "script": "Тест ТЕСТ"}
+    got = {r.item_id: set(r.protocols) for r in retrieval.selected_protocols(spark.createDataFrame(list(asked.items()), "item_id string, intent string"), known).collect() if r.protocols is not None}
+    assert got["cased"] == {"ipv4", "ip", "alt"} and got["lower"] == {"find", "ipv4", "destination", "ip", "alt"}
+    assert got["one"] == {"tcp", "udp"} and got["plain"] == {"xyzzy"} and not got.get("none") and got["script"] == {"тест"}
+    # with them, a short field of the protocol that the request names comes before longer names that hold its words
+    rows = [("ip.dst", "ipv4", "ip", "Destination Address"), ("ip.ttl", "integer", "ip", "Time to Live"), ("tcp", "protocol", "tcp", "Transmission Control Protocol"), ("find", "protocol", "find", "Find Protocol"),
+            ("eigrp.ipv4.destination", "ipv4", "eigrp", "Destination"), ("mpls_echo.tlv.ilso_ipv4.ttl", "integer", "mpls_echo", "TTL"), ("aeron.setup.ttl", "integer", "aeron", "TTL")]
+    fields = spark.createDataFrame(rows, "name string, kind string, protocol string, display string")
+    asked = {"cased": "Find IPv4 destination traffic", "lower": "find ipv4 destination traffic", "ttl": "Keep only TCP packets whose IPv4 TTL is 1 or lower."}
+    q = spark.createDataFrame(list(asked.items()), "item_id string, intent string")
+    ready = q.select("item_id", F.transform(text.unicode_words(F.col("intent")), text.singular).alias("words"), text.lexemes(F.col("intent")).alias("lexemes")).join(retrieval.selected_protocols(q, known), "item_id")
+    ranked = {}
+    for r in retrieval.top_fields(retrieval.scored(ready, fields), 16).orderBy("item_id", "rank").collect():
+        ranked.setdefault(r.item_id, []).append(r.name)
+    assert ranked["ttl"][:2] == ["ip.ttl", "tcp"]
+    cased, lowered = ranked["cased"], ranked["lower"]
+    assert cased.index("ip.dst") < cased.index("eigrp.ipv4.destination") < cased.index("find") and lowered.index("find") < lowered.index("eigrp.ipv4.destination")
+
+
 def test_drop_rules_go_in_order_and_overlap_needs_eight_words(spark):
     t, f = F.lit(True), F.lit(False)
     r = spark.range(1).select(leakage.drop_rule({"shortcut": t, "compile": f, "duplicate_key": t}).alias("a"), leakage.drop_rule({"compile": f, "degenerate": F.lit(None).cast("boolean")}).alias("b")).first()
