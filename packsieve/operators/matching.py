@@ -127,6 +127,29 @@ def difference(expected: DataFrame, candidate: DataFrame, keys: Sequence[str]) -
     return a.join(b, list(keys), "full").select(*keys, side.alias("side"))
 
 
+def signatures(selected: DataFrame, key: str, probe: str = "probe_id", frame: str = "frame") -> DataFrame:
+    """A3: (key, n, signature): a fingerprint of the frames that each candidate selects, whatever the order of rows.
+
+    Of each probe the count, the sum and the exclusive or of 64-bit hashes of its frames: partial
+    aggregates of three numbers, so no set is collected and a candidate with a third of all rows
+    is no hot task. ``selected``: key, probe, frame, each once. What selects nothing has no row.
+    """
+    h = F.xxhash64(frame)
+    per = selected.groupBy(key, probe).agg(F.count("*").alias("n"), F.sum(h.cast("decimal(20,0)")).alias("sum"), F.bit_xor(h).alias("xor"))
+    return per.groupBy(key).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct(probe, "n", "sum", "xor"))).alias("signature"))
+
+
+def same_frames(a: DataFrame, b: DataFrame, a_key: str, b_key: str, probe: str = "probe_id", frame: str = "frame") -> DataFrame:
+    """A3: (a_key, b_key, n) of candidates that select the same frames on every probe, told by signature and then verified frame by frame.
+
+    Candidates that select nothing anywhere are not compared.
+    """
+    sa, sb = signatures(a, a_key, probe, frame), signatures(b, b_key, probe, frame)
+    pairs = sa.join(sb.drop("n"), "signature").select(a_key, b_key, "n")
+    met = a.join(pairs, a_key).join(b.select(b_key, probe, frame), [b_key, probe, frame])
+    return met.groupBy(a_key, b_key).agg(F.first("n").alias("n"), F.count("*").alias("_met")).where("n = _met").drop("_met")
+
+
 def set_hash(df: DataFrame, group: Sequence[str], *elements: str) -> DataFrame:
     """The digest of a group's elements, in order, as canonical JSON; the same whatever the order of rows.
 

@@ -24,6 +24,8 @@ KINDS = ("protocol", "boolean", "integer", "float", "string", "bytes", "ipv4", "
 VERSION = "1.0"
 NAME = re.compile(r"[A-Za-z0-9_][A-Za-z0-9_-]*(?:\.[A-Za-z0-9_][A-Za-z0-9_-]*)*")
 NAME_BYTES, REPLY_BYTES = 256, 64 * 1024
+# Slots that a question may leave open.
+SLOTS = ("address", "direction", "field", "port", "protocol", "value")
 BYTES = re.compile(r"[0-9A-Fa-f]{2}(?::[0-9A-Fa-f]{2})*")
 
 
@@ -269,15 +271,16 @@ def read_reply(text: str) -> Reply:
         x = json.loads(text)
     except (ValueError, RecursionError):
         raise Refused("malformed", "not JSON") from None
-    if not isinstance(x, dict) or not set(x) <= {"status", "assumptions", "clarifying_question", "missing_slots", "intent_ir"}:
+    if not isinstance(x, dict) or not set(x) <= {"schema_version", "status", "assumptions", "clarifying_question", "missing_slots", "intent_ir"}:
         raise Refused("malformed", "not an envelope")
     status, ir = x.get("status"), x.get("intent_ir")
-    question, missing = x.get("clarifying_question"), x.get("missing_slots") or []
-    assumptions = x.get("assumptions") or []
-    if not all(isinstance(s, str) for s in (*missing, *assumptions)):
-        raise Refused("malformed", "slots and assumptions are text")
+    question, missing, assumptions = x.get("clarifying_question"), x.get("missing_slots", []), x.get("assumptions", [])
+    if x.get("schema_version", VERSION) != VERSION or not isinstance(missing, list) or not isinstance(assumptions, list) or not isinstance(question, str | None):
+        raise Refused("malformed", "a member of another type or version")
+    if not all(isinstance(s, str) for s in (*missing, *assumptions)) or not set(missing) <= set(SLOTS) or len(set(missing)) < len(missing):
+        raise Refused("malformed", "slots and assumptions are text, and slots are known and told once")
     ready, asks = status == "ready", status == "needs_clarification"
-    if status not in ("ready", "needs_clarification", "not_expressible") or ready != (ir is not None) or asks != bool(question) or asks != bool(missing):
+    if status not in ("ready", "needs_clarification", "not_expressible") or ready != (ir is not None) or asks != bool(question) or asks != (question is not None) or missing and not asks:
         raise Refused("malformed", "the payload does not go with the status")
     tree = from_json(json.dumps(ir)) if ready else None
     return Reply(status, tree, question, tuple(missing), tuple(assumptions))

@@ -295,34 +295,6 @@ def counterexample_card(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cards.chosen(wrong, ["probe_id"], ["user_id"])
 
 
-def _walked() -> list[tuple[str, str, str, str]]:
-    return [(name, ".".join(map(str, p)) or "root", x.field, x.op) for name, t in CANDIDATES.items() for p, x in predicates.leaves(t)]
-
-
-@query("leaf_walk", "SELECT * FROM (VALUES " + ", ".join(map(repr, _walked())) + ") t(candidate, path, field, op)")
-def leaf_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From stored JSON, parsed on the driver."""
-    stored = {name: predicates.from_json(predicates.to_json(t)) for name, t in CANDIDATES.items()}
-    rows = [(name, ".".join(map(str, p)) or "root", x.field, x.op) for name, t in stored.items() for p, x in predicates.leaves(t)]
-    return spark.createDataFrame(rows, "candidate string, path string, field string, op string")
-
-
-@query("canonical_dedup", "SELECT * FROM (VALUES ('bound', 3), ('either_side', 3), ('no_absent', 2), ('none', 0), ('same', 3), ('wide', 0)) t(candidate, depth)")
-def canonical_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B6, B7: 'same' and the gold predicate have one canonical key and are kept once."""
-    trees = CANDIDATES | {"zz_gold": GOLD}
-    rows = spark.createDataFrame([(n, predicates.key(t), predicates.depth(t)) for n, t in trees.items()], "candidate string, key string, depth int")
-    return rows.groupBy("key").agg(F.min("candidate").alias("candidate"), F.min_by("depth", "candidate").alias("depth")).select("candidate", "depth")
-
-
-@query("refused_codes", """SELECT * FROM (VALUES ('event.none', 'unknown_field'), ('event.blob', 'unsupported_type'), ('event.type', 'unsupported_operator'), ('event.user', 'type_mismatch'), ('event.addr', 'type_mismatch'),
-    ('event.k', NULL)) t(field, code)""")
-def refused_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P11."""
-    leaves = [Leaf("event.none", "exists"), Leaf("event.blob", "eq", "x"), Leaf("event.type", "lt", "x"), Leaf("event.user", "eq", True), Leaf("event.addr", "eq", "::1"), Leaf("event.k", "eq", 4)]
-    return spark.createDataFrame([(x.field, predicates.code_of(x, EVENTS)) for x in leaves], "field string, code string")
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates against gold on events: read from JSON, compiled, matched in one scan, with a verdict for each probe."""
     trees = {n: predicates.from_json(json.dumps(json.loads(predicates.to_json(t)))) for n, t in CANDIDATES.items()}

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from packsieve.plans import logs, predicates, rates, search
+from packsieve.plans import logs, predicates, rates, search, trees
 
-MODULES = (predicates, rates, search, logs)
+MODULES = (predicates, rates, search, logs, trees)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
