@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packsieve.operators import filter_text, leakage, matching, replies, shortcuts, tree_rows
+from packsieve.operators import adequacy, filter_text, leakage, matching, mutants, replies, shortcuts, tree_rows
 from packsieve.operators import predicates as P
-from packsieve.operators.predicates import Leaf
+from packsieve.operators.predicates import Both, Either, Field, Leaf, Neither
 from packsieve.operators.tree_rows import document, group, negated, predicate
 from packsieve.plans.frames import EVENTS, EVENTS_SQL, dealt, event_frames, sql, table
 
@@ -183,3 +183,61 @@ def gated(rows: DataFrame, frames: DataFrame, benchmark: DataFrame) -> DataFrame
 def _degenerate(selected: Column, frames: Column) -> Column:
     """No frame on any probe, or every frame on every probe."""
     return selected.isNull() | (selected == frames)
+
+
+# Two cases with one failure for each counter planted. Purchases are the feedback probe.
+_AT = "user_id < 50 AND k >= 40"
+_FIRST = Both((Leaf("event.user", "lt", 50), Leaf("event.k", "ge", 40)))
+_SAME = Both((Leaf("event.k", "ge", 40), Leaf("event.user", "lt", 50)))
+_PAID = Leaf("event.paid", "exists")
+GATE_CATALOG = EVENTS | {"event.gone": Field("event.gone", "integer", "gone")}
+GATE_MUTANTS = (
+    *mutants.mutants(_FIRST, mutants.Slips(swaps={"event.k": ("event.pair", "event.gone", "event.blob")}, ports={}, numbers={}, flag_bits={}, codes={})),
+    mutants.Mutant("planted", "same meaning", Both((_FIRST, Either((Leaf("event.user", "lt", 50), Neither(Leaf("event.user", "exists"))))))), mutants.Mutant("planted", "not in feedback", Both((_FIRST, Neither(_PAID)))),
+    mutants.Mutant("planted", "in feedback only", Both((_FIRST, _PAID))), mutants.Mutant("planted", "told twice", _FIRST),
+)
+_WAIVED = (("good", "same meaning"), ("good", "not in feedback"), ("good", "drop nothing"))
+
+
+def gate_cases() -> list[adequacy.Case]:
+    good = adequacy.Case("good", F.expr(_AT), _SAME, _FIRST, Leaf("event.user", "lt", 50), F.expr("user_id < 50"), GATE_MUTANTS)
+    bad = adequacy.Case("bad", F.expr(_AT), Leaf("event.k", "ge", 40), Leaf("event.user", "lt", 50), _SAME, F.expr("k >= 40"), (mutants.Mutant("planted", "unwaived", _FIRST),))
+    return [good, bad]
+
+
+def gate(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(mutants, counters)."""
+    frames, cases = event_frames(spark, sf_dir), gate_cases()
+    rows, trees = adequacy.prepared(cases, GATE_CATALOG, frames.columns)
+    found = adequacy.measured(frames, cases, trees, GATE_CATALOG, F.col("probe_id") == "purchase")
+    waivers = spark.createDataFrame(list(_WAIVED), "case_id string, edit string")
+    rated = adequacy.statuses(spark, rows, found, waivers)
+    return rated, adequacy.counters(spark, rows, found, rated, waivers)
+
+
+_rows, _trees = adequacy.prepared([adequacy.Case("good", None, _SAME, _FIRST, Leaf("event.user", "lt", 50), None, GATE_MUTANTS)], GATE_CATALOG, ("user_id", "k", "value", "event_type", "large", "pair", "addr", "paid"))
+_run = " UNION ALL ".join(f"SELECT '{t}' AS filter, bool_or(({_AT}) <> {sql(x, GATE_CATALOG)}) FILTER (probe_id <> 'purchase') AS scored, bool_or(({_AT}) <> {sql(x, GATE_CATALOG)}) FILTER (probe_id = 'purchase') AS seen FROM frames" for (_, t), x in _trees.items())
+_listed = ", ".join(f"('{c}', '{e}', {repr(t) if t else 'NULL'}, '{s}')" for _, role, c, e, t, s in _rows if role == "mutant")
+
+
+@query("adequacy_gate", f"""WITH {EVENTS_SQL}, run AS ({_run}), m(category, edit, filter, state) AS (VALUES {_listed}),
+    x AS (SELECT category, edit, CASE WHEN state <> 'runs' THEN state WHEN scored THEN 'killed' ELSE 'survived' END AS status, coalesce(seen, FALSE) AS seen FROM m LEFT JOIN run USING (filter) WHERE state <> 'duplicate')
+    SELECT 'good' AS case_id, category, edit, status, seen, status = 'killed' AND NOT seen AS blind, status = 'survived' AND edit IN ('same meaning', 'not in feedback', 'drop nothing') AS waived FROM x
+    UNION ALL SELECT 'bad', 'planted', 'unwaived', 'survived', FALSE, FALSE, FALSE""")
+def adequacy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of every mutant."""
+    return gate(spark, sf_dir)[0].select("case_id", "category", "edit", "status", "seen", "blind", "waived")
+
+
+_apart = lambda label, test: f"(SELECT count(*) FROM (SELECT 1 FROM frames GROUP BY probe_id HAVING bool_or(({label}) <> ({test}))))"
+
+
+@query("adequacy_counters", f"""WITH {EVENTS_SQL}, run AS ({_run}), m(category, edit, filter, state) AS (VALUES {_listed}), x AS (SELECT edit, scored, seen FROM m JOIN run USING (filter) WHERE state = 'runs')
+    SELECT 'label_mismatches' AS counter, CAST({_apart(_AT, 'k >= 40')} AS BIGINT) AS n UNION ALL SELECT 'canonical_mismatches', {_apart(_AT, 'user_id < 50')} UNION ALL SELECT 'mutation_label_mismatches', {_apart('k >= 40', _AT)}
+    UNION ALL SELECT 'undistinguished_mutations', 1 + (SELECT count(*) FROM (SELECT bool_or(({_AT}) <> (user_id < 50)) AS d FROM frames WHERE probe_id <> 'purchase') WHERE NOT d)
+    UNION ALL SELECT 'feedback_undistinguished_mutations', 1 + (SELECT count(*) FROM (SELECT bool_or(({_AT}) <> (user_id < 50)) AS d FROM frames WHERE probe_id = 'purchase') WHERE NOT d)
+    UNION ALL SELECT 'unwaived_survivors', 1 + (SELECT count(*) FROM x WHERE NOT scored AND edit NOT IN ('same meaning', 'not in feedback')) UNION ALL SELECT 'stale_waivers', 1 + (SELECT count(*) FROM x WHERE scored AND edit IN ('same meaning', 'not in feedback'))
+    UNION ALL SELECT 'feedback_blind_mutants', (SELECT count(*) FROM x WHERE scored AND NOT seen) UNION ALL SELECT 'disproved_waivers', (SELECT count(*) FROM x WHERE NOT scored AND seen AND edit IN ('same meaning', 'not in feedback'))""")
+def adequacy_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nine counters of the gate."""
+    return gate(spark, sf_dir)[1]
