@@ -33,9 +33,10 @@ values: a pair at 0.8 shares an index near a given segment in 61 of 100 cases, b
 values in 64, and so one of the eight kinds of key in 98. Keys have 64 bits, so texts that
 share none of this hardly meet in tables of any size. Texts that meet
 under a key are compared by samples of ``SAMPLE`` shingle hashes first, and those that come near
-by all their shingles. First each key's texts are compared with its smallest alone, so
-a crowd becomes one component in a number of comparisons that follows its size; then
-all that meet under a key and are still of different components are compared with one another.
+by all their shingles. First each text is compared with one other, the smallest under
+any of its keys, so a crowd becomes one component in as many comparisons as it has texts; then,
+of what is still in different components, each key's texts with its smallest, and in the end all
+that meet under a key with one another.
 
 Edge cases: null or wordless text has fingerprint zero and is linked like any
 other; fewer words than a shingle are one shingle; null doc_ids are linked but
@@ -301,10 +302,20 @@ def meeting(keyed: DataFrame) -> DataFrame:
     return keyed.join(several, "key", "left_semi")
 
 
+def _hubs(keyed: DataFrame) -> DataFrame:
+    """(hub, node): each key's smallest node and its others of other components."""
+    hub = keyed.groupBy("key").agg(F.min(F.struct("node", "at")).alias("_hub"))
+    return keyed.join(hub, "key").where("at != _hub.at").select(F.col("_hub.node").alias("hub"), "node")
+
+
+def to_one_hub(keyed: DataFrame) -> DataFrame:
+    """Pairs (a, b): for each node the smallest of its keys' smallest nodes, so not more pairs than nodes."""
+    return _hubs(keyed).groupBy("node").agg(F.min("hub").alias("a")).select("a", F.col("node").alias("b"))
+
+
 def to_hubs(keyed: DataFrame) -> DataFrame:
     """Pairs (a, b) of each key's smallest node and its others of other components."""
-    hub = keyed.groupBy("key").agg(F.min(F.struct("node", "at")).alias("hub"))
-    return keyed.join(hub, "key").where("at != hub.at").select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    return _hubs(keyed).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def among(keyed: DataFrame) -> DataFrame:
@@ -355,11 +366,15 @@ def similar(docs: DataFrame, rows: DataFrame, at: DataFrame, words: int, similar
 
     # the first links are stars, so that a crowd under a key is one component before its pairs are looked at
     own = scratch.table(keyed.select("node", "at").distinct(), "own")
-    stars = scratch.table(joined(confirmed(scratch.table(to_hubs(keyed), "to_hubs"), sets, similarity), own), "stars")
-    first = components(stars).withColumnsRenamed({"node": "at", "component": "_first"})
-    again = keyed.join(first, "at", "left").select("key", "node", F.coalesce("_first", "at").alias("at"))
-    rest = scratch.table(among(scratch.table(meeting(again), "again")), "among")
-    return components(scratch.table(joined(confirmed(rest, sets, similarity), own).unionByName(stars), "similar"))
+    found, of = None, None
+    for pairs in (to_one_hub, to_hubs, among):
+        if of is not None:
+            met = keyed.join(of.withColumnsRenamed({"node": "at", "component": "_of"}), "at", "left").select("key", "node", F.coalesce("_of", "at").alias("at"))
+            keyed = scratch.table(meeting(met), "meeting")
+        new = joined(confirmed(scratch.table(pairs(keyed), "pairs"), sets, similarity), own)
+        found = scratch.table(new if found is None else new.unionByName(found), "similar")
+        of = components(found)
+    return of
 
 
 def cluster(docs: DataFrame, words: int = WORDS, similarity: float | None = SIMILARITY) -> DataFrame:

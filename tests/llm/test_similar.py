@@ -95,9 +95,10 @@ def test_comparisons_follow_the_rows_of_a_crowd(spark):
         words = [f"w{i}" for i in range(400)]
         _, rows = prints(spark, [changed(rng, words, 5) for _ in range(n)] + [" ".join(rng.choice(words) for _ in range(200)) for _ in range(n)])
         keyed = simhash._print_keys(rows.withColumn("at", F.col("node")))
-        made.append(simhash.to_hubs(simhash.meeting(keyed)).count())
-        assert made[-1] <= keyed.count()
-    assert made[1] <= 4 * made[0]
+        met = simhash.meeting(keyed)
+        made.append((simhash.to_one_hub(met).count(), simhash.to_hubs(met).count()))
+        assert made[-1][0] <= n and made[-1][1] <= keyed.count()
+    assert made[0][0] > 200 and made[1][1] <= 4 * made[0][1]
 
 
 def test_recall_in_every_band_of_similarity(spark):
