@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -81,6 +82,21 @@ def exactly_once(rows: DataFrame, anchor: str) -> DataFrame:
     return rows.groupBy(anchor).agg(F.count("*").alias("n")).where("n <> 1")
 
 
+def reconciled(manifests: dict[str, DataFrame], anchor: str, digest: str) -> DataFrame:
+    """Anchors that are not exactly once, and with one digest, in each of several manifests: (anchor, missing, repeated, differs).
+
+    The manifests are one tagged union and meet in one aggregate: a bit for each that has the
+    anchor, a bit for each that has it again, and the least and greatest digest. A null digest is one like any other.
+    """
+    tagged = [df.select(F.col(anchor), F.coalesce(digest, F.lit("")).alias("_d"), F.lit(1 << i).cast("long").alias("_side")) for i, df in enumerate(manifests.values())]
+    rows = functools.reduce(DataFrame.unionByName, tagged)
+    per = rows.groupBy(anchor, "_side").agg(F.count("*").alias("_n"), F.min("_d").alias("_low"), F.max("_d").alias("_high"))
+    met = per.groupBy(anchor).agg(F.bit_or("_side").alias("_has"), F.bit_or(F.when(F.col("_n") > 1, F.col("_side")).otherwise(0)).alias("_again"), (F.min("_low") != F.max("_high")).alias("differs"))
+    names = lambda mask, value: F.array_compact(F.array(*[F.when(mask.bitwiseAND(1 << i).cast("boolean") == value, F.lit(n)) for i, n in enumerate(manifests)]))
+    every = (1 << len(manifests)) - 1
+    return met.where((F.col("_has") != every) | (F.col("_again") != 0) | F.col("differs")).select(anchor, names(F.col("_has"), False).alias("missing"), names(F.col("_again"), True).alias("repeated"), "differs")
+
+
 def suite(kills: DataFrame, case: str, killed: Column, first: Column) -> DataFrame:
     """Cases, those that any probe kills and those that the first probe alone kills: one row."""
     per = kills.groupBy(case).agg(F.bool_or(killed).alias("_any"), F.coalesce(F.bool_or(F.when(first, killed)), F.lit(False)).alias("_first"))

@@ -48,9 +48,20 @@ def plan_differs(outcomes: DataFrame, plan: DataFrame) -> DataFrame:
     return want.join(have, "item_id", "full").select("item_id", status.alias("status")).where("status is not null")
 
 
-def listed(value: Column, most: int = LISTED) -> list[Column]:
-    """The first distinct values in order, and how many there are."""
-    return [F.slice(F.array_sort(F.collect_set(value)), 1, most).alias("listed"), F.count_distinct(value).alias("distinct")]
+def listed(rows: DataFrame, keys: Sequence[str], value: str, most: int = LISTED) -> DataFrame:
+    """Per key the first distinct values in order (``listed``), and how many there are (``distinct``).
+
+    Of a key's values no more than ``most`` are ever held together: each task keeps its smallest
+    before the shuffle. Keys without a value have an empty list; null keys are keys.
+    """
+    names = [f"_k{i}" for i in range(len(keys))]
+    keyed = rows.select(*[F.struct(F.col(k).alias("v")).alias(n) for k, n in zip(keys, names, strict=True)], F.col(value).alias("_v"))
+    once = keyed.distinct()
+    first = once.where("_v is not null").withColumn("_r", F.row_number().over(Window.partitionBy(*names).orderBy("_v"))).where(F.col("_r") <= most)
+    lists = first.groupBy(*names).agg(F.array_sort(F.collect_list("_v")).alias("listed"))
+    counts = once.groupBy(*names).agg(F.count("_v").alias("distinct"))
+    out = counts.join(lists, names, "left").withColumn("listed", F.coalesce("listed", F.array().cast(lists.schema["listed"].dataType)))
+    return out.select(*[F.col(f"{n}.v").alias(k) for k, n in zip(keys, names, strict=True)], "listed", "distinct")
 
 
 def thinking(reasoning_present: Column, reasoning_tokens: Column) -> Column:

@@ -96,7 +96,14 @@ def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("distinct_truncated", """SELECT lang, array_to_string(list_sort(list(DISTINCT source))[1:8], ',') AS listed, count(DISTINCT source) AS "distinct" FROM documents GROUP BY lang""")
 def distinct_truncated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G28."""
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(*runs.listed(F.col("source"))).withColumn("listed", F.array_join("listed", ","))
+    return runs.listed(table(spark, sf_dir, "documents"), ["lang"], "source").withColumn("listed", F.array_join("listed", ","))
+
+
+@query("distinct_many", """SELECT o_orderstatus, array_to_string(list_sort(list(DISTINCT o_custkey * 1000003 + o_orderkey))[1:8], ',') AS listed, count(DISTINCT o_custkey * 1000003 + o_orderkey) AS "distinct" FROM orders GROUP BY 1""")
+def distinct_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys with as many different values as rows."""
+    rows = table(spark, sf_dir, "orders").select("o_orderstatus", (F.col("o_custkey") * 1000003 + F.col("o_orderkey")).alias("v"))
+    return runs.listed(rows, ["o_orderstatus"], "v").withColumn("listed", F.array_join(F.transform("listed", lambda v: v.cast("string")), ","))
 
 
 @query("thinking_state", """SELECT user_id % 50 AS run, CASE WHEN bool_or(event_type = 'error' AND value > 120) THEN 'not_honoured' WHEN count(*) FILTER (value > 150) > 0 THEN 'honoured' ELSE 'uncontrolled' END AS state FROM events GROUP BY 1""")
@@ -204,6 +211,24 @@ def anchor_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.exactly_once(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k")), "k")
 
 
+_SIDES = """o AS (SELECT o_orderkey AS k, md5(CAST(o_custkey AS VARCHAR)) AS d FROM orders), s AS (SELECT 'plan' AS side, k, d FROM o WHERE k % 97 <> 0 UNION ALL SELECT 'plan', k, d FROM o WHERE k % 101 = 0 AND k % 97 <> 0
+        UNION ALL SELECT 'evidence', k, CASE WHEN k % 89 = 0 THEN 'other' ELSE d END FROM o WHERE k % 83 <> 0 UNION ALL SELECT 'evidence', -k, d FROM o WHERE k % 79 = 0 UNION ALL SELECT 'export', k, d FROM o WHERE k % 73 <> 0),
+    a AS (SELECT k, count(*) FILTER (side = 'plan') AS p, count(*) FILTER (side = 'evidence') AS e, count(*) FILTER (side = 'export') AS x, count(DISTINCT d) AS ds FROM s GROUP BY k)"""
+
+
+@query("anchor_reconcile", f"""WITH {_SIDES} SELECT k, array_to_string(list_filter([CASE WHEN p = 0 THEN 'plan' END, CASE WHEN e = 0 THEN 'evidence' END, CASE WHEN x = 0 THEN 'export' END], lambda v: v IS NOT NULL), ',') AS missing,
+        array_to_string(list_filter([CASE WHEN p > 1 THEN 'plan' END, CASE WHEN e > 1 THEN 'evidence' END, CASE WHEN x > 1 THEN 'export' END], lambda v: v IS NOT NULL), ',') AS repeated, ds > 1 AS differs
+    FROM a WHERE p <> 1 OR e <> 1 OR x <> 1 OR ds > 1""")
+def anchor_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three manifests of orders, with anchors missing, told twice, added and changed."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.md5(F.col("o_custkey").cast("string").cast("binary")).alias("d"))
+    k = F.col("k")
+    plan = o.where(k % 97 != 0).unionByName(o.where((k % 101 == 0) & (k % 97 != 0)))
+    evidence = o.where(k % 83 != 0).withColumn("d", F.when(k % 89 == 0, "other").otherwise(F.col("d"))).unionByName(o.where(k % 79 == 0).withColumn("k", -k))
+    found = audits.reconciled({"plan": plan, "evidence": evidence, "export": o.where(k % 73 != 0)}, "k", "d")
+    return found.withColumns({c: F.array_join(c, ",") for c in ("missing", "repeated")})
+
+
 @query("suite_kills", """WITH k AS (SELECT o_custkey AS case_id, o_orderkey % 3 AS pos, bool_or(o_orderstatus <> 'F') AS killed FROM orders GROUP BY ALL)
     SELECT count(DISTINCT case_id) AS cases, count(DISTINCT case_id) FILTER (killed) AS killed, count(DISTINCT case_id) FILTER (killed AND pos = 0) AS killed_by_first FROM k""")
 def suite_kills(spark: SparkSession, sf_dir: str) -> DataFrame:
