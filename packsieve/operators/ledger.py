@@ -26,8 +26,8 @@ ENTRY = "candidate string, probe_id string, run string, turn long, n long, diges
 
 
 def digested(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, n, digest) of the rows (keys, frame)."""
-    h = F.xxhash64(*keys, "frame")
+    """(keys, n, digest) of the rows (candidate, probe_id, frame and other keys)."""
+    h = F.xxhash64("candidate", "probe_id", "frame")
     per = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(h.cast("decimal(20,0)")).alias("_sum"), F.bit_xor(h).alias("_xor"))
     return per.select(*keys, "n", F.sha2(F.concat_ws("/", F.col("n").cast("string"), F.col("_sum").cast("string"), F.col("_xor").cast("string")), 256).alias("digest"))
 
@@ -64,6 +64,12 @@ class Ledger:
         """(candidate, probe_id, frame) of the batches that hold."""
         return self.rows().join(self.valid().select("candidate", "probe_id", "run"), ["candidate", "probe_id", "run"]).select("candidate", "probe_id", "frame")
 
+    def spoil(self, candidate: str, probe: str) -> None:
+        """Adds a row again to what a batch holds, as a write that was repeated would: for tests and drills."""
+        one = self.rows().where((F.col("candidate") == candidate) & (F.col("probe_id") == probe)).limit(1)
+        for r in one.select("run").collect():
+            one.drop("run").write.mode("append").parquet(f"{self.path}/rows/run={r.run}")
+
     def open(self, candidates: Sequence[str], probes: DataFrame) -> DataFrame:
         """(candidate, probe_id) of the batches that are still to be executed."""
         plan = probes.select("probe_id").distinct().withColumn("candidate", F.explode(F.array(*map(F.lit, candidates)).cast("array<string>")))

@@ -8,8 +8,10 @@ Candidates are projected ``BATCH`` at a time, so generated code stays small.
 from __future__ import annotations
 
 import functools
-from collections.abc import Mapping, Sequence
+import hashlib
+from collections.abc import Iterator, Mapping, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,10 +155,40 @@ def same_frames(a: DataFrame, b: DataFrame, a_key: str, b_key: str, probe: str =
 def set_hash(df: DataFrame, group: Sequence[str], *elements: str) -> DataFrame:
     """The digest of a group's elements, in order, as canonical JSON; the same whatever the order of rows.
 
-    The digest is of the whole set as one text, so a group must fit a task: about 50 bytes an element, 40 million elements to 2 GB.
+    The digest is of the whole set as one text, so a group's elements pass through one task in
+    order; they are sorted by Spark, which spills, and hashed as they pass, so that no set
+    is held in memory.
     """
     item = F.struct(*[F.col(e).alias(e) for e in sorted(elements)])
-    return df.groupBy(*group).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(item)), {"ignoreNullFields": "false"}), 256).alias("set_hash"), F.count("*").alias("n"))
+    kinds = ", ".join(f"`{g}` {df.schema[g].dataType.simpleString()}" for g in group)
+    rows = df.select(*group, item.alias("_item")).repartition(*group).sortWithinPartitions(*group, "_item").select(*group, F.to_json("_item", {"ignoreNullFields": "false"}).alias("_json"))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, hashed, n = None, None, 0
+
+        def ended() -> pa.RecordBatch:
+            hashed.update(b"]")
+            return pa.RecordBatch.from_arrays([*key.columns, pa.array([hashed.hexdigest()]), pa.array([n], pa.int64())], [*group, "set_hash", "n"])
+
+        for batch in batches:
+            keys, texts = batch.select(list(group)), batch.column("_json").to_pylist()
+            told = keys.to_pylist()
+            at = 0
+            while at < len(texts):
+                to = at + 1
+                while to < len(texts) and told[to] == told[at]:
+                    to += 1
+                if key is None or key.to_pylist()[0] != told[at]:
+                    if key is not None:
+                        yield ended()
+                    key, hashed, n = keys.slice(at, 1), hashlib.sha256(b"["), 0
+                hashed.update((("," if n else "") + ",".join(texts[at:to])).encode())
+                n += to - at
+                at = to
+        if key is not None:
+            yield ended()
+
+    return rows.mapInArrow(digest, f"{kinds}, set_hash string, n long")
 
 
 def prefix_verdicts(frames: DataFrame, label: Column, hit: Column, boundary: Column, case: Sequence[str] = (), probe: str = "probe_id", frame: str = "frame") -> DataFrame:

@@ -222,6 +222,26 @@ def match_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.unstable(first, second, ["probe_id", "frame", "candidate"])
 
 
+@query("resumed_matches", f"""WITH {EVENTS_SQL}, b AS (SELECT probe_id, 'bound' AS candidate FROM (SELECT DISTINCT probe_id FROM frames)), m AS (SELECT probe_id, count(*) AS n FROM frames WHERE {sql(CANDIDATES['bound'], EVENTS)} GROUP BY 1),
+    w AS (SELECT probe_id, count(*) AS n FROM frames WHERE {sql(CANDIDATES['wide'], EVENTS)} GROUP BY 1)
+    SELECT probe_id, candidate, coalesce(m.n, 0) AS n, probe_id IN ('click', 'view') AND NOT (probe_id = 'view' AND coalesce(m.n, 0) > 0) AS kept FROM b LEFT JOIN m USING (probe_id)
+    UNION ALL SELECT probe_id, 'wide', coalesce(w.n, 0), probe_id IN ('click', 'view') FROM b LEFT JOIN w USING (probe_id)""")
+def resumed_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two candidates on two probes are executed, then one of these batches loses a row; taken up again, that one and the missing ones are executed, and all hold."""
+    from packsieve.operators.ledger import Ledger
+    from packsieve.sources import shared
+
+    book, frames = Ledger(spark, shared.folder(spark, "ledger")), event_frames(spark, sf_dir)
+    trees = {c: CANDIDATES[c] for c in ("bound", "wide")}
+    probes = frames.select("probe_id").distinct()
+    half = probes.where("probe_id in ('click', 'view')").withColumn("candidate", F.explode(F.array(F.lit("bound"), F.lit("wide"))))
+    book.execute(frames, trees, EVENTS, probes, half)
+    first = book.valid().select("candidate", "probe_id", F.col("run").alias("_first"))
+    book.spoil("bound", "view")
+    book.execute(frames, trees, EVENTS, probes)
+    return book.valid().join(first, ["candidate", "probe_id"], "left").select("probe_id", "candidate", "n", F.coalesce(F.col("run") == F.col("_first"), F.lit(False)).alias("kept"))
+
+
 @query("prefix_verdict", f"""WITH {EVENTS_SQL}, per AS (SELECT probe_id, count(*) FILTER ({LABEL} AND frame <= 2000) AS e1, count(*) FILTER (({LABEL}) <> hit AND frame <= 2000) AS w1,
         count(*) FILTER ({LABEL}) AS e2, count(*) FILTER (({LABEL}) <> hit) AS w2, count(*) FILTER (({LABEL}) <> hit AND frame > 2000) AS later FROM (SELECT *, {sql(CANDIDATES['bound'], EVENTS)} AS hit FROM frames) GROUP BY 1)
     SELECT CASE WHEN sum(e1) = 0 THEN 'unscorable' WHEN sum(w1) = 0 THEN 'strong_exact' ELSE 'silent_wrong' END AS v1,

@@ -8,8 +8,9 @@ them, so no file is read by one task.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -81,17 +82,26 @@ def record_name(record: Column) -> Column:
 def freeze(rows: DataFrame, path: str) -> tuple[int, str]:
     """Writes (name, record) sorted bytewise, repeats kept, and returns the count and the digest of the ordered stream.
 
-    The digest is of one sequence (each record after its length), so it is taken
-    over the sorted table in order; a catalog has some millions of short records.
+    The digest is of one sequence (each record after its length), so its bytes pass through
+    one task, partition after partition of the sorted table, a batch at a time; what
+    comes to the driver is the count and the digest.
     """
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashed, n = hashlib.sha256(), 0
+        for batch in batches:
+            for record in batch.column(0).to_pylist():
+                raw = record.encode()
+                hashed.update(len(raw).to_bytes(8, "big") + raw)
+            n += batch.num_rows
+        yield pa.RecordBatch.from_pydict({"n": [n], "digest": [hashed.hexdigest()]})
+
     named = rows.select(record_name(F.col("record")).alias("name"), "record")
     named.orderBy("name", "record").write.parquet(path)
-    digest, n = hashlib.sha256(), 0
-    for r in rows.sparkSession.read.parquet(path).select("name", "record").orderBy("name", "record").toLocalIterator(prefetchPartitions=True):
-        raw = r.record.encode()
-        digest.update(len(raw).to_bytes(8, "big") + raw)
-        n += 1
-    return n, digest.hexdigest()
+    # ranges are sorted in their own tasks; one task then takes them in order
+    in_order = rows.sparkSession.read.parquet(path).select("name", "record").orderBy("name", "record").select("record").coalesce(1)
+    found = in_order.mapInArrow(digest, "n long, digest string").first()
+    return found.n, found.digest
 
 
 def bind(used: DataFrame, catalog: DataFrame, name: str = "name") -> DataFrame:
