@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packsieve.operators import audits, matching, rates, retrieval, runs
-from packsieve.plans.frames import table
+from packsieve.plans.frames import dealt, table
+from packsieve.sources import catalog, records, shared
 
 QUERIES, SQL = {}, {}
 
@@ -326,3 +327,33 @@ def catalog_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     used = p.select(F.col("p_name").alias("name")).union(spark.createDataFrame([("no such",)], "name string"))
     return catalog.bind(used, p.select(F.col("p_name").alias("name"), F.col("p_type").alias("kind"), F.col("p_type").alias("raw"), F.col("p_brand").alias("protocol"), F.col("p_name").alias("display"))).select("name", "code")
+
+
+@query("catalog_records", """WITH d AS (SELECT doc_id, replace(replace(coalesce(text, ''), chr(13), ' '), chr(10), chr(10) || ' ') AS t FROM documents)
+    SELECT doc_id, CAST(1 + length(t) - length(replace(t, chr(10), '')) AS INTEGER) AS lines, md5('F' || chr(9) || doc_id || chr(9) || t) AS digest FROM d""")
+def catalog_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as a report of many files, in which a record runs on over indented lines, and put together again."""
+    path = shared.folder(spark, "report")
+    text = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "\r", " "), "\n", "\n ")
+    dealt(table(spark, sf_dir, "documents")).select(F.concat(F.lit("F\t"), F.col("doc_id").cast("string"), F.lit("\t"), text).alias("value")).write.text(path)
+    record = F.col("record")
+    return catalog.records(catalog.lines(spark, path)).select(
+        F.split_part(record, F.lit("\t"), F.lit(2)).cast("long").alias("doc_id"), (F.regexp_count(record, F.lit("\n")) + 1).cast("int").alias("lines"), F.md5(record.cast("binary")).alias("digest")
+    )
+
+
+@query("run_files", """WITH c AS (SELECT DISTINCT conv_id AS k FROM conversations)
+    SELECT 'r' || k % 3 AS run, 'C' || (1 + k % 4) AS condition, 'conv ' || k AS item, CASE WHEN k % 11 = 0 THEN 'missing' WHEN k % 7 = 0 THEN 'added' ELSE 'changed' END AS status FROM c
+    WHERE (k % 11 = 0 AND k % 7 <> 0) OR (k % 11 <> 0 AND (k % 7 = 0 OR k % 13 = 0))""")
+def run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as a run directory, a file each, and compared with a list of their digests: some are missing, some added, some changed."""
+    turns = F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
+    k = F.col("conv_id")
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(turns.alias("value")).select(
+        k, F.concat(F.lit("r"), (k % 3).cast("string")).alias("run"), F.concat(F.lit("C"), (1 + k % 4).cast("string")).alias("condition"), F.concat(F.lit("conv "), k.cast("string")).alias("item"), "value"
+    )
+    path = shared.folder(spark, "run")
+    records.write_run(rows.where(k % 11 != 0).withColumn("value", F.when(k % 13 == 0, F.concat("value", F.lit(" "))).otherwise(F.col("value"))), path)
+    listed = rows.where(k % 7 != 0).select("run", "condition", "item", F.sha2(F.concat("value", F.lit("\n")).cast("binary"), 256).alias("digest"))
+    found = records.run_files(spark, path).select("run", "condition", "item", "digest")
+    return audits.listed_against_found(listed, found, ["run", "condition", "item"], ["digest"]).select("run", "condition", "item", "status")

@@ -31,6 +31,19 @@ def run_directory(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return raw.select(at(-3).alias("run"), at(-2).alias("path_condition"), F.regexp_replace(at(-1), r"\.json$", "").alias("path_item"), "*")
 
 
+def run_files(spark: SparkSession, path: str) -> DataFrame:
+    """(run, condition, item, bytes, digest) of the files below run=/condition=/item=: names from the paths, SHA-256 of the bytes, whatever they hold."""
+    parts = F.regexp_replace(F.col("path"), "^.*/run=", "run=")
+    at = lambda name: F.url_decode(F.regexp_extract(parts, rf"(?:^|/){name}=([^/]*)/", 1))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "part-*").load(path)
+    return raw.select(at("run").alias("run"), at("condition").alias("condition"), at("item").alias("item"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("digest"))
+
+
+def write_run(rows: DataFrame, path: str) -> None:
+    """A file for each row (run, condition, item, value text), below its names."""
+    rows.select("run", "condition", "item", "value").repartition("run", "condition", "item").write.partitionBy("run", "condition", "item").text(path)
+
+
 def observations(spark: SparkSession, path: str) -> DataFrame:
     """Recorded candidate frames as rows (probe_id, frame)."""
     return jsonl(spark, path, OBSERVATION).select("probe_id", F.explode("candidate_frames").alias("frame"))
