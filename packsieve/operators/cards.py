@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 # Frames and bytes of a card, and the ports that count as one when repeats are told.
 FRAMES, BYTES, EPHEMERAL = 3, 1024, (41000, 51254)
-#: Groups' sides up to which their first frames (about 100 bytes each) are sent to every executor.
-BROADCAST_GROUPS = 200_000
 
 
 def same_port(port: Column) -> Column:
@@ -23,7 +21,8 @@ def chosen(wrong: DataFrame, group: Sequence[str], facts: Sequence[str], frame:
 
     Sides alternate in frame order, starting with missed; frames with the facts
     of an earlier one are skipped; the first ``most`` stay. No task sorts a whole
-    group: first frames are minima, and the turns of the few that are left are counts.
+    group: first frames are minima, and the turns of the few that are left are counts; a
+    group with very many frames is split by the adaptive join that counts them.
     """
     key = F.struct(*group, "side").alias("_key")  # never null, so null groups meet like any other
     told = F.struct(*[(same_port(F.col(f)) if f in ports else F.col(f)).alias(f"_{f}") for f in facts]).alias("_told")
@@ -33,8 +32,6 @@ def chosen(wrong: DataFrame, group: Sequence[str], facts: Sequence[str], frame:
     few = first.withColumn("_nth", F.row_number().over(Window.partitionBy("_key").orderBy("_at"))).where(F.col("_nth") <= most)
     # their turns: how many frames of the side, repeats included, come up to each
     at = few.groupBy("_key").agg(F.sort_array(F.collect_list("_at")).alias("_upto"))
-    if at.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
-        at = F.broadcast(at)
     turns = rows.select("_key", F.col(frame).alias("_f")).join(at, "_key").groupBy("_key").agg(
         F.array(*[F.count_if(F.col("_f") <= F.get("_upto", F.lit(i))) for i in range(most)]).alias("_turns")
     )

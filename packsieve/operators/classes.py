@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Targets that an item may be in for sets to meet on it at once.
+COMMON = 1000
+
+
 def first_class(rules: Sequence[tuple[str, Column]], otherwise: str) -> Column:
     """The first class, in a registered order, whose test holds."""
     out = F.when(F.coalesce(rules[0][1], F.lit(False)), rules[0][0])
@@ -29,22 +33,35 @@ def symmetric_difference(a: Column, b: Column) -> Column:
 def nearest(answers: DataFrame, targets: DataFrame, answer: str, target: str, items: str) -> DataFrame:
     """Per answer the target with most shared items, then the smallest symmetric difference, then the smallest name.
 
-    Equal sets are compared once. Sets meet on items, and answers that share none
-    with any target all have the same one: that of the fewest items. No targets at
-    all are refused.
+    Equal sets are compared once. Sets meet on items that at most ``COMMON`` targets have;
+    only answers whose best so far shares no more than they have of other items meet the
+    targets on these too. Answers that share none with any target all have the same one: that
+    of the fewest items. No targets at all are refused.
     """
     sets = lambda df, name: df.select(name, F.array_sort(F.array_distinct(items)).alias("_set"))
     a, t = sets(answers, answer), sets(targets, target).groupBy("_set").agg(F.min(target).alias(target))
     default = t.agg(F.min(F.struct(F.size("_set").alias("n"), F.col(target).alias("t"))).alias("m")).first().m
     if default is None:
         raise ValueError("there are no targets")
+    common = t.select(F.explode("_set").alias("_i")).groupBy("_i").agg(F.count("*").alias("n")).where(F.col("n") > COMMON).select("_i", F.lit(True).alias("_common"))
     alike = a.select("_set").distinct()
-    each = lambda df, *names: df.select(*names, F.explode("_set").alias("_i"), F.size("_set").alias(f"_n{names[0]}"))
-    pairs = each(alike, "_set").join(each(t, target), "_i").groupBy("_set", target).agg(
-        F.count("*").alias("shared"), (F.first("_n_set") + F.first(f"_n{target}") - 2 * F.count("*")).alias("apart")
-    )
-    best = pairs.groupBy("_set").agg(F.min(F.struct((-F.col("shared")).alias("s"), F.col("apart").alias("apart"), F.col(target).alias("t"))).alias("m"))
-    return a.join(best, "_set", "left").select(
+    each = lambda df, *names: df.select(*names, F.explode("_set").alias("_i"))
+
+    def best(met: DataFrame) -> DataFrame:
+        """(_set, m): the best target of each set among the pairs (_set, target) that met."""
+        of = t.select(target, F.col("_set").alias("_t"))
+        both = F.size(F.array_intersect("_set", "_t"))
+        rated = met.distinct().join(of, target).select("_set", both.alias("s"), (F.size("_set") + F.size("_t") - 2 * both).alias("apart"), target)
+        return rated.groupBy("_set").agg(F.min(F.struct((-F.col("s")).alias("s"), F.col("apart").alias("apart"), F.col(target).alias("t"))).alias("m"))
+
+    marked = each(alike, "_set").join(common, "_i", "left")
+    first = best(marked.where("_common is null").join(each(t, target), "_i").select("_set", target))
+    # what only common items connect shares no more than the answer has of these
+    most = marked.groupBy("_set").agg(F.count("_common").alias("_most")).join(first, "_set", "left")
+    open_ = most.where((F.col("_most") > 0) & (F.coalesce(-F.col("m.s"), F.lit(0)) <= F.col("_most"))).select("_set")
+    again = best(each(open_, "_set").join(each(t, target), "_i").select("_set", target))
+    found = first.join(open_, "_set", "left_anti").unionByName(again)
+    return a.join(found, "_set", "left").select(
         answer, F.coalesce("m.t", F.lit(default.t)).alias(target), F.coalesce(-F.col("m.s"), F.lit(0)).alias("shared"), F.coalesce("m.apart", F.size("_set") + default.n).alias("apart")
     )
 

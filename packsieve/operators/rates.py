@@ -44,23 +44,32 @@ def resample_weights(cases: int, resamples: int = RESAMPLES, seed: int = SEED) -
 
 
 def weights_table(spark: SparkSession, cases: int, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
-    """``resample_weights`` as a table, drawn in tasks: each skips the draws of the resamples before its own."""
+    """``resample_weights`` as a table, drawn in tasks: each starts from the generator's state at its first resample.
+
+    The driver runs the generator through once to find these states, numbers unused
+    (``MOST_CASES`` and ``RESAMPLES`` bound them); numpy's generator takes Python's states and draws the same numbers.
+    """
     if cases > MOST_CASES:
         raise ValueError(f"more than {MOST_CASES} cases")
     each = max(1, TASK_DRAWS // max(1, cases))
+    _, key, _ = random.Random(seed).getstate()
+    ahead, states = np.random.RandomState(), []
+    ahead.set_state(("MT19937", np.array(key[:-1], dtype=np.uint32), key[-1]))
+    for first in range(0, resamples, each):
+        _, words, place, *_ = ahead.get_state()
+        states.append((first, bytearray(words.astype("<u4").tobytes()), int(place)))
+        ahead.random_sample(each * cases)
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for first in batch.id:
-                rng = random.Random(seed)
-                for _ in range(first * cases):
-                    rng.random()
+            for first, words, place in zip(batch["first"], batch["words"], batch["place"], strict=True):
+                rng = np.random.RandomState()
+                rng.set_state(("MT19937", np.frombuffer(words, "<u4"), place))
                 for b in range(first, min(first + each, resamples)):
-                    drawn = np.array([int(rng.random() * cases) for _ in range(cases)], dtype=np.int64)
-                    no, weight = np.unique(drawn, return_counts=True)
+                    no, weight = np.unique((rng.random_sample(cases) * cases).astype(np.int64), return_counts=True)
                     yield pd.DataFrame({"resample": b, "case_no": no, "weight": weight})
 
-    starts = spark.range(0, resamples, each, numPartitions=-(-resamples // each))
+    starts = spark.createDataFrame(states, "first long, words binary, place int").repartition(max(1, len(states)), "first")
     return starts.mapInPandas(draw, "resample long, case_no long, weight long")
 
 
@@ -81,8 +90,9 @@ def ratio(cases: DataFrame, keys: Sequence[str], numerator: str, denominator: st
 
 
 def numbered(cases: DataFrame, case: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Case numbers from 0 in order of the case, as resamples count them."""
-    return cases.withColumn("case_no", (F.row_number().over(Window.partitionBy(*keys).orderBy(case)) - 1).cast("long"))
+    """Case numbers from 0 in order of the case, as resamples count them; more than ``MOST_CASES`` fail, as one task numbers them."""
+    no = F.row_number().over(Window.partitionBy(*keys).orderBy(case))
+    return cases.withColumn("case_no", no).withColumn("case_no", F.when(F.col("case_no") > MOST_CASES, F.raise_error(F.lit(f"more than {MOST_CASES} cases")).cast("long")).otherwise(F.col("case_no") - 1).cast("long"))
 
 
 def interval(cases: DataFrame, weights: DataFrame, keys: Sequence[str], numerator: str, denominator: str | None = None) -> DataFrame:

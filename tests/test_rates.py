@@ -61,3 +61,31 @@ def test_census_is_zero_filled_and_reading_needs_enough_cases(spark):
 def test_value_keys_compare_equal(spark):
     r = spark.range(1).select(*[classes.value_key(F.lit(v), F.lit(k)).alias(f"c{i}") for i, (v, k) in enumerate([("true", "boolean"), ("3.0", "float"), ("3.5", "float"), ("x", "string")])]).first()
     assert list(r) == ["1", "3", "3.5", "x"]
+
+
+def test_weights_in_tasks_are_those_of_one_generator(spark, monkeypatch):
+    monkeypatch.setattr(rates, "TASK_DRAWS", 40)
+    for cases in (1, 7, 13):
+        got = sorted(map(tuple, rates.weights_table(spark, cases, 30).collect()))
+        assert got == sorted(rates.resample_weights(cases, 30))
+    monkeypatch.setattr(rates, "MOST_CASES", 3)
+    with pytest.raises(ValueError, match="more than 3"):
+        rates.weights_table(spark, 4)
+    many = spark.createDataFrame([(i,) for i in range(4)], "case_id long")
+    assert [r.case_no for r in rates.numbered(many.limit(3), "case_id").orderBy("case_no").collect()] == [0, 1, 2]
+    with pytest.raises(Exception, match="more than 3 cases"):
+        rates.numbered(many, "case_id").collect()
+
+
+@pytest.mark.parametrize("common", [0, 2, 1000])
+def test_nearest_target_is_that_of_all_pairs_whatever_is_common(spark, monkeypatch, common):
+    monkeypatch.setattr(classes, "COMMON", common)
+    rng = random.Random(6)
+    words = ["the", "of", *(f"w{i}" for i in range(12))]
+    made = lambda n: [(i, rng.sample(words, rng.randint(0, 4)) + ["the"] * rng.randint(0, 1)) for i in range(n)]
+    answers, targets = made(60), made(15)
+    got = {r.answer: (r.target, r.shared, r.apart) for r in classes.nearest(spark.createDataFrame(answers, "answer long, items array<string>"), spark.createDataFrame(targets, "target long, items array<string>"), "answer", "target", "items").collect()}
+    for k, items in answers:
+        a = set(items)
+        want = min(((-len(a & set(t)), len(a ^ set(t)), i) for i, t in targets))
+        assert (got[k][1], got[k][2]) == (-want[0], want[1]) and (got[k][0] == want[2] or not want[0]), (k, items, got[k], want)
