@@ -116,3 +116,10 @@ def counters(spark: SparkSession, rows: Sequence[tuple], found: DataFrame, mutan
     stale = waivers.select("case_id", "edit").distinct().join(survivors.select("case_id", "edit"), ["case_id", "edit"], "left_anti").agg(F.count("*").alias(COUNTERS[5]))
     cells = lambda df: df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("counter"), F.coalesce(F.col(c), F.lit(0)).cast("long").alias("n")) for c in df.columns])))
     return cells(by_role).unionByName(cells(by_mutant)).unionByName(cells(stale))
+
+
+def suite(spark: SparkSession, rows: Sequence[tuple], found: DataFrame) -> DataFrame:
+    """Per case whether the reference agrees with the labels on every probe, whether the canonical filter agrees with the reference's labels too, and whether a scored probe tells the mutation."""
+    roles = spark.createDataFrame([r for r in rows if r[1] != "mutant"], ROW).select("case_id", "role", "filter").join(found.where("labels = 'gold'"), ["case_id", "filter"])
+    of = lambda role, test: F.bool_or(F.when(F.col("role") == role, test))
+    return roles.groupBy("case_id").agg(of("reference", F.col("apart") == 0).alias("oracle_agrees"), of("canonical", F.col("apart") == 0).alias("candidate_agrees"), of("mutation", F.col("scored")).alias("mutation_told"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from packsieve.operators import audits, matching, rates, retrieval, runs
+from packsieve.operators import audits, matching, prompts, rates, retrieval, runs
 from packsieve.plans.frames import dealt, table
 from packsieve.sources import catalog, records, shared
 
@@ -180,7 +180,7 @@ def gold_preflight(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("receipt_audit", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 41 = 0")
 def receipt_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stored values that differ from the recomputed ones."""
+    """A10: stored values that differ from the recomputed ones."""
     stored = table(spark, sf_dir, "orders").withColumn("stored", F.when(F.col("o_orderkey") % 41 == 0, "?").otherwise(F.lower("o_orderstatus")))
     return audits.recomputed(stored, {"stored": F.lower("o_orderstatus")}).select("o_orderkey", "o_orderstatus")
 
@@ -357,3 +357,25 @@ def run_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = rows.where(k % 7 != 0).select("run", "condition", "item", F.sha2(F.concat("value", F.lit("\n")).cast("binary"), 256).alias("digest"))
     found = records.run_files(spark, path).select("run", "condition", "item", "digest")
     return audits.listed_against_found(listed, found, ["run", "condition", "item"], ["digest"]).select("run", "condition", "item", "status")
+
+
+# Benchmark texts as requests, each with up to three parts as its retrieved fields; some recorded digests and contexts are changed or gone.
+_PROMPTS = """c AS (SELECT (p_partkey - 1) // 3 AS item_id, string_agg('{"name":' || CAST(to_json(p_name) AS VARCHAR) || '}', ',' ORDER BY p_partkey) AS fields FROM part GROUP BY 1),
+    p AS (SELECT b.item_id, 'Answer with one filter.' || chr(10) || '{"context":[' || coalesce(c.fields, '') || ']}' || chr(10) || '{"request":' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || '}' AS prompt, c.fields IS NOT NULL AS told FROM benchmark b LEFT JOIN c USING (item_id))"""
+
+
+@query("prompt_rebuild", f"""WITH {_PROMPTS} SELECT item_id, sha256(prompt) AS prompt_sha256, item_id % 5 = 0 OR item_id % 7 = 0 AS differs, NOT (item_id % 11 = 0 AND told) AS as_shown FROM p""")
+def prompt_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every prompt built anew, those whose recorded digest is another or missing, and those that don't hold the recorded context."""
+    k = F.col("item_id")
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("intent"))
+    part = table(spark, sf_dir, "part").select(F.expr("(p_partkey - 1) div 3").alias("item_id"), F.col("p_partkey").alias("rank"), F.col("p_name").alias("name"))
+    context = prompts.listed(part, "item_id", "rank", ["name"], "context")
+    made = prompts.assembled(items, "Answer with one filter.", context=context)
+    recorded = made.where(k % 7 != 0).withColumn("prompt_sha256", F.when(k % 5 == 0, "?").otherwise(F.col("prompt_sha256")))
+    other = context.withColumn("context", F.when(k % 11 == 0, F.concat("context", F.lit(" "))).otherwise(F.col("context")))
+    wrong = prompts.not_rebuilt(recorded, made).withColumn("differs", F.lit(True))
+    hidden = prompts.not_as_shown(made, other).withColumn("as_shown", F.lit(False))
+    return made.select("item_id", "prompt_sha256").join(wrong, "item_id", "left").join(hidden, "item_id", "left").select(
+        "item_id", "prompt_sha256", F.coalesce("differs", F.lit(False)).alias("differs"), F.coalesce("as_shown", F.lit(True)).alias("as_shown")
+    )

@@ -241,3 +241,12 @@ _apart = lambda label, test: f"(SELECT count(*) FROM (SELECT 1 FROM frames GROUP
 def adequacy_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nine counters of the gate."""
     return gate(spark, sf_dir)[1]
+
+
+@query("suite_agreement", f"""WITH {EVENTS_SQL} SELECT 'good' AS case_id, TRUE AS oracle_agrees, TRUE AS candidate_agrees, (SELECT bool_or(({_AT}) <> (user_id < 50)) FROM frames WHERE probe_id <> 'purchase') AS mutation_told
+    UNION ALL SELECT 'bad', {_apart(_AT, 'k >= 40')} = 0, {_apart(_AT, 'user_id < 50')} = 0, FALSE""")
+def suite_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the suite says of each case."""
+    frames, cases = event_frames(spark, sf_dir), gate_cases()
+    rows, trees = adequacy.prepared(cases, GATE_CATALOG, frames.columns)
+    return adequacy.suite(spark, rows, adequacy.measured(frames, cases, trees, GATE_CATALOG, F.col("probe_id") == "purchase"))

@@ -21,6 +21,8 @@ KIND_OF = {
     "FT_FLOAT": "float", "FT_DOUBLE": "float", "FT_STRING": "string", "FT_STRINGZ": "string", "FT_UINT_STRING": "string",
     "FT_BYTES": "bytes", "FT_ETHER": "bytes", "FT_IPv4": "ipv4", "FT_IPv6": "ipv6",
 }
+#: Bytes of a stored catalog that is opened.
+MOST_BYTES = 1 << 30
 RECORD_KINDS = ("F", "P", "V", "V64", "R", "T", "E", "D")
 
 
@@ -104,6 +106,19 @@ def freeze(rows: DataFrame, path: str) -> tuple[int, str]:
     return found.n, found.digest
 
 
+class TooLarge(ValueError):
+    """A stored catalog takes more bytes than its reader allows."""
+
+
+def opened(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
+    """A frozen catalog (name, record), refused before anything of it is read where its files take more than ``most_bytes``."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = at.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    if size > most_bytes:
+        raise TooLarge(f"the catalog takes {size} bytes, more than {most_bytes}")
+    return spark.read.schema("name string, record string").parquet(path)
+
+
 def bind(used: DataFrame, catalog: DataFrame, name: str = "name") -> DataFrame:
     """The used names with their one definition; conflicting registrations get the code 'conflict', missing ones 'unknown_field'."""
     found = catalog.join(used.select(name).distinct(), name, "left_semi").groupBy(name).agg(

@@ -1,4 +1,5 @@
 import gzip
+import hashlib
 import json
 import struct
 
@@ -84,6 +85,12 @@ def test_catalog_reports(spark, tmp_path):
     assert {r.name: r.raw for r in catalog.raw_types(used, f).collect()} == {"tcp.dstport": "FT_UINT16"}
     n, digest = catalog.freeze(rows, f"file://{tmp_path}/frozen")
     assert n == 7 and catalog.freeze(rows.repartition(3), f"file://{tmp_path}/frozen2") == (n, digest)
+    ordered = sorted(r.encode() for r in got)
+    by_name = sorted(got, key=lambda r: ((r.split("\t")[2] if r[0] in "FP" else r.split("\t")[1]).encode(), r.encode()))
+    assert len(ordered) == 7 and digest == hashlib.sha256(b"".join(len(r.encode()).to_bytes(8, "big") + r.encode() for r in by_name)).hexdigest()
+    assert catalog.opened(spark, f"file://{tmp_path}/frozen").count() == 7
+    with pytest.raises(catalog.TooLarge):
+        catalog.opened(spark, f"file://{tmp_path}/frozen", 10)
 
 
 def test_records_and_sinks(spark, tmp_path):
