@@ -1,7 +1,7 @@
 """Lexical retrieval of fields and examples by shared words.
 
-Fields and queries meet in equi-joins on words, so only pairs that share a word
-(or a protocol, or an abbreviation's first letter) are ever scored. Ranking uses
+Fields and queries meet on words, so only pairs that share a word (or a protocol, or
+a token that stands for a word) are ever scored, in the task that has the field. Ranking uses
 ``row_number <= k``, which Spark limits before the shuffle.
 """
 
@@ -92,32 +92,41 @@ def scored(queries: DataFrame, fields: DataFrame) -> DataFrame:
 
 
 def _scored(queries: DataFrame, fields: DataFrame) -> DataFrame:
-    f = fields.select("name", "kind", "protocol", "display", F.array_distinct(text.unicode_words(F.col("name"))).alias("abbr"), F.array_distinct(text.unicode_words(F.col("display"))).alias("disp"))
-    own = f.select("name", F.explode("abbr").alias("token"))
-    shown = f.select("name", F.explode("disp").alias("word"))
+    """The fields are dealt by name and the queries' words sent to them while there are at most ``BROADCAST_WORDS``, so no word
+    is a key of a shuffle: a pair is found, told once and scored in the task that has the field. More queries meet the fields in a join on words.
+    """
+    f = fields.select(
+        "name", F.lower("protocol").alias("protocol"), F.array_distinct(text.unicode_words(F.col("name"))).alias("abbr"), F.array_distinct(text.unicode_words(F.col("display"))).alias("disp")
+    )
+    marked = lambda kind, words: F.transform(words, lambda w: F.concat(F.lit(kind), w))
+    # which short tokens of names stand for which long words of queries
+    tokens = f.select(F.explode("abbr").alias("token")).where(F.length("token") >= 3).distinct().withColumn("first", F.substr("token", F.lit(1), F.lit(1)))
     words = queries.select("item_id", F.explode(F.array_distinct("words")).alias("word"))
-    # A query word is worth most what it matches exactly; an abbreviated word covers the token that stands for it.
-    exact = words.join(own.withColumnRenamed("token", "word"), "word").select("item_id", "name", "word", F.col("word").alias("covers"), F.lit(EXACT).alias("weight"))
-    display = words.join(shown, "word").select("item_id", "name", "word", F.lit(None).cast("string").alias("covers"), F.lit(EXACT).alias("weight"))
-    short = own.where(F.length("token") >= 3).distinct()
-    tokens = short.select("token").distinct().withColumn("first", F.substr("token", F.lit(1), F.lit(1)))
     long_words = words.select("word").distinct().where((F.length("word") > 3) & (F.length("word") <= 32)).withColumn("first", F.substr("word", F.lit(1), F.lit(1)))
-    expansions = long_words.join(tokens, "first").where(text.abbreviates(F.col("token"), F.col("word"))).select("word", "token")
-    abbreviated = words.join(expansions, "word").join(short, "token").select("item_id", "name", "word", F.col("token").alias("covers"), F.lit(ABBREVIATED).alias("weight"))
-    protocol = (
-        queries.select("item_id", F.explode(F.array_distinct("protocols")).alias("_p")).join(f.select("name", F.lower("protocol").alias("_p")), "_p")
-        .select("item_id", "name", F.lit(None).cast("string").alias("word"), F.col("_p").alias("covers"), F.lit(PROTOCOL).alias("weight"))
-    )
-    per_word = exact.unionByName(display).unionByName(abbreviated).unionByName(protocol).groupBy("item_id", "name", "word").agg(
-        F.max("weight").alias("weight"), F.collect_set("covers").alias("covers")
-    )
-    pair = per_word.groupBy("item_id", "name").agg(F.sum("weight").alias("raw"), F.array_distinct(F.flatten(F.collect_list("covers"))).alias("matched"))
-    lexemes = queries.select("item_id", "lexemes")
+    expansions = long_words.join(tokens, "first").where(text.abbreviates(F.col("token"), F.col("word"))).groupBy("word").agg(F.collect_list("token").alias("tokens"))
+    short = words.join(expansions, "word").groupBy("item_id").agg(F.collect_list(F.struct("word", "tokens")).alias("short"))
+    q = queries.join(short, "item_id", "left").select("item_id", "words", "protocols", "lexemes", F.coalesce("short", F.array().cast("array<struct<word:string,tokens:array<string>>>")).alias("short"))
+    # a query and a field meet on a word, on a token that stands for a word, or on a protocol
+    asks = F.concat(marked("w", F.array_distinct("words")), marked("t", F.array_distinct(F.flatten(F.transform("short", lambda e: e["tokens"])))), marked("p", F.array_distinct("protocols")))
+    keys = q.select("item_id", F.explode(asks).alias("key"))
+    few = keys.limit(BROADCAST_WORDS + 1).count() <= BROADCAST_WORDS
+    holds = F.concat(marked("w", F.array_union("abbr", "disp")), marked("t", F.filter("abbr", lambda t: F.length(t) >= 3)), F.array(F.concat(F.lit("p"), F.coalesce("protocol", F.lit("")))))
+    met, own = f.repartition("name").select("*", F.explode(holds).alias("key")), [F.first(c).alias(c) for c in ("protocol", "abbr", "disp")]
+    if few:  # a field's queries are one array, at most all of them
+        postings = F.broadcast(keys.groupBy("key").agg(F.collect_list("item_id").alias("items")))
+        asked = met.join(postings, "key").groupBy("name").agg(*own, F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        pairs = asked.select("name", "protocol", "abbr", "disp", F.explode("items").alias("item_id")).join(F.broadcast(q), "item_id")
+    else:
+        pairs = met.join(keys, "key").groupBy("name", "item_id").agg(*own).join(q, "item_id")
+    exact = F.array_intersect("words", F.array_union("abbr", "disp"))
+    named = F.coalesce(F.array_contains("protocols", F.col("protocol")), F.lit(False))
+    found = pairs.withColumn("_exact", exact).withColumn("_short", F.filter("short", lambda e: F.arrays_overlap(e["tokens"], F.col("abbr"))))
+    other = F.size(F.filter("_short", lambda e: ~F.array_contains("_exact", e["word"])))
+    raw = EXACT * F.size("_exact") + ABBREVIATED * other + F.when(named, PROTOCOL).otherwise(0)
+    covers = F.concat(F.col("_exact"), F.flatten(F.transform("_short", lambda e: e["tokens"])), F.when(named, F.array("protocol")).otherwise(F.array().cast("array<string>")))
     name = F.lower("name")
-    return (
-        pair.join(f.select("name", "abbr"), "name").join(lexemes, "item_id")
-        .withColumn("score", text.lexical_score(F.col("raw"), F.size(F.array_except("abbr", "matched")), name.contains(".") & F.array_contains("lexemes", name)))
-        .select("item_id", "name", "score")
+    return found.select(
+        "item_id", "name", text.lexical_score(raw, F.size(F.array_except("abbr", covers)), name.contains(".") & F.array_contains("lexemes", name)).alias("score")
     )
 
 

@@ -161,6 +161,10 @@ def test_protocols_are_named_by_acronym_shaped_words(spark):
     for r in retrieval.top_fields(retrieval.scored(ready, fields), 16).orderBy("item_id", "rank").collect():
         ranked.setdefault(r.item_id, []).append(r.name)
     assert ranked["ttl"][:2] == ["ip.ttl", "tcp"]
+    with pytest.MonkeyPatch.context() as m:  # too many words to send
+        m.setattr(retrieval, "BROADCAST_WORDS", 0)
+        shuffled = sorted(map(tuple, retrieval.scored(ready, fields).collect()))
+    assert shuffled == sorted(map(tuple, retrieval.scored(ready, fields).collect()))
     cased, lowered = ranked["cased"], ranked["lower"]
     assert cased.index("ip.dst") < cased.index("eigrp.ipv4.destination") < cased.index("find") and lowered.index("find") < lowered.index("eigrp.ipv4.destination")
 
