@@ -31,9 +31,9 @@ hashes; with each segment go the two least values of these under two other hashe
 print's keys are a Golay index near a segment, together with that segment's two least
 values: a pair at 0.8 shares an index near a given segment in 61 of 100 cases, both least
 values in 64, and so one of the eight kinds of key in 98. Keys have 64 bits, so texts that
-share none of this hardly meet in tables of any size. Texts that meet
-under a key are compared by samples of ``SAMPLE`` shingle hashes first, and those that come near
-by all their shingles. First each text is compared with one other, the smallest under
+share none of this hardly meet in tables of any size. Of texts that meet
+under a key those whose whole prints differ in at most ``APART`` bits are compared by all their
+shingles: a pair at 0.8 does but for one in ten thousand, texts that share a passage alone don't. First each text is compared with one other, the smallest under
 any of its keys, so a crowd becomes one component in as many comparisons as it has texts; then,
 of what is still in different components, each key's texts with its smallest, and in the end all
 that meet under a key with one another.
@@ -60,8 +60,8 @@ from packsieve.llm.exact_dedup import BROADCAST_KEYS, without
 WORDS, SEED, DISTANCE, SALTS = 4, 42, 4, 8
 WIDTHS = (22, 21, 21)
 SHIFTS = (42, 21, 0)
-#: Shared part of the five-word shingles of texts that ``cluster`` links; shingle hashes of a sample, and how far its share may lie below (four deviations).
-SIMILARITY, SAMPLE, SLACK = 0.8, 128, 0.15
+#: Shared part of the five-word shingles of texts that ``cluster`` links, and the bits in which the prints (of 192) of such texts may differ: 29 by the error rate, and four deviations.
+SIMILARITY, APART = 0.8, 52
 #: Odd multipliers that make three hashes of two neighbouring ones.
 PRINT_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 PRINT, LEAST = ("w0", "w1", "w2"), tuple(f"m{g}" for g in range(8))
@@ -302,10 +302,17 @@ def meeting(keyed: DataFrame) -> DataFrame:
     return keyed.join(several, "key", "left_semi")
 
 
+def _near(left: str, right: str) -> Column:
+    """Whether two prints differ in at most ``APART`` bits."""
+    apart = [F.bit_count(F.col(f"{left}.{n}").bitwiseXOR(F.col(f"{right}.{n}"))) for n in PRINT]
+    return apart[0] + apart[1] + apart[2] <= APART
+
+
 def _hubs(keyed: DataFrame) -> DataFrame:
-    """(hub, node): each key's smallest node and its others of other components."""
-    hub = keyed.groupBy("key").agg(F.min(F.struct("node", "at")).alias("_hub"))
-    return keyed.join(hub, "key").where("at != _hub.at").select(F.col("_hub.node").alias("hub"), "node")
+    """(hub, node): each key's smallest node and its others of other components, where their prints are near."""
+    hub = keyed.groupBy("key").agg(F.min(F.struct("node", "at", "print")).alias("h")).select("key", "h.node", "h.at", "h.print").alias("h")
+    k = keyed.alias("k")
+    return k.join(hub, (F.col("k.key") == F.col("h.key")) & (F.col("k.at") != F.col("h.at")) & _near("k.print", "h.print")).select(F.col("h.node").alias("hub"), F.col("k.node").alias("node"))
 
 
 def to_one_hub(keyed: DataFrame) -> DataFrame:
@@ -319,46 +326,40 @@ def to_hubs(keyed: DataFrame) -> DataFrame:
 
 
 def among(keyed: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes of different components under one key."""
-    l, r = keyed.select("key", F.col("node").alias("a"), F.col("at").alias("l_at")), keyed.select("key", F.col("node").alias("b"), F.col("at").alias("r_at"))
-    return l.join(r, "key").where("a < b and l_at != r_at").select("a", "b").distinct()
+    """Pairs (a, b) of nodes of different components under one key whose prints are near."""
+    l, r = keyed.alias("l"), keyed.alias("r")
+    met = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.at") != F.col("r.at")) & _near("l.print", "r.print"))
+    return met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
 def shingle_sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
-    """(node, sample, set): the hashes of all shingles of each text asked for, one word longer than those of fingerprints, each once, and the smallest of them."""
+    """(node, set): the hashes of all shingles of each text asked for, one word longer than those of fingerprints, each once."""
 
     @F.pandas_udf("array<long>")
     def shingles(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series([np.sort(np.unique(longer(shingle_hashes(t, words))).view(np.int64)) for t in texts], dtype=object)
+            yield pd.Series([np.unique(longer(shingle_hashes(t, words))).view(np.int64) for t in texts], dtype=object)
 
     asked = scratch.table(asked, "asked")
     few = F.broadcast(asked) if asked.count() <= BROADCAST_KEYS else asked
     thin = docs.select(text_key(F.col("text")).alias("node"), F.col("text").cast("string").alias("text")).join(few, "node")
     once = thin.groupBy("node").agg(F.first("text").alias("text"))
-    sets = scratch.table(once.select("node", shingles(F.coalesce("text", F.lit(""))).alias("set")), "sets")
-    return sets.select("node", F.slice("set", 1, SAMPLE).alias("sample"), "set")
+    return scratch.table(once.select("node", shingles(F.coalesce("text", F.lit(""))).alias("set")), "sets")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets share this part: by their samples first, and those that come near it by the whole sets."""
-
-    def side(name: str, column: str) -> DataFrame:
-        return sets.select(F.col("node").alias(name), F.col(column).alias(f"_{name}"))
-
-    union = F.slice(F.array_sort(F.array_union("_a", "_b")), 1, SAMPLE)
-    part = F.size(F.array_intersect(F.array_intersect("_a", "_b"), union)) / F.size(union)
-    likely = pairs.join(side("a", "sample"), "a").join(side("b", "sample"), "b").where("size(_a) > 0 and size(_b) > 0").where(part >= similarity - SLACK).select("a", "b")
-    likely = scratch.table(likely, "likely")
+    """The pairs (a, b) whose sets share this part."""
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("set").alias(f"_{name}"))
     shared = F.size(F.array_intersect("_a", "_b"))
-    return likely.join(side("a", "set"), "a").join(side("b", "set"), "b").where(shared >= similarity * (F.size("_a") + F.size("_b") - shared)).select("a", "b")
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where("size(_a) > 0 and size(_b) > 0")
+    return both.where(shared >= similarity * (F.size("_a") + F.size("_b") - shared)).select("a", "b")
 
 
 def similar(docs: DataFrame, rows: DataFrame, at: DataFrame, words: int, similarity: float) -> DataFrame:
     """at, component: how components whose candidates have similar texts are joined. ``rows``: fingerprints with prints; ``at``: fp and the component it is in already."""
     prints = rows.select("fp", F.col("text_key").alias("node"), *PRINT, *LEAST).dropDuplicates(["node"]).join(at, "fp")
-    keyed = scratch.table(meeting(scratch.table(_print_keys(prints), "keys")), "meeting")
-    sets = shingle_sets(docs, keyed.select("node").distinct(), words)
+    met = meeting(scratch.table(_print_keys(prints), "keys"))
+    keyed = scratch.table(met.join(prints.select("node", F.struct(*PRINT).alias("print")), "node"), "meeting")
 
     def joined(links: DataFrame, of: DataFrame) -> DataFrame:
         name = lambda n: of.select(F.col("node").alias(n), F.col("at").alias(f"_{n}"))
@@ -366,14 +367,17 @@ def similar(docs: DataFrame, rows: DataFrame, at: DataFrame, words: int, similar
 
     # the first links are stars, so that a crowd under a key is one component before its pairs are looked at
     own = scratch.table(keyed.select("node", "at").distinct(), "own")
-    found, of = None, None
+    found = scratch.table(own.select(F.col("at").alias("a"), F.col("at").alias("b")).limit(0), "similar")
+    of = components(found)
     for pairs in (to_one_hub, to_hubs, among):
-        if of is not None:
-            met = keyed.join(of.withColumnsRenamed({"node": "at", "component": "_of"}), "at", "left").select("key", "node", F.coalesce("_of", "at").alias("at"))
-            keyed = scratch.table(meeting(met), "meeting")
-        new = joined(confirmed(scratch.table(pairs(keyed), "pairs"), sets, similarity), own)
-        found = scratch.table(new if found is None else new.unionByName(found), "similar")
+        asked = scratch.table(pairs(keyed), "pairs")
+        if not asked.limit(1).count():
+            continue
+        sets = shingle_sets(docs, asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct(), words)
+        found = scratch.table(joined(confirmed(asked, sets, similarity), own).unionByName(found), "similar")
         of = components(found)
+        met = keyed.join(of.withColumnsRenamed({"node": "at", "component": "_of"}), "at", "left").select("key", "node", F.coalesce("_of", "at").alias("at"), "print")
+        keyed = scratch.table(meeting(met), "meeting")
     return of
 
 

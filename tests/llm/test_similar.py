@@ -95,12 +95,23 @@ def test_comparisons_follow_the_rows_of_a_crowd(spark):
         words = [f"w{i}" for i in range(400)]
         _, rows = prints(spark, [changed(rng, words, 5) for _ in range(n)] + [" ".join(rng.choice(words) for _ in range(200)) for _ in range(n)])
         keyed = simhash._print_keys(rows.withColumn("at", F.col("node")))
-        met = simhash.meeting(keyed)
+        met = simhash.meeting(keyed).join(rows.select("node", F.struct(*simhash.PRINT).alias("print")), "node").cache()
         made.append((simhash.to_one_hub(met).count(), simhash.to_hubs(met).count()))
         assert made[-1][0] <= n and made[-1][1] <= keyed.count()
     assert made[0][0] > 200 and made[1][1] <= 4 * made[0][1]
 
 
+def test_a_shared_passage_makes_no_pairs(spark):
+    """Texts that share a long passage and else nothing: they meet under its keys, and next to none are compared."""
+    rng = random.Random(8)
+    passage = [f"p{i}" for i in range(120)]
+    texts = [" ".join([*(f"a{rng.randint(0, 10**6)}" for _ in range(60)), *passage, *(f"b{rng.randint(0, 10**6)}" for _ in range(60))]) for _ in range(600)]
+    _, rows = prints(spark, texts)
+    met = simhash.meeting(simhash._print_keys(rows.withColumn("at", F.col("node")))).join(rows.select("node", F.struct(*simhash.PRINT).alias("print")), "node").cache()
+    made = (met.count(), simhash.to_hubs(met).count(), simhash.among(met).count())
+    assert made[0] > 2000 and max(made[1:]) < len(texts), made
+
+
 def test_recall_in_every_band_of_similarity(spark):
     """Texts and one copy of each with scattered changes, so that nothing but the pair itself connects them."""
     rng = random.Random(21)
