@@ -257,6 +257,21 @@ def stars(fps: DataFrame) -> DataFrame:
     )
 
 
+def near_pairs(at: DataFrame) -> DataFrame:
+    """Links (a, b) of fingerprints at most ``DISTANCE`` apart that are at different places; ``at``: fp, at.
+
+    A fingerprint has dozens of keys, which Spark's estimate of the keyed table's size does not tell: it is
+    merged with the other, lest a table of many times ``autoBroadcastJoinThreshold`` goes through the driver.
+    """
+    x = F.col("l_fp").bitwiseXOR(F.col("r_fp"))
+    left, right = _keyed(at, True), _keyed(at, False)
+    return left.hint("merge").join(
+        right,
+        (left["key"] == right["key"]) & (F.col("l_fp") < F.col("r_fp")) & (F.bit_count(x) <= DISTANCE) & (F.col("l_at") != F.col("r_at"))
+        & (F.shiftright(left["key"], 40) == way(x)) & (~equal_tolerant(x) | (F.col("l_own") & F.col("r_own"))),
+    ).select(F.col("l_fp").alias("a"), F.col("r_fp").alias("b"))
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) that connect what fingerprints at most ``DISTANCE`` apart connect. ``fps``: fp long, distinct."""
     star = scratch.table(stars(fps), "stars")
@@ -264,13 +279,7 @@ def links(fps: DataFrame) -> DataFrame:
     at = scratch.table(
         fps.select("fp").join(connected.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("at")), "keyed"
     )
-    x = F.col("l_fp").bitwiseXOR(F.col("r_fp"))
-    left, right = _keyed(at, True), _keyed(at, False)
-    found = left.join(
-        right,
-        (left["key"] == right["key"]) & (F.col("l_fp") < F.col("r_fp")) & (F.bit_count(x) <= DISTANCE) & (F.col("l_at") != F.col("r_at"))
-        & (F.shiftright(left["key"], 40) == way(x)) & (~equal_tolerant(x) | (F.col("l_own") & F.col("r_own"))),
-    ).select(F.col("l_fp").alias("a"), F.col("r_fp").alias("b"))
+    found = near_pairs(at)
     return scratch.table(found.unionByName(star), "near")
 
 

@@ -425,6 +425,13 @@ def slow_fingerprint(text, words=4):
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) if h else 0
 
 
+def test_keys_of_fingerprints_are_never_broadcast(spark):
+    """Their estimate is that of the fingerprints, which have dozens of keys each: by it they would go through the driver."""
+    at = scratch.table(spark.range(2000).select(F.xxhash64("id").alias("fp"), F.xxhash64("id").alias("at")), "at")
+    plan = simhash.near_pairs(at)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def brute_components(fps):
     ids = sorted(set(fps))
     parent = {f: f for f in ids}
