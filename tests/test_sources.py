@@ -144,6 +144,17 @@ def test_retrieval_ranks_by_name_and_abbreviation(spark):
     assert [r.code for r in retrieval.refused(bad).collect()] == ["item_id_too_long", "query_too_long", "query_too_many_tokens", "query_empty", None]
 
 
+def test_queries_of_the_same_words_are_ranked_once(spark):
+    fields = spark.createDataFrame([(f"ip.f{i:02}", "integer", "ip", f"Field {i % 3}") for i in range(30)], "name string, kind string, protocol string, display string")
+    asked = [(i, ["field", str(i % 2)], ["ip"], []) for i in range(12)]
+    q = spark.createDataFrame(asked, "item_id long, words array<string>, protocols array<string>, lexemes array<string>")
+    best = retrieval.best(q, fields, 4)
+    plan = best._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Window")  # each query gets its rows when only the k best are left
+    got = sorted(best.select("item_id", "name", "score", "rank").collect())
+    assert got == sorted(retrieval.top_fields(retrieval.scored(q, fields), 4).select("item_id", "name", "score", "rank").collect()) and len(got) == 48
+
+
 def test_protocols_are_named_by_acronym_shaped_words(spark):
     known = spark.createDataFrame([("ip", "Internet Protocol Version 4"), ("IPV6", "Internet Protocol Version 6"), ("tcp", "Transmission Control Protocol"), ("find", "Find Protocol"), ("alt", "Interim Packet Volume 4"), ("no", "No")], "name string, display string")
     asked = {"cased": "Find IPv4 destination traffic", "lower": "find ipv4 destination", "one": "Tcp or TCP, UdP?", "plain": "xyzzy", "none": None, "script": "Тест ТЕСТ"}
