@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -58,3 +58,29 @@ def stated(text: Column) -> Column:
         return F.when(n.isNotNull() & (prefix <= 32), F.struct(first(n, prefix).alias("lo"), last(n, prefix).alias("hi")))
 
     return F.filter(F.transform(found, one), lambda s: s.isNotNull())
+
+
+#: Ranges of one block; each pair of blocks is a task of its own.
+BLOCK = 16_384
+
+
+def overlapping(ranges: DataFrame, key: str, lo: str, hi: str, width: int) -> DataFrame:
+    """(a, b) of the keys, a < b, of ranges that share a number.
+
+    Ranges meet in buckets of ``width`` by equality, each pair in the first bucket that both reach. The pairs of
+    crowded buckets grow with the square of their ranges, and so does the number of tasks: ranges are dealt over
+    blocks of about ``BLOCK``, and every two blocks meet in a task or a few, so a task's work stays the same. The tasks' number is given, since
+    Spark would choose it by the few bytes that are read, and neither side is broadcast to the one task that reads a small file.
+    """
+    blocks = -(-ranges.count() // BLOCK) or 1
+    tasks = max(blocks * blocks, 2 * ranges.sparkSession.sparkContext.defaultParallelism)
+
+    def cells(side: str, own: str, other: str) -> DataFrame:
+        rows = ranges.select(F.col(key).alias(side), F.col(lo).alias(f"lo_{side}"), F.col(hi).alias(f"hi_{side}"), F.explode(F.sequence(F.floor(F.col(lo) / width), F.floor(F.col(hi) / width))).alias("cell"))
+        dealt = rows.withColumn(own, F.pmod(F.xxhash64(side), F.lit(blocks)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        meet = ((F.col("cell") * blocks + F.col("block_a")) * blocks + F.col("block_b")).alias("meet")  # one number: a hash table of these is the fastest
+        return dealt.select(side, f"lo_{side}", f"hi_{side}", F.col("cell").alias(f"cell_{side}"), meet).repartition(tasks, "meet")
+
+    a, b = cells("a", "block_a", "block_b"), cells("b", "block_b", "block_a")
+    pairs = a.hint("shuffle_hash").join(b, "meet").where((F.col("a") < F.col("b")) & overlaps(F.col("lo_a"), F.col("hi_a"), F.col("lo_b"), F.col("hi_b")))
+    return pairs.where(F.col("cell_a") == F.floor(F.greatest("lo_a", "lo_b") / width)).select("a", "b")

@@ -144,6 +144,18 @@ def test_retrieval_ranks_by_name_and_abbreviation(spark):
     assert [r.code for r in retrieval.refused(bad).collect()] == ["item_id_too_long", "query_too_long", "query_too_many_tokens", "query_empty", None]
 
 
+def test_crowded_ranges_meet_in_many_tasks(spark):
+    rows = [(i, i * 100 % 5000, i * 100 % 5000 + i * 7 % 300) for i in range(600)]
+    ranges = spark.createDataFrame(rows, "k long, lo long, hi long").coalesce(1)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(networks, "BLOCK", 60)
+        met = networks.overlapping(ranges, "k", "lo", "hi", 512)
+        assert met.rdd.getNumPartitions() == 100
+        got = sorted(map(tuple, met.collect()))
+    assert got == sorted((a, b) for a, x, y in rows for b, u, v in rows if a < b and x <= v and u <= y)
+    assert sorted(map(tuple, networks.overlapping(ranges, "k", "lo", "hi", 512).collect())) == got
+
+
 def test_queries_of_the_same_words_are_ranked_once(spark):
     fields = spark.createDataFrame([(f"ip.f{i:02}", "integer", "ip", f"Field {i % 3}") for i in range(30)], "name string, kind string, protocol string, display string")
     asked = [(i, ["field", str(i % 2)], ["ip"], []) for i in range(12)]
