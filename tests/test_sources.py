@@ -156,6 +156,17 @@ def test_crowded_ranges_meet_in_many_tasks(spark):
     assert sorted(map(tuple, networks.overlapping(ranges, "k", "lo", "hi", 512).collect())) == got
 
 
+def test_examples_are_counted_in_as_many_tasks_as_their_pairs_need(spark):
+    pool = spark.createDataFrame([(i, ["a", f"w{i % 7}"]) for i in range(100)], "id long, words array<string>")
+    queries = spark.createDataFrame([(i, ["a", f"w{i}"]) for i in range(10)], "id long, words array<string>")
+    want = sorted(map(tuple, retrieval.examples(queries, pool, 3).collect()))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(retrieval, "TASK_PAIRS", 50)
+        few = retrieval.examples(queries, pool, 3)
+        assert "hashpartitioning(id" in (plan := few._jdf.queryExecution().executedPlan().toString()) and ", 20), REPARTITION_BY_NUM" in plan
+        assert sorted(map(tuple, few.collect())) == want
+
+
 def test_queries_of_the_same_words_are_ranked_once(spark):
     fields = spark.createDataFrame([(f"ip.f{i:02}", "integer", "ip", f"Field {i % 3}") for i in range(30)], "name string, kind string, protocol string, display string")
     asked = [(i, ["field", str(i % 2)], ["ip"], []) for i in range(12)]
