@@ -12,9 +12,8 @@ share of the training texts. Classes are runs of words by frequency with
 about the same sum of root frequencies. Before training the output biases alone are
 set, to the frequencies, so the untrained model is the base at this vocabulary.
 
-Training. In each of ``ROUNDS`` a further share of the training documents (by a hash; in all
-``SHARE`` of them, so the work grows with the corpus) goes through tasks that start from
-the same weights, take windows of ``WINDOW`` words, propagate back inside the window and
+Training. Every training document is read once: in each of ``ROUNDS`` a further part of them (by a
+hash) goes through tasks that start from the same weights, take windows of ``WINDOW`` words, propagate back inside the window and
 carry the state over to the next (a text of over ``TRAIN_CUT`` words is several here). The tasks' weights are averaged by the words they have
 seen, ``FAN`` at a time in Spark tasks; at most ``FAN`` sets of weights, whose size the
 model fixes, reach the driver.
@@ -52,8 +51,10 @@ MODEL, CLASSES, STATE, HELD = 2000, 32, 16, 50_000
 SEEN = 3
 #: Part of a symbol's probability that is its share of the training texts, so that few texts can't make the model too sure.
 SMOOTH = 0.1
-#: Training: rounds, one in so many training documents in all, lanes and words of a window, words of a text read from one state, step, weight averages taken at a time.
-ROUNDS, SHARE, TRAIN_LANES, WINDOW, TRAIN_CUT, RATE, FAN = 4, 16, 32, 16, 512, 0.1, 8
+#: Training: rounds, one in so many training documents in all (1: every one), words of a window, words of a text read from one state, step, weight averages taken at a time.
+ROUNDS, SHARE, WINDOW, TRAIN_CUT, RATE, FAN = 4, 1, 16, 512, 0.1, 8
+#: Lanes of training: at least, and at most where that leaves so many steps.
+LEAST_LANES, MOST_LANES, STEPS = 32, 512, 64
 #: Scoring: lanes, and words scored at a time. Bytes of text split into words at a time.
 LANES, GROUP_TOKENS, SLICE_BYTES = 1024, 4_000_000, 4_000_000
 
@@ -373,11 +374,21 @@ def _facts(batch: pa.RecordBatch, v: Vocabulary) -> tuple[dict[str, pa.Array], l
     return columns, np.split(symbols, (ends + np.arange(1, len(ends) + 1))[:-1])
 
 
+def turn(rounds: int = ROUNDS, share: int = SHARE) -> Column:
+    """The round in which a training document is read; from ``rounds`` on: in none, which a share of 1 leaves out."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds * share))
+
+
+def train_lanes(words: int) -> int:
+    """Texts read side by side: many are cheaper, but a step is made for all of them at once."""
+    return min(MOST_LANES, max(LEAST_LANES, words // (WINDOW * STEPS)))
+
+
 def trained(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, share: int = SHARE, state: int = STATE, rate: float = RATE) -> Weights:
     """The weights after all rounds; ``docs`` as from ``_texts``."""
     spark = docs.sparkSession
     sent, like = spark.sparkContext.broadcast(v), fresh(v, state)
-    part = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds * share))
+    part = turn(rounds, share)
     weights = like
     for k in range(rounds):
         start = spark.sparkContext.broadcast(packed(weights))
@@ -386,8 +397,9 @@ def trained(docs: DataFrame, v: Vocabulary, rounds: int = ROUNDS, share: int = S
             v = sent.value
             seen, net = 0, Network(unpacked(start.value, fresh(v, state)), v.classes, v.end)
             for texts in _pieces(batches, v):
-                net.learn(Lanes(texts, TRAIN_LANES), rate)
-                seen += sum(map(len, texts))
+                size = sum(map(len, texts))
+                net.learn(Lanes(texts, train_lanes(size)), rate)
+                seen += size
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([packed(net.w)])], ["seen", "weights"])
 

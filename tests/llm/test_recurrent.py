@@ -144,6 +144,13 @@ def test_averages_are_weighted_and_taken_in_steps(spark):
     assert recurrent.averaged(rows.limit(0), like) is like
 
 
+def test_every_training_text_is_read_in_one_round(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string")
+    turns = [r.t for r in docs.select(recurrent.turn().alias("t")).collect()]
+    assert set(turns) == set(range(recurrent.ROUNDS))  # no document is left out
+    assert [recurrent.train_lanes(n) for n in (0, 100_000, 10**7)] == [32, 97, 512]
+
+
 def test_held_out_texts_are_likelier_than_under_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", F.lit(0).alias("score"))
     rows = recurrent.score(docs, share=4).where("held_out").collect()
