@@ -141,12 +141,12 @@ def signatures(selected: DataFrame, key: str, probe: str = "probe_id", frame: st
     return per.groupBy(key).agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct(probe, "n", "sum", "xor"))).alias("signature"))
 
 
-def same_frames(a: DataFrame, b: DataFrame, a_key: str, b_key: str, probe: str = "probe_id", frame: str = "frame") -> DataFrame:
+def same_frames(a: DataFrame, b: DataFrame, a_key: str, b_key: str, probe: str = "probe_id", frame: str = "frame", signed: DataFrame | None = None) -> DataFrame:
     """A3: (a_key, b_key, n) of candidates that select the same frames on every probe, told by signature and then verified frame by frame.
 
-    Candidates that select nothing anywhere are not compared.
+    Candidates that select nothing anywhere are not compared. ``signed``: the signatures of ``a``, where they are there already.
     """
-    sa, sb = signatures(a, a_key, probe, frame), signatures(b, b_key, probe, frame)
+    sa, sb = signatures(a, a_key, probe, frame) if signed is None else signed, signatures(b, b_key, probe, frame)
     pairs = sa.join(sb.drop("n"), "signature").select(a_key, b_key, "n")
     met = a.join(pairs, a_key).join(b.select(b_key, probe, frame), [b_key, probe, frame])
     return met.groupBy(a_key, b_key).agg(F.first("n").alias("n"), F.count("*").alias("_met")).where("n = _met").drop("_met")

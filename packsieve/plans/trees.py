@@ -10,6 +10,7 @@ from packsieve.operators import predicates as P
 from packsieve.operators.predicates import Both, Either, Field, Leaf, Neither
 from packsieve.operators.tree_rows import document, group, negated, predicate
 from packsieve.plans.frames import EVENTS, EVENTS_SQL, dealt, event_frames, sql, table
+from packsieve.sources import shared
 
 QUERIES, SQL = {}, {}
 
@@ -160,16 +161,18 @@ def train_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gated(rows: DataFrame, frames: DataFrame, benchmark: DataFrame) -> DataFrame:
     """p_partkey and the first rule that drops the row, or null."""
-    facts = tree_rows.facts(rows, "p_partkey", "tree", EVENTS)
+    # trees are parsed once, and frames told by signature once: each is read several times below
+    facts = shared.table(tree_rows.facts(rows, "p_partkey", "tree", EVENTS), "facts")
     marked = leakage.first_seen(facts, ["tree_key"], ["p_partkey"])
     # each different tree runs once; their number is the gate's own bound, as they are columns of one scan
     different = tree_rows.alike(facts.where("code is null"), "p_partkey").join(rows, "p_partkey").select("tree_key", "tree").collect()
     trees = {r.tree_key: P.from_json(r.tree) for r in different}
     selected = matching.matches(frames, trees, EVENTS).withColumnRenamed("candidate", "tree_key")
     gold = matching.matches(frames, GATE_GOLD, EVENTS).withColumnRenamed("candidate", "gold")
-    alike = matching.same_frames(selected, gold, "tree_key", "gold").select("tree_key", F.lit(True).alias("same_frames")).distinct()
+    signed = shared.table(matching.signatures(selected, "tree_key"), "signatures")
+    alike = matching.same_frames(selected, gold, "tree_key", "gold", signed=signed).select("tree_key", F.lit(True).alias("same_frames")).distinct()
     every = F.broadcast(frames.agg(F.count("*").alias("frames")))  # one row
-    full = matching.signatures(selected, "tree_key").select("tree_key", "n").join(every, F.lit(True))
+    full = signed.select("tree_key", "n").join(every, F.lit(True))
     texts = leakage.overlaps(rows.select("p_partkey", F.col("request").alias("text")), benchmark, "p_partkey", "item_id").select("p_partkey").distinct().withColumn("overlaps", F.lit(True))
     mentions = shortcuts.hits(filter_text.references(F.col("filter")), F.create_map(F.lit("event.user"), F.lit("FT_UINT32")), F.col("request"))
     joined = marked.join(rows.select("p_partkey", "request"), "p_partkey").join(texts, "p_partkey", "left").join(full, "tree_key", "left").join(alike, "tree_key", "left")

@@ -92,3 +92,10 @@ def test_equal_frame_sets_have_equal_signatures(spark):
     # hashes alone don't decide: sets of equal signature and different frames are told apart
     odd = spark.createDataFrame([("x", "p", 1)], "mine string, probe_id string, frame int")
     assert matching.same_frames(odd, odd.withColumnRenamed("mine", "other").withColumn("frame", F.lit(2)), "mine", "other").count() == 0
+
+
+def test_the_gate_parses_trees_once(spark):
+    from packsieve.plans import trees as plans
+
+    plan = plans.train_gate(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapIn" not in plan and "EvalPython" not in plan  # parsed before, and read from there
