@@ -35,8 +35,16 @@ share none of this hardly meet in tables of any size. Of texts that meet
 under a key those whose whole prints differ in at most ``APART`` bits are compared by all their
 shingles: a pair at 0.8 does but for one in ten thousand, texts that share a passage alone don't. First each text is compared with one other, the smallest under
 any of its keys, so a crowd becomes one component in as many comparisons as it has texts; then,
-of what is still in different components, each key's texts with its smallest, and in the end all
-that meet under a key with one another.
+of what is still in different components, each key's texts with its smallest, and in the end those
+that meet under a key with one another: all of them where a key has at most ``FEW`` texts, else as a crowd.
+
+Crowds. Hundreds of edited copies of one text meet under each other's keys, though few pairs share 0.8. A crowd
+is the texts of full keys with the same two least values. Its shingles held by over half of its texts are common to it; a text
+A is then its difference D(A) from those, what it has besides and what it lacks. Two texts share 0.8 if
+|D(A)| + |D(B)| - 2 |D(A) and D(B)| is at most a ninth of |A| + |B|, that is if they have (x(A) + x(B)) / 2 differences
+in common, with x(A) = |D(A)| - |A| / 9. Texts that need none in common with the one of the least x are linked to
+it. A pair with one of the others needs a difference in common, and it is found, exactly, as in prefix filtering: differences
+are put in order, rarest first, and two texts are compared where they share one behind which, itself included, both have as many as they need.
 
 Edge cases: null or wordless text has fingerprint zero and is linked like any
 other; fewer words than a shingle are one shingle; null doc_ids are linked but
@@ -50,7 +58,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from packsieve.llm import scratch
@@ -62,6 +70,8 @@ WIDTHS = (22, 21, 21)
 SHIFTS = (42, 21, 0)
 #: Shared part of the five-word shingles of texts that ``cluster`` links, and the bits in which the prints (of 192) of such texts may differ: 29 by the error rate, and four deviations.
 SIMILARITY, APART = 0.8, 52
+#: Texts under one key up to which all are compared with one another, so that a row makes fewer pairs than this.
+FEW = 8
 #: Odd multipliers that make three hashes of two neighbouring ones.
 PRINT_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 PRINT, LEAST = ("w0", "w1", "w2"), tuple(f"m{g}" for g in range(8))
@@ -283,8 +293,8 @@ def links(fps: DataFrame) -> DataFrame:
     return scratch.table(found.unionByName(star), "near")
 
 
-def _print_keys(rows: DataFrame) -> DataFrame:
-    """(key, node, at) of each print's keys; a node is a text, by its hash."""
+def _print_keys(rows: DataFrame, crowd: bool = False) -> DataFrame:
+    """(key, node, at) of each print's keys, and the least values (crowd) that went into the key if asked; a node is a text, by its hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         flips = np.concatenate([[0], 1 << np.arange(23)])
@@ -299,10 +309,11 @@ def _print_keys(rows: DataFrame) -> DataFrame:
                 new = np.ones(idx.shape, bool)
                 new[:, 1:] = idx[:, 1:] != idx[:, :-1]
                 row, col = np.nonzero(new)
-                key = mixed(batch[name].to_numpy(np.int64).view(np.uint64)[row], idx[row, col].astype(np.uint64))
-                yield pd.DataFrame({"key": key.view(np.int64), "node": node[row], "at": at[row]})
+                least = batch[name].to_numpy(np.int64)[row]
+                key = mixed(least.view(np.uint64), idx[row, col].astype(np.uint64))
+                yield pd.DataFrame({"key": key.view(np.int64), "node": node[row], "at": at[row]} | ({"crowd": least} if crowd else {}))
 
-    return rows.select("node", "at", *PRINT, *LEAST).mapInPandas(run, "key long, node long, at long")
+    return rows.select("node", "at", *PRINT, *LEAST).mapInPandas(run, "key long, node long, at long" + (", crowd long" if crowd else ""))
 
 
 def meeting(keyed: DataFrame) -> DataFrame:
@@ -341,6 +352,88 @@ def among(keyed: DataFrame) -> DataFrame:
     return met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
 
 
+def full_keys(keyed: DataFrame) -> DataFrame:
+    """The keys of more than ``FEW`` texts."""
+    return keyed.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > FEW).select("key")
+
+
+def crowds(keyed: DataFrame, prints: DataFrame) -> DataFrame:
+    """(crowd, node): texts under full keys, by the least values of the key."""
+    full = scratch.table(full_keys(keyed), "full")
+    nodes = keyed.join(full, "key", "left_semi").select("node").distinct()
+    again = _print_keys(prints.join(nodes, "node", "left_semi"), True)
+    return again.hint("merge").join(full, "key", "left_semi").select("crowd", "node").distinct()
+
+
+def differences(crowd: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """For each (crowd, node) what tells it from its crowd.
+
+    own: (df, item) of its shingles that others of the crowd have; common: (df, item) of the shingles of over half of the
+    crowd, with the number that lack them; x: see above; least, middle: the smallest x in the crowd and whose it is.
+    """
+    slack = (1 - similarity) / (1 + similarity)
+    n = crowd.groupBy("crowd").agg(F.count("*").alias("n"))
+    rows = scratch.table(crowd.join(n, "crowd").withColumn("row", F.xxhash64("crowd", "node")), "crowds")
+    met = rows.join(sets, "node")
+    items = met.select("row", "crowd", F.explode("set").alias("s")).select("row", F.xxhash64("crowd", "s").alias("item"))
+    several = items.withColumn("df", F.count("*").over(Window.partitionBy("item")).cast("int")).where("df > 1")
+    own = several.groupBy("row").agg(F.collect_list(F.struct("df", "item")).alias("own"))
+    sized = met.select("row", "crowd", "node", "n", F.size("set").alias("size")).join(own, "row").withColumn("held", F.size(F.filter("own", lambda i: 2 * i["df"] > F.col("n"))))
+    sized = scratch.table(sized.withColumn("y", (1 - slack) * F.col("size") - 2 * F.col("held")), "sized")
+    most = sized.select("crowd", "n", F.explode("own").alias("i")).where("2 * i.df > n").groupBy("crowd", "i.item").agg(F.first(F.col("n") - F.col("i.df")).cast("int").alias("df"))
+    common = most.groupBy("crowd").agg(F.collect_list(F.struct("df", "item")).alias("common"))
+    middle = sized.groupBy("crowd").agg(F.min(F.struct("y", "node")).alias("p"))
+    whole = scratch.table(middle.join(common, "crowd", "left").select("crowd", "p", F.coalesce("common", F.expr("cast(array() as array<struct<df: int, item: bigint>>)")).alias("common")), "middles")
+    shared = F.size("common")
+    return sized.join(whole, "crowd").select(
+        "crowd", "node", "own", "common", "n", (F.col("y") + shared).alias("x"), (F.col("p.y") + shared).alias("least"), F.col("p.node").alias("middle")
+    )
+
+
+#: What x, a sum of fractions, may be off by.
+ROUNDING = 1e-6
+
+
+def to_middle(told: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each crowd's middle and the texts that are similar to it whatever their differences are."""
+    return told.where((F.col("x") + F.col("least") <= ROUNDING) & (F.col("node") != F.col("middle"))).select(F.col("middle").alias("a"), F.col("node").alias("b"))
+
+
+def rare_differences(rows: DataFrame) -> DataFrame:
+    """(item, node, x, far, rest): a text's differences, of those that others have too, behind which it has as many as any pair of it needs.
+
+    rest counts them, the item included; far texts are those that ``to_middle`` leaves.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            far = (batch.x + batch.least > ROUNDING).to_numpy()
+            need = (batch.x + np.where(far, batch.least, -batch.least)).to_numpy() / 2 - ROUNDING
+            items, rests = [], []
+            for own_df, own_item, common_df, common_item, n, enough in zip(batch.own_df, batch.own_item, batch.common_df, batch.common_item, batch.n, need, strict=True):
+                more, lacks = 2 * own_df <= n, ~np.isin(common_item, own_item)
+                df, item = np.append(own_df[more], common_df[lacks]), np.append(own_item[more], common_item[lacks])
+                order = np.lexsort((item, df))  # what is its own alone stands before them
+                rest = len(order) - np.arange(len(order))
+                held = (df[order] > 1) & (rest >= enough)
+                items.append(item[order[held]])
+                rests.append(rest[held])
+            times = [len(i) for i in items]
+            yield pd.DataFrame({"item": np.concatenate(items), "node": np.repeat(batch.node.to_numpy(), times), "x": np.repeat(batch.x.to_numpy(), times), "far": np.repeat(far, times), "rest": np.concatenate(rests)})
+
+    flat = [F.col(f"{c}.{f}").alias(f"{c}_{f}") for c in ("own", "common") for f in ("df", "item")]
+    return rows.select("node", "n", "x", "least", *flat).mapInPandas(run, "item long, node long, x double, far boolean, rest int")
+
+
+def of_rare(rare: DataFrame, at: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components that share a difference behind which both have enough. ``at``: node, at."""
+    placed = scratch.table(rare.join(at, "node"), "rare")
+    l, r = placed.alias("l"), placed.alias("r")
+    needed = (F.col("l.x") + F.col("r.x")) / 2 - ROUNDING
+    met = l.join(r, (F.col("l.item") == F.col("r.item")) & (F.col("l.node") < F.col("r.node")) & (F.col("l.at") != F.col("r.at")) & (F.col("l.far") | F.col("r.far")) & (F.least("l.rest", "r.rest") >= needed))
+    return met.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()
+
+
 def shingle_sets(docs: DataFrame, asked: DataFrame, words: int) -> DataFrame:
     """(node, set): the hashes of all shingles of each text asked for, one word longer than those of fingerprints, each once."""
 
@@ -374,19 +467,34 @@ def similar(docs: DataFrame, rows: DataFrame, at: DataFrame, words: int, similar
         name = lambda n: of.select(F.col("node").alias(n), F.col("at").alias(f"_{n}"))
         return links.join(name("a"), "a").join(name("b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
 
-    # the first links are stars, so that a crowd under a key is one component before its pairs are looked at
     own = scratch.table(keyed.select("node", "at").distinct(), "own")
     found = scratch.table(own.select(F.col("at").alias("a"), F.col("at").alias("b")).limit(0), "similar")
     of = components(found)
-    for pairs in (to_one_hub, to_hubs, among):
-        asked = scratch.table(pairs(keyed), "pairs")
-        if not asked.limit(1).count():
-            continue
-        sets = shingle_sets(docs, asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct(), words)
-        found = scratch.table(joined(confirmed(asked, sets, similarity), own).unionByName(found), "similar")
-        of = components(found)
-        met = keyed.join(of.withColumnsRenamed({"node": "at", "component": "_of"}), "at", "left").select("key", "node", F.coalesce("_of", "at").alias("at"), "print")
-        keyed = scratch.table(meeting(met), "meeting")
+
+    def now(df: DataFrame) -> DataFrame:
+        return df.join(of.withColumnsRenamed({"node": "at", "component": "_of"}), "at", "left").withColumn("at", F.coalesce("_of", "at")).drop("_of")
+
+    def settle(pairs: DataFrame, sets: DataFrame | None = None) -> None:
+        nonlocal found, of
+        asked = scratch.table(pairs, "pairs")
+        if asked.limit(1).count():
+            sets = shingle_sets(docs, asked.select(F.col("a").alias("node")).union(asked.select("b")).distinct(), words) if sets is None else sets
+            found = scratch.table(joined(confirmed(asked, sets, similarity), own).unionByName(found), "similar")
+            of = components(found)
+
+    # the first links are stars, so that a crowd under a key is one component before its pairs are looked at
+    for pairs in (to_one_hub, to_hubs):
+        settle(pairs(keyed))
+        keyed = scratch.table(meeting(now(keyed)), "meeting")
+    crowd = scratch.table(crowds(keyed, prints), "crowd")
+    few = among(keyed.join(full_keys(keyed), "key", "left_anti"))
+    if not crowd.limit(1).count():
+        settle(few)
+        return of
+    sets = shingle_sets(docs, crowd.select("node").distinct(), words)
+    told = differences(crowd, sets, similarity)
+    settle(few.unionByName(to_middle(told)).distinct())
+    settle(of_rare(rare_differences(told), now(own)), sets)
     return of
 
 

@@ -137,3 +137,48 @@ def test_no_rows_and_texts_without_words(spark):
     assert simhash.cluster(none).count() == simhash.drop(none).count() == 0
     empty = spark.createDataFrame([(3, " ", 0, "", 0), (None, None, 0, "", 0), (1, "", 0, "", 0)], SCHEMA)
     assert {(r.doc_id, r.component_id) for r in simhash.cluster(empty).collect()} == {(3, 1), (None, 1), (1, 1)}
+
+
+def test_a_crowd_of_edited_copies_is_not_compared_pair_by_pair(spark, monkeypatch):
+    """Copies of one text, each with edits of its own, most pairs below the limit: as linked as all pairs would be, from few comparisons."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    texts = [changed(rng, base, rng.choice((1, 2, 3, 4, 5, 6))) for _ in range(260)]
+    for _ in range(8):  # far from the rest, near one another
+        far = changed(rng, base, 8).split()
+        texts += [changed(rng, far, rng.choice((1, 2, 3))) for _ in range(5)]
+    sets = [plain_shingles(t) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if share(sets[i], sets[j]) >= 0.8]
+    parent = list(range(len(texts)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    fps = [simhash.fingerprint(t)[0] for t in texts]
+    for i, j in [*near, *((i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4)]:
+        parent[max(find(i), find(j))] = min(find(i), find(j))
+
+    docs = spark.createDataFrame([(i, t, 0, "", 0) for i, t in enumerate(texts)], SCHEMA)
+    id_of = {r.k: r.doc_id for r in docs.select("doc_id", simhash.text_key(F.col("text")).alias("k")).collect()}
+    node_of = {i: k for k, i in id_of.items()}
+
+    # one crowd of all of them: exact, whatever keys they share
+    nodes = docs.select(simhash.text_key(F.col("text")).alias("node")).cache()
+    told = simhash.differences(nodes.select(F.lit(1).cast("long").alias("crowd"), "node"), simhash.shingle_sets(docs, nodes, 4), 0.8)
+    star = {(id_of[r.a], id_of[r.b]) for r in simhash.to_middle(told).collect()}
+    at = spark.createDataFrame([(node_of[i], i) for i in range(len(texts))], "node long, at long")
+    rare = {(id_of[r.a], id_of[r.b]) for r in simhash.of_rare(simhash.rare_differences(told), at).collect()}
+    linked = {frozenset(p) for p in star | rare}
+    middle = {a for a, _ in star}.pop()
+    reached = {b for _, b in star} | {middle}
+    assert all(share(sets[a], sets[b]) >= 0.8 for a, b in star) and len(reached) > 50
+    assert all(frozenset(p) in linked or set(p) <= reached for p in near)
+
+    asked, confirmed = [], simhash.confirmed
+    monkeypatch.setattr(simhash, "confirmed", lambda pairs, *more: asked.append(pairs.count()) or confirmed(pairs, *more))
+    got = {r.doc_id: r.component_id for r in simhash.cluster(docs).collect()}
+    assert all(find(i) == find(c) for i, c in got.items())
+    assert sum(got[i] == got[j] for i, j in near) >= 0.98 * len(near)
+    assert len(near) > 1000 and asked[-1] < len(texts) and sum(asked) < 25 * len(texts), (len(near), asked)
