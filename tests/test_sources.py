@@ -236,3 +236,11 @@ def test_attempt_stream_keeps_the_last(spark, tmp_path):
     assert pump() == {"a": (1, "failed"), "b": (1, "completed")}
     (tmp_path / "log/2.json").write_text(line("a", 2, "completed") + line("a", 1, "failed"))
     assert pump() == {"a": (2, "completed"), "b": (1, "completed")}
+
+
+def test_a_run_is_written_and_listed_in_tasks_whatever_its_names(spark, tmp_path):
+    rows = [("r+1", "C=2/3", f"a {i}%+é", f"text {i}") for i in range(40)]
+    path = f"file://{tmp_path}/run"
+    records.write_run(spark.createDataFrame(rows, "run string, condition string, item string, value string"), path)
+    got = {tuple(r) for r in records.run_files(spark, path).collect()}
+    assert got == {(a, b, c, len(v) + 1, hashlib.sha256(f"{v}\n".encode()).hexdigest()) for a, b, c, v in rows}
